@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import time as ft
 
+# Outcomes of fetching one day, best first.
+OUTCOMES = ("fetched", "skipped", "failed")
+
 
 def missing_days(expected: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:
     """Expected (source, date) rows that have no data."""
@@ -21,12 +24,13 @@ def coverage(expected: DataFrame, attempts: DataFrame, on: Sequence[str]) -> Dat
     ``attempts`` has ``status`` and optionally ``reason``; a day with several
     attempts counts as fetched if any attempt was, then skipped, then failed.
     """
-    order = F.array(F.lit("fetched"), F.lit("skipped"), F.lit("failed"))
-    outcome = attempts.groupBy(*on).agg(F.min(F.array_position(order, F.col("status"))).alias("_s"))
-    return expected.join(outcome, list(on), "left").select(
-        *expected.columns,
-        F.coalesce(F.element_at(order, F.col("_s").cast("int")), F.lit("missing")).alias("status"),
+    best = attempts.groupBy(*on).agg(
+        *[F.bool_or(F.col("status") == status).alias(f"_{status}") for status in OUTCOMES]
     )
+    status = F.lit("missing")
+    for outcome in reversed(OUTCOMES):
+        status = F.when(F.col(f"_{outcome}"), outcome).otherwise(status)
+    return expected.join(best, list(on), "left").select(*expected.columns, status.alias("status"))
 
 
 def axis_misses(slots: DataFrame, day: str, interval: str, timezone: str) -> DataFrame:
@@ -35,7 +39,7 @@ def axis_misses(slots: DataFrame, day: str, interval: str, timezone: str) -> Dat
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
 def range_violations(

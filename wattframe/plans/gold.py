@@ -11,17 +11,10 @@ from ..functions import time as ft
 from ..operators.rank import CHARGE_SLOTS, DISCHARGE_SLOTS, with_signals
 from ..operators.resample import mean_by
 from ..operators.wide import share_pct, wide_mix
-from ..registry import PRODUCTION_TYPES
+from ..registry import mix_columns
 from .silver import with_market
 
 
-def mix_columns(types: tuple = PRODUCTION_TYPES) -> dict[str, str]:
-    """Output column per production type, by the same rule as ``text.megawatt_column``."""
-    names = [entry[0] for entry in types]
-    words = ["".join(c if c.isascii() and c.isalnum() else " " for c in n.lower()) for n in names]
-    return {name: "_".join(w.split()) + "_mw" for name, w in zip(names, words)}
-
-
 def price_hourly(fact_price: DataFrame, markets: DataFrame) -> DataFrame:
     """Hourly means with clock labels and the market's peak flag.
 

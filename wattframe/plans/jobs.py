@@ -259,7 +259,7 @@ def build_generation_hourly(
 ) -> None:
     facts = _stored(spark, base, schemas.FACT_GENERATION, _days(market_id, start, end))
     wide = gold.generation_hourly(facts, _stored(spark, base, schemas.DIM_PRODUCTION_TYPE))
-    _replace(wide, base, "generation_hourly", market_id, start, end)
+    _replace(conform(wide, schemas.GENERATION_HOURLY), base, "generation_hourly", market_id, start, end)
 
 
 def build_bess_signals(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .registry import mix_columns
+
 
 @dataclass(frozen=True)
 class Table:
@@ -178,6 +180,16 @@ PRICE_HOURLY = Table(
     keys=("market_id", "hour_start_utc"),
     partitions=("market_id", "date_id"),
 )
+GENERATION_HOURLY = Table(
+    "gold", "generation_hourly",
+    "date_id int not null, time_id int not null, hour_start_utc timestamp not null, "
+    "market_id string not null, "
+    + "".join(f"{column} double not null, " for column in mix_columns().values())
+    + "other_discovered_mw double not null, total_mw double, renewable_mw double, "
+    "thermal_mw double, nuclear_mw_total double, renewable_share_pct double",
+    keys=("market_id", "hour_start_utc"),
+    partitions=("market_id", "date_id"),
+)
 BESS_SIGNALS = Table(
     "gold", "bess_signals",
     "date_id int not null, time_id int not null, interval_of_day int not null, "
