@@ -204,16 +204,17 @@ def test_windows_of_the_repeated_hour_follow_the_instant(spark):
 
 
 def test_read_side(spark, lake):
-    registry = markets_frame(spark)
     hourly = table(spark, lake, schemas.PRICE_HOURLY)
-    rows = queries.prices(hourly, registry, "RO", AUTUMN, AUTUMN).collect()
+    rows = queries.prices(hourly, "RO", AUTUMN, AUTUMN).collect()
     assert len(rows) == 25 and {r.currency for r in rows} == {"RON"}
     assert rows == sorted(rows, key=lambda r: r.hour_start_utc)
-    assert queries.prices(hourly, registry, "RO", date(2030, 1, 1), date(2030, 1, 2)).isEmpty()
+    assert queries.prices(hourly, "RO", date(2030, 1, 1), date(2030, 1, 2)).isEmpty()
     with pytest.raises(ValueError):
-        queries.prices(hourly, registry, "RO", END, START)
+        queries.prices(hourly, "RO", END, START)
     with pytest.raises(ValueError):
         get_market("XX")
+    with pytest.raises(ValueError):
+        queries.prices(hourly, "XX", START, END)
     mix = queries.generation(table(spark, lake, schemas.GENERATION_HOURLY), "RO", AUTUMN, AUTUMN).first()
     assert len(mix.sources) == 22 and mix.sources["solar_mw"] == 101.5 and "nuclear_mw_total" not in mix.sources
 
@@ -258,8 +259,8 @@ def test_registry(spark):
     }
     pairs = {tuple(r) for r in required_pairs(markets_frame(spark, several)).collect()}
     assert pairs == {("EUR", "RON", "BNR", "ECB"), ("EUR", "EUR", "SYNTHETIC", None), ("EUR", "GBP", "ECB", None)}
-    bounds = dims.date_bounds(spark, SPRING, SPRING)
-    per_zone = dims.dim_datetime(markets_frame(spark, several), bounds).groupBy("timezone").count().collect()
+    axis = dims.dim_datetime(markets_frame(spark, several), SPRING, SPRING)
+    per_zone = axis.groupBy("timezone").count().collect()
     assert {r.timezone: r["count"] for r in per_zone} == dict.fromkeys(
         ["Europe/Bucharest", "Europe/Berlin", "Europe/London"], 92
     )

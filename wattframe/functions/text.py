@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from .time import as_column
 
 _NUMBER = r"(?i)^[+-]?(\d+\.?\d*([e][+-]?\d+)?|\.\d+([e][+-]?\d+)?|nan|inf(inity)?)$"
-_EDGES = r"^[\s\u00a0]+|[\s\u00a0]+$"
+# Blanks that a cell may be padded with, the no-break space included.
+_BLANKS = " \t\n\r\f\v\u0085\u00a0"
 
 
-def strip(text: Column | str) -> Column:
-    """Trim all whitespace, the no-break space included."""
-    return F.regexp_replace(as_column(text), _EDGES, "")
+def strip(text: Column | str, characters: str = _BLANKS) -> Column:
+    """Trim blanks, or the given characters, from both ends."""
+    return F.btrim(as_column(text), F.lit(characters))
 
 
-def plain_number(text: Column | str) -> Column:
-    """Double of a number written with a decimal point; NULL for anything else.
-
-    The pattern guards the cast, which would also accept a trailing d or f.
-    """
-    cleaned = strip(text)
+def _number(cleaned: Column) -> Column:
+    """The pattern guards the cast, which would also accept a trailing d or f."""
     return F.when(cleaned.rlike(_NUMBER), cleaned.try_cast("double"))
 
 
+def plain_number(text: Column | str) -> Column:
+    """Double of a number written with a decimal point; NULL for anything else."""
+    return _number(strip(text))
+
+
 def locale_number(text: Column | str) -> Column:
     """As ``plain_number``; a comma marks the decimals and dots then group digits."""
     cleaned = strip(text)
-    swapped = F.replace(F.replace(cleaned, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    return plain_number(F.when(F.contains(cleaned, F.lit(",")), swapped).otherwise(cleaned))
+    swapped = F.translate(cleaned, ",.", ".")
+    return F.when(F.contains(cleaned, F.lit(",")), _number(swapped)).otherwise(_number(cleaned))
 
 
 def finite_or_null(value: Column | str) -> Column:

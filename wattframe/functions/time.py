@@ -4,12 +4,14 @@ The instant (UTC) is the only key; local date, clock position and label are
 attributes derived from it.  On the autumn changeover a local hour occurs twice,
 so a (date_id, time_id) pair is never used to identify a row.
 
-A zone argument is either a zone name or a Column holding one, so a frame with
-rows from several markets is handled in a single pass.
+A zone argument is a zone name, a Column holding one, or ``Zones``, so a frame
+with rows from several markets is handled in a single pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,33 @@ SLOTS_PER_HOUR = 60 // SLOT_MINUTES
 SLOT_SECONDS = SLOT_MINUTES * 60
 
 
+@dataclass(frozen=True)
+class Zones:
+    """A zone column together with the names it is known to hold.
+
+    With a literal zone Spark resolves the rules once per task; with a column it
+    looks them up for every row.  Each known name gets its own literal branch,
+    any other name still works through the column.
+    """
+
+    column: str
+    names: tuple[str, ...]
+
+    # More branches than this bloat the generated code.
+    LIMIT = 16
+
+    def convert(self, how: Callable[[Column, str | Column], Column], ts: Column) -> Column:
+        column = F.col(self.column)
+        result = how(ts, column)
+        if len(self.names) <= self.LIMIT:
+            for name in self.names:
+                result = F.when(column == name, how(ts, name)).otherwise(result)
+        return result
+
+
+Zone = Column | str | Zones
+
+
 def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -35,17 +64,26 @@ def date_id_of(day: date) -> int:
     return int(day.strftime("%Y%m%d"))
 
 
-def local_time(ts: Column | str, tz: Column | str) -> Column:
+def local_time(ts: Column | str, tz: Zone) -> Column:
     """Wall clock in ``tz`` of the UTC instant ``ts``."""
+    if isinstance(tz, Zones):
+        return tz.convert(F.from_utc_timestamp, as_column(ts))
     return F.from_utc_timestamp(as_column(ts), tz)
 
 
-def local_midnight_utc(day: Column | str, tz: Column | str) -> Column:
+def instant(local: Column | str, tz: Zone) -> Column:
+    """UTC instant of a wall clock; the first pass where it occurs twice."""
+    if isinstance(tz, Zones):
+        return tz.convert(F.to_utc_timestamp, as_column(local))
+    return F.to_utc_timestamp(as_column(local), tz)
+
+
+def local_midnight_utc(day: Column | str, tz: Zone) -> Column:
     """The instant at which the local day begins."""
-    return F.to_utc_timestamp(as_column(day).cast("timestamp"), tz)
+    return instant(as_column(day).cast("timestamp"), tz)
 
 
-def day_length_hours(day: Column | str, tz: Column | str) -> Column:
+def day_length_hours(day: Column | str, tz: Zone) -> Column:
     """23, 24 or 25 in a zone with hourly daylight saving."""
     day = as_column(day)
     begin = local_midnight_utc(day, tz)
@@ -53,12 +91,12 @@ def day_length_hours(day: Column | str, tz: Column | str) -> Column:
     return (F.unix_timestamp(end) - F.unix_timestamp(begin)) / F.lit(3600.0)
 
 
-def slots_in_day(day: Column | str, tz: Column | str) -> Column:
+def slots_in_day(day: Column | str, tz: Zone) -> Column:
     """92, 96 or 100 quarter hours."""
     return (day_length_hours(day, tz) * SLOTS_PER_HOUR).cast("int")
 
 
-def slot_start_utc(day: Column | str, interval: Column | str, tz: Column | str) -> Column:
+def slot_start_utc(day: Column | str, interval: Column | str, tz: Zone) -> Column:
     """Instant of the ``interval``-th (1-based) elapsed slot of a local day.
 
     Slots are numbered by elapsed time since local midnight, so the instant is
@@ -68,13 +106,13 @@ def slot_start_utc(day: Column | str, interval: Column | str, tz: Column | str)
     return F.timestamp_seconds(F.unix_timestamp(local_midnight_utc(day, tz)) + offset)
 
 
-def slot_exists(day: Column | str, interval: Column | str, tz: Column | str) -> Column:
+def slot_exists(day: Column | str, interval: Column | str, tz: Zone) -> Column:
     """Whether the local day has a slot with this number."""
     interval = as_column(interval)
     return (interval >= 1) & (interval <= slots_in_day(day, tz))
 
 
-def interval_of_day(ts: Column | str, tz: Column | str) -> Column:
+def interval_of_day(ts: Column | str, tz: Zone) -> Column:
     """1-based elapsed slot of the local day that ``ts`` falls into."""
     ts = as_column(ts)
     midnight = local_midnight_utc(F.to_date(local_time(ts, tz)), tz)
@@ -92,12 +130,12 @@ def clock_label(local: Column | str) -> Column:
     return F.date_format(as_column(local), "HH:mm")
 
 
-def utc_offset_minutes(ts: Column | str, tz: Column | str) -> Column:
+def utc_offset_minutes(ts: Column | str, tz: Zone) -> Column:
     ts = as_column(ts)
     return ((F.unix_timestamp(local_time(ts, tz)) - F.unix_timestamp(ts)) / 60).cast("int")
 
 
-def is_dst(ts: Column | str, tz: Column | str) -> Column:
+def is_dst(ts: Column | str, tz: Zone) -> Column:
     """Whether the offset exceeds the zone's standard offset in that local year.
 
     The standard offset is the smaller of the offsets on 1 January and 1 July.
@@ -112,21 +150,21 @@ def is_dst(ts: Column | str, tz: Column | str) -> Column:
     return utc_offset_minutes(ts, tz) > standard
 
 
-def is_repeated(ts: Column | str, tz: Column | str) -> Column:
+def is_repeated(ts: Column | str, tz: Zone) -> Column:
     """Second pass through a local hour that occurs twice.
 
     Converting an ambiguous wall clock back to UTC resolves to the first pass,
     so an instant later than its own round trip belongs to the second.
     """
     ts = as_column(ts)
-    return F.to_utc_timestamp(local_time(ts, tz), tz) < ts
+    return instant(local_time(ts, tz), tz) < ts
 
 
 def hour_start_utc(ts: Column | str) -> Column:
     return F.date_trunc("hour", as_column(ts))
 
 
-def local_hour_start_utc(ts: Column | str, tz: Column | str) -> Column:
+def local_hour_start_utc(ts: Column | str, tz: Zone) -> Column:
     """First instant of the local hour; equals the UTC hour for whole-hour offsets."""
     ts = as_column(ts)
     local = local_time(ts, tz)
@@ -145,7 +183,7 @@ def within_local_days(ts: Column | str, start: date, end: date, tz: str) -> Colu
     return (ts >= lower) & (ts < upper)
 
 
-def with_local_keys(df: DataFrame, tz: Column | str, ts: str = "timestamp_utc") -> DataFrame:
+def with_local_keys(df: DataFrame, tz: Zone, ts: str = "timestamp_utc") -> DataFrame:
     """Add local_ts, date_id, time_id (hour-start position) and hour_start_utc."""
     return (
         df.withColumn("local_ts", local_time(ts, tz))

@@ -27,23 +27,30 @@ def unresolved_counts(facts: DataFrame, dim: DataFrame, on: Sequence[str]) -> Da
     return unresolved(counts, dim, on)
 
 
-def number_in_order(names: DataFrame, column: str, prefix: int = 2) -> DataFrame:
+def number_in_order(names: DataFrame, column: str, prefixes: Sequence[int] = (2, 6)) -> DataFrame:
     """Add ``position`` 1, 2, ... in ascending order of distinct values.
 
-    Counts per leading prefix give each prefix its starting position and the rows
-    are numbered inside their prefix, so only the prefix counts meet in one task.
+    Names are counted per leading prefix, short and long.  Running sums of these
+    counts tell where each long prefix begins, and the names are numbered inside
+    it: one task only sees the counts of all short prefixes, of the long prefixes
+    of a short one, or the names of one long prefix.
     """
-    keyed = names.withColumn("_prefix", F.substring(column, 1, prefix))
-    sizes = keyed.groupBy("_prefix").agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        "_prefix", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy("_prefix").orderBy(column)
-    return (
-        keyed.join(starts, "_prefix")
-        .withColumn("position", (F.col("_start") + F.row_number().over(inside)).cast("int"))
-        .drop("_prefix", "_start")
+    levels = [f"_p{n}" for n in prefixes]
+    keyed = names.withColumns({p: F.substring(column, 1, n) for p, n in zip(levels, prefixes)})
+    starts = keyed.groupBy(*levels).agg(F.count("*").alias("_n"))
+    begins = F.lit(0).cast("long")
+    for depth, level in enumerate(levels):
+        upper = levels[:depth]
+        sizes = starts.groupBy(*upper, level).agg(F.sum("_n").alias("_size"))
+        before = Window.partitionBy(*upper).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum("_size").over(before), F.lit(0))
+        keyed = keyed.join(
+            sizes.select(*upper, level, offset.alias(f"_before{depth}")), [*upper, level]
+        )
+        begins = begins + F.col(f"_before{depth}")
+    inside = Window.partitionBy(*levels).orderBy(column)
+    return keyed.select(
+        *names.columns, (begins + F.row_number().over(inside)).cast("int").alias("position")
     )
 
 
@@ -65,8 +72,7 @@ def assign_stable_ids(
         .agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
     )
     fresh = number_in_order(discovered.join(assigned.select(name), name, "left_anti"), name)
-    # One-row side: a broadcast of a single maximum.
-    numbered = fresh.join(F.broadcast(top)).select(
-        name, (F.col("_top") + F.col("position")).cast("int").alias(id_column)
+    numbered = fresh.select(
+        name, (top.scalar() + F.col("position")).cast("int").alias(id_column)
     )
     return kept.unionByName(numbered)

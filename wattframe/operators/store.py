@@ -14,11 +14,12 @@ the previous folders are still under the staging folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -107,31 +108,38 @@ def _predicate(column: str, operator: str, value: Any):
 
 def write_table(
     df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite"
-) -> None:
-    """Partitioned write.
+) -> int:
+    """Partitioned write; returns the number of rows, observed while writing.
 
     The rebalance hint groups rows by partition so that each folder gets few
     files, and lets the adaptive planner split a partition that is too large.
     """
     if partitions:
         df = df.hint("rebalance", *partitions)
-    writer = df.write.mode(mode)
+    rows = Observation()
+    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
+    return rows.get["rows"]
 
 
-def cut_lineage(df: DataFrame, beside: str) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+@contextmanager
+def staged(df: DataFrame, beside: str) -> Iterator[DataFrame]:
+    """Write ``df`` once and read it back, so that several jobs can use it.
 
     The folder named in ``spark.checkpoint.dir`` is used; where the session has
-    none, one beside the table is set.
+    none, one beside the table.  Unlike cached blocks, the files outlive the
+    executors; being Parquet, a later job reads only the columns it needs.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or f"{_parent(beside)}/_checkpoints")
-    return df.checkpoint()
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{_parent(beside)}/_staging"
+    path = f"{root.rstrip('/')}/batch-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        _Folders(spark, path).drop(path)
 
 
 def append_new_observations(
@@ -143,25 +151,26 @@ def append_new_observations(
     partitions: Sequence[str] = (),
     compare: str = "any",
     prune: str | None = None,
-) -> None:
-    """Append the rows whose (key, value) tuple is not stored yet.
+    span: tuple[Any, Any] | None = None,
+) -> int:
+    """Append the rows whose (key, value) tuple is not stored yet; returns how many.
 
     ``prune`` names a key column that rows are clustered by, such as the delivery
     date.  History outside the batch's span of that column is then not read, and
-    the cost of a run no longer grows with the age of the table.
+    the cost of a run no longer grows with the age of the table.  ``span`` gives
+    the bounds where the caller knows them; else a pass over the batch finds them.
     """
     if not table_exists(spark, path):
-        write_table(df, path, partitions)
-        return
+        return write_table(df, path, partitions)
     history = read_table(spark, path, schema=df.schema)
     if prune is not None:
-        low, high = df.agg(F.min(prune), F.max(prune)).first()
-        span = F.col(prune).isNull()
+        low, high = span or df.agg(F.min(prune), F.max(prune)).first()
+        near = F.col(prune).isNull()
         if low is not None:
-            span = span | F.col(prune).between(F.lit(low), F.lit(high))
-        history = history.filter(span)
+            near = near | F.col(prune).between(F.lit(low), F.lit(high))
+        history = history.filter(near)
     fresh = new_observations(df, history, keys, values, compare)
-    write_table(fresh, path, partitions, mode="append")
+    return write_table(fresh, path, partitions, mode="append")
 
 
 def merge_upsert(
@@ -182,10 +191,21 @@ def merge_upsert(
     if not table_exists(spark, path):
         write_table(df, path, partitions)
         return
-    source = cut_lineage(df, path)
+    with staged(df, path) as source:
+        _merge(spark, source, path, keys, partitions, key_fixes_partition)
+
+
+def _merge(
+    spark: SparkSession,
+    source: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    partitions: Sequence[str],
+    key_fixes_partition: bool,
+) -> None:
     if not duplicate_keys(source.dropna(subset=list(keys)), keys).isEmpty():
         raise ValueError(f"several source rows share a key of {path}: {list(keys)}")
-    target = read_table(spark, path, schema=df.schema)
+    target = read_table(spark, path, schema=source.schema)
     if not partitions:
         _exchange(spark, merged_rows(target, source, keys), path)
         return

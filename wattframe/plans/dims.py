@@ -11,11 +11,11 @@ from ..functions import calendar as cal
 from ..functions import time as ft
 from ..operators.axis import date_spine, settlement_axis
 from ..operators.resolve import assign_stable_ids
-from ..registry import locations_frame, market_timezones
+from ..registry import locations_frame, market_timezones, small_frame
 
 
 def date_bounds(spark: SparkSession, start: date, end: date) -> DataFrame:
-    return spark.createDataFrame([(start, end)], "start date, end date")
+    return small_frame(spark, [(start, end)], "start date, end date")
 
 
 def dim_date(days: DataFrame, date_column: str = "date") -> DataFrame:
@@ -36,12 +36,11 @@ def dim_date(days: DataFrame, date_column: str = "date") -> DataFrame:
     )
 
 
-def dim_datetime(markets: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Settlement axis of every zone in the registry for the dates in ``bounds``.
-
-    The zones are crossed with the one-row bounds, not with the dates.
-    """
-    zones = market_timezones(markets).join(F.broadcast(bounds))
+def dim_datetime(markets: DataFrame, start: date, end: date) -> DataFrame:
+    """Settlement axis of every zone in the registry for the dates [start, end]."""
+    zones = market_timezones(markets).select(
+        "timezone", F.lit(start).alias("start"), F.lit(end).alias("end")
+    )
     return settlement_axis(date_spine(zones))
 
 

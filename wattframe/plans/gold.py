@@ -11,11 +11,11 @@ from ..functions import time as ft
 from ..operators.rank import CHARGE_SLOTS, DISCHARGE_SLOTS, with_signals
 from ..operators.resample import mean_by
 from ..operators.wide import share_pct, wide_mix
-from ..registry import mix_columns
-from .silver import with_market
+from ..registry import mix_columns, zones
+from .silver import Markets, with_market
 
 
-def price_hourly(fact_price: DataFrame, markets: DataFrame) -> DataFrame:
+def price_hourly(fact_price: DataFrame, markets: Markets) -> DataFrame:
     """Hourly means with clock labels and the market's peak flag.
 
     The bucket is the first instant of the local hour, so a changeover day has
@@ -24,11 +24,11 @@ def price_hourly(fact_price: DataFrame, markets: DataFrame) -> DataFrame:
     hourly = mean_by(
         with_market(fact_price, markets, "timezone"),
         ["market_id"],
-        {"hour_start_utc": ft.local_hour_start_utc("timestamp_utc", F.col("timezone"))},
+        {"hour_start_utc": ft.local_hour_start_utc("timestamp_utc", zones(markets))},
         ["price_local_mwh", "price_eur_mwh"],
         labels=["fx_rate"],
     )
-    tz, local = F.col("timezone"), F.col("_local")
+    tz, local = zones(markets), F.col("_local")
     zoned = with_market(hourly, markets, "timezone", "peak_start_hour", "peak_end_hour").withColumn(
         "_local", ft.local_time("hour_start_utc", tz)
     )
@@ -77,7 +77,7 @@ def generation_hourly(
 
 def bess_signals(
     fact_price: DataFrame,
-    markets: DataFrame,
+    markets: Markets,
     charge_slots: int = CHARGE_SLOTS,
     discharge_slots: int = DISCHARGE_SLOTS,
 ) -> DataFrame:
@@ -89,7 +89,7 @@ def bess_signals(
         fact_price, ["market_id", "date_id"],
         charge_slots=charge_slots, discharge_slots=discharge_slots,
     )
-    local = ft.local_time("timestamp_utc", F.col("timezone"))
+    local = ft.local_time("timestamp_utc", zones(markets))
     return with_market(ranked, markets, "timezone").select(
         "date_id",
         F.col("local_time_id").alias("time_id"),

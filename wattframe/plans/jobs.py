@@ -7,7 +7,6 @@ whose tables are replaced per market.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +23,15 @@ from ..operators.store import (
     read_table,
     replace_date_range,
 )
-from ..registry import MARKETS, Market, get_market, markets_frame, production_types_frame
+from ..registry import MARKETS, get_market, markets_frame, production_types_frame
 from ..schemas import Table, conform
 from ..sources import landing, prices, rates, series
 from . import dims, gold, silver
+from .silver import Markets
 
-Markets = Mapping[str, Market]
 
-
-def _selected(spark: SparkSession, market_id: str | None, markets: Markets) -> DataFrame:
-    if market_id is not None:
-        markets = {market_id: get_market(market_id, markets)}
-    return markets_frame(spark, markets)
+def _selected(market_id: str | None, markets: Markets) -> Markets:
+    return markets if market_id is None else {market_id: get_market(market_id, markets)}
 
 
 def _stored(
@@ -65,11 +61,15 @@ def _instants(start: date, end: date, ts: str = "timestamp_utc") -> list:
 # ---- landing to Bronze -------------------------------------------------------
 
 
-def _append(df: DataFrame, base: str, table: Table, prune: str, ingested_at: datetime | None) -> None:
+def _append(
+    df: DataFrame, base: str, table: Table, prune: str, ingested_at: datetime | None,
+    span: tuple[date, date] | None = None,
+) -> int:
     stamp = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = conform(df.withColumn("ingested_at", F.lit(stamp).cast("timestamp")), table)
-    append_new_observations(
-        df.sparkSession, rows, table.path(base), table.keys, table.values, table.partitions, prune=prune
+    return append_new_observations(
+        df.sparkSession, rows, table.path(base), table.keys, table.values, table.partitions,
+        prune=prune, span=span,
     )
 
 
@@ -82,7 +82,10 @@ def ingest_prices(
         spark, landing_base, landing.OPCOM_PRICES, start, end, market_id=market_id
     )
     days = prices.parse_price_files(files)
-    _append(prices.accepted_prices(days), base, schemas.OPCOM_PRICES, "delivery_date", ingested_at)
+    _append(
+        prices.accepted_prices(days), base, schemas.OPCOM_PRICES, "delivery_date", ingested_at,
+        span=(start, end),
+    )
     return prices.rejected_days(days)
 
 
@@ -142,7 +145,7 @@ def build_dim_date(spark: SparkSession, base: str, start: date, end: date) -> No
 def build_dim_datetime(
     spark: SparkSession, base: str, start: date, end: date, markets: Markets = MARKETS
 ) -> None:
-    axis = dims.dim_datetime(markets_frame(spark, markets), dims.date_bounds(spark, start, end))
+    axis = dims.dim_datetime(markets_frame(spark, markets), start, end)
     _upsert(axis, base, schemas.DIM_DATETIME)
 
 
@@ -172,7 +175,7 @@ def build_exchange_rates(
     daily = silver.exchange_rates(
         _stored(spark, base, schemas.BNR_RATES, span, optional=True),
         _stored(spark, base, schemas.ECB_RATES, span, optional=True),
-        markets_frame(spark, markets), start, end,
+        markets, start, end,
     )
     stamp = processed_at or datetime.now(timezone.utc).replace(tzinfo=None)
     stamped = daily.withColumn("processed_at", F.lit(stamp).cast("timestamp"))
@@ -187,7 +190,7 @@ def build_fact_price(
     fact = silver.fact_price(
         _stored(spark, base, schemas.OPCOM_PRICES, _market_filter(market_id) + days),
         _stored(spark, base, schemas.EXCHANGE_RATES, [("date", ">=", start), ("date", "<=", end)]),
-        _selected(spark, market_id, markets),
+        _selected(market_id, markets),
     )
     _upsert(fact, base, schemas.FACT_PRICE)
 
@@ -200,7 +203,7 @@ def build_fact_generation(
     fact = silver.fact_generation(
         _stored(spark, base, schemas.ENTSOE_GENERATION, source),
         _stored(spark, base, schemas.DIM_PRODUCTION_TYPE),
-        _selected(spark, market_id, markets), start, end,
+        _selected(market_id, markets), start, end,
     )
     _upsert(fact, base, schemas.FACT_GENERATION)
 
@@ -211,7 +214,7 @@ def build_fact_load(
 ) -> None:
     source = _market_filter(market_id) + _instants(start, end)
     load = _stored(spark, base, schemas.ENTSOE_LOAD, source)
-    fact = silver.fact_load(load, _selected(spark, market_id, markets), start, end)
+    fact = silver.fact_load(load, _selected(market_id, markets), start, end)
     _upsert(fact, base, schemas.FACT_LOAD)
 
 
@@ -223,7 +226,7 @@ def build_fact_weather(
     fact = silver.fact_weather(
         _stored(spark, base, schemas.WEATHER, source),
         _stored(spark, base, schemas.DIM_LOCATION),
-        _selected(spark, market_id, markets), start, end,
+        _selected(market_id, markets), start, end,
     )
     _upsert(fact, base, schemas.FACT_WEATHER)
 
@@ -250,7 +253,7 @@ def build_price_hourly(
     spark: SparkSession, base: str, market_id: str, start: date, end: date, markets: Markets = MARKETS
 ) -> None:
     facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end))
-    hourly = gold.price_hourly(facts, _selected(spark, market_id, markets))
+    hourly = gold.price_hourly(facts, _selected(market_id, markets))
     _replace(conform(hourly, schemas.PRICE_HOURLY), base, "price_hourly", market_id, start, end)
 
 
@@ -269,7 +272,7 @@ def build_bess_signals(
 ) -> None:
     facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end))
     marked = gold.bess_signals(
-        facts, _selected(spark, market_id, markets), charge_slots, discharge_slots
+        facts, _selected(market_id, markets), charge_slots, discharge_slots
     )
     _replace(conform(marked, schemas.BESS_SIGNALS), base, "bess_signals", market_id, start, end)
 

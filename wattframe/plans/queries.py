@@ -16,7 +16,8 @@ from ..operators.rank import CHARGE, DISCHARGE
 from ..operators.runs import collapse_runs
 from ..operators.usage import usage_summary as _usage_summary
 from ..operators.wide import as_map
-from .silver import with_market
+from ..registry import MARKETS, get_market
+from .silver import Markets, with_market
 
 # Generation columns shown at the top level and not per source.
 TOP_LEVEL = (
@@ -42,12 +43,14 @@ def in_days(
 
 def prices(
     price_hourly: DataFrame,
-    markets: DataFrame,
     market_id: str | None = None,
     start: date | None = None,
     end: date | None = None,
+    markets: Markets = MARKETS,
 ) -> DataFrame:
     """Hourly prices with the settlement currency, in time order."""
+    if market_id is not None:
+        get_market(market_id, markets)
     rows = with_market(in_days(price_hourly, market_id, start, end), markets, "currency")
     return rows.select(
         "market_id", "currency", "hour_start_utc", "date_id", "time_id", "time_label",

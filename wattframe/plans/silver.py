@@ -1,12 +1,13 @@
 """Silver: reconciled rates and the four fact tables.
 
 Each builder takes frames and gives a frame for any number of markets at once.
-``markets`` is the registry frame; it is as small as the configuration, which is
+``markets`` is the registry; its frame is as small as the configuration, which is
 why it is the one side that is broadcast unconditionally.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -18,16 +19,22 @@ from ..operators.fill import LOOKBACK_DAYS, reconcile_rates
 from ..operators.latest import latest_per_key
 from ..operators.resample import mean_by
 from ..operators.resolve import resolve
-from ..registry import required_pairs
+from ..registry import Market, markets_frame, required_pairs, zones
 from ..schemas import BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER
 
+Markets = Mapping[str, Market]
 
-def with_market(df: DataFrame, markets: DataFrame, *columns: str) -> DataFrame:
-    return df.join(F.broadcast(markets.select("market_id", *columns)), "market_id")
 
+def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
+    """Add registry columns; rows of markets that are not configured drop out."""
+    registry = markets_frame(df.sparkSession, markets).select("market_id", *columns)
+    return df.join(F.broadcast(registry), "market_id")
 
-def local_days(df: DataFrame, start: date, end: date, ts: str = "timestamp_utc") -> DataFrame:
-    """Rows of the local days [start, end], with local keys; needs a ``timezone`` column.
+
+def local_days(
+    df: DataFrame, markets: Markets, start: date, end: date, ts: str = "timestamp_utc"
+) -> DataFrame:
+    """Rows of each market's local days [start, end], with local keys.
 
     A span of instants a day wider on both sides consists of literals and reaches
     the scan; the exact cut follows on the local date, whatever the zone.
@@ -35,7 +42,7 @@ def local_days(df: DataFrame, start: date, end: date, ts: str = "timestamp_utc")
     low = datetime.combine(start - timedelta(days=1), datetime.min.time())
     high = datetime.combine(end + timedelta(days=2), datetime.min.time())
     near = df.filter((F.col(ts) >= F.lit(low)) & (F.col(ts) < F.lit(high)))
-    keyed = ft.with_local_keys(near, F.col("timezone"), ts)
+    keyed = ft.with_local_keys(with_market(near, markets, "timezone"), zones(markets), ts)
     return keyed.filter(F.col("date_id").between(ft.date_id_of(start), ft.date_id_of(end)))
 
 
@@ -60,16 +67,17 @@ def rate_observations(bnr: DataFrame, ecb: DataFrame) -> DataFrame:
 
 
 def exchange_rates(
-    bnr: DataFrame, ecb: DataFrame, markets: DataFrame, start: date, end: date
+    bnr: DataFrame, ecb: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Daily rate per required pair for [start, end], without gaps once rates begin."""
     seed = start - timedelta(days=LOOKBACK_DAYS)
     in_span = F.col("date").between(F.lit(seed), F.lit(end))
     observations = rate_observations(bnr.filter(in_span), ecb.filter(in_span))
-    return reconcile_rates(observations, required_pairs(markets), start, end)
+    pairs = required_pairs(markets_frame(bnr.sparkSession, markets))
+    return reconcile_rates(observations, pairs, start, end)
 
 
-def fact_price(prices: DataFrame, rates: DataFrame, markets: DataFrame) -> DataFrame:
+def fact_price(prices: DataFrame, rates: DataFrame, markets: Markets) -> DataFrame:
     """Quarter-hour prices on the instant axis, in local currency and converted.
 
     Slot numbers become instants by arithmetic, so the axis table is not joined;
@@ -79,7 +87,7 @@ def fact_price(prices: DataFrame, rates: DataFrame, markets: DataFrame) -> DataF
     """
     current = latest_per_key(prices, OPCOM_PRICES.keys)
     zoned = with_market(current, markets, "timezone", "currency", "reporting_currency")
-    tz = F.col("timezone")
+    tz = zones(markets)
     slots = zoned.filter(ft.slot_exists("delivery_date", "interval_15min", tz)).withColumn(
         "timestamp_utc", ft.slot_start_utc("delivery_date", "interval_15min", tz)
     )
@@ -102,10 +110,10 @@ def fact_price(prices: DataFrame, rates: DataFrame, markets: DataFrame) -> DataF
 
 
 def fact_generation(
-    generation: DataFrame, types: DataFrame, markets: DataFrame, start: date, end: date
+    generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Hourly mean per production type, bucketed on the UTC hour."""
-    days = local_days(with_market(generation, markets, "timezone"), start, end)
+    days = local_days(generation, markets, start, end)
     current = latest_per_key(days, ENTSOE_GENERATION.keys)
     named = types.select("production_type_id", F.col("production_type_name").alias("production_type"))
     return mean_by(
@@ -117,9 +125,9 @@ def fact_generation(
     ).select("date_id", "time_id", "hour_start_utc", "market_id", "production_type_id", "actual_mw")
 
 
-def fact_load(load: DataFrame, markets: DataFrame, start: date, end: date) -> DataFrame:
+def fact_load(load: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
     """Hourly mean load."""
-    days = local_days(with_market(load, markets, "timezone"), start, end)
+    days = local_days(load, markets, start, end)
     current = latest_per_key(days, ENTSOE_LOAD.keys)
     return mean_by(
         current,
@@ -131,10 +139,10 @@ def fact_load(load: DataFrame, markets: DataFrame, start: date, end: date) -> Da
 
 
 def fact_weather(
-    weather: DataFrame, locations: DataFrame, markets: DataFrame, start: date, end: date
+    weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Hourly weather per location; realized and forecast rows stay apart."""
-    days = local_days(with_market(weather, markets, "timezone"), start, end)
+    days = local_days(weather, markets, start, end)
     current = latest_per_key(days, WEATHER.keys)
     points = locations.select("market_id", "location_name", "location_id")
     return resolve(current, points, ["market_id", "location_name"]).select(

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .functions.text import location_id
+from .functions.time import Zones
 
 
 @dataclass(frozen=True)
@@ -86,7 +90,7 @@ _MARKET_COLUMNS = (
     "market_id string, market_name string, bidding_zone string, timezone string, "
     "currency string, reporting_currency string, fx_source string, "
     "peak_start_hour int, peak_end_hour int, "
-    "locations array<struct<location_name: string, latitude: double, longitude: double, "
+    "locations array<struct<name: string, latitude: double, longitude: double, "
     "wind_weight: double, solar_weight: double, demand_weight: double>>"
 )
 _TYPE_COLUMNS = (
@@ -95,6 +99,17 @@ _TYPE_COLUMNS = (
 )
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A frame of literal rows whose size the optimizer knows.
+
+    Built from Arrow it becomes a local relation, while a list of tuples would be
+    an RDD of unknown size, which keeps Spark from planning broadcast joins.
+    """
+    schema = StructType.fromDDL(columns)
+    entries = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(entries, to_arrow_schema(schema)), schema)
+
+
 def get_market(market_id: str, markets: Mapping[str, Market] = MARKETS) -> Market:
     if market_id not in markets:
         raise ValueError(f"Unknown market {market_id!r}; configured: {sorted(markets)}")
@@ -107,19 +122,23 @@ def markets_frame(spark: SparkSession, markets: Mapping[str, Market] = MARKETS)
         (
             market_id, m.name or market_id, m.bidding_zone, m.timezone, m.currency,
             m.reporting_currency, m.fx_source, m.peak_start_hour, m.peak_end_hour,
-            [(p.name, p.latitude, p.longitude, p.wind_weight, p.solar_weight, p.demand_weight)
-             for p in m.locations],
+            [asdict(p) for p in m.locations],
         )
         for market_id, m in markets.items()
     ]
-    return spark.createDataFrame(rows, _MARKET_COLUMNS)
+    return small_frame(spark, rows, _MARKET_COLUMNS)
+
+
+def zones(markets: Mapping[str, Market], column: str = "timezone") -> Zones:
+    """The zone column of rows joined with the registry, and the zones it can hold."""
+    return Zones(column, tuple(sorted({m.timezone for m in markets.values()})))
 
 
 def locations_frame(markets: DataFrame) -> DataFrame:
     """One row per weather point of ``markets_frame``."""
     return markets.select("market_id", F.inline("locations")).select(
-        location_id("market_id", "location_name").alias("location_id"),
-        "location_name", "market_id", "latitude", "longitude",
+        location_id("market_id", "name").alias("location_id"),
+        F.col("name").alias("location_name"), "market_id", "latitude", "longitude",
         "wind_weight", "solar_weight", "demand_weight",
     )
 
@@ -127,7 +146,7 @@ def locations_frame(markets: DataFrame) -> DataFrame:
 def production_types_frame(spark: SparkSession, types: tuple = PRODUCTION_TYPES) -> DataFrame:
     """Published types with their fixed ids."""
     rows = [(position, *entry) for position, entry in enumerate(types, start=1)]
-    return spark.createDataFrame(rows, _TYPE_COLUMNS)
+    return small_frame(spark, rows, _TYPE_COLUMNS)
 
 
 def mix_columns(types: tuple = PRODUCTION_TYPES) -> dict[str, str]:

@@ -22,7 +22,7 @@ _SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 def _cells(line: Column) -> Column:
     """Split at commas outside quotes; drop quotes and surrounding blanks."""
     return F.transform(
-        F.split(line, _SEPARATOR, -1), lambda cell: strip(F.regexp_replace(strip(cell), '^"+|"+$', ""))
+        F.split(line, _SEPARATOR, -1), lambda cell: strip(strip(strip(cell), '"'))
     )
 
 
@@ -61,9 +61,11 @@ def parse_price_files(files: DataFrame) -> DataFrame:
         lambda c: (F.size(c) >= _CELLS) & F.get(c, F.lit(1)).rlike("^[0-9]+$"),
     )
     highest = F.array_max(F.transform("slots", lambda s: s["interval_15min"]))
+    # The generator keeps later filters from being pushed below the parsing,
+    # which would make Spark parse every text once more for the filter.
+    parsed = files.select("path", F.explode(F.array(F.transform(rows, _slot))).alias("_rows"))
     return (
-        files.select("path", F.transform(rows, _slot).alias("_rows"))
-        .select(
+        parsed.select(
             "path",
             path_market("opcom_pzu").alias("market_id"),
             file_date().alias("delivery_date"),

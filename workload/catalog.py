@@ -19,7 +19,9 @@ from wattframe.operators.resample import mean_by
 from wattframe.operators.wide import melt
 from wattframe.plans import dims, gold, reports, silver
 from wattframe.plans import queries as ask
-from wattframe.registry import Market, market_timezones, production_types_frame, required_pairs
+from wattframe.registry import (
+    PRODUCTION_TYPES, Market, market_timezones, production_types_frame, required_pairs, zones,
+)
 from wattframe.schemas import ENTSOE_GENERATION, OPCOM_PRICES, WEATHER
 
 from . import frames as fr
@@ -232,7 +234,7 @@ FROM (SELECT *, {local('u', 'timezone')} AS loc FROM (
 )
 def local_keys(spark, sf_dir):
     """Local keys of instants around both changeovers in three zones."""
-    tz = F.col("timezone")
+    tz = zones(fr.MARKETS)
     moved = F.explode(F.array(F.lit(fr.SPRING), F.lit(fr.AUTUMN)))
     events = table(spark, sf_dir, "events").withColumn("moved", moved).select(
         "event_id", "moved",
@@ -251,7 +253,7 @@ def local_keys(spark, sf_dir):
 
 def _zoned_slots(spark, sf_dir):
     current = latest_per_key(fr.price_obs(spark, sf_dir), OPCOM_PRICES.keys)
-    return silver.with_market(current, fr.markets(spark), "timezone")
+    return silver.with_market(current, fr.MARKETS, "timezone")
 
 
 @query(
@@ -377,7 +379,7 @@ def fact_price(spark, sf_dir):
 @query(sql("SELECT * FROM price_hourly", "price_hourly"))
 def price_hourly(spark, sf_dir):
     """Hourly means with labels and peak flag."""
-    return gold.price_hourly(fr.fact_price(spark, sf_dir), fr.markets(spark))
+    return gold.price_hourly(fr.fact_price(spark, sf_dir), fr.MARKETS)
 
 
 @query(
@@ -390,12 +392,12 @@ FROM price_hourly JOIN mkt USING (market_id) WHERE market_id = 'RO' AND date_id
 )
 def ask_prices(spark, sf_dir):
     """The price question for one market and a date range."""
-    hourly = gold.price_hourly(fr.fact_price(spark, sf_dir), fr.markets(spark))
-    return ask.prices(hourly, fr.markets(spark), "RO", fr.FX_START, fr.FX_END)
+    hourly = gold.price_hourly(fr.fact_price(spark, sf_dir), fr.MARKETS)
+    return ask.prices(hourly, "RO", fr.FX_START, fr.FX_END, fr.MARKETS)
 
 
 def _signals(spark, sf_dir):
-    return gold.bess_signals(fr.fact_price(spark, sf_dir), fr.markets(spark), 2, 2)
+    return gold.bess_signals(fr.fact_price(spark, sf_dir), fr.MARKETS, 2, 2)
 
 
 @query(sql("SELECT * FROM signals", "signals"))
@@ -492,7 +494,7 @@ def hourly_mean(spark, sf_dir):
 
 def _mix(spark, sf_dir):
     return gold.generation_hourly(
-        fr.fact_generation(spark, sf_dir), fr.production_types(spark, sf_dir)
+        fr.fact_generation(spark, sf_dir), fr.production_types(spark)
     )
 
 
@@ -559,7 +561,8 @@ def national_weather(spark, sf_dir):
 @query(
     sql(
         """SELECT f.*, p.location_name, n.market_id, n.wind_signal, n.solar_signal, n.demand_signal
-FROM fact_weather f JOIN places p USING (location_id) JOIN national n USING (hour_start_utc, data_type)""",
+FROM fact_weather f JOIN places p USING (location_id)
+JOIN national n ON n.market_id = p.market_id AND n.hour_start_utc = f.hour_start_utc AND n.data_type = f.data_type""",
         "national",
     )
 )
@@ -570,12 +573,12 @@ def weather_hourly(spark, sf_dir):
 
 @query(
     sql(
-        """, h AS (SELECT timestamp_utc AS hour_start_utc, avg(temperature_2m) AS temp_avg_c,
+        """, h AS (SELECT market_id, timestamp_utc AS hour_start_utc, avg(temperature_2m) AS temp_avg_c,
   avg(wind_speed_10m) AS wind_speed_10m_avg, avg(wind_speed_100m) AS wind_speed_100m_avg,
-  avg(shortwave_radiation) AS solar_radiation_avg, avg(cloud_cover) AS cloud_cover_avg FROM weather_latest GROUP BY 1)
-SELECT g.market_id, g.timestamp_utc, g.production_type, g.actual_mw, h.* EXCLUDE (hour_start_utc),
+  avg(shortwave_radiation) AS solar_radiation_avg, avg(cloud_cover) AS cloud_cover_avg FROM weather_latest GROUP BY 1, 2)
+SELECT g.market_id, g.timestamp_utc, g.production_type, g.actual_mw, h.* EXCLUDE (market_id, hour_start_utc),
   date_trunc('hour', g.timestamp_utc) AS hour_start_utc
-FROM gen_latest g LEFT JOIN h ON g.market_id = 'RO' AND date_trunc('hour', g.timestamp_utc) = h.hour_start_utc""",
+FROM gen_latest g LEFT JOIN h ON g.market_id = h.market_id AND date_trunc('hour', g.timestamp_utc) = h.hour_start_utc""",
         "gen_latest", "weather_latest",
     )
 )
@@ -603,7 +606,7 @@ def cross_grain(spark, sf_dir):
     slots = latest_per_key(fr.gen_obs(spark, sf_dir), ENTSOE_GENERATION.keys)
     return reports.cross_grain(
         slots.withColumnRenamed("actual_mw", "price_eur_mwh"), fr.fact_generation(spark, sf_dir),
-        fr.production_types(spark, sf_dir), fr.fact_load(spark, sf_dir),
+        fr.production_types(spark), fr.fact_load(spark, sf_dir),
     )
 
 
@@ -664,11 +667,26 @@ def stable_ids(spark, sf_dir):
     return dims.dim_production_type(listed, seen, assigned)
 
 
+_TYPE_ROWS = ", ".join(str((i, *entry)) for i, entry in enumerate(PRODUCTION_TYPES, 1))
+
+
+@query(
+    f"""SELECT * FROM (VALUES {_TYPE_ROWS}) v(production_type_id, production_type_name, energy_category,
+  is_renewable, is_variable, is_dispatchable)
+UNION ALL SELECT 22, 'Tidal Kite', 'Other', false, false, false
+WHERE EXISTS (SELECT 1 FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup'))"""
+)
+def dim_production_type(spark, sf_dir):
+    """Published types and the one discovered in the readings."""
+    listed = production_types_frame(spark)
+    return dims.dim_production_type(listed, fr.gen_obs(spark, sf_dir), listed.limit(0))
+
+
 @query("SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) AS INTEGER) AS position FROM customer")
 def numbered_names(spark, sf_dir):
     """Names numbered in order without gathering them in one task."""
     names = table(spark, sf_dir, "customer").select("c_name")
-    return resolve.number_in_order(names, "c_name", prefix=16)
+    return resolve.number_in_order(names, "c_name", prefixes=(13, 16))
 
 
 _HOLIDAY_CTE = """cal AS (
@@ -722,7 +740,7 @@ def _nation_markets(spark, sf_dir):
     currency = fr.choose(region, "RON", "EUR", "GBP")
     nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     point = F.struct(
-        F.col("r_name").alias("location_name"), F.col("r_regionkey").cast("double").alias("latitude"),
+        F.col("r_name").alias("name"), F.col("r_regionkey").cast("double").alias("latitude"),
         F.col("n_nationkey").cast("double").alias("longitude"), F.lit(0.5).alias("wind_weight"),
         F.lit(0.25).alias("solar_weight"), F.lit(0.25).alias("demand_weight"),
     )
@@ -772,17 +790,10 @@ def currency_pairs(spark, sf_dir):
     return required_pairs(_nation_markets(spark, sf_dir))
 
 
-@query(
-    sql(
-        f"""SELECT timezone, {date_id('date')} AS date_id, count(*) AS slots FROM axis GROUP BY timezone, date""",
-        "axis",
-    )
-)
-def zones_by_day(spark, sf_dir):
-    """Axis of the distinct zones of a registry for every order day."""
-    zones = F.broadcast(market_timezones(fr.markets(spark)))
-    days = fr.order_days(spark, sf_dir).join(zones)
-    return settlement_axis(days).groupBy("timezone", "date_id").agg(F.count("*").alias("slots"))
+@query(f"SELECT DISTINCT {_NATION_ZONE} AS timezone FROM nation")
+def market_zones(spark, sf_dir):
+    """Distinct zones of a registry."""
+    return market_timezones(_nation_markets(spark, sf_dir))
 
 
 # ---- scalar functions ----------------------------------------------------------------------------
@@ -895,9 +906,10 @@ def over_limit(spark, sf_dir):
 
 def _calendar_by_priority(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
-    span = table(spark, sf_dir, "orders").agg(F.min(day).alias("start"), F.max(day).alias("end"))
-    priorities = table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
-    return date_spine(priorities.join(F.broadcast(span)))
+    orders = table(spark, sf_dir, "orders")
+    first, last = orders.agg(F.min(day)).scalar(), orders.agg(F.max(day)).scalar()
+    priorities = orders.select("o_orderpriority").distinct()
+    return date_spine(priorities.select("o_orderpriority", first.alias("start"), last.alias("end")))
 
 
 _EXPECTED = """days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM (
@@ -956,7 +968,7 @@ def range_violations(spark, sf_dir):
 
 @query(
     "\nUNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) AS "rows", 0 AS nulls, min({c})::DOUBLE AS low,
+        f"""SELECT '{c}' AS "column", count(*) AS "rows", 0::BIGINT AS nulls, min({c})::DOUBLE AS low,
   quantile_disc({c}, 0.25)::DOUBLE AS q1, quantile_disc({c}, 0.5)::DOUBLE AS median,
   quantile_disc({c}, 0.75)::DOUBLE AS q3, max({c})::DOUBLE AS high FROM lineitem"""
         for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")

@@ -14,28 +14,30 @@ from pyspark.sql.types import TimestampType
 
 from wattframe.functions import time as ft
 from wattframe.plans import dims, silver
-from wattframe.registry import Location, Market, markets_frame, production_types_frame
+from wattframe.registry import (
+    PRODUCTION_TYPES, Location, Market, markets_frame, production_types_frame,
+)
 from wattframe.session import pin_utc
 
 # Three zones with different changeover hours; weights are powers of two.
+PLACES = (
+    Location("Bucharest", 44.4268, 26.1025, 0.5, 0.25, 0.125),
+    Location("Dobrogea", 44.18, 28.65, 0.25, 0.125, 0.0625),
+    Location("Oltenia", 44.32, 23.8, 0.125, 0.0625, 0.5),
+    Location("Transylvania", 46.7712, 23.5938, 0.0625, 0.5, 0.25),
+    Location("Moldova", 47.1585, 27.5907, 0.03125, 0.03125, 0.03125),
+    Location("Banat", 45.7489, 21.2087, 0.03125, 0.03125, 0.03125),
+)
 MARKETS = {
-    "RO": Market(
-        "10YRO-TEL------P", "Europe/Bucharest", "RON", "Romania", fx_source="BNR",
-        locations=(
-            Location("Bucharest", 44.4268, 26.1025, 0.5, 0.25, 0.125),
-            Location("Dobrogea", 44.18, 28.65, 0.25, 0.125, 0.0625),
-            Location("Oltenia", 44.32, 23.8, 0.125, 0.0625, 0.5),
-            Location("Transylvania", 46.7712, 23.5938, 0.0625, 0.5, 0.25),
-            Location("Moldova", 47.1585, 27.5907, 0.03125, 0.03125, 0.03125),
-            Location("Banat", 45.7489, 21.2087, 0.03125, 0.03125, 0.03125),
-        ),
-    ),
-    "DE": Market("10Y1001A1001A83F", "Europe/Berlin", "EUR", "Germany", fx_source="ECB"),
+    "RO": Market("10YRO-TEL------P", "Europe/Bucharest", "RON", "Romania", locations=PLACES),
+    "DE": Market("10Y1001A1001A83F", "Europe/Berlin", "EUR", "Germany", fx_source="ECB", locations=PLACES),
     "GB": Market(
-        "10YGB----------A", "Europe/London", "GBP", "Great Britain", fx_source="ECB",
+        "10YGB----------A", "Europe/London", "GBP", "Great Britain", fx_source="ECB", locations=PLACES,
         peak_start_hour=7, peak_end_hour=19,
     ),
 }
+# The stored type dimension after one discovery.
+TYPES = (*PRODUCTION_TYPES, ("Tidal Kite", "Other", False, False, False))
 FX_START, FX_END = date(1995, 1, 1), date(2001, 12, 31)
 # The events lie in January 2024; 285 days later they span the autumn changeover,
 # 65 days later the spring one.
@@ -125,13 +127,13 @@ def ecb_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exchange_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.exchange_rates(
-        bnr_obs(spark, sf_dir), ecb_obs(spark, sf_dir), markets(spark), FX_START, FX_END
+        bnr_obs(spark, sf_dir), ecb_obs(spark, sf_dir), MARKETS, FX_START, FX_END
     )
 
 
 def fact_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.fact_price(
-        price_obs(spark, sf_dir), exchange_rates(spark, sf_dir), markets(spark)
+        price_obs(spark, sf_dir), exchange_rates(spark, sf_dir), MARKETS
     )
 
 
@@ -170,30 +172,29 @@ def load_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def production_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = production_types_frame(spark)
-    return dims.dim_production_type(listed, gen_obs(spark, sf_dir), listed.limit(0))
+def production_types(spark: SparkSession) -> DataFrame:
+    return production_types_frame(spark, TYPES)
 
 
 def fact_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.fact_generation(
-        gen_obs(spark, sf_dir), production_types(spark, sf_dir), markets(spark), GEN_START, GEN_END
+        gen_obs(spark, sf_dir), production_types(spark), MARKETS, GEN_START, GEN_END
     )
 
 
 def fact_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver.fact_load(load_obs(spark, sf_dir), markets(spark), GEN_START, GEN_END)
+    return silver.fact_load(load_obs(spark, sf_dir), MARKETS, GEN_START, GEN_END)
 
 
-PLACES = (*[p.name for p in MARKETS["RO"].locations], "Atlantis")
+PLACE_NAMES = (*[p.name for p in PLACES], "Atlantis")
 
 
 def weather_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as hourly weather readings; one place is not configured."""
     event = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        F.lit("RO").alias("market_id"),
-        choose(F.col("user_id"), *PLACES).alias("location_name"),
+        event_market().alias("market_id"),
+        choose(F.col("user_id"), *PLACE_NAMES).alias("location_name"),
         F.date_trunc("hour", shifted("ts", days(AUTUMN))).alias("timestamp_utc"),
         F.when(F.col("event_type").isin("view", "click"), "FORECAST").otherwise("REALIZED").alias("data_type"),
         quarters("value").alias("temperature_2m"),
@@ -207,7 +208,7 @@ def weather_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.fact_weather(
-        weather_obs(spark, sf_dir), dims.dim_location(markets(spark)), markets(spark), GEN_START, GEN_END
+        weather_obs(spark, sf_dir), dims.dim_location(markets(spark)), MARKETS, GEN_START, GEN_END
     )
 
 
@@ -251,9 +252,6 @@ def currency_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the same derivations in SQL ---------------------------------------------------
 
-_ZONE = "CASE market_id WHEN 'RO' THEN 'Europe/Bucharest' WHEN 'DE' THEN 'Europe/Berlin' ELSE 'Europe/London' END"
-
-
 def instant(local: str, zone: str) -> str:
     """UTC instant of a local timestamp expression."""
     return f"timezone('UTC', timezone({zone}, CAST({local} AS TIMESTAMP)))"
@@ -420,33 +418,35 @@ SELECT market_id, hour_start_utc, max(date_id) AS date_id, max(time_id) AS time_
     / sum(actual_mw) * 100.0 END AS renewable_share_pct
 FROM fact_generation JOIN types USING (production_type_id) GROUP BY 1, 2""",
     "weather_latest": f"""
-SELECT 'RO' AS market_id, {pick('user_id', *PLACES)} AS location_name,
+SELECT {pick('user_id', 'RO', 'DE', 'GB')} AS market_id, {pick('user_id', *PLACE_NAMES)} AS location_name,
   date_trunc('hour', ts + INTERVAL {AUTUMN} DAY) AS timestamp_utc,
   CASE WHEN event_type IN ('view', 'click') THEN 'FORECAST' ELSE 'REALIZED' END AS data_type,
   floor(value * 4) / 4 AS temperature_2m, user_id * 0.25::DOUBLE AS wind_speed_10m,
   CASE WHEN event_id % 20 <> 0 THEN event_id % 101 * 0.25::DOUBLE END AS wind_speed_100m,
   CAST(event_id % 1000 AS DOUBLE) AS shortwave_radiation, CAST(event_id % 101 AS DOUBLE) AS cloud_cover
-FROM events QUALIFY row_number() OVER (PARTITION BY location_name, timestamp_utc, data_type ORDER BY ts DESC) = 1""",
+FROM events QUALIFY row_number() OVER (
+  PARTITION BY market_id, location_name, timestamp_utc, data_type ORDER BY ts DESC) = 1""",
     "places": """
-SELECT *, CAST(CAST('0x' || substr(md5('RO::' || location_name), 1, 8) AS BIGINT) % 900000 + 100000 AS INTEGER)
+SELECT market_id, v.*,
+  CAST(CAST('0x' || substr(md5(market_id || '::' || location_name), 1, 8) AS BIGINT) % 900000 + 100000 AS INTEGER)
   AS location_id
-FROM (VALUES ('Bucharest', 0.5, 0.25, 0.125), ('Dobrogea', 0.25, 0.125, 0.0625),
+FROM mkt CROSS JOIN (VALUES ('Bucharest', 0.5, 0.25, 0.125), ('Dobrogea', 0.25, 0.125, 0.0625),
   ('Oltenia', 0.125, 0.0625, 0.5), ('Transylvania', 0.0625, 0.5, 0.25),
   ('Moldova', 0.03125, 0.03125, 0.03125), ('Banat', 0.03125, 0.03125, 0.03125))
   v(location_name, wind_weight, solar_weight, demand_weight)""",
     "fact_weather": f"""
-SELECT {date_id(local('timestamp_utc', "'Europe/Bucharest'"))} AS date_id,
-  CAST(hour({local('timestamp_utc', "'Europe/Bucharest'")}) * 4 AS INTEGER) AS time_id,
+SELECT {date_id(local('timestamp_utc', 'timezone'))} AS date_id,
+  CAST(hour({local('timestamp_utc', 'timezone')}) * 4 AS INTEGER) AS time_id,
   timestamp_utc AS hour_start_utc, location_id, data_type, temperature_2m AS temperature_c,
   wind_speed_100m AS wind_speed_ms, shortwave_radiation AS solar_irradiance_wm2,
   cloud_cover AS cloud_cover_pct
-FROM weather_latest JOIN places USING (location_name)""",
+FROM weather_latest JOIN places USING (market_id, location_name) JOIN mkt USING (market_id)""",
     "national": """
-SELECT 'RO' AS market_id, hour_start_utc, data_type,
+SELECT market_id, hour_start_utc, data_type,
   sum(wind_speed_ms * wind_weight) / sum(CASE WHEN wind_speed_ms IS NOT NULL THEN wind_weight END)::DOUBLE AS wind_signal,
   sum(solar_irradiance_wm2 * solar_weight) / sum(solar_weight)::DOUBLE AS solar_signal,
   sum(temperature_c * demand_weight) / sum(demand_weight)::DOUBLE AS demand_signal
-FROM fact_weather JOIN places USING (location_id) GROUP BY hour_start_utc, data_type""",
+FROM fact_weather JOIN places USING (location_id) GROUP BY market_id, hour_start_utc, data_type""",
     "order_days": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders",
     "zones": "SELECT * FROM (VALUES ('Europe/Bucharest', 120), ('Europe/Berlin', 60), ('Europe/London', 0)) v(timezone, standard)",
     "axis": f"""
@@ -482,7 +482,8 @@ NEEDS = {
     "fact_generation": ("gen_latest", "types", "mkt"),
     "fact_load": ("load_latest", "mkt"),
     "mix": ("fact_generation", "types"),
-    "fact_weather": ("weather_latest", "places"),
+    "places": ("mkt",),
+    "fact_weather": ("weather_latest", "places", "mkt"),
     "national": ("fact_weather", "places"),
     "axis": ("order_days", "zones"),
 }

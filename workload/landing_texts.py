@@ -139,7 +139,7 @@ def json_weather(spark, sf_dir):
     """Hourly rows parsed from parallel arrays; realized files carry no kind."""
     rows = latest_per_key(fr.weather_obs(spark, sf_dir), WEATHER.keys)
     hour = F.struct(F.date_format("timestamp_utc", "yyyy-MM-dd'T'HH:mm").alias("time"), *series.WEATHER_VARIABLES)
-    hours = rows.groupBy("location_name", "data_type", F.to_date("timestamp_utc").alias("date")).agg(
+    hours = rows.groupBy("market_id", "location_name", "data_type", F.to_date("timestamp_utc").alias("date")).agg(
         F.sort_array(F.collect_list(hour)).alias("h")
     )
     arrays = F.struct(*[F.col(f"h.{v}").alias(v) for v in ("time", *series.WEATHER_VARIABLES)])
@@ -150,7 +150,7 @@ def json_weather(spark, sf_dir):
         F.when(forecast, "http://forecast").alias("source_url"), arrays.alias("hourly"),
     )
     files = hours.select(
-        F.format_string("file:/land/landing/weather/RO/%s/%s.json", "location_name", F.col("date").cast("string")).alias("path"),
+        F.format_string("file:/land/landing/weather/%s/%s/%s.json", "market_id", "location_name", F.col("date").cast("string")).alias("path"),
         F.to_json(body).alias("value"),
     )
     return series.parse_weather(files)
