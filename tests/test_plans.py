@@ -102,7 +102,7 @@ TABLES = [
     schemas.BNR_RATES, schemas.ECB_RATES, schemas.DIM_DATE, schemas.DIM_DATETIME, schemas.DIM_MARKET,
     schemas.DIM_LOCATION, schemas.DIM_PRODUCTION_TYPE, schemas.EXCHANGE_RATES, schemas.FACT_PRICE,
     schemas.FACT_GENERATION, schemas.FACT_LOAD, schemas.FACT_WEATHER, schemas.PRICE_HOURLY,
-    schemas.GENERATION_HOURLY, schemas.BESS_SIGNALS,
+    schemas.GENERATION_HOURLY, schemas.BESS_SIGNALS, schemas.ARBITRAGE_WINDOWS,
 ]
 
 
@@ -281,7 +281,7 @@ def test_landing_stream_appends_once(spark, lake, tmp_path):
     table_of = lambda files: prices.accepted_prices(prices.parse_price_files(files))
 
     def run(checkpoint):
-        files = landing_stream(spark, f"{lake['root']}/{landing.OPCOM_PRICES.format(market_id='*')}", 2)
+        files = landing_stream(spark, f"{lake['root']}/{landing.OPCOM_PRICES.format(market_id='*')}/*", 2)
         append_stream(files, table_of, schemas.OPCOM_PRICES, base, checkpoint, "delivery_date").awaitTermination()
         return read_table(spark, schemas.OPCOM_PRICES.path(base)).count()
 

@@ -237,11 +237,11 @@ def test_reading_and_writing_slices(spark, tmp_path):
     on = ["market_id", "date"]
     landing.write_slices(slices(("RO", 1, csv_text(96)), ("RO", 2, csv_text(24))), target, on)
     landing.write_slices(slices(("RO", 2, csv_text(96)), ("RO", 3, csv_text(92))), target, on)
-    back = landing.read_files(spark, str(tmp_path / "out"), landing.OPCOM_PRICES + "/*")
+    back = landing.read_files(spark, str(tmp_path / "out"), landing.OPCOM_PRICES)
     verdicts = lambda: {
         (r.market_id, r.delivery_date.day): (r.verdict, r.highest) for r in prices.parse_price_files(back).collect()
     }
     assert verdicts() == {("RO", 1): ("accepted", 96), ("RO", 2): ("hourly", 24), ("RO", 3): ("accepted", 92)}
     landing.write_slices(slices(("RO", 2, csv_text(96))), target, on, refetch=True)
-    back = landing.read_files(spark, str(tmp_path / "out"), landing.OPCOM_PRICES + "/*")
+    back = landing.read_files(spark, str(tmp_path / "out"), landing.OPCOM_PRICES)
     assert verdicts()[("RO", 2)] == ("accepted", 96) and len(verdicts()) == 3

@@ -162,10 +162,11 @@ def asof_join(
         .unionByName(points.withColumn("_side", F.lit(1)).select(*by, on, value, "_chunk", "_side"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
-    hashed = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    # A hash and not a random number: a repeated task must deal its rows the same way.
+    dealt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int") if salts > 1 else F.lit(0)
     asked = left.select(
         *by, on, F.struct(*left.columns).alias("_row"),
-        trunc.alias("_chunk"), F.lit(2).alias("_side"), hashed.alias("_salt"),
+        trunc.alias("_chunk"), F.lit(2).alias("_side"), dealt.alias("_salt"),
     )
     walk = _up_to_here(Window.partitionBy(*cell, "_salt").orderBy(on, "_side"))
     return (

@@ -45,13 +45,14 @@ def requests_since(events: DataFrame, since: datetime) -> DataFrame:
 
 
 def trailing_requests(
-    events: DataFrame, seconds: int = 60, chunk_seconds: int = 3600
+    events: DataFrame, seconds: int = 60, chunk_seconds: int = 600, weight: str | None = None
 ) -> DataFrame:
     """Add ``recent``: the key's requests in the ``seconds`` up to and including each one.
 
     A request exactly ``seconds`` old no longer counts.  Each key is cut into time
     chunks; requests close to the end of a chunk are repeated in the next one as
     context, so every chunk is counted on its own and a busy key is spread out.
+    ``weight`` names a column with the number of requests a row stands for.
     """
     if chunk_seconds < seconds:
         raise ValueError("chunk_seconds must be at least as long as the counted span")
@@ -66,19 +67,23 @@ def trailing_requests(
         )
     )
     window = Window.partitionBy("key_id", "_chunk").orderBy("_us").rangeBetween(-(span - 1), 0)
+    recent = F.count("*") if weight is None else F.sum(weight)
     return (
         events.withColumn("_us", micros)
         .select("*", F.inline(cells))
-        .withColumn("recent", F.count("*").over(window))
+        .withColumn("recent", recent.over(window))
         .filter("_own")
         .drop("_us", "_chunk", "_own")
     )
 
 
 def over_limit(events: DataFrame, api_keys: DataFrame, seconds: int = 60) -> DataFrame:
-    """Keys whose busiest span exceeds their per-minute limit."""
-    peaks = (
-        trailing_requests(events, seconds).groupBy("key_id").agg(F.max("recent").alias("peak"))
-    )
+    """Keys whose busiest span exceeds their per-minute limit.
+
+    Requests of one instant are counted first, so a burst is a single row.
+    """
+    instants = events.groupBy("key_id", "occurred_at").agg(F.count("*").alias("n"))
+    busiest = trailing_requests(instants, seconds, 10 * seconds, weight="n")
+    peaks = busiest.groupBy("key_id").agg(F.max("recent").alias("peak"))
     limits = api_keys.select(F.col("id").alias("key_id"), "rate_limit_per_min")
     return peaks.join(limits, "key_id").filter(F.col("peak") > F.col("rate_limit_per_min"))

@@ -26,7 +26,7 @@ from ..operators.store import (
 from ..registry import MARKETS, get_market, markets_frame, production_types_frame
 from ..schemas import Table, conform
 from ..sources import landing, prices, rates, series
-from . import dims, gold, silver
+from . import dims, gold, queries, silver
 from .silver import Markets
 
 
@@ -277,6 +277,14 @@ def build_bess_signals(
     _replace(conform(marked, schemas.BESS_SIGNALS), base, "bess_signals", market_id, start, end)
 
 
+def build_arbitrage_windows(
+    spark: SparkSession, base: str, market_id: str, start: date, end: date
+) -> None:
+    marked = _stored(spark, base, schemas.BESS_SIGNALS, _days(market_id, start, end))
+    windows = conform(queries.arbitrage_windows(marked), schemas.ARBITRAGE_WINDOWS)
+    _replace(windows, base, "arbitrage_windows", market_id, start, end)
+
+
 def build_all(
     spark: SparkSession, base: str, start: date, end: date, markets: Markets = MARKETS
 ) -> None:
@@ -294,3 +302,4 @@ def build_all(
         build_price_hourly(spark, base, market_id, start, end, markets)
         build_generation_hourly(spark, base, market_id, start, end)
         build_bess_signals(spark, base, market_id, start, end, markets=markets)
+        build_arbitrage_windows(spark, base, market_id, start, end)

@@ -190,6 +190,15 @@ GENERATION_HOURLY = Table(
     keys=("market_id", "hour_start_utc"),
     partitions=("market_id", "date_id"),
 )
+ARBITRAGE_WINDOWS = Table(
+    "gold", "arbitrage_windows",
+    "date_id int not null, market_id string not null, type string not null, "
+    "start_utc timestamp not null, start_time_id int, end_time_id int, start_label string, "
+    "end_label string, avg_price_eur_mwh double, n_slots bigint not null, "
+    "arbitrage_spread_eur_mwh double",
+    keys=("market_id", "start_utc"),
+    partitions=("market_id", "date_id"),
+)
 BESS_SIGNALS = Table(
     "gold", "bess_signals",
     "date_id int not null, time_id int not null, interval_of_day int not null, "

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import missing_days
 
-# Folder layout of the landing zone below the base folder.
-OPCOM_PRICES = "landing/opcom_pzu/{market_id}/*"
-ENTSOE_GENERATION = "landing/entsoe/{market_id}/generation/*"
-ENTSOE_LOAD = "landing/entsoe/{market_id}/load/*"
-ECB_RATES = "landing/ecb_fx_rates/*"
-BNR_RATES = "landing/bnr_fx_rates/*/*"
-WEATHER = "landing/weather/{market_id}/{location}/*"
+# Folders of the landing zone below the base folder.
+OPCOM_PRICES = "landing/opcom_pzu/{market_id}"
+ENTSOE_GENERATION = "landing/entsoe/{market_id}/generation"
+ENTSOE_LOAD = "landing/entsoe/{market_id}/load"
+ECB_RATES = "landing/ecb_fx_rates"
+BNR_RATES = "landing/bnr_fx_rates"
+WEATHER = "landing/weather/{market_id}/{location}"
 
 _DATE = r"(\d{4}-\d{2}-\d{2})"
 
@@ -32,6 +32,15 @@ def path_market(source: str, path: str = "path") -> Column:
     return F.regexp_extract(path, rf"/{source}/(?:market_id=)?([^/]+)/", 1)
 
 
+def _names_between(start: date | None, end: date | None, suffix: str) -> str:
+    """Glob for files named by a date of the months from ``start`` to ``end``."""
+    if start is None or end is None:
+        return f"*{suffix}"
+    first, last = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
+    months = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(first, last + 1)]
+    return f"{{{','.join(months)}}}-*{suffix}"
+
+
 def read_files(
     spark: SparkSession,
     base: str,
@@ -39,20 +48,28 @@ def read_files(
     start: date | None = None,
     end: date | None = None,
     suffix: str = "",
+    named_by_date: bool = True,
     **folders: str,
 ) -> DataFrame:
     """Whole files as (path, value); no match gives no rows.
 
     ``folders`` fills the placeholders of ``layout``; one left out matches all.
+    Spark lists the folders in parallel, and files of other months are passed
+    over by their name; set ``named_by_date`` to False where the day is in a
+    folder name instead.
     """
     names = {name: folders.get(name, "*") for name in ("market_id", "location")}
-    pattern = f"{base.rstrip('/')}/{layout.format(**names)}{suffix}"
+    pattern = f"{base.rstrip('/')}/{layout.format(**names)}"
     root = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(root)
     if not found:
         return spark.createDataFrame([], "path string, value string")
-    files = spark.read.text(pattern, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), "value"
+    wanted = _names_between(start, end, suffix) if named_by_date else f"*{suffix}"
+    files = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", wanted)
+        .text(pattern, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     if start is not None:
         files = files.filter(file_date() >= F.lit(start))

@@ -335,7 +335,7 @@ def asof_rate(spark, sf_dir):
         fr.choose(F.col("o_custkey"), "RO", "DE", "GB").alias("market_id"),
         F.col("o_orderdate").cast("timestamp").alias("at"), "o_totalprice", "o_orderkey",
     )
-    return asof_join(shipped, urgent, ["market_id"], "at", ["o_totalprice", "o_orderkey"], "month")
+    return asof_join(shipped, urgent, ["market_id"], "at", ["o_totalprice", "o_orderkey"], "day", 4)
 
 
 @query(
@@ -890,7 +890,7 @@ def _busy_events(spark, sf_dir):
 )
 def trailing_requests(spark, sf_dir):
     """Requests of the last quarter hour at each request; two keys hold all rows."""
-    return usage.trailing_requests(_busy_events(spark, sf_dir), 900, 7200)
+    return usage.trailing_requests(_busy_events(spark, sf_dir), 900, 1800)
 
 
 @query(
