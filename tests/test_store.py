@@ -135,6 +135,19 @@ def test_replace_range(spark, base):
         replace(keyed(spark, ("RO", 9, 1, 8.0)), 2, 3)
     replace(keyed(spark, ("RO", 2, 1, 8.0)).limit(0), 1, 4)
     assert [r.market_id for r in read_table(spark, path).collect()] == ["DE"]
+    both = keyed(spark, ("RO", 2, 1, 3.0), ("DE", 2, 1, 4.0))
+    replace_date_range(spark, both, path, ["RO", "DE"], 1, 9)
+    assert {r.market_id: r.v for r in read_table(spark, path).collect()} == {"RO": 3.0, "DE": 4.0}
+
+
+def test_a_table_without_rows(spark, base):
+    path = f"{base}/bronze/t"
+    append(spark, obs(spark, ("a", "2026-01-01", 1.0, 0)).limit(0), path)
+    with pytest.raises(TableNotFound):
+        read_table(spark, path)
+    assert read_table(spark, path, schema=OBS).isEmpty()
+    append(spark, obs(spark, ("a", "2026-01-01", 1.0, 0)), path, prune="d")
+    assert read_table(spark, path).count() == 1
 
 
 def test_frame_algebra_matches(spark):

@@ -135,14 +135,16 @@ def utc_offset_minutes(ts: Column | str, tz: Zone) -> Column:
     return ((F.unix_timestamp(local_time(ts, tz)) - F.unix_timestamp(ts)) / 60).cast("int")
 
 
-def is_dst(ts: Column | str, tz: Zone) -> Column:
-    """Whether the offset exceeds the zone's standard offset in that local year.
+def is_dst(ts: Column | str, tz: Zone, standard: Column | None = None) -> Column:
+    """Whether the offset differs from the zone's standard offset.
 
-    The standard offset is the smaller of the offsets on 1 January and 1 July.
-    That holds for zones whose summer time lies ahead of standard time; a zone
-    with a negative winter shift needs its own rule.
+    Without ``standard`` (minutes) it is the smaller of the offsets on 1 January
+    and 1 July of the local year.  That holds for zones whose summer time lies
+    ahead of standard time; a zone with a negative winter shift needs it given.
     """
     ts = as_column(ts)
+    if standard is not None:
+        return utc_offset_minutes(ts, tz) != standard
     year = F.year(local_time(ts, tz))
     january = F.make_date(year, F.lit(1), F.lit(1)).cast("timestamp")
     july = F.make_date(year, F.lit(7), F.lit(1)).cast("timestamp")

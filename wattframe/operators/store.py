@@ -14,11 +14,12 @@ the previous folders are still under the staging folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
 from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,7 +83,12 @@ def read_table(
     if not table_exists(spark, path):
         raise TableNotFound(f"No table at {path!r}; run the job that builds it first.")
     reader = spark.read if schema is None else spark.read.schema(schema)
-    df = reader.parquet(path)
+    try:
+        df = reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        raise TableNotFound(f"The table at {path!r} has no rows yet; pass its schema.") from error
     for column, operator, value in filters:
         df = df.filter(_predicate(column, operator, value))
     return df
@@ -231,12 +237,12 @@ def replace_date_range(
     spark: SparkSession,
     df: DataFrame,
     path: str,
-    market_id: str,
+    market_id: str | Collection[str],
     start_id: int,
     end_id: int,
     partitions: Sequence[str] = ("market_id", "date_id"),
 ) -> None:
-    """Overwrite exactly one market's [start_id, end_id] days.
+    """Overwrite exactly the [start_id, end_id] days of one market, or of several.
 
     Days of the range without rows in ``df`` are removed.  A row outside the
     range is an error and leaves the table unchanged.  A missing table is created
@@ -248,9 +254,11 @@ def replace_date_range(
         write_table(df, path, partitions)
         return
 
+    markets = {market_id} if isinstance(market_id, str) else set(market_id)
+
     def inside(folder: str) -> bool:
         values = _folder_values(folder)
-        return values["market_id"] == market_id and start_id <= int(values["date_id"]) <= end_id
+        return values["market_id"] in markets and start_id <= int(values["date_id"]) <= end_id
 
     present = _Folders(spark, path).partitions(path, len(partitions))
     _exchange(

@@ -1,8 +1,7 @@
 """Jobs: read stored tables or landing files, build, store.
 
 Every job takes a base folder and an inclusive date range of any length; one run
-covers it.  ``market_id=None`` means all configured markets, except for Gold,
-whose tables are replaced per market.
+covers it.  ``market_id=None`` means all configured markets in that one run.
 """
 
 from __future__ import annotations
@@ -156,8 +155,16 @@ def build_registry_dims(spark: SparkSession, base: str, markets: Markets = MARKE
     _upsert(dims.dim_location(registry), base, schemas.DIM_LOCATION)
 
 
-def build_dim_production_type(spark: SparkSession, base: str) -> None:
-    seen = _stored(spark, base, schemas.ENTSOE_GENERATION, optional=True)
+def build_dim_production_type(
+    spark: SparkSession, base: str, start: date | None = None, end: date | None = None
+) -> None:
+    """Add newly discovered types; earlier ones stay as they are.
+
+    With a date range only its readings are searched, which suffices for a run
+    that builds facts for that range.
+    """
+    span = _instants(start, end) if start and end else []
+    seen = _stored(spark, base, schemas.ENTSOE_GENERATION, span, optional=True)
     assigned = _stored(spark, base, schemas.DIM_PRODUCTION_TYPE, optional=True)
     types = dims.dim_production_type(production_types_frame(spark), seen, assigned)
     _upsert(types, base, schemas.DIM_PRODUCTION_TYPE)
@@ -234,55 +241,59 @@ def build_fact_weather(
 # ---- Silver to Gold --------------------------------------------------------------
 
 
-def _days(market_id: str, start: date, end: date) -> list:
+def _days(market_id: str | None, start: date, end: date, markets: Markets) -> list:
     return [
-        ("market_id", "=", market_id),
+        ("market_id", "in", list(_selected(market_id, markets))),
         ("date_id", ">=", date_id_of(start)),
         ("date_id", "<=", date_id_of(end)),
     ]
 
 
-def _replace(df: DataFrame, base: str, name: str, market_id: str, start: date, end: date) -> None:
+def _replace(
+    df: DataFrame, base: str, table: Table, market_id: str | None, start: date, end: date,
+    markets: Markets,
+) -> None:
     replace_date_range(
-        df.sparkSession, df, f"{base.rstrip('/')}/gold/{name}", market_id,
+        df.sparkSession, conform(df, table), table.path(base), _selected(market_id, markets),
         date_id_of(start), date_id_of(end),
     )
 
 
 def build_price_hourly(
-    spark: SparkSession, base: str, market_id: str, start: date, end: date, markets: Markets = MARKETS
+    spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
+    markets: Markets = MARKETS,
 ) -> None:
-    facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end))
+    facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end, markets))
     hourly = gold.price_hourly(facts, _selected(market_id, markets))
-    _replace(conform(hourly, schemas.PRICE_HOURLY), base, "price_hourly", market_id, start, end)
+    _replace(hourly, base, schemas.PRICE_HOURLY, market_id, start, end, markets)
 
 
 def build_generation_hourly(
-    spark: SparkSession, base: str, market_id: str, start: date, end: date
+    spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
+    markets: Markets = MARKETS,
 ) -> None:
-    facts = _stored(spark, base, schemas.FACT_GENERATION, _days(market_id, start, end))
+    facts = _stored(spark, base, schemas.FACT_GENERATION, _days(market_id, start, end, markets))
     wide = gold.generation_hourly(facts, _stored(spark, base, schemas.DIM_PRODUCTION_TYPE))
-    _replace(conform(wide, schemas.GENERATION_HOURLY), base, "generation_hourly", market_id, start, end)
+    _replace(wide, base, schemas.GENERATION_HOURLY, market_id, start, end, markets)
 
 
 def build_bess_signals(
-    spark: SparkSession, base: str, market_id: str, start: date, end: date,
+    spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     charge_slots: int = CHARGE_SLOTS, discharge_slots: int = DISCHARGE_SLOTS,
     markets: Markets = MARKETS,
 ) -> None:
-    facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end))
-    marked = gold.bess_signals(
-        facts, _selected(market_id, markets), charge_slots, discharge_slots
-    )
-    _replace(conform(marked, schemas.BESS_SIGNALS), base, "bess_signals", market_id, start, end)
+    facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end, markets))
+    marked = gold.bess_signals(facts, _selected(market_id, markets), charge_slots, discharge_slots)
+    _replace(marked, base, schemas.BESS_SIGNALS, market_id, start, end, markets)
 
 
 def build_arbitrage_windows(
-    spark: SparkSession, base: str, market_id: str, start: date, end: date
+    spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
+    markets: Markets = MARKETS,
 ) -> None:
-    marked = _stored(spark, base, schemas.BESS_SIGNALS, _days(market_id, start, end))
-    windows = conform(queries.arbitrage_windows(marked), schemas.ARBITRAGE_WINDOWS)
-    _replace(windows, base, "arbitrage_windows", market_id, start, end)
+    marked = _stored(spark, base, schemas.BESS_SIGNALS, _days(market_id, start, end, markets))
+    windows = queries.arbitrage_windows(marked)
+    _replace(windows, base, schemas.ARBITRAGE_WINDOWS, market_id, start, end, markets)
 
 
 def build_all(
@@ -292,14 +303,13 @@ def build_all(
     build_dim_date(spark, base, start, end)
     build_dim_datetime(spark, base, start, end, markets)
     build_registry_dims(spark, base, markets)
-    build_dim_production_type(spark, base)
+    build_dim_production_type(spark, base, start, end)
     build_exchange_rates(spark, base, start, end, markets)
     build_fact_price(spark, base, None, start, end, markets)
     build_fact_generation(spark, base, None, start, end, markets)
     build_fact_load(spark, base, None, start, end, markets)
     build_fact_weather(spark, base, None, start, end, markets)
-    for market_id in markets:
-        build_price_hourly(spark, base, market_id, start, end, markets)
-        build_generation_hourly(spark, base, market_id, start, end)
-        build_bess_signals(spark, base, market_id, start, end, markets=markets)
-        build_arbitrage_windows(spark, base, market_id, start, end)
+    build_price_hourly(spark, base, None, start, end, markets)
+    build_generation_hourly(spark, base, None, start, end, markets)
+    build_bess_signals(spark, base, None, start, end, markets=markets)
+    build_arbitrage_windows(spark, base, None, start, end, markets)

@@ -1,7 +1,8 @@
 """Energy-shaped inputs derived from the given tables, and the same derivations as SQL.
 
-Amounts are multiples of 1/4 and rates are powers of two, so sums, means and
-quotients are exact and do not depend on the order of summation.
+Amounts are multiples of 1/4, quarter-hour readings multiples of 12 and rates
+powers of two, so sums, hourly means and quotients are exact and do not depend on
+the order of summation.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def gen_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
         event_market().alias("market_id"),
         F.timestamp_seconds(slot).alias("timestamp_utc"),
         event_type_name().alias("production_type"),
-        F.when(F.col("event_id") % 50 != 0, quarters("value")).alias("actual_mw"),
+        F.when(F.col("event_id") % 50 != 0, F.floor("value").cast("double") * 12).alias("actual_mw"),
         F.col("ts").cast("timestamp").alias("ingested_at"),
     )
 
@@ -380,7 +381,7 @@ SELECT {pick('user_id', 'RO', 'DE', 'GB')} AS market_id,
   make_timestamp((epoch_us(ts + INTERVAL {AUTUMN} DAY) // 900000000) * 900000000) AS timestamp_utc,
   CASE event_type WHEN 'view' THEN 'Solar' WHEN 'click' THEN 'Wind Onshore' WHEN 'purchase' THEN 'Nuclear'
     WHEN 'signup' THEN 'Fossil Gas' ELSE 'Tidal Kite' END AS production_type,
-  CASE WHEN event_id % 50 <> 0 THEN floor(value * 4) / 4 END AS actual_mw, ts AS ingested_at
+  CASE WHEN event_id % 50 <> 0 THEN floor(value) * 12 END AS actual_mw, ts AS ingested_at
 FROM events""",
     "gen_latest": """
 SELECT * FROM gen_obs QUALIFY row_number() OVER (
