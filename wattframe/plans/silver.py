@@ -24,6 +24,9 @@ from ..schemas import BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCO
 
 Markets = Mapping[str, Market]
 
+# Rows of about 40 bytes: a few megabytes per executor.
+BROADCAST_ROWS = 200_000
+
 
 def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
     """Add registry columns; rows of markets that are not configured drop out."""
@@ -77,26 +80,42 @@ def exchange_rates(
     return reconcile_rates(observations, pairs, start, end)
 
 
-def fact_price(prices: DataFrame, rates: DataFrame, markets: Markets) -> DataFrame:
+def daily_rates(rates: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
+    """Rates that a market's prices of [start, end] are converted with.
+
+    The rate table is keyed by date and pair, so this has at most one row per day
+    and pair.  Up to ``BROADCAST_ROWS`` it is broadcast, and the prices need no
+    shuffle for it; beyond, the optimizer chooses.
+    """
+    pairs = {(m.reporting_currency, m.currency) for m in markets.values()}
+    wanted = F.concat_ws("/", "base_currency", "quote_currency").isin(["/".join(p) for p in pairs])
+    fx = rates.filter(F.col("date").between(F.lit(start), F.lit(end)) & wanted).select(
+        F.col("date").alias("delivery_date"),
+        F.col("base_currency").alias("reporting_currency"),
+        F.col("quote_currency").alias("currency"),
+        F.col("rate").alias("fx_rate"),
+    )
+    at_most = ((end - start).days + 1) * len(pairs)
+    return F.broadcast(fx) if at_most <= BROADCAST_ROWS else fx
+
+
+def fact_price(
+    prices: DataFrame, rates: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
     """Quarter-hour prices on the instant axis, in local currency and converted.
 
     Slot numbers become instants by arithmetic, so the axis table is not joined;
     numbers that do not exist on the day drop out (``quality.axis_misses`` lists
-    them).  Rates are small per run but grow with the calendar, so their join
-    strategy is left to the optimizer.
+    them).
     """
-    current = latest_per_key(prices, OPCOM_PRICES.keys)
+    in_range = F.col("delivery_date").between(F.lit(start), F.lit(end))
+    current = latest_per_key(prices.filter(in_range), OPCOM_PRICES.keys)
     zoned = with_market(current, markets, "timezone", "currency", "reporting_currency")
     tz = zones(markets)
     slots = zoned.filter(ft.slot_exists("delivery_date", "interval_15min", tz)).withColumn(
         "timestamp_utc", ft.slot_start_utc("delivery_date", "interval_15min", tz)
     )
-    fx = rates.select(
-        F.col("date").alias("delivery_date"),
-        F.col("base_currency").alias("reporting_currency"),
-        F.col("quote_currency").alias("currency"),
-        F.col("rate").alias("fx_rate"),
-    )
+    fx = daily_rates(rates, markets, start, end)
     return slots.join(fx, ["delivery_date", "reporting_currency", "currency"], "left").select(
         ft.date_id("delivery_date").alias("date_id"),
         F.col("interval_15min").alias("interval_of_day"),

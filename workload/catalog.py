@@ -270,10 +270,8 @@ def axis_join(spark, sf_dir):
         "market_id", "timezone", ft.date_id("delivery_date").alias("date_id"),
         F.col("interval_15min").alias("interval_of_day"),
     )
-    days = slots.select(
-        F.to_date(F.col("date_id").cast("string"), "yyyyMMdd").alias("date"), "timezone"
-    ).distinct()
-    return join_axis(slots, settlement_axis(days)).drop("timezone")
+    shipped = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+    return join_axis(slots, settlement_axis(fr.in_every_zone(shipped.distinct()))).drop("timezone")
 
 
 @query(

@@ -134,7 +134,7 @@ def exchange_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.fact_price(
-        price_obs(spark, sf_dir), exchange_rates(spark, sf_dir), MARKETS
+        price_obs(spark, sf_dir), exchange_rates(spark, sf_dir), MARKETS, FX_START, FX_END
     )
 
 
@@ -219,8 +219,12 @@ def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_zone_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order day in each of the three zones."""
+    return in_every_zone(order_days(spark, sf_dir))
+
+
+def in_every_zone(days: DataFrame) -> DataFrame:
     zones = F.array(*[F.lit(m.timezone) for m in MARKETS.values()])
-    return order_days(spark, sf_dir).withColumn("timezone", F.explode(zones))
+    return days.withColumn("timezone", F.explode(zones))
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
