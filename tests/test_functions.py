@@ -66,6 +66,11 @@ def test_source_addresses(spark):
 def test_easter(spark):
     got = evaluate(spark, [2023, 2024, 2025, 2026], cal.orthodox_easter, "int")
     assert got == [date(2023, 4, 16), date(2024, 5, 5), date(2025, 4, 20), date(2026, 4, 12)]
+    years = list(range(1900, 2100))
+    sundays = evaluate(spark, years, cal.orthodox_easter, "int")
+    for year, sunday in zip(years, sundays):
+        assert sunday.year == year and sunday.weekday() == 6
+        assert date(year, 4, 3) <= sunday <= date(year, 5, 10)
     with pytest.raises(Exception, match="1900-2099"):
         evaluate(spark, [2100], cal.orthodox_easter, "int")
 

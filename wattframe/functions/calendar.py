@@ -33,20 +33,17 @@ def season(day: Column | str) -> Column:
 def orthodox_easter(year: Column | str) -> Column:
     """Orthodox Easter Sunday in the Gregorian calendar, for 1900 to 2099.
 
-    Meeus' rule gives the Julian date; the calendars lie 13 days apart over the
-    whole supported span.  Another year fails the job instead of being wrong.
+    It is the Sunday after the church's full moon, which falls a number of days
+    after 21 March of the Julian calendar that repeats every 19 years.  The
+    calendars lie 13 days apart over the whole supported span.  Another year
+    fails the job instead of being wrong.
     """
     year = as_column(year)
     moon = (year % 19 * 19 + 15) % 30
-    weekday = (year % 4 * 2 + year % 7 * 4 - moon + 34) % 7
-    day_number = moon + weekday + 114
-    julian = F.make_date(
-        year, F.floor(day_number / 31).cast("int"), (day_number % 31 + 1).cast("int")
-    )
-    checked = F.when(year.between(1900, 2099), julian).otherwise(
+    full_moon = F.date_add(F.make_date(year, F.lit(3), F.lit(21)), (moon + 13).cast("int"))
+    return F.when(year.between(1900, 2099), F.next_day(full_moon, "Sun")).otherwise(
         F.raise_error(F.concat(F.lit("Easter rule covers 1900-2099, got "), year.cast("string")))
     )
-    return F.date_add(checked, 13)
 
 
 def is_public_holiday(day: Column | str) -> Column:

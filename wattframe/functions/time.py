@@ -187,11 +187,12 @@ def within_local_days(ts: Column | str, start: date, end: date, tz: str) -> Colu
 
 def with_local_keys(df: DataFrame, tz: Zone, ts: str = "timestamp_utc") -> DataFrame:
     """Add local_ts, date_id, time_id (hour-start position) and hour_start_utc."""
-    return (
-        df.withColumn("local_ts", local_time(ts, tz))
-        .withColumn("date_id", date_id("local_ts"))
-        .withColumn("time_id", (F.hour("local_ts") * SLOTS_PER_HOUR).cast("int"))
-        .withColumn("hour_start_utc", hour_start_utc(ts))
+    return df.withColumn("local_ts", local_time(ts, tz)).withColumns(
+        {
+            "date_id": date_id("local_ts"),
+            "time_id": (F.hour("local_ts") * SLOTS_PER_HOUR).cast("int"),
+            "hour_start_utc": hour_start_utc(ts),
+        }
     )
 
 

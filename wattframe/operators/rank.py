@@ -27,18 +27,17 @@ def rank_slots(
     whole = Window.partitionBy(*day)
     ascending = whole.orderBy(F.col(price).asc_nulls_last(), F.col(ts).asc())
     priced = F.col(price).isNotNull()
-    return (
-        df.withColumn("_rank", F.row_number().over(ascending))
-        .withColumn("_priced", F.count(price).over(whole))
-        .withColumn("daily_min_price_eur_mwh", F.min(price).over(whole))
-        .withColumn("daily_max_price_eur_mwh", F.max(price).over(whole))
-        .withColumn("price_rank_asc", F.when(priced, F.col("_rank")))
-        .withColumn(
-            "price_rank_desc",
-            F.when(priced, (F.col("_priced") - F.col("_rank") + 1).cast("int")),
-        )
-        .drop("_rank", "_priced")
-    )
+    windows = {
+        "_rank": F.row_number().over(ascending),
+        "_priced": F.count(price).over(whole),
+        "daily_min_price_eur_mwh": F.min(price).over(whole),
+        "daily_max_price_eur_mwh": F.max(price).over(whole),
+    }
+    ranks = {
+        "price_rank_asc": F.when(priced, F.col("_rank")),
+        "price_rank_desc": F.when(priced, (F.col("_priced") - F.col("_rank") + 1).cast("int")),
+    }
+    return df.withColumns(windows).withColumns(ranks).drop("_rank", "_priced")
 
 
 def with_signals(
@@ -59,8 +58,6 @@ def with_signals(
         .otherwise(IDLE)
     )
     spread = F.col("daily_max_price_eur_mwh") - F.col("daily_min_price_eur_mwh")
-    return (
-        rank_slots(df, day, price, ts)
-        .withColumn("signal", signal)
-        .withColumn("arbitrage_spread_eur_mwh", spread)
+    return rank_slots(df, day, price, ts).withColumns(
+        {"signal": signal, "arbitrage_spread_eur_mwh": spread}
     )

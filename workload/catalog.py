@@ -490,19 +490,13 @@ def hourly_mean(spark, sf_dir):
     return mean_by(moved, ["event_type"], hour, ["value"], ["last_user"])
 
 
-def _mix(spark, sf_dir):
-    return gold.generation_hourly(
-        fr.fact_generation(spark, sf_dir), fr.production_types(spark)
-    )
-
-
 _MIX = ("solar_mw", "wind_onshore_mw", "nuclear_mw", "fossil_gas_mw", "other_discovered_mw")
 
 
 @query(sql("SELECT * FROM mix", "mix"))
 def generation_hourly(spark, sf_dir):
     """Wide mix with roll-ups; the 17 types without readings are left out here."""
-    return _mix(spark, sf_dir).select(
+    return fr.generation_hourly(spark, sf_dir).select(
         "market_id", "hour_start_utc", "date_id", "time_id", *_MIX, "total_mw", "renewable_mw",
         "thermal_mw", "nuclear_mw_total", "renewable_share_pct",
     )
@@ -519,7 +513,7 @@ def generation_hourly(spark, sf_dir):
 def ask_generation(spark, sf_dir):
     """The generation question; three entries of the source map stand for it."""
     source = lambda name: F.col("sources")[f"{name}_mw"].alias(name)
-    return ask.generation(_mix(spark, sf_dir)).select(
+    return ask.generation(fr.generation_hourly(spark, sf_dir)).select(
         "market_id", "hour_start_utc", "date_id", "time_id", "total_mw", "renewable_mw", "thermal_mw",
         "nuclear_mw_total", "renewable_share_pct", F.size("sources").alias("n_sources"),
         source("solar"), source("fossil_gas"), source("other_discovered"),
@@ -536,7 +530,7 @@ INTO NAME source VALUE mw""",
 )
 def unpivot_mix(spark, sf_dir):
     """Wide mix back to long."""
-    wide = _mix(spark, sf_dir).select("market_id", "hour_start_utc", *_MIX)
+    wide = fr.generation_hourly(spark, sf_dir).select("market_id", "hour_start_utc", *_MIX)
     return melt(wide, ["market_id", "hour_start_utc"], _MIX, "source", "mw")
 
 

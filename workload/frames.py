@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from wattframe.functions import time as ft
-from wattframe.plans import dims, silver
+from wattframe.plans import dims, gold, silver
 from wattframe.registry import (
     PRODUCTION_TYPES, Location, Market, markets_frame, production_types_frame,
 )
@@ -183,6 +183,10 @@ def fact_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def generation_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gold.generation_hourly(fact_generation(spark, sf_dir), production_types(spark))
+
+
 def fact_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver.fact_load(load_obs(spark, sf_dir), MARKETS, GEN_START, GEN_END)
 

@@ -175,10 +175,8 @@ def wide_frame_to_records(spark, sf_dir):
 
 
 def _fetched_frame(spark, sf_dir) -> DataFrame:
-    from .catalog import _mix
-
     gap = lambda c: F.when(F.col(c) != 0, F.col(c)).otherwise(F.lit(float("nan"))).alias(c)
-    wide = _mix(spark, sf_dir).filter("market_id = 'RO'")
+    wide = fr.generation_hourly(spark, sf_dir).filter("market_id = 'RO'")
     return wide.select("hour_start_utc", gap("solar_mw"), gap("nuclear_mw"))
 
 
