@@ -297,7 +297,11 @@ def _exchange(
     name = path.rsplit("/", 1)[1]
     staging = f"{_parent(path)}/_staging/{name}-{uuid.uuid4().hex}"
     folders = _Folders(spark, path)
-    write_table(df, f"{staging}/new", partitions)
+    try:
+        write_table(df, f"{staging}/new", partitions)
+    except Exception:
+        folders.drop(staging)
+        raise
 
     if not partitions:
         steps = [(path, f"{staging}/old"), (f"{staging}/new", path)]
@@ -321,5 +325,6 @@ def _exchange(
     except Exception:
         for source, target in reversed(done):
             folders.move(target, source)
+        folders.drop(staging)
         raise
     folders.drop(staging)
