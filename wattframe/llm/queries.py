@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact import exact_duplicates
 from .ngram_join import similar_classes
 from .substring import repeated_sequences
+from .suffix import repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +83,14 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1"""
 def op3_ngram_join(spark, sf_dir):
     """Every document with the least document that a chain of similar documents leads to."""
     return similar_classes(table(spark, sf_dir, "documents"), n=5, percent=75).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op4_suffix_dedup(spark, sf_dir):
+    """Bytes left after removing every string of 400 bytes that stands at another place too."""
+    found = repeated_bytes(table(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )

@@ -56,13 +56,64 @@ def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return long, np.frombuffer(payload, np.uint32, n, 9 + n * width)
 
 
-def _bucket_edges(long: np.ndarray, buckets: int) -> np.ndarray:
+def bucket_edges(long: np.ndarray, buckets: int) -> np.ndarray:
     """Where each of ``buckets`` equal ranges of 64-bit values begins in ascending ``long``."""
     width = 2**64 // buckets + 1
     inner = np.array([k * width for k in range(1, buckets)], np.uint64)
     return np.concatenate([[0], np.searchsorted(long, inner), [len(long)]])
 
 
+def sent_hashes(block: int, long: np.ndarray, short: np.ndarray, buckets: int) -> pa.Table:
+    """One row per bucket with the distinct hashes of a block that fall into it, packed."""
+    order, begins, _ = distinct_pairs(long, short)
+    long, short = long[order[begins]], short[order[begins]]
+    edges = bucket_edges(long, buckets)
+    full = np.flatnonzero(np.diff(edges))
+    payload = [_packed(long[edges[k]:edges[k + 1]], short[edges[k]:edges[k + 1]]) for k in full]
+    return pa.table({
+        "bucket": pa.array(full, pa.int64()),
+        "block": pa.array(np.full(len(full), block), pa.int64()),
+        "payload": pa.array(payload, pa.binary()),
+    })
+
+
+def answered_hashes(sent: DataFrame, earlier: bool = False) -> DataFrame:
+    """For every row of ``sent_hashes`` one bit a hash: another block has it too (``earlier``: a lower block has)."""
+
+    return sent.groupBy("bucket").applyInArrow(lambda t: answers_to(t, earlier), "bucket long, block long, bits binary")
+
+
+def answers_to(bucket: pa.Table, earlier: bool = False) -> pa.Table:
+    """The answers to all that was sent to one bucket."""
+    bucket = bucket.sort_by("block")
+    sent = [_unpacked(p) for p in bucket["payload"].to_pylist()]
+    order, begins, classes = distinct_pairs(*(np.concatenate([s[k] for s in sent]) for k in (0, 1)))
+    if earlier:
+        seen = np.ones(len(order), bool)
+        seen[order[begins]] = False
+    else:
+        seen = np.diff(np.append(begins, len(classes)))[classes] > 1
+    edges = np.cumsum([0] + [len(s[0]) for s in sent])
+    bits = [np.packbits(seen[edges[k]:edges[k + 1]]).tobytes() for k in range(len(sent))]
+    return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "bits": pa.array(bits, pa.binary())})
+
+
+def seen_hashes(long: np.ndarray, short: np.ndarray, answers: pa.Table, buckets: int, earlier: bool = False) -> np.ndarray:
+    """Which of a block's hashes stand at another place (``earlier``: at an earlier place), by the bits that came back."""
+    order, begins, classes = distinct_pairs(long, short)
+    edges = bucket_edges(long[order[begins]], buckets)
+    elsewhere = np.zeros(len(begins), bool)
+    for bucket, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist()):
+        n = edges[bucket + 1] - edges[bucket]
+        elsewhere[edges[bucket]:edges[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+    if earlier:
+        here = np.ones(len(order), bool)
+        here[order[begins]] = False
+    else:
+        here = (np.diff(np.append(begins, len(order))) > 1)[classes]
+    return elsewhere[classes] | here
+
+
 def repeated_sequences(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35,
     block_bytes: int = 16 << 20, bucket_windows: int = 1 << 22,
@@ -88,36 +139,13 @@ def repeated_sequences(
 
     def send(block: pa.Table) -> pa.Table:
         _, long, short = window_hashes(split_words(block["text"].combine_chunks()), length)
-        order, begins, _ = distinct_pairs(long, short)
-        long, short = long[order[begins]], short[order[begins]]
-        edges = _bucket_edges(long, buckets)
-        full = np.flatnonzero(np.diff(edges))
-        return pa.table({
-            "bucket": pa.array(full, pa.int64()),
-            "block": pa.array(np.full(len(full), block["block"][0].as_py()), pa.int64()),
-            "payload": pa.array([_packed(long[edges[k]:edges[k + 1]], short[edges[k]:edges[k + 1]]) for k in full], pa.binary()),
-        })
-
-    def answer(bucket: pa.Table) -> pa.Table:
-        sent = [_unpacked(p) for p in bucket["payload"].to_pylist()]
-        _, begins, classes = distinct_pairs(*(np.concatenate([s[k] for s in sent]) for k in (0, 1)))
-        seen = np.diff(np.append(begins, len(classes)))[classes] > 1
-        edges = np.cumsum([0] + [len(s[0]) for s in sent])
-        bits = [np.packbits(seen[edges[k]:edges[k + 1]]).tobytes() for k in range(len(sent))]
-        return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "bits": pa.array(bits, pa.binary())})
+        return sent_hashes(block["block"][0].as_py(), long, short, buckets)
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         block = block.sort_by("row")
         words = split_words(block["text"].combine_chunks())
         starts, long, short = window_hashes(words, length)
-        order, begins, classes = distinct_pairs(long, short)
-        counts = np.diff(np.append(begins, len(order)))
-        edges = _bucket_edges(long[order[begins]], buckets)
-        elsewhere = np.zeros(len(begins), bool)
-        for bucket, bits in zip(answers["bucket"].to_pylist(), answers["bits"].to_pylist()):
-            n = edges[bucket + 1] - edges[bucket]
-            elsewhere[edges[bucket]:edges[bucket + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-        removed = covered(starts[(elsewhere | (counts > 1))[classes]], length, len(words.starts))
+        removed = covered(starts[seen_hashes(long, short, answers, buckets)], length, len(words.starts))
         return pa.table({
             "id": block["id"],
             "n_words": pa.array(np.diff(words.first), pa.int64()),
@@ -127,7 +155,7 @@ def repeated_sequences(
 
     grouped = blocks.groupBy("block")
     sent = grouped.applyInArrow(send, "bucket long, block long, payload binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer, "bucket long, block long, bits binary")
+    answers = answered_hashes(sent)
     id_type = blocks.schema["id"].dataType.simpleString()
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(
         finish, f"id {id_type}, n_words long, spans array<struct<start: long, end: long>>, kept_text string"
