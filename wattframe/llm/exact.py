@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import stored, texts_of
 
 
 def exact_duplicates(
@@ -16,8 +16,8 @@ def exact_duplicates(
     Equal texts are combined in each task first, then in groups of (digest, salt), where the salt
     comes from the row, and the winners of the salts are combined at last.  The text itself is part
     of the key at every stage, so no two texts meet by their digest alone.  Rows find their class by
-    digest, where the digest has one class; rows of the (never seen) digests with several classes
-    find it by digest and text.
+    digest, where the digest has one class; only if there are digests with several classes do their
+    rows find it by digest and text.
 
     The row with the largest id stays; a null id loses to any other.  Rows equal in id and text count
     each, and all of them carry ``kept`` if their id does.  A null text counts as empty.  ``digest``
@@ -31,14 +31,16 @@ def exact_duplicates(
         .groupBy("digest", "salt", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     )
     classes = salted.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-    digests = classes.groupBy("digest").agg(
+    digests = stored(classes.groupBy("digest").agg(
         F.count("*").alias("classes"), F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")
-    )
-    found = rows.select("id", "sha", "digest").join(digests.where("classes = 1"), "digest")
-    collided = classes.join(digests.where("classes > 1").select("digest"), "digest", "left_semi")
-    found_by_text = rows.join(collided.withColumnRenamed("n", "group_size"), ["digest", "text"])
+    ), "exact-digests")
     columns = ["id", "sha", "keep_id", "group_size"]
-    return found.select(columns).union(found_by_text.select(columns)).select(
+    found = rows.select("id", "sha", "digest").join(digests.where("classes = 1"), "digest").select(columns)
+    collided = digests.where("classes > 1").select("digest")
+    if not collided.isEmpty():
+        texts = classes.join(collided, "digest", "left_semi").withColumnRenamed("n", "group_size")
+        found = found.union(rows.join(collided, "digest", "left_semi").join(texts, ["digest", "text"]).select(columns))
+    return found.select(
         "id", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
     )
