@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import exact_duplicates
+from .html import extract_main_text
+from .language import held_out, predict_language, train_language_model
 from .ngram_join import similar_classes
 from .substring import repeated_sequences
 from .suffix import repeated_bytes
@@ -94,3 +96,25 @@ def op4_suffix_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
     )
+
+
+def language_rows(docs: DataFrame) -> DataFrame:
+    """The documents as the language model reads them; those held out carry a mark."""
+    return docs.select(
+        F.col("doc_id").alias("id"), "text", "lang", held_out("doc_id", 4, 2).alias("held_out")
+    )
+
+
+@query()
+def op5_language_id(spark, sf_dir):
+    """The language of every document, learned from three quarters of them."""
+    rows = language_rows(table(spark, sf_dir, "documents"))
+    model = train_language_model(rows.where("NOT held_out"))
+    return predict_language(rows.drop("lang"), model).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op6_html_extract(spark, sf_dir):
+    """The main text of every page."""
+    found = extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumnRenamed("id", "page_id").withColumn("n_chars", F.length("text").cast("long"))
