@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact import exact_duplicates
 from .html import extract_main_text
 from .language import held_out, predict_language, train_language_model
+from .lm import score_texts
 from .ngram_join import similar_classes
 from .substring import repeated_sequences
 from .suffix import repeated_bytes
@@ -118,3 +119,12 @@ def op6_html_extract(spark, sf_dir):
     """The main text of every page."""
     found = extract_main_text(table(spark, sf_dir, "pages"))
     return found.withColumnRenamed("id", "page_id").withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op10_lm_score(spark, sf_dir):
+    """Log-probabilities of every document under the training counts and under the trained model."""
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "text", held_out("doc_id", 10, 0).alias("held")
+    )
+    return score_texts(rows).withColumnRenamed("id", "doc_id")
