@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import benchmark_matches
 from .exact import exact_duplicates
 from .html import extract_main_text
 from .language import held_out, predict_language, train_language_model
@@ -128,3 +129,13 @@ def op10_lm_score(spark, sf_dir):
         F.col("doc_id").alias("id"), "text", held_out("doc_id", 10, 0).alias("held")
     )
     return score_texts(rows).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_decontaminate(spark, sf_dir):
+    """Every document with the benchmark items in it, nearest first by place, and whether there is any."""
+    found = benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), (F.size("matches") > 0).alias("contaminated"),
+        F.size("matches").cast("long").alias("n_matches"), F.sort_array(F.array_distinct("matches.item_id")).alias("item_ids"),
+    )
