@@ -15,38 +15,49 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 GRAM = 32
 #: No byte of UTF-8 text.
 STOP = 0xFF
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 
 
 # ---- suffix order and longest factors ------------------------------------------------
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of ``data`` by the first ``depth`` (>= 8) bytes, and the class of each place.
+    """Suffix order of ``data`` by the first ``depth`` (>= 8) bytes, and the rank of each place.
 
-    Places whose next ``depth`` bytes agree share a class and stand in order of place.  Prefix doubling:
-    ranks by 8 bytes, then by 16, and so on; the last step overlaps the one before it.
+    Places whose next ``depth`` bytes agree share a rank, the least of their class, and stand in order of place.
+    Prefix doubling: ranks by 8 bytes, then by 16, and so on, the last step overlapping the one before
+    it; places that are alone in their class are settled and not sorted again.
     """
     n = len(data)
-    padded = np.concatenate([data, np.full(8, STOP, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([data, np.full(8, STOP, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    order, rank, length = *_ranked(key), 8
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    slots = np.arange(n, dtype=np.int32)
+    rank = np.full(n + depth, n, np.int32)  # past the end
+    rank[order] = _first_slots(key[order], slots)
+    length = 8
     while length < depth:
         step = min(length, depth - length)
-        after = np.concatenate([rank[step:], np.full(min(step, n), n, np.int64)])[:n]
-        order, rank = _ranked((rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64))
+        by_slot = rank[order]
+        slots = np.flatnonzero((by_slot != np.arange(n)) | (np.append(by_slot[1:], n) != np.arange(1, n + 1)))
+        if not len(slots):
+            break
+        place = order[slots]
+        key = (rank[place].astype(np.uint64) << np.uint64(32)) | rank[place + step].astype(np.uint64)
+        sort = np.argsort(key, kind="stable")
+        order[slots] = place = place[sort]
+        rank[place] = _first_slots(key[sort], slots)
         length += step
-    return order, rank
+    return order, rank[:n]
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])[: len(key)]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = new
-    return order, rank
+def _first_slots(key: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For ascending keys at ascending slots the first slot of each key."""
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    return np.maximum.accumulate(np.where(new, slots, 0))
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -164,7 +175,7 @@ def _hot_windows(data, anchors_of, first, past, length):
 
 def repeated_bytes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, keep_first: bool = False,
-    block_bytes: int = 8 << 20, group_bytes: int = 2 << 20, group_limit: int = 4096,
+    block_bytes: int = 4 << 20, group_bytes: int = 1 << 20, group_limit: int = 4096,
 ) -> DataFrame:
     """``id, n_bytes, spans, kept_bytes`` for every row: the texts' UTF-8 bytes without repeated strings.
 
@@ -187,7 +198,7 @@ def repeated_bytes(
     by place, so a row that comes twice is a repetition.
     """
     blocks, size = in_blocks(texts_of(docs, id_col, text_col), block_bytes)
-    buckets, groups = int(size // block_bytes) + 1, int(size // group_bytes) + 1
+    buckets, groups = int(size // (8 << 20)) + 1, int(size // group_bytes) + 1
 
     def read(block: pa.Table):
         block = block.sort_by("row")
