@@ -12,6 +12,7 @@ from .exact import exact_duplicates
 from .html import extract_main_text
 from .language import held_out, predict_language, train_language_model
 from .lm import score_texts
+from .mixing import mixed
 from .ngram_join import similar_classes
 from .substring import repeated_sequences
 from .suffix import repeated_bytes
@@ -139,3 +140,33 @@ def op2_decontaminate(spark, sf_dir):
         F.col("id").alias("doc_id"), (F.size("matches") > 0).alias("contaminated"),
         F.size("matches").cast("long").alias("n_matches"), F.sort_array(F.array_distinct("matches.item_id")).alias("item_ids"),
     )
+
+
+def source_targets(docs: DataFrame) -> DataFrame:
+    """Target weights of the sources: 1 to 4, by the last letter of the name."""
+    sources = docs.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
+    return sources.withColumn("weight", 1 + F.ascii(F.substring("source", -1, 1)) % 4)
+
+
+@query(
+    """WITH RECURSIVE w AS (SELECT source, 1 + ascii(right(source, 1)) % 4 AS weight FROM
+  (SELECT DISTINCT coalesce(source, '') AS source FROM documents)),
+o AS (SELECT *, row_number() OVER (ORDER BY weight DESC, source) AS i FROM w),
+a AS (SELECT list(weight::BIGINT ORDER BY i) AS ws, sum(weight)::BIGINT AS h, count(*) AS n FROM o),
+c(slot, done, chosen) AS (SELECT -1::BIGINT, list_transform(ws, lambda x: 0::BIGINT), 0::BIGINT FROM a UNION ALL
+  SELECT slot + 1, list_transform(range(1, n + 1), lambda j: done[j] + (CASE WHEN j = p THEN 1 ELSE 0 END)::BIGINT), p FROM (
+    SELECT slot, done, n, h, list_position(dues, list_min(dues))::BIGINT AS p FROM (
+      SELECT slot, done, n, h, list_transform(range(1, n + 1), lambda j: CASE WHEN (done[j] * h) // ws[j] <= slot + 1
+        THEN ((done[j] + 1) * h + ws[j] - 1) // ws[j] END) AS dues FROM c, a WHERE slot + 1 < h))),
+s AS (SELECT source, weight, h, done[chosen] - 1 AS k, slot AS first FROM c JOIN o ON o.i = chosen, a WHERE slot >= 0),
+r AS (SELECT doc_id, coalesce(source, '') AS source, greatest(coalesce(length(text), 0), 1) AS size,
+  md5('42:' || doc_id) AS m FROM documents),
+p AS (SELECT doc_id, source, coalesce(sum(size) OVER (PARTITION BY source ORDER BY m, doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place FROM r)
+SELECT doc_id, p.source, place // 65536 AS block, (place // 65536) // o.weight * h + first AS slot, place
+FROM p JOIN o USING (source) JOIN s ON s.source = p.source AND s.k = (place // 65536) % o.weight"""
+)
+def op9_mixing(spark, sf_dir):
+    """Every document with its block of its source and the slot of that block in the mixture."""
+    docs = table(spark, sf_dir, "documents")
+    return mixed(docs, source_targets(docs)).withColumnRenamed("id", "doc_id")
