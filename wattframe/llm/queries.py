@@ -11,6 +11,7 @@ from .decontaminate import benchmark_matches
 from .exact import exact_duplicates
 from .html import extract_main_text
 from .language import held_out, predict_language, train_language_model
+from .lines import repeated_lines
 from .lm import score_texts
 from .mixing import mixed
 from .ngram_join import similar_classes
@@ -170,3 +171,13 @@ def op9_mixing(spark, sf_dir):
     """Every document with its block of its source and the slot of that block in the mixture."""
     docs = table(spark, sf_dir, "documents")
     return mixed(docs, source_targets(docs)).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op7_line_dedup(spark, sf_dir):
+    """The lines of every document that go because a like line stays elsewhere."""
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.col("removed").alias("removed_lines"),
+    )
