@@ -8,8 +8,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import lists, rolling_hashes, split_words, strong_hashes, texts_of, word_ids
+from .common import lists, rolling_hashes, split_words, strong_hashes, word_ids
 from .ngram_join import sliced
 
 #: Lower-case letters, digits and all bytes beyond ASCII stay; other ASCII bytes part words.
@@ -224,9 +225,9 @@ def _nearest(matches: list[dict]) -> list[dict]:
 
 def benchmark_matches(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", similarity: float = 0.75, min_words: int = 8, recall: float = 0.99,
+    item_text_col: str = "text", similarity: float = 0.75, min_words: int = 8, recall: float = 0.99, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, matches`` for every row of ``docs``; ``matches`` lists item, span in words, and edit distance.
+    """``id, matches`` (and the ``keep`` columns) for every row of ``docs``; ``matches`` lists item, span in words, and edit distance.
 
     Words are runs of letters and digits, with A-Z lowered.  An item of n words is in a text if some run of the
     text's words is at most ``(1 - similarity) * n`` word edits away.  Windows of n words are looked at wherever a match can
@@ -238,8 +239,9 @@ def benchmark_matches(
     empty ones say too little to be searched for.  A null or empty text has no match.  Items of equal id are told apart
     only by their texts.
     """
-    texts = texts_of(docs, id_col, text_col)
-    id_type, item_type = texts.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
+    item_type = items.schema[item_col].dataType.simpleString()
+    rest = [f for f in texts.schema.fields if f.name != "text"]
     match = f"array<struct<item_id: {item_type}, start: int, end: int, distance: int>>"
     item_arrow = pa.string() if item_type == "string" else pa.int32() if item_type == "int" else pa.int64()
     blocks, block = [], []
@@ -263,9 +265,10 @@ def benchmark_matches(
             )]
             values = pa.StructArray.from_arrays(fields, ["item_id", "start", "end", "distance"])
             counts = np.array([len(m) for m in found], np.int64)
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "matches": lists(values, counts)})
+            yield pa.RecordBatch.from_pydict({**{f.name: batch.column(f.name) for f in rest}, "matches": lists(values, counts)})
 
-    return texts.mapInArrow(search, f"id {id_type}, matches {match}")
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rest]
+    return texts.mapInArrow(search, ", ".join([*columns, f"matches {match}"]))
 
 
 def _numbered(items: list[tuple]) -> list[tuple]:

@@ -44,3 +44,24 @@ def exact_duplicates(
         "id", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size",
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
     )
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """The rows of ``docs`` (any columns that can be ordered) that stay: of each class of equal texts the one with the largest id.
+
+    The same salted combining as above, with the winner's other columns carried along, so texts are
+    shuffled for the two stages and no more.  Of rows equal in id and text the greatest in the other columns
+    stays.  Null and empty texts are one class; the row that stays keeps its own.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    fields = [F.col(id_col).alias("id"), F.col(text_col).isNotNull().alias("given")]
+    row = F.struct(*fields, *(F.col(c).alias(f"c{i}") for i, c in enumerate(others)))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), row.alias("row"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    salted = rows.groupBy("digest", F.pmod(F.xxhash64("row.id"), F.lit(salts)).alias("salt"), "text").agg(F.max("row").alias("row"))
+    classes = salted.groupBy("digest", "text").agg(F.max("row").alias("row"))
+    back = {
+        id_col: F.col("row.id"), text_col: F.when(F.col("row.given"), F.col("text")),
+        **{c: F.col(f"row.c{i}") for i, c in enumerate(others)},
+    }
+    return classes.select(*(back[c].alias(c) for c in docs.columns))

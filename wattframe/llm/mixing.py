@@ -61,7 +61,7 @@ def mixed(
     docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_chars: int = 1 << 16, seed: int = 42, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``id, source, block, slot, place`` (and the ``keep`` columns) for every row: its place in the mixture.
+    """``id, source, block, slot, place`` and ``kept``, a struct of the ``keep`` columns, for every row: its place in the mixture.
 
     The rows of a source are shuffled by hash and cut into blocks of about ``block_chars`` characters (a row belongs
     to the block in which it begins).  Block k takes the slot that the Pfair cycle gives it, so that reading in
@@ -82,7 +82,7 @@ def mixed(
         F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
         F.greatest(F.coalesce(F.length(F.col(text_col)), F.lit(0)), F.lit(1)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))).alias("h"),
-        F.xxhash64(F.col(text_col)).alias("tx"), *(F.col(c).alias(f"kept_{c}") for c in keep),
+        F.xxhash64(F.col(text_col)).alias("tx"), *([F.struct(*keep).alias("kept")] if keep else []),
     ).withColumn("part", F.substring("h", 1, RANGE_DIGITS))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("total"))
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -98,5 +98,5 @@ def mixed(
     first = cycle.select("source", F.col("block").alias("k"), F.col("slot").alias("first"))
     return laid.join(F.broadcast(first), ["source", "k"], "left").select(
         "id", "source", "block", F.expr("block div weight * total + first").alias("slot"), "place",
-        *(F.col(f"kept_{c}").alias(c) for c in keep),
+        *(["kept"] if keep else []),
     )

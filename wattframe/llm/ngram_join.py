@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import components, rolling_hashes, split_words, stored, strong_hashes, texts_of, word_ids
 
-#: Slots of the frequency sketch, bands of the suffix filter; both are fixed, whatever the input.
-SLOTS, CHUNKS, BANDS = 1 << 18, 64, 16
+#: Slots of the frequency sketch and parts it is summed in; fixed, whatever the input.
+SLOTS, CHUNKS = 1 << 18, 64
 BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = 8 << 20
 
 
-def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct n-gram hashes of each text, one after the other, and where each text's begin.
+def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of the texts, and the text of each.
 
     Words are runs of other than ASCII white space, with A-Z lowered.  A text of fewer words has one n-gram, all of it.
     """
@@ -38,7 +38,12 @@ def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
             parts.append(rolling_hashes(values, short, BASE)[words.first[of]] + np.uint64(short))
             texts_of_parts.append(of)
     hashes, owner = np.concatenate(parts), np.concatenate(texts_of_parts)
-    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), owner
+
+
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct n-gram hashes of each text, one after the other, and where each text's begin."""
+    hashes, owner = shingles(texts, n)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])[: len(hashes)]
@@ -59,12 +64,12 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 def ngram_frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """How many texts hold an n-gram of each hash slot, over all texts; a fixed SLOTS numbers reach the driver."""
+    """How often the n-grams of each hash slot occur, over all texts; a fixed SLOTS numbers reach the driver."""
 
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for _, part in sliced(batches, "text"):
-            total += np.bincount(shingle_sets(part, n)[0] >> np.uint64(46), minlength=SLOTS)
+            total += np.bincount((shingles(part, n)[0] >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(range(CHUNKS), pa.int32()),
             "counts": pa.array([c.tobytes() for c in total.reshape(CHUNKS, -1)], pa.binary()),
@@ -88,21 +93,23 @@ def required(a: Column, b: Column, percent: int) -> Column:
 
 
 def similar_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, star_rounds: int = 3,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75,
 ) -> DataFrame:
-    """For every row: ``id``, ``n_shingles`` and ``component_id``, the least id that links lead to.
+    """For every row: ``id``, ``n_shingles`` and ``component_id``, the least id that links lead to; also
+    ``tx``, xxhash64 of its text, and ``group``, a number of its component (null without words).
 
     Two texts link when 100 * (common n-grams) >= percent * (n-grams of either).  Texts with the same
     set form a class and go on as one.  N-grams are ranked rare first by a frequency sketch (any fixed
     order gives the same links); a class is indexed by its prefix, the n-grams of which a linked
-    class must share at least one.  Candidates pass the length and positional filters on the prefix
-    and the suffix filter (counts in bands of the hash range bound the intersection from above), and each pair is
-    verified once on the whole sets.
+    class must share at least one.  Candidates pass the length and positional filters on the prefix and the
+    suffix filter (the counts of two sets in equal ranges of the hash bound what they can share), and
+    each pair is verified once, on the whole sets.
 
-    Links are looked for only where they can still join two components: first every class meets the
-    first class of each of its prefix n-grams, under ``star_rounds`` different orders, so a group of
-    copies costs a row each and not a row a pair; then, in the n-grams whose classes still lie in
-    different components, all pairs across components that pass the filters are verified.  No link that joins components is lost.
+    Links are looked for only where they can still join two components.  First every class meets two
+    pivots in each of its prefix n-grams, the least classes under two orders, so a group of copies costs two rows each
+    and not a row a pair.  Then, in the n-grams whose classes still lie in different components, all pairs
+    across components are candidates, formed between the classes outside the n-gram's largest
+    component and all others.  No link that joins components is lost.
 
     A text that is null or has no word has size 0, links with nothing and is its own component.  A row
     with a null id can link rows, and its component is the least id among the others, null if there is none.
@@ -120,19 +127,19 @@ def similar_classes(
                 head = size - (size * percent + 99) // 100 + 1 if size else 0
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefixes.append(_short(own[np.argsort(rank[lo:hi], kind="stable")[:head]]))
-                bands.append(np.bincount(own >> np.uint64(60), minlength=BANDS).astype(np.int32).tolist())
+                bands.append(_bands(own))
             yield pa.RecordBatch.from_pydict({
                 "id": batch.column("id"), "tx": batch.column("tx"),
                 "size": pa.array(np.diff(first), pa.int64()),
                 "digest": pa.array(digests, pa.binary()),
                 "prefix": pa.array(prefixes, pa.binary()),
-                "bands": pa.array(bands, pa.list_(pa.int32())),
+                "bands": pa.array(bands, pa.binary()),
             })
 
     id_type = texts.schema["id"].dataType.simpleString()
     keyed = texts.withColumn("tx", F.xxhash64("text"))
     described = keyed.mapInArrow(
-        describe, f"id {id_type}, tx long, size long, digest binary, prefix binary, bands array<int>"
+        describe, f"id {id_type}, tx long, size long, digest binary, prefix binary, bands binary"
     ).withColumn("row", F.monotonically_increasing_id())
     described = stored(described, "ngram-sets")
     filled = described.where("size > 0")
@@ -145,28 +152,21 @@ def similar_classes(
     entries = shared.join(members, "row").select("h", "node", "size", "pos").distinct()
     entries = stored(entries, "ngram-entries")
 
-    sets = _sets(keyed, shape, entries, n)
     nodes = members.select("node").distinct()
-    component = nodes.select("node", F.col("node").alias("component"))
-    near = checked = None
-    for turn in range(star_rounds + 1):
-        pairs = _candidates(entries, component, shape, percent, turn if turn < star_rounds else None)
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        verified = stored(_verified(pairs, sets, percent), "ngram-pairs")
-        links = verified.where("linked").select("a", "b")
-        near = links if near is None else near.union(links)
-        checked = verified.select("a", "b") if checked is None else checked.union(verified.select("a", "b"))
-        component = stored(
-            nodes.join(components(near), "node", "left")
-            .select("node", F.coalesce("component", "node").alias("component")), "ngram-components",
-        )
+    first = stored(_near(_star_pairs(entries, percent), shape, percent), "ngram-pairs")
+    verified = stored(_verified(first, keyed, shape, n, percent), "ngram-links")
+    component = _labelled(nodes, verified.where("linked"))
+    rest = _near(_cross_pairs(entries, component, percent).join(first, ["a", "b"], "left_anti"), shape, percent)
+    rest = stored(rest, "ngram-pairs")
+    if not rest.isEmpty():
+        more = _verified(rest, keyed, shape, n, percent).where("linked")
+        component = _labelled(nodes, verified.where("linked").union(stored(more, "ngram-links")))
     labelled = members.join(component, "node")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    label = labelled.join(smallest, "component").select("row", "component_id")
-    return filled.select("row", "id", "size").join(label, "row").select(
-        "id", F.col("size").alias("n_shingles"), "component_id"
-    ).union(described.where("size = 0").select("id", F.col("size"), F.col("id")))
+    label = labelled.join(smallest, "component").select("row", "component_id", "component")
+    return filled.select("row", "id", "size", "tx").join(label, "row").select(
+        "id", F.col("size").alias("n_shingles"), "component_id", "tx", F.col("component").alias("group")
+    ).union(described.where("size = 0").select("id", "size", "id", "tx", F.lit(None).cast("long")))
 
 
 def _short(hashes: np.ndarray) -> bytes:
@@ -189,62 +189,91 @@ def _entries(batches):
         })
 
 
-def _candidates(entries: DataFrame, component: DataFrame, shape: DataFrame, percent: int, turn: int | None) -> DataFrame:
-    """Pairs ``a < b`` of classes in different components that share a prefix n-gram and pass the filters.
+def _bands(own: np.ndarray) -> bytes:
+    """How many hashes lie in each of 2**k equal ranges, k the least with as many ranges as hashes; 255 stands for more."""
+    k = max(0, len(own) - 1).bit_length()
+    return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(own), np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
 
-    With a ``turn``, each class meets only the first class of the n-gram under that turn's order; without, all.
-    """
-    open_ = entries.join(component, "node")
-    mixed = open_.groupBy("h").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"),
-        F.min(F.struct(F.xxhash64(F.col("node") + F.lit(turn or 0)), "node", "size", "pos", "component")).alias("first"),
-    ).where("lo < hi")
-    if turn is None:
-        left = open_.join(mixed.select("h"), "h")
-        right = left.select("h", *(F.col(c).alias(f"{c}2") for c in ("node", "size", "pos", "component")))
-        met = left.join(right, "h").where("node < node2")
-    else:
-        met = open_.join(mixed, "h").select(
-            "h", "node", "size", "pos", "component",
-            *(F.col(f"first.{c}").alias(f"{c}2") for c in ("node", "size", "pos", "component")),
-        ).where("node <> node2")
+
+def _most_common(x: bytes, y: bytes) -> float:
+    """At most so many hashes are common to two sets with these bands."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int32) for v in sorted((x, y), key=len))
+    least = np.minimum(x, y.reshape(len(x), -1).sum(axis=1))
+    return np.inf if (x == 255).any() or (y == 255).any() else least.sum()
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    found = nodes.join(components(links.select("a", "b")), "node", "left")
+    return stored(found.select("node", F.coalesce("component", "node").alias("component")), "ngram-components")
+
+
+def _passing(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs ``a < b`` of the rows that pass the length and the positional filter."""
     need = required(F.col("size"), F.col("size2"), percent)
-    met = met.where(
-        (F.col("component") != F.col("component2"))
-        & (F.least("size", "size2") >= need)
+    return met.where(
+        (F.least("size", "size2") >= need)
         & (F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need - F.least("pos", "pos2"))
-    )
-    pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
+def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Each class with the first classes of its prefix n-grams under two orders."""
+    pivot = lambda turn: F.min(F.struct(F.xxhash64(F.col("node") + turn), "node", "size", "pos"))
+    pivots = entries.groupBy("h").agg(pivot(0).alias("one"), pivot(1).alias("two"))
+    both = pivots.select("h", F.explode(F.array_distinct(F.array(*(
+        F.struct(*(F.col(f"{p}.{c}").alias(f"{c}2") for c in ("node", "size", "pos"))) for p in ("one", "two")
+    )))).alias("p")).select("h", "p.*")
+    return _passing(entries.join(both, "h").where("node <> node2"), percent)
+
+
+def _cross_pairs(entries: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components in the n-grams that lie in several: the classes outside the largest with all others."""
+    labelled = entries.join(component, "node")
+    parts = labelled.groupBy("h", "component").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("h").agg(
+        F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")
+    ).where("parts > 1").drop("parts")
+    open_ = labelled.join(largest, "h")
+    columns = ("node", "size", "pos", "component")
+    outside = open_.where("component <> largest").select("h", *(F.col(c).alias(f"{c}2") for c in columns))
+    met = open_.join(outside, "h").where("component <> component2 AND (component = largest OR node < node2)")
+    return _passing(met, percent)
+
+
+def _near(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the suffix filter."""
     shape = shape.select("node", "size", "bands")
-    pairs = pairs.join(shape.toDF("a", "size_a", "bands_a"), "a").join(shape.toDF("b", "size_b", "bands_b"), "b")
-    common = F.aggregate(
-        F.zip_with("bands_a", "bands_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x
-    )
-    return pairs.where(common >= required(F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
+    full = pairs.join(shape.toDF("a", "size_a", "bands_a"), "a").join(shape.toDF("b", "size_b", "bands_b"), "b")
+
+    def keep(batches):
+        for batch in batches:
+            x, y, n = (batch.column(c).to_pylist() for c in ("bands_a", "bands_b", "need"))
+            good = pa.array([_most_common(i, j) >= k for i, j, k in zip(x, y, n)], pa.bool_())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(good) for c in ("a", "b")})
+
+    need = required(F.col("size_a"), F.col("size_b"), percent).alias("need")
+    return full.select("a", "b", "bands_a", "bands_b", need).mapInArrow(keep, "a long, b long")
 
 
-def _sets(keyed: DataFrame, shape: DataFrame, entries: DataFrame, n: int) -> DataFrame:
-    """The whole n-gram sets of the classes that share a prefix n-gram with another one."""
-    wanted = shape.join(entries.select("node").distinct(), "node").select("node", "id", "tx")
-    chosen = keyed.alias("t").join(
+def _verified(pairs: DataFrame, keyed: DataFrame, shape: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b, linked`` by the whole sets of each pair, which are made again from the texts of these classes alone."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stored(shape.join(nodes, "node").select("node", "id", "tx"), "ngram-wanted")
+    texts = keyed.alias("t").join(
         wanted.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & F.col("t.tx").eqNullSafe(F.col("w.tx"))
     ).select("w.node", "t.text")
 
     def build(batches):
+        done = set()  # rows equal in id and text meet in one task
         for batch, part in sliced(batches, "text"):
-            hashes, first = shingle_sets(part, n)
+            of = batch.column("node").to_pylist()
+            new = [i for i, node in enumerate(of) if not (node in done or done.add(node))]
+            hashes, first = shingle_sets([part[i] for i in new], n)
             yield pa.RecordBatch.from_pydict({
-                "node": batch.column("node"),
+                "node": pa.array([of[i] for i in new], pa.int64()),
                 "grams": pa.array([hashes[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:])], pa.binary()),
             })
 
-    return stored(chosen.mapInArrow(build, "node long, grams binary").dropDuplicates(["node"]), "ngram-texts")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked`` by the whole sets of each pair."""
-    full = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
-
     def verify(batches):
         for batch in batches:
             linked = []
@@ -256,4 +285,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 {"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(linked, pa.bool_())}
             )
 
-    return full.mapInArrow(verify, "a long, b long, linked boolean")
+    sets = stored(texts.mapInArrow(build, "node long, grams binary"), "ngram-texts")
+    full = pairs.join(sets.toDF("a", "grams_a"), "a").join(sets.toDF("b", "grams_b"), "b")
+    return full.mapInArrow(verify, "a long, b long, linked boolean").distinct()

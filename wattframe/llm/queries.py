@@ -88,7 +88,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1"""
 )
 def op3_ngram_join(spark, sf_dir):
     """Every document with the least document that a chain of similar documents leads to."""
-    return similar_classes(table(spark, sf_dir, "documents"), n=5, percent=75).withColumnRenamed("id", "doc_id")
+    found = similar_classes(table(spark, sf_dir, "documents"), n=5, percent=75)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 @query()
