@@ -55,8 +55,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def in_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture, with their ``slot`` and ``place``."""
     laid = mixed(docs, source_targets(docs), keep=tuple(docs.columns))
-    ordered = laid.select("kept.*", "slot", "place")
-    return ordered.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    ordered = laid.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return ordered.select("kept.*", "slot", "place")
 
 
 STAGES = [
