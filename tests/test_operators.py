@@ -110,7 +110,9 @@ def test_reconcile(spark):
     assert reconciled(spark, [(5, "BNR", 5.0)], 5, 7) == [(5, 5.0, "BNR"), (6, 5.0, fill), (7, 5.0, fill)]
     assert reconciled(spark, [(16, "BNR", 5.0)], 17, 18) == [(17, 5.0, fill), (18, 5.0, fill)]
     assert reconciled(spark, [(6, "BNR", 5.0)], 5, 6) == [(6, 5.0, "BNR")]
-    assert reconciled(spark, [(1, "BNR", 5.0)], 16, 16) == []  # beyond the lookback
+    assert reconciled(spark, [(1, "BNR", 5.0)], 28, 28) == [(28, 5.0, fill)]  # however old
+    assert reconciled(spark, [(1, "BNR", 5.0), (3, "ECB", 5.2)], 28, 28) == [(28, 5.2, fill)]
+    assert reconciled(spark, [(20, "BNR", 5.0)], 18, 19) == []
     assert reconciled(spark, [(5, "ECB", 5.0)], 5, 5, "SYNTHETIC", None) == [(5, 1.0, "SYNTHETIC")]
     assert reconciled(spark, [(5, "ECB", 5.0)], 5, 5, "BNR", None) == []
 
@@ -192,6 +194,9 @@ def test_number_in_order(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string").repartition(7)
     got = {r.n: r.position for r in number_in_order(df, "n").collect()}
     assert got == {n: i for i, n in enumerate(names, 1)}
+    holes = spark.createDataFrame([("a",), (None,), ("b",)], "n string")
+    assert {r.n: r.position for r in number_in_order(holes, "n").collect()} == {"a": 1, "b": 2}
+    assert number_in_order(holes.filter("false"), "n").collect() == []
 
 
 def test_stable_ids(spark):
@@ -266,6 +271,17 @@ def test_coverage_and_quality(spark):
     assert (stats.rows, stats.nulls, stats.low, stats.median, stats.high) == (4, 1, -1.0, 5.0, 11.0)
 
 
+def test_quantiles_are_exact(spark):
+    rng = random.Random(3)
+    values = [rng.choice([rng.random(), 0.5, 7.0]) for _ in range(777)]
+    df = spark.createDataFrame([(v, float(i % 3)) for i, v in enumerate(values)], "v double, w double").repartition(5)
+    got = {r.column: (r.q1, r.median, r.q3) for r in quality.profile(df, ["v", "w"]).collect()}
+    at = lambda xs: tuple(sorted(xs)[-(-len(xs) * k // 4) - 1] for k in (1, 2, 3))
+    assert got == {"v": at(values), "w": at([i % 3 for i in range(777)])}
+    (none,) = quality.profile(df.filter("false"), ["v"]).collect()
+    assert (none.rows, none.median) == (0, None)
+
+
 def test_slot_reports(spark):
     days = [(date(2026, 3, 29), n) for n in range(1, 97)] + [(date(2025, 10, 26), n) for n in range(1, 101)]
     df = spark.createDataFrame([(d, n, "Europe/Bucharest") for d, n in days], "d date, n int, tz string")

@@ -86,9 +86,9 @@ def lake(spark, tmp_path_factory):
 
     base = str(root / "tables")
     def ingest():
-        refused = jobs.ingest_prices(spark, str(root), base, "RO", START - timedelta(days=1), END)
+        refused = jobs.ingest_prices(spark, str(root), base, None, START - timedelta(days=1), END)
         jobs.ingest_generation_and_load(spark, str(root), base, "RO", START - timedelta(days=1), END + timedelta(days=1))
-        jobs.ingest_weather(spark, str(root), base, "RO", START - timedelta(days=1), END)
+        jobs.ingest_weather(spark, str(root), base, None, START - timedelta(days=1), END)
         jobs.ingest_bnr_rates(spark, str(root), base, START - timedelta(days=5), END)
         jobs.ingest_ecb_rates(spark, str(root), base, START - timedelta(days=5), END)
         jobs.build_all(spark, base, START, END)
@@ -119,7 +119,11 @@ def test_a_second_run_changes_nothing(spark, lake):
 
 
 def test_bronze(spark, lake):
-    assert [(r.delivery_date.day, r.reason) for r in lake["refused"].collect()] == [(24, "hourly")]
+    done = lake["refused"]
+    assert [(r.delivery_date.day, r.reason) for r in done.rejected.collect()] == [(24, "hourly")]
+    status = {r.date.day: r.status for r in done.coverage.collect()}
+    assert status[24] == "failed" and set(status.values()) >= {"fetched", "failed"}
+    assert done.rows > 0 and done.malformed.count() >= 0
     assert table(spark, lake, schemas.OPCOM_PRICES).count() == 96 + 100 + 96
     assert table(spark, lake, schemas.BNR_RATES).first().source_url == "http://origin"
 

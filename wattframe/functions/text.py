@@ -40,6 +40,12 @@ def finite_or_null(value: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def integer_or_null(value: Column | str) -> Column:
+    """Whole part as a 64-bit integer; NaN, infinity and what does not fit become NULL."""
+    value = as_column(value).try_cast("double")
+    return F.when(F.abs(value) < F.lit(2.0**63), value.cast("long"))
+
+
 def slug(text: Column | str) -> Column:
     """Lower-case words joined by single underscores."""
     words = F.regexp_replace(F.lower(as_column(text)), "[^a-z0-9]+", "_")

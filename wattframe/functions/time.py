@@ -28,21 +28,18 @@ class Zones:
 
     With a literal zone Spark resolves the rules once per task; with a column it
     looks them up for every row.  Each known name gets its own literal branch,
-    any other name still works through the column.
+    any other name still works through the column.  The names are those of the
+    registry, so there are at most as many branches as time zones.
     """
 
     column: str
     names: tuple[str, ...]
 
-    # More branches than this bloat the generated code.
-    LIMIT = 16
-
     def convert(self, how: Callable[[Column, str | Column], Column], ts: Column) -> Column:
         column = F.col(self.column)
         result = how(ts, column)
-        if len(self.names) <= self.LIMIT:
-            for name in self.names:
-                result = F.when(column == name, how(ts, name)).otherwise(result)
+        for name in self.names:
+            result = F.when(column == name, how(ts, name)).otherwise(result)
         return result
 
 
@@ -186,12 +183,17 @@ def within_local_days(ts: Column | str, start: date, end: date, tz: str) -> Colu
 
 
 def with_local_keys(df: DataFrame, tz: Zone, ts: str = "timestamp_utc") -> DataFrame:
-    """Add local_ts, date_id, time_id (hour-start position) and hour_start_utc."""
+    """Add local_ts, date_id, time_id (hour-start position) and hour_start_utc.
+
+    The hour is the local one, so that date and position are the same in all of
+    it, also where a zone is half an hour off.
+    """
+    into_hour = F.minute("local_ts") * 60 + F.second("local_ts")
     return df.withColumn("local_ts", local_time(ts, tz)).withColumns(
         {
             "date_id": date_id("local_ts"),
             "time_id": (F.hour("local_ts") * SLOTS_PER_HOUR).cast("int"),
-            "hour_start_utc": hour_start_utc(ts),
+            "hour_start_utc": F.timestamp_seconds(F.unix_timestamp(as_column(ts)) - into_hour),
         }
     )
 

@@ -27,13 +27,15 @@ def new_observations(
     looks at the current one, so a value that returns to an earlier state is
     recorded again.  Other columns (ingest time, source) never count.
 
-    The history side is reduced to one row per tuple before the join.
+    An anti join needs the history as it is: equal tuples in it change nothing.
+    Of several revisions of one key and ingest time the greatest counts as the
+    latest, by ``tiebreak`` or else by the values.
     """
     columns = [*keys, *values]
     if compare == "any":
-        stored = history.select(*columns).distinct()
+        stored = history.select(*columns)
     elif compare == "latest":
-        stored = latest_per_key(history, keys, order, tiebreak).select(*columns)
+        stored = latest_per_key(history, keys, order, tiebreak or values).select(*columns)
     else:
         raise ValueError(f"compare must be 'any' or 'latest', not {compare!r}")
     same = reduce(and_, [F.col(f"i.{c}").eqNullSafe(F.col(f"s.{c}")) for c in columns])

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LOOKBACK_DAYS = 14
 FILLED = "FORWARD_FILLED"
 SYNTHETIC = "SYNTHETIC"
 
@@ -69,14 +68,14 @@ def reconcile_rates(
     pairs: DataFrame,
     start: date,
     end: date,
-    lookback_days: int = LOOKBACK_DAYS,
 ) -> DataFrame:
     """One rate per day and pair: primary source, else secondary, else carried forward.
 
     ``observations``: (date, base_currency, quote_currency, source, rate) with
     one row per date, pair and source.  ``pairs``: see ``registry.required_pairs``.
-    The walk starts ``lookback_days`` before ``start`` so a range that begins on
-    a weekend inherits Friday's rate; days before the first rate are left out.
+    A pair enters the range with its last rate before ``start``, however old, so
+    a day's rate does not depend on where the range begins; days before the first
+    rate are left out.  Pass all observations up to ``end``.
 
     The walked groups are calendars: one row per pair and day.
     """
@@ -96,14 +95,18 @@ def reconcile_rates(
     walk = _up_to_here(Window.partitionBy(*pair).orderBy("date"))
     days = pairs.select(
         *pair, "primary_source",
-        F.explode(
-            F.sequence(F.lit(start - timedelta(days=lookback_days)), F.lit(end))
-        ).alias("date"),
+        F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"),
+    )
+    entering = (
+        chosen.filter(F.col("date") < F.lit(start))
+        .groupBy(*pair)
+        .agg(F.max_by("_seen", "date").alias("_entering"))
     )
     synthetic = F.col("primary_source") == SYNTHETIC
     return (
         days.join(chosen, ["date", *pair], "left")
-        .withColumn("_last", F.last("_seen", ignorenulls=True).over(walk))
+        .join(entering, pair, "left")
+        .withColumn("_last", F.coalesce(F.last("_seen", ignorenulls=True).over(walk), "_entering"))
         .select(
             "date",
             *pair,
@@ -113,7 +116,7 @@ def reconcile_rates(
             .otherwise(F.col("_seen.source"))
             .alias("source"),
         )
-        .filter((F.col("date") >= F.lit(start)) & F.col("rate").isNotNull())
+        .filter(F.col("rate").isNotNull())
     )
 
 

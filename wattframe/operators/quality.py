@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time as ft
+from .staging import stored
 
 # Outcomes of fetching one day, best first.
 OUTCOMES = ("fetched", "skipped", "failed")
@@ -62,29 +63,58 @@ def range_violations(
     return df.agg(F.array(*stats).alias("_stats")).select(F.inline("_stats"))
 
 
-def profile(df: DataFrame, columns: Sequence[str], accuracy: int = 10000) -> DataFrame:
-    """Row count, NULLs, extremes and quartiles per numeric column.
+def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Row count, NULLs, extremes and quartiles per numeric column, all exact.
 
-    Quartiles come from a mergeable sketch with rank error 1 / ``accuracy``: an
-    exact percentile would gather every distinct value in one task.
+    A quartile is the least value that at least that share of the non-NULL values
+    do not exceed.
     """
     stats = []
     for column in columns:
-        quartiles = F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
         stats.append(
             F.struct(
                 F.lit(column).alias("column"),
                 F.count("*").alias("rows"),
                 F.count(F.when(F.col(column).isNull(), 1)).alias("nulls"),
                 F.min(column).cast("double").alias("low"),
-                *[
-                    F.element_at(quartiles, i).cast("double").alias(label)
-                    for i, label in enumerate(("q1", "median", "q3"), start=1)
-                ],
                 F.max(column).cast("double").alias("high"),
             )
         )
-    return df.agg(F.array(*stats).alias("_stats")).select(F.inline("_stats"))
+    plain = df.agg(F.array(*stats).alias("_stats")).select(F.inline("_stats"))
+    found = quantiles(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return plain.join(found, "column", "left").select(
+        "column", "rows", "nulls", "low", "q1", "median", "q3", "high"
+    )
+
+
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles: ``column`` and one column per share.
+
+    Equal values are counted first; the distinct ones are sorted into ranges of
+    about equal size and stored, so that the ranges stay what they are.  The counts of the
+    ranges tell which range holds a rank, and running counts inside a range which
+    value, so no task sees more than one range.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    counts = (
+        df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(F.count("*").alias("n"))
+        .repartitionByRange("column", "value").withColumn("_range", F.spark_partition_id())
+    )
+    counts = stored(counts, "quantiles")
+    earlier = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy("column")
+    ranges = counts.groupBy("column", "_range").agg(F.sum("n").alias("_size")).select(
+        "column", "_range",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_begin"),
+        F.sum("_size").over(everything).alias("_total"),
+    )
+    upto = Window.partitionBy("column", "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("_inside", F.sum("n").over(upto)).join(ranges, ["column", "_range"])
+    reached = F.col("_begin") + F.col("_inside")
+    return ranked.groupBy("column").agg(
+        *[F.min(F.when(reached >= F.ceil(F.lit(q) * F.col("_total")), F.col("value"))).alias(name) for name, q in shares.items()]
+    )
 
 
 def slots_per_day(slots: DataFrame, day: str, timezone: str, keys: Sequence[str]) -> DataFrame:

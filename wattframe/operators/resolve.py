@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stored
+
 
 def resolve(facts: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``dim``, with the dimension's columns added."""
@@ -27,30 +29,22 @@ def unresolved_counts(facts: DataFrame, dim: DataFrame, on: Sequence[str]) -> Da
     return unresolved(counts, dim, on)
 
 
-def number_in_order(names: DataFrame, column: str, prefixes: Sequence[int] = (2, 6)) -> DataFrame:
-    """Add ``position`` 1, 2, ... in ascending order of distinct values.
+def number_in_order(names: DataFrame, column: str) -> DataFrame:
+    """Add ``position`` 1, 2, ... in ascending order of distinct values; NULLs are left out.
 
-    Names are counted per leading prefix, short and long.  Running sums of these
-    counts tell where each long prefix begins, and the names are numbered inside
-    it: one task only sees the counts of all short prefixes, of the long prefixes
-    of a short one, or the names of one long prefix.
+    The names are sorted into ranges of about equal size and stored, so that the
+    ranges stay what they are.  A range's count tells where the next one begins;
+    one task numbers one range, and one adds up the counts of the ranges.
     """
-    levels = [f"_p{n}" for n in prefixes]
-    keyed = names.withColumns({p: F.substring(column, 1, n) for p, n in zip(levels, prefixes)})
-    starts = keyed.groupBy(*levels).agg(F.count("*").alias("_n"))
-    begins = F.lit(0).cast("long")
-    for depth, level in enumerate(levels):
-        upper = levels[:depth]
-        sizes = starts.groupBy(*upper, level).agg(F.sum("_n").alias("_size"))
-        before = Window.partitionBy(*upper).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        offset = F.coalesce(F.sum("_size").over(before), F.lit(0))
-        keyed = keyed.join(
-            sizes.select(*upper, level, offset.alias(f"_before{depth}")), [*upper, level]
-        )
-        begins = begins + F.col(f"_before{depth}")
-    inside = Window.partitionBy(*levels).orderBy(column)
-    return keyed.select(
-        *names.columns, (begins + F.row_number().over(inside)).cast("int").alias("position")
+    ranges = names.filter(F.col(column).isNotNull()).repartitionByRange(column)
+    ranges = stored(ranges.withColumn("_range", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranges.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin")
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return ranges.withColumn("_inside", inside).join(begins, "_range").select(
+        *names.columns, (F.col("_begin") + F.col("_inside")).cast("int").alias("position")
     )
 
 

@@ -134,13 +134,11 @@ def write_table(
 def staged(df: DataFrame, beside: str) -> Iterator[DataFrame]:
     """Write ``df`` once and read it back, so that several jobs can use it.
 
-    The folder named in ``spark.checkpoint.dir`` is used; where the session has
-    none, one beside the table.  Unlike cached blocks, the files outlive the
+    The folder lies beside the table, which all executors reach.  Unlike cached blocks, the files outlive the
     executors; being Parquet, a later job reads only the columns it needs.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{_parent(beside)}/_staging"
-    path = f"{root.rstrip('/')}/batch-{uuid.uuid4().hex}"
+    path = f"{_parent(beside)}/_staging/batch-{uuid.uuid4().hex}"
     try:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
@@ -186,19 +184,22 @@ def merge_upsert(
     keys: Sequence[str],
     partitions: Sequence[str] = (),
     key_fixes_partition: bool = False,
-) -> None:
-    """Update rows of equal key, insert the others.  Creates the table if needed.
+) -> int:
+    """Update rows of equal key, insert the others; returns the rows of ``df``.  Creates the table if needed.
 
-    A key that occurs twice in ``df`` is an error once the table exists, because
+    A key that occurs twice in ``df`` is an error, in the first write too, because
     the result would depend on row order.  By default a key may sit in another
     partition than before, so the target's keys are searched everywhere; with
     ``key_fixes_partition`` only the batch's own partitions are read.
     """
-    if not table_exists(spark, path):
-        write_table(df, path, partitions)
-        return
     with staged(df, path) as source:
-        _merge(spark, source, path, keys, partitions, key_fixes_partition)
+        if not duplicate_keys(source.dropna(subset=list(keys)), keys).isEmpty():
+            raise ValueError(f"several source rows share a key of {path}: {list(keys)}")
+        if not table_exists(spark, path):
+            write_table(source, path, partitions)
+        else:
+            _merge(spark, source, path, keys, partitions, key_fixes_partition)
+        return source.count()
 
 
 def _merge(
@@ -209,8 +210,6 @@ def _merge(
     partitions: Sequence[str],
     key_fixes_partition: bool,
 ) -> None:
-    if not duplicate_keys(source.dropna(subset=list(keys)), keys).isEmpty():
-        raise ValueError(f"several source rows share a key of {path}: {list(keys)}")
     target = read_table(spark, path, schema=source.schema)
     if not partitions:
         _exchange(spark, merged_rows(target, source, keys), path)
@@ -241,8 +240,8 @@ def replace_date_range(
     start_id: int,
     end_id: int,
     partitions: Sequence[str] = ("market_id", "date_id"),
-) -> None:
-    """Overwrite exactly the [start_id, end_id] days of one market, or of several.
+) -> int:
+    """Overwrite exactly the [start_id, end_id] days of one market, or of several; returns the rows written.
 
     Days of the range without rows in ``df`` are removed.  A row outside the
     range is an error and leaves the table unchanged.  A missing table is created
@@ -251,8 +250,7 @@ def replace_date_range(
     if tuple(partitions) != ("market_id", "date_id"):
         raise ValueError("range replacement needs tables partitioned by (market_id, date_id)")
     if not table_exists(spark, path):
-        write_table(df, path, partitions)
-        return
+        return write_table(df, path, partitions)
 
     markets = {market_id} if isinstance(market_id, str) else set(market_id)
 
@@ -261,7 +259,7 @@ def replace_date_range(
         return values["market_id"] in markets and start_id <= int(values["date_id"]) <= end_id
 
     present = _Folders(spark, path).partitions(path, len(partitions))
-    _exchange(
+    return _exchange(
         spark, df, path, partitions,
         replaced={folder for folder in present if inside(folder)}, allowed=inside,
     )
@@ -291,14 +289,14 @@ def _exchange(
     partitions: Sequence[str] = (),
     replaced: set[str] = frozenset(),
     allowed: Callable[[str], bool] | None = None,
-) -> None:
-    """Stage ``df``, then put its partitions in place of the ``replaced`` ones."""
+) -> int:
+    """Stage ``df``, then put its partitions in place of the ``replaced`` ones; returns its rows."""
     path = path.rstrip("/")
     name = path.rsplit("/", 1)[1]
     staging = f"{_parent(path)}/_staging/{name}-{uuid.uuid4().hex}"
     folders = _Folders(spark, path)
     try:
-        write_table(df, f"{staging}/new", partitions)
+        rows = write_table(df, f"{staging}/new", partitions)
     except Exception:
         folders.drop(staging)
         raise
@@ -328,3 +326,4 @@ def _exchange(
         folders.drop(staging)
         raise
     folders.drop(staging)
+    return rows

@@ -7,14 +7,16 @@ covers it.  ``market_id=None`` means all configured markets in that one run.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.time import date_id_of
-from ..operators.fill import LOOKBACK_DAYS
+from ..operators.quality import coverage
 from ..operators.rank import CHARGE_SLOTS, DISCHARGE_SLOTS
+from ..operators.staging import stored
 from ..operators.store import (
     TableNotFound,
     append_new_observations,
@@ -60,92 +62,145 @@ def _instants(start: date, end: date, ts: str = "timestamp_utc") -> list:
 # ---- landing to Bronze -------------------------------------------------------
 
 
+class Ingested(NamedTuple):
+    """What an ingest run did: rows appended, status of every day asked for, and what was left out.
+
+    ``rejected`` lists refused days, ``malformed`` counts dropped rows; sources
+    whose files have no such rules give None.
+    """
+
+    rows: int
+    coverage: DataFrame
+    rejected: DataFrame | None = None
+    malformed: DataFrame | None = None
+
+
 def _append(
-    df: DataFrame, base: str, table: Table, prune: str, ingested_at: datetime | None,
-    span: tuple[date, date] | None = None,
+    df: DataFrame, base: str, table: Table, prune: str, ingested_at: datetime | None, compare: str,
 ) -> int:
+    """Append a parsed batch, which is stored once, so that its files are parsed once."""
     stamp = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = conform(df.withColumn("ingested_at", F.lit(stamp).cast("timestamp")), table)
     return append_new_observations(
-        df.sparkSession, rows, table.path(base), table.keys, table.values, table.partitions,
-        prune=prune, span=span,
+        df.sparkSession, stored(rows, table.name), table.path(base), table.keys, table.values,
+        table.partitions, compare=compare, prune=prune,
     )
 
 
-def ingest_prices(
-    spark: SparkSession, landing_base: str, base: str, market_id: str, start: date, end: date,
-    ingested_at: datetime | None = None,
+def _files(
+    spark: SparkSession, landing_base: str, layout: str, market_id: str | None, start: date, end: date,
+    **options: str,
 ) -> DataFrame:
-    """Append day-ahead prices; returns the days that were refused."""
-    files = landing.read_files(
-        spark, landing_base, landing.OPCOM_PRICES, start, end, market_id=market_id
+    folders = {} if market_id is None else {"market_id": market_id}
+    return landing.read_files(spark, landing_base, layout, start, end, **options, **folders)
+
+
+def _coverage(
+    files: DataFrame, source: str, market_id: str | None, markets: Markets, start: date, end: date,
+    refused: DataFrame | None = None,
+) -> DataFrame:
+    """fetched, failed (refused) or missing for every market and day of the range."""
+    spark, on = files.sparkSession, ["market_id", "date"]
+    expected = markets_frame(spark, _selected(market_id, markets)).select(
+        "market_id", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date")
     )
-    days = prices.parse_price_files(files)
-    _append(
-        prices.accepted_prices(days), base, schemas.OPCOM_PRICES, "delivery_date", ingested_at,
-        span=(start, end),
+    found = files.select(landing.path_market(source).alias("market_id"), landing.file_date().alias("date"))
+    if refused is None:
+        return coverage(expected, found.distinct().withColumn("status", F.lit("fetched")), on)
+    bad = refused.select("market_id", F.col("delivery_date").alias("date")).distinct()
+    good = found.distinct().join(bad, on, "left_anti").withColumn("status", F.lit("fetched"))
+    return coverage(expected, good.unionByName(bad.withColumn("status", F.lit("failed"))), on)
+
+
+def ingest_prices(
+    spark: SparkSession, landing_base: str, base: str, market_id: str | None, start: date, end: date,
+    ingested_at: datetime | None = None, compare: str = "any", markets: Markets = MARKETS,
+) -> Ingested:
+    """Append day-ahead prices of one market, or of all."""
+    files = _files(spark, landing_base, landing.OPCOM_PRICES, market_id, start, end)
+    days = stored(prices.parse_price_files(files), "price-days")
+    rejected = prices.rejected_days(days)
+    rows = _append(
+        prices.accepted_prices(days), base, schemas.OPCOM_PRICES, "delivery_date", ingested_at, compare
     )
-    return prices.rejected_days(days)
+    known = _coverage(files, "opcom_pzu", market_id, markets, start, end, rejected)
+    return Ingested(rows, known, rejected, prices.malformed_counts(days))
 
 
 def ingest_generation_and_load(
-    spark: SparkSession, landing_base: str, base: str, market_id: str, start: date, end: date,
-    ingested_at: datetime | None = None,
-) -> None:
+    spark: SparkSession, landing_base: str, base: str, market_id: str | None, start: date, end: date,
+    ingested_at: datetime | None = None, compare: str = "any", markets: Markets = MARKETS,
+) -> tuple[Ingested, Ingested]:
+    """Append generation and load; the outcome of each."""
     jobs = (
         (landing.ENTSOE_GENERATION, series.parse_generation, schemas.ENTSOE_GENERATION),
         (landing.ENTSOE_LOAD, series.parse_load, schemas.ENTSOE_LOAD),
     )
+    done = []
     for layout, parse, table in jobs:
-        files = landing.read_files(spark, landing_base, layout, start, end, market_id=market_id)
-        _append(parse(files), base, table, "timestamp_utc", ingested_at)
+        files = _files(spark, landing_base, layout, market_id, start, end)
+        rows = _append(parse(files), base, table, "timestamp_utc", ingested_at, compare)
+        done.append(Ingested(rows, _coverage(files, "entsoe", market_id, markets, start, end)))
+    return done[0], done[1]
 
 
 def ingest_weather(
-    spark: SparkSession, landing_base: str, base: str, market_id: str, start: date, end: date,
-    ingested_at: datetime | None = None,
-) -> None:
-    files = landing.read_files(spark, landing_base, landing.WEATHER, start, end, market_id=market_id)
-    _append(series.parse_weather(files), base, schemas.WEATHER, "timestamp_utc", ingested_at)
+    spark: SparkSession, landing_base: str, base: str, market_id: str | None, start: date, end: date,
+    ingested_at: datetime | None = None, compare: str = "any", markets: Markets = MARKETS,
+) -> Ingested:
+    files = _files(spark, landing_base, landing.WEATHER, market_id, start, end)
+    rows = _append(
+        series.parse_weather(files), base, schemas.WEATHER, "timestamp_utc", ingested_at, compare
+    )
+    return Ingested(rows, _coverage(files, "weather", market_id, markets, start, end))
 
 
 def ingest_bnr_rates(
     spark: SparkSession, landing_base: str, base: str, start: date, end: date,
-    ingested_at: datetime | None = None,
-) -> None:
+    ingested_at: datetime | None = None, compare: str = "any",
+) -> int:
+    """Append the central bank's rates; returns how many."""
     files = landing.read_files(spark, landing_base, landing.BNR_RATES, start, end, suffix=".xml")
     notes = landing.read_files(spark, landing_base, landing.BNR_RATES, start, end, suffix=".json")
-    _append(rates.parse_bnr(files, notes), base, schemas.BNR_RATES, "date", ingested_at)
+    return _append(rates.parse_bnr(files, notes), base, schemas.BNR_RATES, "date", ingested_at, compare)
 
 
 def ingest_ecb_rates(
     spark: SparkSession, landing_base: str, base: str, start: date, end: date,
-    ingested_at: datetime | None = None,
-) -> None:
+    ingested_at: datetime | None = None, compare: str = "any",
+) -> int:
+    """Append the ECB's rates; returns how many."""
     files = landing.read_files(spark, landing_base, landing.ECB_RATES, start, end, suffix=".json")
-    _append(rates.parse_ecb(files), base, schemas.ECB_RATES, "date", ingested_at)
+    return _append(rates.parse_ecb(files), base, schemas.ECB_RATES, "date", ingested_at, compare)
 
 
 # ---- dimensions ----------------------------------------------------------------
 
 
-def _upsert(df: DataFrame, base: str, table: Table, key_fixes_partition: bool = True) -> None:
-    merge_upsert(
+class Built(NamedTuple):
+    """What a build did: rows written, and how many input rows it left out, by reason."""
+
+    rows: int
+    dropped: DataFrame
+
+
+def _upsert(df: DataFrame, base: str, table: Table, key_fixes_partition: bool = True) -> int:
+    return merge_upsert(
         df.sparkSession, conform(df, table), table.path(base), table.keys, table.partitions,
         key_fixes_partition,
     )
 
 
-def build_dim_date(spark: SparkSession, base: str, start: date, end: date) -> None:
+def build_dim_date(spark: SparkSession, base: str, start: date, end: date) -> int:
     days = dims.date_spine(dims.date_bounds(spark, start, end))
-    _upsert(dims.dim_date(days), base, schemas.DIM_DATE)
+    return _upsert(dims.dim_date(days), base, schemas.DIM_DATE)
 
 
 def build_dim_datetime(
     spark: SparkSession, base: str, start: date, end: date, markets: Markets = MARKETS
-) -> None:
+) -> int:
     axis = dims.dim_datetime(markets_frame(spark, markets), start, end)
-    _upsert(axis, base, schemas.DIM_DATETIME)
+    return _upsert(axis, base, schemas.DIM_DATETIME)
 
 
 def build_registry_dims(spark: SparkSession, base: str, markets: Markets = MARKETS) -> None:
@@ -157,7 +212,7 @@ def build_registry_dims(spark: SparkSession, base: str, markets: Markets = MARKE
 
 def build_dim_production_type(
     spark: SparkSession, base: str, start: date | None = None, end: date | None = None
-) -> None:
+) -> int:
     """Add newly discovered types; earlier ones stay as they are.
 
     With a date range only its readings are searched, which suffices for a run
@@ -167,7 +222,7 @@ def build_dim_production_type(
     seen = _stored(spark, base, schemas.ENTSOE_GENERATION, span, optional=True)
     assigned = _stored(spark, base, schemas.DIM_PRODUCTION_TYPE, optional=True)
     types = dims.dim_production_type(production_types_frame(spark), seen, assigned)
-    _upsert(types, base, schemas.DIM_PRODUCTION_TYPE)
+    return _upsert(types, base, schemas.DIM_PRODUCTION_TYPE)
 
 
 # ---- Bronze to Silver ------------------------------------------------------------
@@ -176,9 +231,9 @@ def build_dim_production_type(
 def build_exchange_rates(
     spark: SparkSession, base: str, start: date, end: date, markets: Markets = MARKETS,
     processed_at: datetime | None = None,
-) -> None:
+) -> int:
     """A source without a table counts as having published nothing."""
-    span = [("date", ">=", start - timedelta(days=LOOKBACK_DAYS)), ("date", "<=", end)]
+    span = [("date", "<=", end)]
     daily = silver.exchange_rates(
         _stored(spark, base, schemas.BNR_RATES, span, optional=True),
         _stored(spark, base, schemas.ECB_RATES, span, optional=True),
@@ -186,56 +241,57 @@ def build_exchange_rates(
     )
     stamp = processed_at or datetime.now(timezone.utc).replace(tzinfo=None)
     stamped = daily.withColumn("processed_at", F.lit(stamp).cast("timestamp"))
-    _upsert(stamped, base, schemas.EXCHANGE_RATES)
+    return _upsert(stamped, base, schemas.EXCHANGE_RATES)
 
 
 def build_fact_price(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> Built:
     days = [("delivery_date", ">=", start), ("delivery_date", "<=", end)]
+    observed = _stored(spark, base, schemas.OPCOM_PRICES, _market_filter(market_id) + days)
     fact = silver.fact_price(
-        _stored(spark, base, schemas.OPCOM_PRICES, _market_filter(market_id) + days),
-        _stored(spark, base, schemas.EXCHANGE_RATES, [("date", ">=", start), ("date", "<=", end)]),
+        observed, _stored(spark, base, schemas.EXCHANGE_RATES, [("date", ">=", start), ("date", "<=", end)]),
         _selected(market_id, markets), start, end,
     )
-    _upsert(fact, base, schemas.FACT_PRICE)
+    rows = _upsert(fact, base, schemas.FACT_PRICE)
+    return Built(rows, silver.dropped_prices(observed, _selected(market_id, markets), start, end))
 
 
 def build_fact_generation(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> Built:
     source = _market_filter(market_id) + _instants(start, end)
-    fact = silver.fact_generation(
-        _stored(spark, base, schemas.ENTSOE_GENERATION, source),
-        _stored(spark, base, schemas.DIM_PRODUCTION_TYPE),
-        _selected(market_id, markets), start, end,
+    observed = _stored(spark, base, schemas.ENTSOE_GENERATION, source)
+    types = _stored(spark, base, schemas.DIM_PRODUCTION_TYPE)
+    chosen = _selected(market_id, markets)
+    rows = _upsert(
+        silver.fact_generation(observed, types, chosen, start, end), base, schemas.FACT_GENERATION
     )
-    _upsert(fact, base, schemas.FACT_GENERATION)
+    return Built(rows, silver.dropped_generation(observed, types, chosen, start, end))
 
 
 def build_fact_load(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> int:
     source = _market_filter(market_id) + _instants(start, end)
     load = _stored(spark, base, schemas.ENTSOE_LOAD, source)
     fact = silver.fact_load(load, _selected(market_id, markets), start, end)
-    _upsert(fact, base, schemas.FACT_LOAD)
+    return _upsert(fact, base, schemas.FACT_LOAD)
 
 
 def build_fact_weather(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> Built:
     source = _market_filter(market_id) + _instants(start, end)
-    fact = silver.fact_weather(
-        _stored(spark, base, schemas.WEATHER, source),
-        _stored(spark, base, schemas.DIM_LOCATION),
-        _selected(market_id, markets), start, end,
-    )
-    _upsert(fact, base, schemas.FACT_WEATHER)
+    observed = _stored(spark, base, schemas.WEATHER, source)
+    places = _stored(spark, base, schemas.DIM_LOCATION)
+    chosen = _selected(market_id, markets)
+    rows = _upsert(silver.fact_weather(observed, places, chosen, start, end), base, schemas.FACT_WEATHER)
+    return Built(rows, silver.dropped_weather(observed, places, chosen, start, end))
 
 
 # ---- Silver to Gold --------------------------------------------------------------
@@ -252,8 +308,8 @@ def _days(market_id: str | None, start: date, end: date, markets: Markets) -> li
 def _replace(
     df: DataFrame, base: str, table: Table, market_id: str | None, start: date, end: date,
     markets: Markets,
-) -> None:
-    replace_date_range(
+) -> int:
+    return replace_date_range(
         df.sparkSession, conform(df, table), table.path(base), _selected(market_id, markets),
         date_id_of(start), date_id_of(end),
     )
@@ -262,38 +318,38 @@ def _replace(
 def build_price_hourly(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> int:
     facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end, markets))
     hourly = gold.price_hourly(facts, _selected(market_id, markets))
-    _replace(hourly, base, schemas.PRICE_HOURLY, market_id, start, end, markets)
+    return _replace(hourly, base, schemas.PRICE_HOURLY, market_id, start, end, markets)
 
 
 def build_generation_hourly(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> int:
     facts = _stored(spark, base, schemas.FACT_GENERATION, _days(market_id, start, end, markets))
     wide = gold.generation_hourly(facts, _stored(spark, base, schemas.DIM_PRODUCTION_TYPE))
-    _replace(wide, base, schemas.GENERATION_HOURLY, market_id, start, end, markets)
+    return _replace(wide, base, schemas.GENERATION_HOURLY, market_id, start, end, markets)
 
 
 def build_bess_signals(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     charge_slots: int = CHARGE_SLOTS, discharge_slots: int = DISCHARGE_SLOTS,
     markets: Markets = MARKETS,
-) -> None:
+) -> int:
     facts = _stored(spark, base, schemas.FACT_PRICE, _days(market_id, start, end, markets))
     marked = gold.bess_signals(facts, _selected(market_id, markets), charge_slots, discharge_slots)
-    _replace(marked, base, schemas.BESS_SIGNALS, market_id, start, end, markets)
+    return _replace(marked, base, schemas.BESS_SIGNALS, market_id, start, end, markets)
 
 
 def build_arbitrage_windows(
     spark: SparkSession, base: str, market_id: str | None, start: date, end: date,
     markets: Markets = MARKETS,
-) -> None:
+) -> int:
     marked = _stored(spark, base, schemas.BESS_SIGNALS, _days(market_id, start, end, markets))
     windows = queries.arbitrage_windows(marked)
-    _replace(windows, base, schemas.ARBITRAGE_WINDOWS, market_id, start, end, markets)
+    return _replace(windows, base, schemas.ARBITRAGE_WINDOWS, market_id, start, end, markets)
 
 
 def build_all(

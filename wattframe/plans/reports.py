@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +41,17 @@ def national_weather(
     )
 
 
-def weather_hourly(fact_weather: DataFrame, locations: DataFrame) -> DataFrame:
-    """Per-location weather next to its market's national signals."""
+def weather_hourly(
+    fact_weather: DataFrame, locations: DataFrame, market_id: str | None = None,
+    start: date | None = None, end: date | None = None,
+) -> DataFrame:
+    """Per-location weather next to its market's national signals, of one market and local days if asked."""
+    if market_id is not None:
+        locations = locations.filter(F.col("market_id") == market_id)
+    if start is not None:
+        fact_weather = fact_weather.filter(F.col("date_id") >= ft.date_id_of(start))
+    if end is not None:
+        fact_weather = fact_weather.filter(F.col("date_id") <= ft.date_id_of(end))
     named = fact_weather.join(
         locations.select("location_id", "location_name", "market_id"), "location_id"
     )
@@ -54,12 +64,15 @@ def cross_grain(
 ) -> DataFrame:
     """Hourly price, renewable share and load side by side.
 
-    Each input is brought to one row per market and UTC hour first, so joining
-    them multiplies nothing.
+    Each input is brought to one row per market and local hour first, so joining
+    them multiplies nothing.  A slot's clock position tells how far into its hour
+    it lies, whatever the zone's offset.
     """
     keys = ["market_id", "hour_start_utc"]
+    into_hour = F.col("local_time_id") % ft.SLOTS_PER_HOUR * ft.SLOT_SECONDS
+    hour = F.timestamp_seconds(F.unix_timestamp("timestamp_utc") - into_hour)
     price = (
-        fact_price.withColumn("hour_start_utc", ft.hour_start_utc("timestamp_utc"))
+        fact_price.withColumn("hour_start_utc", hour)
         .groupBy(*keys)
         .agg(F.avg("price_eur_mwh").alias("avg_price_eur_mwh"))
     )

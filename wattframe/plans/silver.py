@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions import time as ft
-from ..operators.fill import LOOKBACK_DAYS, reconcile_rates
+from ..operators.fill import reconcile_rates
 from ..operators.latest import latest_per_key
 from ..operators.resample import mean_by
-from ..operators.resolve import resolve
+from ..operators.resolve import resolve, unresolved
 from ..registry import Market, markets_frame, required_pairs, zones
-from ..schemas import BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER
+from ..schemas import (
+    BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER, Table,
+)
 
 Markets = Mapping[str, Market]
 
-# Rows of about 40 bytes: a few megabytes per executor.
-BROADCAST_ROWS = 200_000
-
 
 def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
     """Add registry columns; rows of markets that are not configured drop out."""
@@ -34,6 +33,16 @@ def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
     return df.join(F.broadcast(registry), "market_id")
 
 
+def current(df: DataFrame, table: Table) -> DataFrame:
+    """The latest revision of every key.
+
+    Rows of one key with the same ingest time, as one run stores them, are told
+    apart by their values and then by the other columns, greatest first, so the
+    outcome does not depend on row order.
+    """
+    return latest_per_key(df, table.keys, tiebreak=[c for c in table.tiebreak if c in df.columns])
+
+
 def local_days(
     df: DataFrame, markets: Markets, start: date, end: date, ts: str = "timestamp_utc"
 ) -> DataFrame:
@@ -55,14 +64,14 @@ def rate_observations(bnr: DataFrame, ecb: DataFrame) -> DataFrame:
     The central bank quotes lei per foreign unit: the foreign currency is the
     base.  The ECB quotes units per euro.
     """
-    national = latest_per_key(bnr, BNR_RATES.keys).select(
+    national = current(bnr, BNR_RATES).select(
         "date",
         F.col("foreign_currency").alias("base_currency"),
         F.lit("RON").alias("quote_currency"),
         F.lit("BNR").alias("source"),
         money.per_unit_rate("rate_ron", "multiplier").alias("rate"),
     )
-    european = latest_per_key(ecb, ECB_RATES.keys).select(
+    european = current(ecb, ECB_RATES).select(
         "date", F.lit("EUR").alias("base_currency"), "quote_currency",
         F.lit("ECB").alias("source"), "rate",
     )
@@ -73,9 +82,8 @@ def exchange_rates(
     bnr: DataFrame, ecb: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Daily rate per required pair for [start, end], without gaps once rates begin."""
-    seed = start - timedelta(days=LOOKBACK_DAYS)
-    in_span = F.col("date").between(F.lit(seed), F.lit(end))
-    observations = rate_observations(bnr.filter(in_span), ecb.filter(in_span))
+    so_far = F.col("date") <= F.lit(end)
+    observations = rate_observations(bnr.filter(so_far), ecb.filter(so_far))
     pairs = required_pairs(markets_frame(bnr.sparkSession, markets))
     return reconcile_rates(observations, pairs, start, end)
 
@@ -83,20 +91,17 @@ def exchange_rates(
 def daily_rates(rates: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
     """Rates that a market's prices of [start, end] are converted with.
 
-    The rate table is keyed by date and pair, so this has at most one row per day
-    and pair.  Up to ``BROADCAST_ROWS`` it is broadcast, and the prices need no
-    shuffle for it; beyond, the optimizer chooses.
+    The rate table is keyed by date and pair.  How it meets the prices is left to
+    the optimizer, which knows its size.
     """
     pairs = {(m.reporting_currency, m.currency) for m in markets.values()}
     wanted = F.concat_ws("/", "base_currency", "quote_currency").isin(["/".join(p) for p in pairs])
-    fx = rates.filter(F.col("date").between(F.lit(start), F.lit(end)) & wanted).select(
+    return rates.filter(F.col("date").between(F.lit(start), F.lit(end)) & wanted).select(
         F.col("date").alias("delivery_date"),
         F.col("base_currency").alias("reporting_currency"),
         F.col("quote_currency").alias("currency"),
         F.col("rate").alias("fx_rate"),
     )
-    at_most = ((end - start).days + 1) * len(pairs)
-    return F.broadcast(fx) if at_most <= BROADCAST_ROWS else fx
 
 
 def fact_price(
@@ -109,8 +114,8 @@ def fact_price(
     them).
     """
     in_range = F.col("delivery_date").between(F.lit(start), F.lit(end))
-    current = latest_per_key(prices.filter(in_range), OPCOM_PRICES.keys)
-    zoned = with_market(current, markets, "timezone", "currency", "reporting_currency")
+    latest = current(prices.filter(in_range), OPCOM_PRICES)
+    zoned = with_market(latest, markets, "timezone", "currency", "reporting_currency")
     tz = zones(markets)
     slots = zoned.filter(ft.slot_exists("delivery_date", "interval_15min", tz)).withColumn(
         "timestamp_utc", ft.slot_start_utc("delivery_date", "interval_15min", tz)
@@ -131,14 +136,13 @@ def fact_price(
 def fact_generation(
     generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
-    """Hourly mean per production type, bucketed on the UTC hour."""
-    days = local_days(generation, markets, start, end)
-    current = latest_per_key(days, ENTSOE_GENERATION.keys)
+    """Hourly mean per production type, bucketed on the local hour."""
+    latest = current(local_days(generation, markets, start, end), ENTSOE_GENERATION)
     named = types.select("production_type_id", F.col("production_type_name").alias("production_type"))
     return mean_by(
-        resolve(current, named, ["production_type"]),
+        resolve(latest, named, ["production_type"]),
         ["market_id", "production_type_id"],
-        {"hour_start_utc": ft.hour_start_utc("timestamp_utc")},
+        {"hour_start_utc": F.col("hour_start_utc")},
         ["actual_mw"],
         labels=["date_id", "time_id"],
     ).select("date_id", "time_id", "hour_start_utc", "market_id", "production_type_id", "actual_mw")
@@ -146,12 +150,10 @@ def fact_generation(
 
 def fact_load(load: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
     """Hourly mean load."""
-    days = local_days(load, markets, start, end)
-    current = latest_per_key(days, ENTSOE_LOAD.keys)
     return mean_by(
-        current,
+        current(local_days(load, markets, start, end), ENTSOE_LOAD),
         ["market_id"],
-        {"hour_start_utc": ft.hour_start_utc("timestamp_utc")},
+        {"hour_start_utc": F.col("hour_start_utc")},
         ["actual_load_mw"],
         labels=["date_id", "time_id"],
     ).select("date_id", "time_id", "hour_start_utc", "market_id", "actual_load_mw")
@@ -161,13 +163,55 @@ def fact_weather(
     weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Hourly weather per location; realized and forecast rows stay apart."""
-    days = local_days(weather, markets, start, end)
-    current = latest_per_key(days, WEATHER.keys)
+    latest = current(local_days(weather, markets, start, end), WEATHER)
     points = locations.select("market_id", "location_name", "location_id")
-    return resolve(current, points, ["market_id", "location_name"]).select(
+    return resolve(latest, points, ["market_id", "location_name"]).select(
         "date_id", "time_id", "hour_start_utc", "location_id", "data_type",
         F.col("temperature_2m").alias("temperature_c"),
         F.col("wind_speed_100m").alias("wind_speed_ms"),
         F.col("shortwave_radiation").alias("solar_irradiance_wm2"),
         F.col("cloud_cover").alias("cloud_cover_pct"),
     )
+
+
+# ---- what the builders leave out -------------------------------------------------
+
+
+def _counted(df: DataFrame, table: str, reason: str, *key: str) -> DataFrame:
+    """Dropped rows per key, spelled as text."""
+    return df.groupBy(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]).alias("key")).agg(
+        F.count("*").alias("dropped_rows")
+    ).select(F.lit(table).alias("table"), F.lit(reason).alias("reason"), "key", "dropped_rows")
+
+
+def dropped_prices(prices: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
+    """Current prices of the range that ``fact_price`` leaves out: unknown markets, slots that the day does not have."""
+    latest = current(prices.filter(F.col("delivery_date").between(F.lit(start), F.lit(end))), OPCOM_PRICES)
+    known = latest.join(F.broadcast(markets_frame(prices.sparkSession, markets).select("market_id", "timezone")), "market_id", "left")
+    off_axis = known.filter(
+        F.col("timezone").isNotNull() & ~ft.slot_exists("delivery_date", "interval_15min", zones(markets))
+    )
+    unknown = known.filter(F.col("timezone").isNull())
+    return _counted(unknown, "fact_price", "unknown market", "market_id").unionByName(
+        _counted(off_axis, "fact_price", "slot not on the axis", "market_id", "delivery_date")
+    )
+
+
+def dropped_generation(
+    generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
+    """Current readings of the range whose production type is unknown."""
+    latest = current(local_days(generation, markets, start, end), ENTSOE_GENERATION)
+    named = types.select(F.col("production_type_name").alias("production_type"))
+    return _counted(
+        unresolved(latest, named, ["production_type"]), "fact_generation", "unknown production type", "production_type"
+    )
+
+
+def dropped_weather(
+    weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
+    """Current readings of the range whose place is unknown."""
+    latest = current(local_days(weather, markets, start, end), WEATHER)
+    on = ["market_id", "location_name"]
+    return _counted(unresolved(latest, locations.select(*on), on), "fact_weather", "unknown location", *on)

@@ -26,6 +26,12 @@ class Table:
     def schema(self) -> StructType:
         return StructType.fromDDL(self.columns)
 
+    @property
+    def tiebreak(self) -> tuple[str, ...]:
+        """What tells rows of one key and ingest time apart: the values, then all other columns."""
+        known = {*self.keys, *self.values, "ingested_at"}
+        return (*self.values, *(f.name for f in self.schema if f.name not in known))
+
     def path(self, base: str) -> str:
         return f"{base.rstrip('/')}/{self.layer}/{self.name}"
 
