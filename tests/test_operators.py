@@ -42,9 +42,9 @@ def signals_of(spark, prices, charge=8, discharge=8):
 @pytest.mark.parametrize(
     "prices, charge, discharge, expected",
     [
-        ([float(i) for i in range(96)], 8, 8, [-1] * 8 + [0] * 80 + [1] * 8),
+        ([i * 1.5 - 20 for i in range(100)], 7, 9, [-1] * 7 + [0] * 84 + [1] * 9),
         ([None] * 96, 8, 8, [0] * 96),
-        ([None, None, 1.0, 2.0, 3.0], 2, 2, [0, 0, -1, -1, 1]),
+        ([None, 7.5, None, -3.0, 40.0, None], 2, 2, [0, -1, 0, -1, 1, 0]),
         ([5.0] * 96, 2, 2, [-1, -1] + [0] * 92 + [1, 1]),
         ([7.0], 1, 1, [-1]),
         ([10.0, -50.0, 20.0, -60.0, 5.0], 2, 1, [0, -1, 1, -1, 0]),
