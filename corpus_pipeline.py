@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import stored
+from wattframe.operators.staging import stored
 from wattframe.llm.decontaminate import benchmark_matches
 from wattframe.llm.exact import distinct_texts
 from wattframe.llm.language import UNKNOWN, held_out, predict_language, train_language_model

@@ -1,16 +1,17 @@
-"""What several operators of this package share: words as arrays, blocks of rows, stored frames, components."""
+"""What several operators of this package share: words as arrays, blocks of rows, components."""
 
 from __future__ import annotations
 
-import uuid
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import stored
+
 # ---- words ---------------------------------------------------------------------------
 
 
@@ -124,29 +125,6 @@ def in_blocks(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return dealt, size
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate data; set here only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
-    return folder
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: no lineage, nothing lost with an executor.
-
-    The files are deleted when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 # ---- connected components ------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words, stored, strong_hashes, word_ids
+from ..operators.staging import stored
+from .common import split_words, strong_hashes, word_ids
 
 #: Numbers of the words outside the model's vocabulary, and of the end of a text (also what stands before its start).
 OTHER, END = 0, 1

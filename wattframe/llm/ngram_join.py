@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rolling_hashes, split_words, stored, strong_hashes, texts_of, word_ids
+from ..operators.staging import stored
+from .common import components, rolling_hashes, split_words, strong_hashes, texts_of, word_ids
 
 #: Slots of the frequency sketch and parts it is summed in; fixed, whatever the input.
 SLOTS, CHUNKS = 1 << 18, 64
