@@ -20,7 +20,7 @@ from wattframe.operators.wide import melt
 from wattframe.plans import dims, gold, reports, silver
 from wattframe.plans import queries as ask
 from wattframe.registry import (
-    PRODUCTION_TYPES, Market, market_timezones, production_types_frame, required_pairs, zones,
+    PRODUCTION_TYPES, Market, market_timezones, mix_columns, production_types_frame, required_pairs, zones,
 )
 from wattframe.schemas import ENTSOE_GENERATION, OPCOM_PRICES, WEATHER
 
@@ -359,7 +359,7 @@ def forward_fill_chunked(spark, sf_dir):
 @query(
     """WITH r AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'RO' WHEN 1 THEN 'DE' ELSE 'GB' END AS market_id,
   o_orderdate AS at, max(struct_pack(o_totalprice, o_orderkey)) AS best
-  FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY 1, 2)
+  FROM orders GROUP BY 1, 2)
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.market_id, l.at,
   r.best.o_totalprice AS o_totalprice, r.best.o_orderkey AS o_orderkey
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS at,
@@ -367,18 +367,16 @@ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate AS at,
 ASOF LEFT JOIN r ON l.market_id = r.market_id AND l.at >= r.at"""
 )
 def asof_rate(spark, sf_dir):
-    """Last urgent order at or before each shipment; three keys hold all rows."""
+    """Last order at or before each shipment; three keys hold all rows."""
     shipped = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", fr.lineitem_market().alias("market_id"),
         F.col("l_shipdate").cast("timestamp").alias("at"),
     )
-    urgent = table(spark, sf_dir, "orders").filter(
-        "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
-    ).select(
+    orders = table(spark, sf_dir, "orders").select(
         fr.choose(F.col("o_custkey"), "RO", "DE", "GB").alias("market_id"),
         F.col("o_orderdate").cast("timestamp").alias("at"), "o_totalprice", "o_orderkey",
     )
-    return asof_join(shipped, urgent, ["market_id"], "at", ["o_totalprice", "o_orderkey"], "day", 4)
+    return asof_join(shipped, orders, ["market_id"], "at", ["o_totalprice", "o_orderkey"], "day", 4)
 
 
 @query(
@@ -469,23 +467,23 @@ def arbitrage_windows(spark, sf_dir):
 @query(
     sql(
         """SELECT s.market_id, s.date_id, max(s.arbitrage_spread_eur_mwh) AS arbitrage_spread_eur_mwh,
-  any_value(coalesce(w.n_charge, 0)) AS n_charge, any_value(coalesce(w.n_discharge, 0)) AS n_discharge,
-  any_value(w.first_charge) AS first_charge
+  any_value(coalesce(w.charge, '')) AS charge, any_value(coalesce(w.discharge, '')) AS discharge
 FROM signals s LEFT JOIN (SELECT market_id, date_id,
-    CAST(count(*) FILTER (type = 'charge') AS INTEGER) AS n_charge,
-    CAST(count(*) FILTER (type = 'discharge') AS INTEGER) AS n_discharge,
-    min(start_utc) FILTER (type = 'charge') AS first_charge FROM windows GROUP BY 1, 2) w
+    string_agg(strftime(start_utc, '%Y-%m-%dT%H:%M:%S') || '/' || n_slots, ',' ORDER BY start_utc) FILTER (type = 'charge') AS charge,
+    string_agg(strftime(start_utc, '%Y-%m-%dT%H:%M:%S') || '/' || n_slots, ',' ORDER BY start_utc) FILTER (type = 'discharge') AS discharge
+    FROM windows GROUP BY 1, 2) w
   USING (market_id, date_id) GROUP BY 1, 2""",
         "windows",
     )
 )
 def day_windows(spark, sf_dir):
-    """Both window lists per day, here reduced to their lengths and first start."""
-    charge = F.col("charge_windows")
+    """Both window lists per day, every window written as its start and number of slots."""
+    listed = lambda c: F.array_join(
+        F.transform(c, lambda w: F.concat_ws("/", ft.iso_utc(w["start_utc"]), w["n_slots"].cast("string"))), ","
+    )
     return ask.day_windows(_signals(spark, sf_dir)).select(
         "market_id", "date_id", "arbitrage_spread_eur_mwh",
-        F.size(charge).alias("n_charge"), F.size("discharge_windows").alias("n_discharge"),
-        F.get(charge, F.lit(0))["start_utc"].alias("first_charge"),
+        listed("charge_windows").alias("charge"), listed("discharge_windows").alias("discharge"),
     )
 
 
@@ -603,33 +601,35 @@ def hourly_mean(spark, sf_dir):
     return mean_by(moved, ["event_type"], hour, ["value"], ["last_user"])
 
 
-_MIX = ("solar_mw", "wind_onshore_mw", "nuclear_mw", "fossil_gas_mw", "other_discovered_mw")
+_READ = ("solar_mw", "wind_onshore_mw", "nuclear_mw", "fossil_gas_mw")
+_MIX = (*_READ, "other_discovered_mw")
+# Types without readings: their columns hold 0.
+_SILENT_TYPES = tuple(c for c in mix_columns().values() if c not in _READ)
 
 
-@query(sql("SELECT * FROM mix", "mix"))
+@query(sql(f"SELECT *, {', '.join(f'0.0::DOUBLE AS {c}' for c in _SILENT_TYPES)} FROM mix", "mix"))
 def generation_hourly(spark, sf_dir):
-    """Wide mix with roll-ups; the 17 types without readings are left out here."""
+    """Wide mix with roll-ups, all columns of it."""
     return fr.generation_hourly(spark, sf_dir).select(
-        "market_id", "hour_start_utc", "date_id", "time_id", *_MIX, "total_mw", "renewable_mw",
+        "market_id", "hour_start_utc", "date_id", "time_id", *_MIX, *_SILENT_TYPES, "total_mw", "renewable_mw",
         "thermal_mw", "nuclear_mw_total", "renewable_share_pct",
     )
 
 
 @query(
     sql(
-        """SELECT market_id, hour_start_utc, date_id, time_id, total_mw, renewable_mw, thermal_mw, nuclear_mw_total,
-  renewable_share_pct, 22 AS n_sources, solar_mw AS solar, fossil_gas_mw AS fossil_gas,
-  other_discovered_mw AS other_discovered FROM mix""",
+        f"""SELECT market_id, hour_start_utc, date_id, time_id, total_mw, renewable_mw, thermal_mw, nuclear_mw_total,
+  renewable_share_pct, {len(_SILENT_TYPES) + len(_MIX)} AS n_sources, {', '.join(_MIX)},
+  {', '.join(f'0.0::DOUBLE AS {c}' for c in _SILENT_TYPES)} FROM mix""",
         "mix",
     )
 )
 def ask_generation(spark, sf_dir):
-    """The generation question; three entries of the source map stand for it."""
-    source = lambda name: F.col("sources")[f"{name}_mw"].alias(name)
+    """The generation question, every entry of the source map in a column."""
     return ask.generation(fr.generation_hourly(spark, sf_dir)).select(
         "market_id", "hour_start_utc", "date_id", "time_id", "total_mw", "renewable_mw", "thermal_mw",
         "nuclear_mw_total", "renewable_share_pct", F.size("sources").alias("n_sources"),
-        source("solar"), source("fossil_gas"), source("other_discovered"),
+        *[F.col("sources")[c].alias(c) for c in (*_MIX, *_SILENT_TYPES)],
     )
 
 
@@ -826,6 +826,21 @@ def dim_date(spark, sf_dir):
     return dims.dim_date(date_spine(span))
 
 
+@query(
+    ORACLES["dim_date"].replace(
+        "SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders",
+        "SELECT CAST(min(ts) AS DATE) - 370 AS lo, CAST(max(ts) AS DATE) + 700 AS hi FROM events",
+    )
+)
+def dim_date_of_events(spark, sf_dir):
+    """Calendar dimension of the years around the events, when two more holidays came into force."""
+    day = F.col("ts").cast("date")
+    span = table(spark, sf_dir, "events").agg(
+        F.date_sub(F.min(day), 370).alias("start"), F.date_add(F.max(day), 700).alias("end")
+    )
+    return dims.dim_date(date_spine(span))
+
+
 @query(f"WITH {_HOLIDAY_CTE} SELECT y AS year, easter FROM e")
 def easter(spark, sf_dir):
     """Orthodox Easter of every year with orders."""
