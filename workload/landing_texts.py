@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import text
 from wattframe.functions import time as ft
+from wattframe.operators import changes
 from wattframe.operators.latest import latest_per_key
-from wattframe.schemas import ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER
+from wattframe.schemas import BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER, Table
 from wattframe.sources import landing, prices, rates, series
 
 from . import frames as fr
-from .catalog import query
+from .catalog import ORACLES, query
 from .frames import sql, table
 
 
@@ -344,3 +345,30 @@ def plain_number(spark, sf_dir):
     """Numbers as text; anything else, a Java suffix included, is NULL."""
     written = F.concat(F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "d").otherwise(" "))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.plain_number(written).alias("value"))
+
+
+# ---- writers: texts, parsed, less what an earlier run has stored -------------------------
+
+
+def _writer(name: str, parse, target: Table, day: str, cut: str) -> None:
+    """Query ``name``: the rows that a run appends to a table that holds all before ``cut``."""
+
+    def build(spark, sf_dir):
+        rows = parse(spark, sf_dir)
+        stored = rows.filter(F.col(day) < F.lit(cut).cast(rows.schema[day].dataType))
+        return changes.new_observations(rows, stored, target.keys, target.values)
+
+    build.__name__ = name
+    kind = "DATE" if day.endswith("date") else "TIMESTAMP"
+    query(f"SELECT * FROM ({ORACLES[parse.__name__]}) WHERE {day} >= {kind} '{cut}'")(build)
+
+
+for _name, _parse, _table, _day, _cut in (
+    ("ingest_prices", csv_prices, OPCOM_PRICES, "delivery_date", "1998-01-01"),
+    ("ingest_generation", json_generation, ENTSOE_GENERATION, "timestamp_utc", "2024-10-27 00:00:00"),
+    ("ingest_load", json_load, ENTSOE_LOAD, "timestamp_utc", "2024-10-27 00:00:00"),
+    ("ingest_weather", json_weather, WEATHER, "timestamp_utc", "2024-10-27 00:00:00"),
+    ("ingest_bnr_rates", xml_rates, BNR_RATES, "date", "1998-01-01"),
+    ("ingest_ecb_rates", json_rates, ECB_RATES, "date", "1998-01-01"),
+):
+    _writer(_name, _parse, _table, _day, _cut)
