@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -11,11 +12,12 @@ from pyspark.sql import functions as F
 from wattframe.functions import calendar as cal
 from wattframe.functions import money, text
 from wattframe.functions import time as ft
-from wattframe.operators import changes, quality, resolve, usage
+from wattframe.operators import changes, quality, resolve, store, usage
 from wattframe.operators.axis import date_spine, join_axis, peak_slot_range, settlement_axis
 from wattframe.operators.fill import asof_join, forward_fill
 from wattframe.operators.latest import latest_per_key
 from wattframe.operators.resample import mean_by
+from wattframe.operators.staging import shared_folder
 from wattframe.operators.wide import melt
 from wattframe.plans import dims, gold, reports, silver
 from wattframe.plans import queries as ask
@@ -140,6 +142,38 @@ def upsert_rows(spark, sf_dir):
     return changes.merged_rows(target, source, OPCOM_PRICES.keys)
 
 
+@query(
+    sql(
+        """, r AS (SELECT market_id, CAST(year(delivery_date) * 100 + month(delivery_date) AS INTEGER) AS date_id, delivery_date,
+  interval_15min, price_lei_mwh FROM price_latest),
+merged AS (SELECT * FROM r WHERE date_id < 199801 UNION ALL
+  SELECT * REPLACE (price_lei_mwh + 1 AS price_lei_mwh) FROM r WHERE date_id >= 199801)
+SELECT * FROM (SELECT * FROM merged WHERE NOT (market_id = 'RO' AND date_id BETWEEN 199701 AND 199712)
+  UNION ALL SELECT * REPLACE (price_lei_mwh * 2 AS price_lei_mwh) FROM r
+  WHERE market_id = 'RO' AND date_id BETWEEN 199701 AND 199706)
+WHERE market_id IN ('RO', 'GB') AND date_id >= 199603""",
+        "price_latest",
+    )
+)
+def store_round_trip(spark, sf_dir):
+    """A table written, upserted, replaced in a range and read back with filters; a month is a partition."""
+    month = (F.year("delivery_date") * 100 + F.month("delivery_date")).cast("int")
+    rows = latest_per_key(fr.price_obs(spark, sf_dir), OPCOM_PRICES.keys).select(
+        "market_id", month.alias("date_id"), "delivery_date", "interval_15min", "price_lei_mwh"
+    )
+    path = f"{shared_folder(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}/prices"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    partitions, price = ("market_id", "date_id"), F.col("price_lei_mwh")
+    later = rows.filter("date_id >= 199801").withColumn("price_lei_mwh", price + 1)
+    for batch in (rows.filter("date_id < 199901"), later):
+        store.merge_upsert(spark, batch, path, OPCOM_PRICES.keys, partitions, key_fixes_partition=True)
+    half = rows.filter("market_id = 'RO' AND date_id BETWEEN 199701 AND 199706")
+    store.replace_date_range(spark, half.withColumn("price_lei_mwh", price * 2), path, "RO", 199701, 199712)
+    filters = [("market_id", "in", ["RO", "GB"]), ("date_id", ">=", 199603)]
+    return store.read_table(spark, path, filters, rows.schema).select(rows.columns)
+
+
 @query(
     sql(
         """SELECT * FROM fact_price WHERE NOT (market_id = 'RO' AND date_id BETWEEN 19970101 AND 19991231)
