@@ -25,14 +25,15 @@ def forward_fill(
     keys: Sequence[str],
     order: str,
     columns: Sequence[str],
-    chunk: str | None = None,
+    chunk: str | None = "month",
 ) -> DataFrame:
     """Replace NULLs by the last earlier non-NULL value of the same key.
 
-    ``order`` must be unique per key.  Without ``chunk`` one task walks one key,
-    which suits keys bounded by a calendar.  With a ``date_trunc`` unit a key is
-    cut into time chunks filled independently; the value entering a chunk comes
+    ``order`` must be unique per key.  A key is cut into time chunks of a
+    ``date_trunc`` unit, filled independently; the value entering a chunk comes
     from a summary with one row per (key, chunk), so no task holds a whole key.
+    With ``chunk=None`` one task walks one key, for keys bounded by a calendar or
+    an ``order`` that is no time.
     """
     if chunk is None:
         walk = _up_to_here(Window.partitionBy(*keys).orderBy(order))
@@ -127,15 +128,15 @@ def asof_join(
     on: str,
     payload: Sequence[str],
     chunk: str = "day",
-    salts: int = 1,
+    salts: int = 4,
 ) -> DataFrame:
     """Attach to each left row the ``payload`` of the last right row with ``on`` <= its own.
 
     Both sides are cut into (key, time chunk) cells and each cell is walked once,
     so no pair of rows is ever formed.  A summary with one row per (key, chunk)
-    supplies the right row in force when a chunk begins.  ``salts`` > 1 deals the
-    left rows of a cell to that many tasks and copies only the cell's right rows,
-    for cells that stay too large at the chosen chunk.  Of several right rows
+    supplies the right row in force when a chunk begins.  The left rows of a cell
+    are dealt to ``salts`` tasks, and only the cell's right rows are copied; raise
+    it, or shorten the chunk, for keys of very many rows a day.  Of several right rows
     with the same key and ``on`` the greatest payload is used.
     """
     value, cell = "_value", [*by, "_chunk"]
