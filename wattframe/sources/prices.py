@@ -17,13 +17,19 @@ HEADER_CELL = "Zona de tranzactionare"
 _CELLS = 6
 _BODY = rf"(?s)(?:^|\n)[^,\n]*{HEADER_CELL}[^,\n]*(?:,[^,\n]*){{{_CELLS - 1},}}\n(.*)"
 _SEPARATOR = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_ALL_QUOTED = r'^"[^"]*"(?:,"[^"]*")*$'
 
 
 def _cells(line: Column) -> Column:
-    """Split at commas outside quotes; drop quotes and surrounding blanks."""
-    return F.transform(
-        F.split(line, _SEPARATOR, -1), lambda cell: strip(strip(strip(cell), '"'))
-    )
+    """Split at commas outside quotes; drop quotes and surrounding blanks.
+
+    A line whose cells are all quoted, as the exports write them, is cut between
+    the quotes; only others need the search for commas outside quotes.
+    """
+    inside = line.substr(F.lit(2), F.length(line) - 2)
+    plain = F.transform(F.split(inside, '","', -1), lambda cell: strip(cell))
+    any_ = F.transform(F.split(line, _SEPARATOR, -1), lambda cell: strip(strip(strip(cell), '"')))
+    return F.when(line.rlike(_ALL_QUOTED), plain).otherwise(any_)
 
 
 def _slot(cells: Column) -> Column:
