@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.staging import stored
@@ -16,7 +17,7 @@ from .common import components, rolling_hashes, split_words, strong_hashes, text
 #: Slots of the frequency sketch and parts it is summed in; fixed, whatever the input.
 SLOTS, CHUNKS = 1 << 18, 64
 BASE = 0x9E3779B97F4A7C15
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +150,7 @@ def similar_classes(
     shape = filled.select(F.col("row").alias("node"), "size", "bands", "id", "tx")
 
     every = filled.select("row", "size", "prefix").mapInArrow(_entries, "h long, row long, size long, pos int").repartition("h")
-    shared = every.join(every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "h")
+    shared = every.withColumn("k", F.count("*").over(W.partitionBy("h"))).where("k > 1")
     entries = shared.join(members, "row").select("h", "node", "size", "pos").distinct()
     entries = stored(entries, "ngram-entries")
 
@@ -193,7 +194,8 @@ def _entries(batches):
 def _bands(own: np.ndarray) -> bytes:
     """How many hashes lie in each of 2**k equal ranges, k the least with as many ranges as hashes; 255 stands for more."""
     k = max(0, len(own) - 1).bit_length()
-    return np.minimum(np.bincount((own >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(own), np.int64), minlength=1 << k), 255).astype(np.uint8).tobytes()
+    band = (own >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(own), np.int64)
+    return np.minimum(np.bincount(band, minlength=1 << k), 255).astype(np.uint8).tobytes()
 
 
 def _most_common(x: bytes, y: bytes) -> float:
