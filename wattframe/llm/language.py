@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Hash slots of the n-grams; n-grams of 1 to ORDERS characters.
 SLOTS, ORDERS = 1 << 15, 3
 UNKNOWN = "und"
+#: More values of ``lang`` than this are no languages; their shares of the sample are sent to every task.
+MAX_LANGUAGES = 10_000
 
 
 class LanguageModel(NamedTuple):
@@ -140,13 +142,17 @@ def train_language_model(labelled: DataFrame, per_language: int = 1000) -> Langu
     """A model from rows ``id, text, lang``.
 
     Document frequencies count all rows.  Weights and temperature are fitted on a bounded sample:
-    the ``per_language`` rows of each language with the least hash of their id, a fifth of them for the
+    ``per_language`` rows of each language, drawn by a fixed seed where they lie; a fifth of them for the
     temperature.  Tables of rows without language or text give a model of no language, which answers ``und``.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     idf = inverse_frequencies(labelled)
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    rows = labelled.withColumn("nth", nth).where(F.col("nth") <= per_language).select("nth", "lang", "text")
+    shares = labelled.groupBy("lang").agg((F.lit(1.2 * per_language + 50) / F.count("*")).alias("share"))
+    if shares.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    drawn = labelled.select("lang", "text", F.rand(7).alias("draw")).join(F.broadcast(shares), "lang").where("draw < share")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= per_language).select("nth", "lang", "text")
 
     def vectors(batches):
         for batch in batches:
@@ -167,7 +173,7 @@ def train_language_model(labelled: DataFrame, per_language: int = 1000) -> Langu
     ]
     held = [d for d, r in zip(data, sample) if r["nth"] % 5 == 0]
     weights, bias = follow_the_leader([d for d, r in zip(data, sample) if r["nth"] % 5], max(1, len(languages)))
-    scores = np.array([v @ weights[at] + bias for at, v, _ in held]).reshape(len(held), -1)
+    scores = np.array([v @ weights[at] + bias for at, v, _ in held]).reshape(len(held), len(bias))
     temperature = temperature_for(scores, np.array([label for *_, label in held], int))
     return LanguageModel(languages, idf, weights, bias, temperature)
 
