@@ -15,7 +15,8 @@ from ..operators.staging import stored
 from .common import components, rolling_hashes, split_words, strong_hashes, texts_of, word_ids
 
 #: Slots of the frequency sketch and parts it is summed in; fixed, whatever the input.
-SLOTS, CHUNKS = 1 << 18, 64
+SLOT_BITS, CHUNKS = 22, 64
+SLOTS = 1 << SLOT_BITS
 BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = 2 << 20
 
@@ -66,29 +67,39 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 def ngram_frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """How often the n-grams of each hash slot occur, over all texts; a fixed SLOTS numbers reach the driver."""
+    """How often the n-grams of each hash slot occur, over all texts; a fixed SLOTS numbers reach the driver.
+
+    A task's count stops at 65,535; the numbers only rank.
+    """
 
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for _, part in sliced(batches, "text"):
-            total += np.bincount((shingles(part, n)[0] >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
+            slots, own = np.unique(_slot(shingles(part, n)[0]), return_counts=True)
+            total[slots] += own
+        total = np.minimum(total, 65535).astype(np.uint16)
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(range(CHUNKS), pa.int32()),
             "counts": pa.array([c.tobytes() for c in total.reshape(CHUNKS, -1)], pa.binary()),
         })
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
+        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in table["counts"].to_pylist())
+        total = np.minimum(total, 65535).astype(np.uint16)
         return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "chunk int, counts binary"
     rows = texts.select("text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.int64)
+    total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint16)
     for row in rows:
-        total[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
+        total[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
     return total.reshape(-1)
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def required(a: Column, b: Column, percent: int) -> Column:
     """Least intersection of sets of sizes ``a`` and ``b`` with 100 * intersection >= percent * union."""
     return F.ceil((a + b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9)).cast("long")
@@ -117,12 +128,12 @@ def similar_classes(
     with a null id can link rows, and its component is the least id among the others, null if there is none.
     """
     texts = texts_of(docs, id_col, text_col)
-    frequency = ngram_frequencies(texts, n).astype(np.uint32)
+    frequency = ngram_frequencies(texts, n)
 
     def describe(batches):
         for batch, part in sliced(batches, "text"):
             hashes, first = shingle_sets(part, n)
-            rank = frequency[hashes >> np.uint64(46)]
+            rank = frequency[_slot(hashes)]
             digests, prefixes, bands = [], [], []
             for lo, hi in zip(first[:-1], first[1:]):
                 own, size = hashes[lo:hi], hi - lo
