@@ -205,6 +205,25 @@ def test_repeated_lines_equal_brute_force(spark):
         assert kept[i] == (None if lines is None else "\n".join(lines))
 
 
+def test_lines_meet_by_edit_similarity_alone(spark):
+    r = fixtures.random.Random(5)
+    rows, pairs = [], []
+    for size in (5, 8, 15, 30, 80) * 30:
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(size)]
+        line, near = " ".join(words), words[:]
+        near[r.randrange(size)] = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+        if r.random() < 0.5 and size > 15:
+            near[r.randrange(size)] = "other"
+        near = " ".join(near)
+        if near != line and edit_similarity(line.encode(), near.encode(), 0.8):
+            pairs.append((2 * len(pairs) + 1, size))
+            rows += [(pairs[-1][0] - 1, line), (pairs[-1][0], near)]
+    found = {x.id for x in repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.removed}
+    for size in (5, 8, 15, 30, 80):
+        own = [i for i, n in pairs if n == size]
+        assert len(own) >= 25 and len(found & set(own)) >= 0.9 * len(own)
+
+
 def test_edit_similarity_equals_the_full_table():
     r = fixtures.random.Random(4)
 
