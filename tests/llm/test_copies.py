@@ -12,6 +12,7 @@ from wattframe.llm.common import components
 from wattframe.llm.exact import distinct_texts, exact_duplicates
 from wattframe.llm.lines import BITS_APART, edit_similarity, normalised, repeated_lines, simhashes, without_lines
 from wattframe.llm.ngram_join import similar_classes
+from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
 from wattframe.llm.suffix import longest_factors, repeated_bytes
 
@@ -224,6 +225,13 @@ def test_lines_meet_by_edit_similarity_alone(spark):
         assert len(own) >= 25 and len(found & set(own)) >= 0.9 * len(own)
 
 
+def test_query_takes_short_repeats_out(spark, tmp_path):
+    rows = [(1, "ab\nPage 3 of 40\n\n7"), (2, "Page 12 of 40\nAB!\n\nxyz"), (3, "8\nown\nletzte."), (4, "Ietzte.\nxyw")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x.removed_lines for x in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 1], 3: [0], 4: [0]}
+
+
 def test_edit_similarity_equals_the_full_table():
     r = fixtures.random.Random(4)
 

@@ -177,7 +177,7 @@ def op9_mixing(spark, sf_dir):
 @query()
 def op7_line_dedup(spark, sf_dir):
     """The lines of every document that go because a like line stays elsewhere."""
-    found = repeated_lines(table(spark, sf_dir, "documents"))
+    found = repeated_lines(table(spark, sf_dir, "documents"), min_bytes=1)
     return found.select(
         F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
         F.col("removed").alias("removed_lines"),
