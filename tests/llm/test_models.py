@@ -244,6 +244,19 @@ def test_scores_of_texts(spark):
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
+def test_words_beyond_the_commonest_are_told_by_their_context(spark):
+    r = fixtures.random.Random(12)
+    common = ["aaa", "bbb", "ccc", "ddd"]
+    rare = {w: ["".join(r.choice("efgh") for _ in range(6)) + w for _ in range(300)] for w in common}
+    rows = [(i, " ".join(x for w in r.choices(common, k=100) for x in (w, r.choice(rare[w]))), i % 5 == 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string, held boolean")
+    got = [x for x in lm.score_texts(docs, top=4, size=8, rounds=3, block_bytes=1 << 14).collect() if x.held_out]
+    tokens = sum(x.n_tokens for x in got)
+    # half the tokens are rare words, and the word before says which quarter of them
+    one_class = [x for x in lm.score_texts(docs, top=4, size=8, rounds=3, block_bytes=1 << 14, classes=1).collect() if x.held_out]
+    assert sum(x.score for x in got) > sum(x.score for x in one_class) + 0.08 * tokens
+
+
 def test_scores_on_odd_tables(spark):
     for docs in (fixtures.documents(spark), fixtures.with_null_ids(spark)):
         rows = lm_rows(docs)

@@ -13,19 +13,33 @@ from pyspark.sql import functions as F
 from ..operators.staging import stored
 from .common import split_words, strong_hashes, word_ids
 
-#: Numbers of the words outside the model's vocabulary, and of the end of a text (also what stands before its start).
-OTHER, END = 0, 1
+#: Number of the end of a text (also what stands before its start); classes of words follow, then words.
+END = 0
+#: Bytes at the end of a word that name its class.
+SUFFIX = 3
 CONTEXT = 2
 ADD = 0.1
 
 
 class Vocabulary(NamedTuple):
-    words: list[bytes]  # numbered from 2
+    words: list[bytes]  # numbered from 1 + classes
+    classes: int  # numbered from 1; of words that have no number of their own
     counts: np.ndarray  # training tokens by number
     tokens: int  # N
     types: int  # V
 
 
+def classes_of(words: list[bytes], classes: int) -> np.ndarray:
+    """The class of each word, by its last bytes, so that a word never seen in training has one too."""
+    return (strong_hashes([w[-SUFFIX:] for w in words])[:, 0] % np.uint64(classes)).astype(np.int64)
+
+
+def numbers_of(words: list[bytes], number: dict[bytes, int], classes: int) -> np.ndarray:
+    """The model's number of each word: its own, or that of its class."""
+    own = np.array([number.get(w, 0) for w in words], np.int64)
+    return np.where(own > 0, own, 1 + classes_of(words, classes))
+
+
 class Model(NamedTuple):
     """Score of word ``w`` after ``h``: ``target[w] . sum(position[i] * context[h[i]]) + bias[w]``."""
 
@@ -192,12 +206,12 @@ def _tokens(words, numbers: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndar
 # ---- counting, training, scoring on Spark --------------------------------------------
 
 
-def count_words(packed: DataFrame, buckets: int, top: int) -> DataFrame:
+def count_words(packed: DataFrame, buckets: int, top: int, classes: int) -> DataFrame:
     """Training counts of every word, stored as rows of three kinds.
 
     ``block, bucket, counts``: for each block that sent its distinct words of a bucket, their counts over
     all blocks, in the order sent.  ``word, n``: the ``top`` words of each bucket.  ``types, n``: distinct words
-    and tokens of a bucket.  A word costs a block one entry however often it stands there.
+    and tokens of a bucket, with both by class as its payload.  A word costs a block one entry however often it stands there.
     """
 
     def send(batches):
@@ -227,12 +241,14 @@ def count_words(packed: DataFrame, buckets: int, top: int) -> DataFrame:
         best = np.lexsort((np.array(names, object).argsort().argsort(), -total))[:top]
         best = best[total[best] > 0]
         rows, more = len(sent), len(best)
+        of = classes_of(names, classes)
+        by_class = np.stack([np.bincount(of, total, classes), np.bincount(of, total > 0, classes)]).astype(np.int64)
         return pa.table({
             "kind": pa.array([0] * rows + [1] * more + [2], pa.int32()),
             "block": pa.array(table["block"].to_pylist() + [None] * (more + 1), pa.int64()),
             "bucket": pa.array(table["bucket"].to_pylist() + [None] * (more + 1), pa.int64()),
             "payload": pa.array(
-                [total[which[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:])] + [names[i] for i in best.tolist()] + [None],
+                [total[which[a:b]].tobytes() for a, b in zip(edge[:-1], edge[1:])] + [names[i] for i in best.tolist()] + [by_class.tobytes()],
                 pa.binary(),
             ),
             "n": pa.array([None] * rows + total[best].tolist() + [int(total.sum())], pa.int64()),
@@ -247,14 +263,14 @@ def count_words(packed: DataFrame, buckets: int, top: int) -> DataFrame:
 
 def count_contexts(packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per block, the distinct (context, word) numbers of its training texts and how often each occurs, stored."""
-    number = {w: i + 2 for i, w in enumerate(vocabulary.words)}
-    n = len(number) + 2
+    number = {w: i + 1 + vocabulary.classes for i, w in enumerate(vocabulary.words)}
+    n = len(number) + 1 + vocabulary.classes
 
     def count(batches):
         for batch in batches:
             for block, texts, held in zip(*(batch.column(c).to_pylist() for c in ("block", "texts", "held"))):
                 words, ids, distinct, trains = _block_words(texts, held)
-                numbers = np.array([number.get(w, OTHER) for w in distinct], np.int64)[ids]
+                numbers = numbers_of(distinct, number, vocabulary.classes)[ids]
                 token, before, of = _tokens(words, numbers, len(texts))
                 key = ((before[:, 0] * n + before[:, 1]) * n + token)[trains[of]]
                 keys, counts = np.unique(key, return_counts=True)
@@ -316,16 +332,34 @@ def fit(contexts: DataFrame, vocabulary: Vocabulary, size: int, rounds: int) ->
     return model
 
 
+def _summed_classes(counts: DataFrame, classes: int) -> np.ndarray:
+    """Training tokens and distinct words of every class; partial sums are formed in the tasks."""
+
+    def add(batches):
+        total = np.zeros(2 * classes, np.int64)
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                total += np.frombuffer(payload, np.int64)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(2 * classes), pa.int32()), "n": pa.array(total)})
+
+    parts = counts.where("kind = 2").select("payload").mapInArrow(add, "place int, n long")
+    total = np.zeros(2 * classes)
+    for row in parts.groupBy("place").agg(F.sum("n").alias("n")).collect():
+        total[row["place"]] = row["n"]
+    return total.reshape(2, classes)
+
+
 def score_texts(
-    docs: DataFrame, top: int = 1000, size: int = 24, rounds: int = 2, block_bytes: int = 8 << 20,
+    docs: DataFrame, top: int = 1000, size: int = 24, rounds: int = 2, block_bytes: int = 8 << 20, classes: int = 256,
 ) -> DataFrame:
     """Scores of rows ``id, text, held``; the rows not held train.
 
     Tokens are the words (A-Z lowered, runs of other than ASCII white space) and one end per text.
     ``base_score`` is the sum over tokens of log10((c + 0.1) / (N + 0.1 (V + 1))) with the training counts c, their
     sum N and number V.  ``score`` is the model's log10 probability of the text: a log-bilinear model of the two
-    tokens before gives normalised probabilities of the ``top`` training words, the end, and all other
-    words together; these share theirs by their counts, smoothed in the same way.
+    tokens before gives normalised probabilities of the ``top`` training words, the end, and ``classes`` classes of
+    all other words, by their last SUFFIX bytes; the words of a class share its vector, as target and as context, and its
+    probability by their counts, smoothed in the same way.  So every word has a vector, and all probabilities add up to 1.
 
     Counts, vocabulary and contexts are gathered from all training texts: every block of texts sends its
     distinct words to their buckets and gets their counts back, and its distinct contexts, counted, are what the
@@ -338,18 +372,18 @@ def score_texts(
     ).first()
     train_texts = train_texts or 0
     buckets = int((size_sum or 0) // (4 << 20)) + 1
-    counts = count_words(packed, buckets, top)
+    counts = count_words(packed, buckets, top, classes)
     best = counts.where("kind = 1").orderBy(F.desc("n"), "payload").limit(top).select("payload", "n").collect()
     sums = counts.where("kind = 2").agg(F.sum("n"), F.sum("types")).first()
     tokens, types = (sums[0] or 0) + train_texts, (sums[1] or 0) + bool(train_texts)
     known = np.array([r["n"] for r in best], np.int64)
-    other = tokens - train_texts - int(known.sum())
-    vocabulary = Vocabulary(
-        [bytes(r["payload"]) for r in best], np.concatenate([[other, train_texts], known]).astype(float), tokens, types
-    )
+    names = [bytes(r["payload"]) for r in best]
+    of_class = _summed_classes(counts, classes) - np.stack([
+        np.bincount(classes_of(names, classes), w, classes) for w in (known, np.ones(len(names)))
+    ])
+    vocabulary = Vocabulary(names, classes, np.concatenate([[train_texts], of_class[0], known]).astype(float), tokens, types)
     model = fit(count_contexts(packed, vocabulary), vocabulary, size, rounds)
-    number = {w: i + 2 for i, w in enumerate(vocabulary.words)}
-    other_types = types - len(best) - bool(train_texts)
+    number = {w: i + 1 + classes for i, w in enumerate(vocabulary.words)}
     id_type = docs.schema["id"].dataType.simpleString()
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -360,7 +394,7 @@ def score_texts(
         c = np.zeros(len(distinct))
         replies = sorted(zip(answers["bucket"].to_pylist(), answers["payload"].to_pylist()))
         c[order] = np.frombuffer(b"".join(p for _, p in replies), np.int64)
-        numbers = np.array([number.get(w, OTHER) for w in distinct], np.int64)
+        numbers = numbers_of(distinct, number, classes)
         token, before, of = _tokens(words, numbers[word], len(texts))
         inner = np.ones(len(token), bool)
         inner[np.cumsum(np.diff(words.first) + 1) - 1] = False
@@ -368,8 +402,9 @@ def score_texts(
         count[inner] = c[word]
         base = np.log10((count + ADD) / (tokens + ADD * (types + 1)))
         found = log_probabilities(model, before, token) / math.log(10)
-        outside = token == OTHER
-        found[outside] += np.log10((count[outside] + ADD) / (other + ADD * (other_types + 1)))
+        outside = (token > END) & (token <= classes)
+        own_tokens, own_types = of_class[:, token[outside] - 1]
+        found[outside] += np.log10((count[outside] + ADD) / (own_tokens + ADD * (own_types + 1)))
         total = lambda values: np.bincount(of, values, len(texts))
         return pa.table({
             "id": block["ids"].combine_chunks().flatten(),
