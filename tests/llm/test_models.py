@@ -140,6 +140,20 @@ def test_main_text():
     assert main_text("<p>" * 5000 + "deep, text." + "<div>" * 3000) == "deep, text."
 
 
+def test_names_inside_the_content_are_one_signal():
+    long = "A sentence of the text, with a comma, and more of it."
+    page = (
+        f"<body><article><h1>Title</h1><p>{long} {long}</p><h2 id='how-to-share-files'>Sharing</h2><p class='form'>{long} {long}</p>"
+        f"<section id='legal-history'><p>{long}</p></section><section class='legal'><p>{long} {long}</p></section>"
+        f"<div class='social-science'><p>{long}</p></div><h2 id=share>Found</h2><h2 id='search-results'>Results</h2><p>{long}</p>"
+        "<div class='share'><a href=x>Tell a friend</a></div><section class=comments><p>I think, therefore, I comment!</p></section></article>"
+        f"<div class='site-footer'><p>{long}</p></div></body>"
+    )
+    assert main_text(page).split("\n") == [
+        "Title", f"{long} {long}", "Sharing", f"{long} {long}", long, f"{long} {long}", long, "Found", "Results", long,
+    ]
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y"), (3, "w", "<p>" + "long, text. " * 50_000, "z")],

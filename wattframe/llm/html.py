@@ -18,7 +18,7 @@ TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
     re.S,
 )
-LABEL = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+LABEL = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 WORDS = re.compile(r"[a-z]+|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
@@ -49,11 +49,19 @@ APART_WORDS = frozenset(
     "recommended comment comments commentlist disqus respond reply replies reviews pager pagination toolbar masthead "
     "complementary contentinfo search form copyright legal disclaimer skip hidden tags".split()
 )
+#: Parts of class names beside such a word that leave its meaning: "cookie-notice", "site-footer", "ad1".
+KIND_WORDS = frozenset("site page main top bottom left right box bar block container wrapper wrap section area list inner outer primary secondary global".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Names that set a part apart inside the content too, whatever its text is like.
+ALWAYS_WORDS = frozenset("comments commentlist disqus respond replies navbar sidebar sidebars breadcrumb breadcrumbs pager pagination advertisement contentinfo complementary".split())
+#: Other names do so inside the content only if that share of the text is linked, or its ratio is below that share of the content's.
+LINKED, LOW = 0.5, 0.5
 #: "no-sidebar" says nothing of what it names.
 DENIED = frozenset("no without with has have".split())
 #: Elements that can hold a whole text, and the share of the content that the text's container holds at least.
 SECTIONS = frozenset(["", *"article body center dd div fieldset html li main section td".split()])
 SHARE = 0.6
+TOPS = frozenset("html body article main".split())
 #: A page's own header is apart; the heading of an article is not.
 INSIDE = frozenset("article main".split())
 INSIDE_WORDS = frozenset("article main content post entry story body text".split())
@@ -65,13 +73,25 @@ class Block(NamedTuple):
     text: str
     linked: int
     apart: bool
+    marked: int = 0  # the element inside the content whose name speaks against it
 
 
 class _Open:
-    __slots__ = ("name", "number", "path", "apart", "inside")
+    __slots__ = ("name", "number", "path", "apart", "inside", "marked")
 
-    def __init__(self, name, number, path, apart, inside):
-        self.name, self.number, self.path, self.apart, self.inside = name, number, path, apart, inside
+    def __init__(self, name, number, path, apart, inside, marked=0):
+        self.name, self.number, self.path, self.apart, self.inside, self.marked = name, number, path, apart, inside, marked
+
+
+def apart_names(names: list[str]) -> set[str]:
+    """Of class, id and role names those that mark a part: a word of APART_WORDS, alone or with words of the same kind ("site-footer")."""
+    found = set()
+    for name in names:
+        words = WORDS.findall(name)
+        if words and words[0] not in DENIED and any(w in APART_WORDS for w in words):
+            if all(w in APART_WORDS or w in KIND_WORDS or w.isdigit() for w in words):
+                found |= {name, *(words if len(words) == 1 else ())}
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -87,7 +107,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
             top = next((e for e in reversed(stack) if e.name in BLOCKS or not e.name), stack[0])
-            found.append(Block(top.path or "/", tuple((e.number, e.name) for e in stack if e.name in BLOCKS or not e.name), text, linked, stack[-1].apart))
+            found.append(Block(top.path or "/", tuple((e.number, e.name) for e in stack if e.name in BLOCKS or not e.name), text, linked, stack[-1].apart, stack[-1].marked))
         parts.clear()
         linked = 0
 
@@ -157,16 +177,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         above = stack[-1]
-        labels = WORDS.findall(" ".join(v for m in LABEL.findall(attrs) for v in m).lower()) if attrs else []
+        pairs = [(m[0].lower(), " ".join(m[1:]).lower()) for m in LABEL.findall(attrs)] if attrs else []
+        labels = WORDS.findall(" ".join(v for _, v in pairs))
+        marks = apart_names([n for k, v in pairs if k != "id" or name not in HEADINGS for n in v.split()])
         words = {w for w, before in zip(labels, ["", *labels]) if before not in DENIED}
-        inside = above.inside or name in INSIDE or (name in ("div", "section", "td") and bool(words & INSIDE_WORDS) and not words & APART_WORDS)
+        inside = above.inside or name in INSIDE or (name in ("div", "section", "td") and bool(words & INSIDE_WORDS) and not marks)
         apart = (
             above.apart or name in APART or (name == "header" and not above.inside)
-            or (bool(words & APART_WORDS) and name not in ("html", "body", "article", "main"))
+            or (bool(marks) and name not in TOPS and (not above.inside or bool(marks & ALWAYS_WORDS)))
             or (bool(attrs) and HIDDEN.search(attrs) is not None)
         )
         step = name if name not in ("div", "section", "span", "td") or not labels else f"{name}.{labels[0]}"
-        stack.append(_Open(name, number, f"{above.path}/{step}" if name in BLOCKS else above.path, apart, inside))
+        marked = above.marked or (number if marks and name in BLOCKS and name not in TOPS else 0)
+        stack.append(_Open(name, number, f"{above.path}/{step}" if name in BLOCKS else above.path, apart, inside, marked))
         links += name == "a"
     flush()
     return found
@@ -198,6 +221,26 @@ def path_ratios(blocks: list[Block]) -> list[float]:
     return fused
 
 
+def without_marked(blocks: list[Block]) -> list[Block]:
+    """The blocks, with marked parts inside the content set apart that are mostly links or unlike the content's text."""
+    parts: dict[int, list[int]] = defaultdict(list)
+    for i, b in enumerate(blocks):
+        if b.marked and not b.apart:
+            parts[b.marked].append(i)
+    if not parts:
+        return blocks
+    ratios = path_ratios(blocks)
+    size = lambda own: sum(len(blocks[i].text) for i in own)
+    mean = lambda own: sum(ratios[i] * len(blocks[i].text) for i in own) / max(1, size(own))
+    plain = mean([i for i, b in enumerate(blocks) if not b.apart and not b.marked])
+    found = list(blocks)
+    for own in parts.values():
+        if sum(blocks[i].linked for i in own) >= LINKED * size(own) or mean(own) < LOW * plain:
+            for i in own:
+                found[i] = blocks[i]._replace(apart=True)
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page: its content blocks, one a line.
 
@@ -205,7 +248,7 @@ def main_text(page: str | None) -> str:
     nodes.  The text's container is the innermost element that holds most of what they hold; all
     its blocks belong to the text, short ones too, but for those in parts that are no main text by their markup.
     """
-    blocks = blocks_of(page or "")
+    blocks = without_marked(blocks_of(page or ""))
     ratios = path_ratios(blocks)
     positive = [r for r in ratios if r > 0]
     if not positive:
