@@ -154,6 +154,16 @@ def test_names_inside_the_content_are_one_signal():
     ]
 
 
+def test_text_in_several_containers_is_whole():
+    part = lambda n, k: "".join(f"<p>Sentence {n}.{i}, with a comma, and more.</p>" for i in range(k))
+    want = lambda n, k: [f"Sentence {n}.{i}, with a comma, and more." for i in range(k)]
+    both = want(1, 13) + want(2, 7)
+    assert main_text(f"<body><div id=content><div class=p1>{part(1, 13)}</div><div class=p2>{part(2, 7)}</div></div></body>").split("\n") == both
+    assert main_text(f"<body><section>{part(1, 13)}</section><nav><a>x</a></nav><section>{part(2, 7)}</section></body>").split("\n") == both
+    page = f"<body><main><article>{part(1, 3)}</article><article>{part(2, 7)}</article></main></body>"
+    assert main_text(page).split("\n") == want(1, 3) + want(2, 7)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", "y"), (3, "w", "<p>" + "long, text. " * 50_000, "z")],

@@ -60,7 +60,9 @@ LINKED, LOW = 0.5, 0.5
 DENIED = frozenset("no without with has have".split())
 #: Elements that can hold a whole text, and the share of the content that the text's container holds at least.
 SECTIONS = frozenset(["", *"article body center dd div fieldset html li main section td".split()])
-SHARE = 0.6
+SHARE = 0.95
+#: Share of the content from which <article> or <main> elements are the text.
+NAMED = {"article": 0.9, "main": 0.6}
 TOPS = frozenset("html body article main".split())
 #: A page's own header is apart; the heading of an article is not.
 INSIDE = frozenset("article main".split())
@@ -245,8 +247,9 @@ def main_text(page: str | None) -> str:
     """The main text of a page: its content blocks, one a line.
 
     Blocks whose ratio exceeds a threshold, a share of the page's mean and deviation, are content
-    nodes.  The text's container is the innermost element that holds most of what they hold; all
-    its blocks belong to the text, short ones too, but for those in parts that are no main text by their markup.
+    nodes.  Where the page's articles, or its main element, hold most of the content, they are the text.  Else it is the
+    innermost element that holds nearly all of the content, and content nodes beside it.  All blocks in
+    these belong to the text, short ones too, but for those in parts that are no main text by their markup.
     """
     blocks = without_marked(blocks_of(page or ""))
     ratios = path_ratios(blocks)
@@ -255,20 +258,19 @@ def main_text(page: str | None) -> str:
         return ""
     mean = sum(positive) / len(positive)
     deviation = math.sqrt(sum((r - mean) ** 2 for r in positive) / len(positive))
-    content = [i for i, r in enumerate(ratios) if r > 0 and r >= mean - deviation]
+    content = {i for i, r in enumerate(ratios) if r > 0 and r >= mean - deviation}
     weight: dict[int, float] = defaultdict(float)
     for i in content:
         for number, _ in blocks[i].owners:
             weight[number] += len(blocks[i].text) * ratios[i]
+    for name, least in NAMED.items():
+        inside = [any(n == name for _, n in b.owners) for b in blocks]
+        if sum(len(blocks[i].text) * ratios[i] for i in content if inside[i]) >= least * weight[0]:
+            return "\n".join(b.text for b, i in zip(blocks, inside) if i and not b.apart)
     # owners are listed from the root down, so the last that holds enough is the innermost
     owners = max((blocks[i] for i in content), key=lambda b: sum(weight[n] for n, _ in b.owners)).owners
-    holds = [k for k, (n, name) in enumerate(owners) if name in SECTIONS and weight[n] >= SHARE * weight[0]]
-    level = holds[-1]
-    for name in ("article", "main"):
-        if named := [k for k in range(level + 1) if owners[k][1] == name]:
-            level = named[-1]
-            break
-    return "\n".join(b.text for b in blocks if not b.apart and owners[level] in b.owners)
+    level = [k for k, (n, name) in enumerate(owners) if name in SECTIONS and weight[n] >= SHARE * weight[0]][-1]
+    return "\n".join(b.text for i, b in enumerate(blocks) if not b.apart and (i in content or owners[level] in b.owners))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
