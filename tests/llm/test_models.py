@@ -65,6 +65,19 @@ def test_benchmark_matches_equal_brute_force(spark):
     assert [(m.item_id, m.start, m.end, m.distance) for m in exact] == [(0, 0, 9, 0), (3, 9, 29, 0)]
 
 
+def test_short_items_and_scripts_without_spaces_are_found(spark):
+    items = [(1, "What is two plus two?"), (2, "日本の首都はどこですか。"), (3, "今天天气怎么样"), (4, "กรุงเทพมหานคร"), (5, "two plus")]
+    docs = [
+        (1, "Asked: what is TWO plus two, and why"), (2, "what is two plus three"), (3, "問い：日本の首都はどこですか、答え"),
+        (4, "日本の首府はどこですか"), (5, "他问今天天气怎么样呢"), (6, "今天天气怎么"), (7, "ที่กรุงเทพมหานครนี้"), (8, "twoplus"),
+    ]
+    got = benchmark_matches(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    found = {x.id: {m.item_id for m in x.matches} for x in got}
+    assert found == {1: {1, 5}, 2: {5}, 3: {2}, 4: {2}, 5: {3}, 6: set(), 7: {4}, 8: set()}
+
+
 def test_edit_distance_to_a_prefix():
     item = np.array([[1, 2, 3, 4]], np.uint64)
     segment = np.array([[1, 9, 2, 3, 4, 7]], np.uint64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +16,13 @@ from .ngram_join import sliced
 
 #: Lower-case letters, digits and all bytes beyond ASCII stay; other ASCII bytes part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Characters, in UTF-8, of scripts that write without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile(
+    rb"\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80\x81\x9e\x9f][\x80-\xbf]|\x82[\x80-\x9f])|\xe3[\x81-\x83\x90-\xbf][\x80-\xbf]"
+    rb"|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xbf][\x80-\xbf]{2}"
+)
+#: Their punctuation: U+3000 to U+303F but for the marks of repetition and zero, and the wide forms of , . : ; ! ? ( ).
+WIDE_MARKS = re.compile(rb"\xe3\x80[\x80-\x84\x88-\xbf]|\xef\xbc[\x81\x88\x89\x8c\x8e\x9a\x9b\x9f]|\xef\xbd[\xa1-\xa4]")
 #: Items that are searched for at once; a larger benchmark takes several passes.
 ITEM_BLOCK = 4096
 WINDOWS = 1 << 14
@@ -38,6 +46,12 @@ class Embedding(NamedTuple):
     samples: np.ndarray
 
 
+def folded(text: bytes) -> bytes:
+    """The text with its words parted by spaces; each character of a script without spaces is a word."""
+    text = text.translate(FOLD)
+    return text if text.isascii() else UNSPACED.sub(rb" \g<0> ", WIDE_MARKS.sub(b" ", text))
+
+
 def embedded(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
     """CGK embedding (Chakraborty, Goldenberg, Koucky, 2016) of rows of word hashes.
 
@@ -112,16 +126,16 @@ def _edited(row: np.ndarray, edits: int, length: int, random) -> np.ndarray:
 
 
 def prepared(items: list[tuple], similarity: float, min_words: int, recall: float) -> list[Items]:
-    """Items ``(id, text)`` by length."""
+    """Items ``(id, text)`` by length; those of fewer than ``min_words`` words allow no edit."""
     by_length: dict[int, list] = {}
     for item, text in items:
-        words = split_words([(text or "").encode().translate(FOLD)])
+        words = split_words([folded((text or "").encode())])
         own = [bytes(words.data[a:b]) for a, b in zip(words.starts, words.ends)]
-        if len(own) >= min_words:
+        if own:
             by_length.setdefault(len(own), []).append((item, own))
     found = []
     for length, group in sorted(by_length.items()):
-        edits = math.floor((1 - similarity) * length + 1e-9)
+        edits = math.floor((1 - similarity) * length + 1e-9) if length >= min_words else 0
         hashes = np.stack([strong_hashes(words)[:, 0] for _, words in group])
         found.append(Items(length, edits, [item for item, _ in group], hashes, _tables(length, edits, hashes, recall)))
     return found
@@ -135,7 +149,7 @@ def find_items(texts: list[bytes], groups: list[Items]) -> list[list[dict]]:
     Windows begin where a match can begin: of ``edits + 1`` pieces of an item, one at least is left whole by
     ``edits`` edits, and moved by that many words at most.
     """
-    words = split_words([t.translate(FOLD) for t in texts])
+    words = split_words([folded(t) for t in texts])
     ids, distinct = word_ids(words)
     longest = max(g.length + g.edits for g in groups)
     # every text is followed by nothing, as long as the longest match
@@ -229,14 +243,14 @@ def benchmark_matches(
 ) -> DataFrame:
     """``id, matches`` (and the ``keep`` columns) for every row of ``docs``; ``matches`` lists item, span in words, and edit distance.
 
-    Words are runs of letters and digits, with A-Z lowered.  An item of n words is in a text if some run of the
+    Words are runs of letters and digits, with A-Z lowered, and single characters of scripts without spaces.  An item of n words is in a text if some run of the
     text's words is at most ``(1 - similarity) * n`` word edits away.  Windows of n words are looked at wherever a match can
     begin, as one of the pieces between its edits stands there unchanged: by repeated bit-sampling of random-walk embeddings, enough for
     ``recall`` at the largest distance allowed, and exactly by edit distance at last.
 
     The items are read in blocks of ITEM_BLOCK and sent to the tasks; texts are not shuffled, and an item
-    or passage that stands in many texts costs each text the same.  Items of fewer than ``min_words`` words, null or
-    empty ones say too little to be searched for.  A null or empty text has no match.  Items of equal id are told apart
+    or passage that stands in many texts costs each text the same.  Items of fewer than ``min_words`` words are found
+    as they stand, as a whole run of words; null or empty ones are not searched for.  A null or empty text has no match.  Items of equal id are told apart
     only by their texts.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *keep)
