@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import repair_structure
 from .decontaminate import benchmark_matches
 from .exact import exact_duplicates
 from .html import extract_main_text
@@ -14,6 +15,8 @@ from .language import held_out, predict_language, train_language_model
 from .lines import repeated_lines
 from .lm import score_texts
 from .mixing import mixed
+from .negatives import hard_negatives
+from .neighbours import nearest
 from .ngram_join import similar_classes
 from .substring import repeated_sequences
 from .suffix import repeated_bytes
@@ -182,3 +185,85 @@ def op7_line_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
         F.col("removed").alias("removed_lines"),
     )
+
+
+@query(
+    """WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT a.row, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+  list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.row <> b.row AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT row, anchor_id, id AS positive_id, score AS positive_score,
+  row_number() OVER (PARTITION BY row ORDER BY score DESC, id) AS place FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.id)::INT AS rank,
+  s.id AS negative_id, p.positive_score, s.score AS negative_score FROM p JOIN s ON s.row = p.row AND NOT s.same
+  AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT * FROM n WHERE rank <= 5"""
+)
+def op11_hard_negatives(spark, sf_dir):
+    """Negatives that score from 80 % of a positive up to it, for the positives of every hundredth vector."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+
+
+@query()
+def op12_nearest(spark, sf_dir):
+    """The 20 vectors of greatest inner product with every twentieth one."""
+    found = nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query(
+    r"""WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: ord(x)::BIGINT), lambda a, b: list_reduce(range(8), lambda h, k: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384)
+    ELSE h >> 1 END, xor(a, b)), 4294967295::BIGINT), 4294967295) % 20 AS x FROM conversations),
+harmed AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role, CASE x WHEN 1 THEN ''
+  WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE x WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed),
+seen AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut FROM placed),
+faults AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) AS n,
+  count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+  count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY conv_id),
+ins(p, q, k) AS (VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+edit(p, c, letter, q, cost) AS (VALUES (0, 's', 'K', 1, 0), (0, 'u', 'K', 2, 0), (1, 'u', 'K', 2, 0), (2, 'a', 'K', 3, 0),
+  (3, 'u', 'K', 2, 0), (0, '', 'R', 2, 1), (1, '', 'R', 2, 1), (2, '', 'R', 3, 1), (3, '', 'R', 2, 1),
+  (0, '', 'D', 0, 2), (1, '', 'D', 1, 2), (2, '', 'D', 2, 2), (3, '', 'D', 3, 2)),
+way(conv_id, i, q, cost, audit, kept) AS (SELECT conv_id, 0::BIGINT, 0, 0, '', []::VARCHAR[] FROM faults
+  UNION ALL SELECT w.conv_id, s.i, e.q, w.cost + 5 * n.k + e.cost + CASE WHEN s.cut AND e.letter <> 'D' THEN 5 ELSE 0 END AS total,
+    w.audit || repeat('I', n.k) || e.letter AS whole,
+    w.kept || CASE n.k WHEN 0 THEN [] WHEN 1 THEN [CASE n.q WHEN 2 THEN 'user:' ELSE 'assistant:' END] ELSE ['user:', 'assistant:'] END
+      || CASE e.letter WHEN 'D' THEN [] WHEN 'K' THEN [s.role || ':' || s.text]
+      ELSE [CASE e.q WHEN 2 THEN 'user:' ELSE 'assistant:' END || s.text] END
+  FROM way w JOIN seen s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.i = w.i + 1 JOIN ins n ON n.p = w.q
+  JOIN edit e ON e.p = n.q AND (e.c = '' OR e.c = s.c) AND (e.letter = 'D' OR NOT (s.blank OR s.again))
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.i, e.q ORDER BY total, whole) = 1),
+last AS (SELECT w.conv_id, w.cost + 5 * n.k AS cost, w.audit || repeat('I', n.k) AS audit, w.kept || CASE n.k WHEN 0 THEN []
+  WHEN 1 THEN [CASE n.q WHEN 2 THEN 'user:' ELSE 'assistant:' END] ELSE ['user:', 'assistant:'] END AS kept
+  FROM way w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i JOIN ins n ON n.p = w.q AND n.q IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + 5 * n.k, w.audit || repeat('I', n.k)) = 1)
+SELECT c.conv_id, coalesce(f.gaps, 0)::BIGINT AS gaps, coalesce(f.blank, 0)::BIGINT AS blank, coalesce(f.duplicate, 0)::BIGINT AS duplicate,
+  coalesce(f.truncated, 0)::BIGINT AS truncated, coalesce(f.illegal, 0)::BIGINT AS illegal, coalesce(l.cost, 0)::BIGINT AS cost,
+  coalesce(l.audit, '') AS audit, sha256(coalesce(array_to_string(l.kept, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN last l ON l.conv_id IS NOT DISTINCT FROM c.conv_id"""
+)
+def op13_conversation_repair(spark, sf_dir):
+    """Faults of every conversation after a fixed damage to its rows, and its cheapest repair."""
+    return repair_structure(damaged(table(spark, sf_dir, "conversations")), copies=F.col("copies"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped (``copies`` 0), emptied, without sentence ends, repeated (2) or made the user's, by a hash of conversation and turn."""
+    spaced = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat_ws(":", spaced["conv_id"], spaced["turn"])) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(spaced["text"], "[.!?]", "")).otherwise(spaced["text"])
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(spaced["role"]).alias("role"), text.alias("text"),
+        F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
