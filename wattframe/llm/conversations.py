@@ -256,9 +256,11 @@ def repair_structure(
         F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256).alias("digest"),
     )
     same = ("conv", "digest")
-    first = rows.where("copies > 0").groupBy(*same).agg(F.min(F.struct(F.col("turn").isNotNull().alias("some"), "turn")).alias("f"))
+    first = rows.where("copies > 0").groupBy(*same).agg(
+        F.max(F.col("turn").isNull()).alias("untimed"), F.min("turn").alias("least")
+    )
     meets = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in same]
-    is_first = F.col("turn").eqNullSafe(F.col("f.f.turn"))
+    is_first = F.when(F.col("f.untimed"), F.col("r.turn").isNull()).otherwise(F.col("r.turn") == F.col("f.least"))
     marked = rows.alias("r").join(first.alias("f"), meets, "left").select(
         "r.conv", "r.turn", F.col("r.role").cast("binary").alias("role"), F.col("r.text").cast("binary").alias("text"),
         F.coalesce(is_first, F.lit(False)).alias("first"), "r.copies",
