@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -13,7 +14,7 @@ from wattframe.operators.resolve import (
     assign_stable_ids, number_in_order, resolve, unresolved, unresolved_counts,
 )
 from wattframe.operators.runs import collapse_runs
-from wattframe.operators.usage import over_limit, requests_since, trailing_requests, usage_summary
+from wattframe.operators.usage import admission, over_limit, requests_since, trailing_requests, usage_summary
 from wattframe.operators.wide import as_map, melt, share_pct, wide_mix
 
 SLOW = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
@@ -248,6 +249,50 @@ def test_trailing_count_equals_brute_force(spark):
     assert [r.key_id for r in over_limit(events, keys).collect()] == [1]
 
 
+def answers(rows, limits, span):
+    """What a limiter answers, one request after the other; refused ones don't count."""
+    found, queues = [], {}
+    for key, now, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        limit = limits.get(key)
+        if limit is None:
+            found.append((key, now, i, True, None, None, 0))
+            continue
+        queue = [t for t in queues.get(key, []) if t > now - span]
+        if len(queue) < limit:
+            queue.append(now)
+            found.append((key, now, i, True, limit, limit - len(queue), 0))
+        else:
+            wait = max(1, (queue[0] + span - now) // 1_000_000 + 1) if queue else None
+            found.append((key, now, i, False, limit, 0, wait))
+        queues[key] = queue
+    return Counter(found)
+
+
+@pytest.mark.parametrize("chunk", [60, 61, 600, 86400])
+def test_admission_equals_a_limiter(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(rng.choice([1, 1, 1, 2, 3, 4, 5, None]), rng.randint(0, 5400) * 1_000_000 + rng.choice([0, 0, 1, 999_999]), i) for i in range(3000)]
+    rows += [(1, 60_000_000, 5000), (1, 120_000_000, 5001), (1, 120_000_000, 5002)]
+    rows += [(6, 10_000_000 * i, 6000 + i) for i in range(300)]  # beyond its limit all the time
+    limits = {1: 12, 2: 3, 3: 0, 4: 1000, 6: 2, 9: 1}
+    events = spark.createDataFrame([(k, T0 + timedelta(microseconds=us), i) for k, us, i in rows], "key_id long, occurred_at timestamp, i long")
+    named = spark.createDataFrame(list(limits.items()), "key_id long, limit int")
+    got = admission(events, named, ["i"], 60, chunk)
+    assert got.columns == [*events.columns, "allowed", "limit", "remaining", "retry_after"]
+    micros = timedelta(microseconds=1)
+    found = Counter((r.key_id, (r.occurred_at - T0) // micros, *r[2:]) for r in got.collect())
+    want = answers(rows, limits, 60_000_000)
+    assert found == want and {r[3] for r in want} == {True, False}
+
+
+def test_admission_of_nothing(spark):
+    events = spark.createDataFrame([], "key_id long, occurred_at timestamp, i long")
+    named = spark.createDataFrame([(1, 5)], "key_id long, limit int")
+    assert admission(events, named, ["i"]).collect() == []
+    some = spark.createDataFrame([(None, T0, 1), (7, T0, 2)], events.schema)
+    assert [(r.allowed, r.remaining, r.retry_after) for r in admission(some, named, ["i"]).collect()] == [(True, None, 0)] * 2
+
+
 # ---- reports ---------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators.fill import asof_join
 from wattframe.operators.latest import latest_per_key
+from wattframe.operators import usage
 from wattframe.operators.usage import trailing_requests
 
 ROWS = 200_000
@@ -39,6 +40,33 @@ def test_trailing_count_of_a_hot_key(spark):
     assert tuple(steady) == (8, 8)
 
 
+def test_admission_of_a_hot_key(spark, monkeypatch):
+    """Key 0 has an excess for a minute every hour: only the runs around it are folded, each by itself."""
+    events = spark.range(ROWS, numPartitions=8).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("key_id"),
+        F.timestamp_seconds(F.when(F.col("id") % 720 < 60, F.col("id") * 5 - F.col("id") % 720 * 4).otherwise(F.col("id") * 5)).alias("occurred_at"),
+        "id",
+    )
+    limits = spark.range(1).select(F.col("id").alias("key_id"), F.lit(20).alias("limit"))
+    seen = []
+    real = usage.forward_fill
+
+    def watched(df, *args, **kwargs):
+        seen.append(real(df, *args, **kwargs))
+        return seen[-1]
+
+    monkeypatch.setattr(usage, "forward_fill", watched)
+    answered = usage.admission(events, limits, ["id"])
+    assert answered.count() == ROWS
+    runs = seen[0].groupBy("key_id", "_run").count()
+    assert runs.count() >= ROWS // 720 and runs.agg(F.max("count")).first()[0] < 0.001 * ROWS
+    refused = answered.filter("NOT allowed")
+    assert refused.filter("key_id <> 0").isEmpty()
+    # 40 of 60 seconds have a request by key 0; the limit lets 20 in, and the next ones 60 seconds after each of these
+    assert refused.filter("id < 720").count() == 20
+    assert answered.filter("allowed AND remaining < 0").isEmpty()
+
+
 def test_asof_of_a_hot_key(spark):
     left = hot(spark)
     right = spark.range(0, ROWS * 5, 3600).select(

@@ -35,6 +35,7 @@ def test_no_plan_pairs_everything_or_leaves_the_jvm(spark, name):
     text = plan(spark, name)
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas", "Scan ExistingRDD"):
         assert operator not in text
+    assert ("MapInArrow" in text) == (name == "request_admission")  # the only fold that functions can't express
 
 
 def test_hot_keys_are_cut_before_the_shuffle(spark):

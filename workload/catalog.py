@@ -1063,6 +1063,32 @@ def over_limit(spark, sf_dir):
     return usage.over_limit(_busy_events(spark, sf_dir), fr.api_keys(spark, sf_dir))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 8 AS key_id, ts, epoch_us(ts) AS us,
+  row_number() OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id) AS i FROM events),
+l AS (SELECT c_custkey AS key_id, c_nationkey % 3 + 1 AS lim FROM customer WHERE c_custkey BETWEEN 1 AND 7),
+w(key_id, i, hits, us, free, lim) AS (SELECT key_id, 0::BIGINT, []::BIGINT[], 0::BIGINT, 0::BIGINT, lim::BIGINT FROM l
+  UNION ALL SELECT e.key_id, e.i, CASE WHEN len(list_filter(w.hits, lambda x: x > e.us - 3600000000)) < w.lim
+    THEN list_append(list_filter(w.hits, lambda x: x > e.us - 3600000000), e.us)
+    ELSE list_filter(w.hits, lambda x: x > e.us - 3600000000) END, e.us,
+    w.lim - len(list_filter(w.hits, lambda x: x > e.us - 3600000000)), w.lim
+  FROM w JOIN e ON e.key_id = w.key_id AND e.i = w.i + 1)
+SELECT e.event_id, e.key_id, e.ts AS occurred_at, w.lim IS NULL OR w.free > 0 AS allowed, w.lim AS "limit",
+  CASE WHEN w.lim IS NOT NULL THEN greatest(w.free - 1, 0) END AS remaining,
+  CASE WHEN w.lim IS NULL OR w.free > 0 THEN 0 ELSE greatest(1, (w.hits[1] + 3600000000 - e.us) // 1000000 + 1) END AS retry_after
+FROM e LEFT JOIN w USING (key_id, i)"""
+)
+def request_admission(spark, sf_dir):
+    """What a limiter of so many requests an hour answers to each request; keys 1 to 7 have a limit."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") % 8).alias("key_id"), F.col("ts").cast("timestamp").alias("occurred_at")
+    )
+    limits = fr.api_keys(spark, sf_dir).where("id BETWEEN 1 AND 7").select(
+        F.col("id").alias("key_id"), F.col("rate_limit_per_min").alias("limit")
+    )
+    return usage.admission(events, limits, ["event_id"], seconds=3600)
+
+
 def _calendar_by_priority(spark, sf_dir):
     day = F.col("o_orderdate").cast("date")
     orders = table(spark, sf_dir, "orders")
