@@ -101,3 +101,15 @@ def test_one_run_ingests_all_markets(spark, tmp_path):
         read_table(spark, OPCOM_PRICES.path(str(tmp_path / "tables"))).withColumn("market_id", F.lit("XX")), markets, day, day
     )
     assert [(r.reason, r.key, r.dropped_rows) for r in dropped.collect()] == [("unknown market", "XX", 96)]
+
+
+def test_one_market_is_a_filter_and_no_join(spark):
+    load = spark.createDataFrame(
+        [(m, datetime(2026, 6, 1, 3), 4.0, datetime(2026, 6, 2)) for m in ("IN", "RO")],
+        "market_id string, timestamp_utc timestamp, actual_load_mw double, ingested_at timestamp",
+    )
+    renamed = load.withColumn("market_id", F.lit("IN"))  # a literal, which a join would lose as its key
+    for frame, rows in ((load, 1), (renamed, 1), (load.withColumn("market_id", F.lit("XX")), 0)):
+        known = silver.with_market(frame.limit(1) if frame is not load else frame, INDIA, "timezone", "currency")
+        assert "Join" not in known._jdf.queryExecution().executedPlan().toString()
+        assert [(r.timezone, r.currency) for r in known.collect()] == [("Asia/Kolkata", "INR")] * rows

@@ -28,7 +28,15 @@ Markets = Mapping[str, Market]
 
 
 def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
-    """Add registry columns; rows of markets that are not configured drop out."""
+    """Add registry columns; rows of markets that are not configured drop out.
+
+    One market needs no join: its columns are literals.  (A join would even lose its key where ``market_id`` is a
+    literal too, and become a nested loop.)
+    """
+    if len(markets) == 1:
+        ((market_id, market),) = markets.items()
+        own = df.filter(F.col("market_id") == market_id)
+        return own.withColumns({c: F.lit(getattr(market, c)) for c in columns}) if columns else own
     registry = markets_frame(df.sparkSession, markets).select("market_id", *columns)
     return df.join(F.broadcast(registry), "market_id")
 

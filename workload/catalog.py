@@ -579,23 +579,31 @@ def fact_price_days(spark, sf_dir):
     )
 
 
-_INDIA = {"IN": Market("10YIN-TEST-----X", "Asia/Kolkata", "INR", "India", fx_source="ECB")}
+# Zones whose local hours begin at half past or a quarter past, one of them with summer time.
+_ODD_ZONES = {
+    "IN": Market("10YIN-TEST-----X", "Asia/Kolkata", "INR", "India", fx_source="ECB"),
+    "NP": Market("10YNP-TEST-----X", "Asia/Kathmandu", "NPR", "Nepal", fx_source="ECB"),
+    "AU": Market("10YAU-TEST-----X", "Australia/Adelaide", "AUD", "South Australia", fx_source="ECB"),
+}
 
 
 @query(
     sql(
-        f"""SELECT * FROM (SELECT CAST(strftime(h, '%Y%m%d') AS INTEGER) AS date_id, CAST(hour(h) * 4 AS INTEGER) AS time_id,
-  h - INTERVAL 330 MINUTE AS hour_start_utc, 'IN' AS market_id, actual_load_mw FROM (
-    SELECT date_trunc('hour', timestamp_utc + INTERVAL 330 MINUTE) AS h, avg(actual_mw) AS actual_load_mw FROM (
-      SELECT * FROM gen_obs WHERE market_id = 'DE' QUALIFY row_number() OVER (PARTITION BY timestamp_utc ORDER BY ingested_at DESC) = 1)
-    GROUP BY 1)) WHERE {_CUT_IDS}""",
-        "gen_obs",
+        f"""SELECT * FROM (SELECT {date_id('max(h)')} AS date_id, CAST(hour(max(h)) * 4 AS INTEGER) AS time_id,
+  hour_start_utc, market_id, avg(actual_load_mw) AS actual_load_mw FROM (
+    SELECT market_id, actual_load_mw, date_trunc('hour', loc) AS h, timestamp_utc - (loc - date_trunc('hour', loc)) AS hour_start_utc
+    FROM (SELECT o.market_id, actual_load_mw, timestamp_utc, {local('timestamp_utc', 'o.zone')} AS loc FROM load_latest
+      JOIN (VALUES ('RO', 'IN', 'Asia/Kolkata'), ('DE', 'NP', 'Asia/Kathmandu'), ('GB', 'AU', 'Australia/Adelaide'))
+        o(old, market_id, zone) ON o.old = load_latest.market_id))
+  GROUP BY hour_start_utc, market_id) WHERE {_CUT_IDS}""",
+        "load_latest",
     )
 )
 def fact_load_half_hour_zone(spark, sf_dir):
-    """Hourly mean load where local hours begin at half past."""
-    load = fr.load_obs(spark, sf_dir).filter("market_id = 'DE'").withColumn("market_id", F.lit("IN"))
-    return silver.fact_load(load, _INDIA, *_CUT)
+    """Hourly mean load where local hours begin at half past or a quarter past."""
+    renamed = F.create_map(*(F.lit(x) for pair in zip(("RO", "DE", "GB"), _ODD_ZONES) for x in pair))
+    load = fr.load_obs(spark, sf_dir).withColumn("market_id", renamed[F.col("market_id")])
+    return silver.fact_load(load, _ODD_ZONES, *_CUT)
 
 
 @query(
