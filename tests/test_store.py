@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from wattframe.operators.changes import merged_rows, new_observations, replaced_range
 from wattframe.operators.latest import latest_per_key
+from wattframe.operators import store
 from wattframe.operators.store import (
+    MONTH,
     TableNotFound,
     append_new_observations,
     merge_upsert,
+    month_of_value,
     read_table,
     replace_date_range,
+    with_month,
 )
 
 OBS = "k string, d date, v double, ingested_at timestamp"
@@ -168,5 +172,77 @@ def test_read_filters(spark, base):
     assert read(("date_id", "in", [0, 4])) == [0, 4] and read(("date_id", "not in", [0])) == [1, 2, 3, 4]
     with pytest.raises(ValueError):
         read(("date_id", "~", 1))
-    plan = read_table(spark, path, [("date_id", ">=", 3)])._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(date_id" in plan
+    plan = read_table(spark, path, [("date_id", ">=", 3)], month_of="date_id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month_id" in plan
+
+
+def test_months_of_dates_instants_and_numbers(spark):
+    rows = spark.createDataFrame(
+        [(date(2026, 7, 31), datetime(2026, 8, 1, 0, 30), 20260930, None)], "d date, t timestamp, n int, e date"
+    )
+    assert [with_month(rows, c).first()[MONTH] for c in "dtne"] == [202607, 202608, 202609, None]
+    assert [month_of_value(v) for v in rows.first()[:3]] == [202607, 202608, 202609]
+
+
+def days_of(spark, path):
+    rows = read_table(spark, path, schema=KEYED)
+    return {(r.market_id, r.date_id, r.n): r.v for r in rows.collect()}
+
+
+def test_range_keeps_the_other_days_of_a_month(spark, base):
+    path = f"{base}/gold/t"
+    days = [20260130, 20260131, 20260201, 20260202, 20260301]
+    first = [(m, d, 1, 1.0) for m in ("RO", "DE") for d in days]
+    replace_date_range(spark, keyed(spark, *first), path, ["RO", "DE"], 0, 99999999)
+    assert sorted(p.name for p in Path(path, "market_id=RO").iterdir()) == ["month_id=202601", "month_id=202602", "month_id=202603"]
+    kept = sorted(Path(path, "market_id=DE").rglob("*.parquet"))
+    new = keyed(spark, ("RO", 20260131, 1, 5.0), ("RO", 20260131, 2, 6.0))
+    assert replace_date_range(spark, new, path, "RO", 20260131, 20260202) == 2
+    want = {(m, d, n): v for m, d, n, v in first if m == "DE" or d in (20260130, 20260301)}
+    assert days_of(spark, path) == {**want, ("RO", 20260131, 1): 5.0, ("RO", 20260131, 2): 6.0}
+    assert not Path(path, "market_id=RO", "month_id=202602").exists()  # no day of it is left
+    assert sorted(Path(path, "market_id=DE").rglob("*.parquet")) == kept
+    with pytest.raises(ValueError, match="outside"):
+        replace_date_range(spark, keyed(spark, ("RO", 20260301, 1, 9.0)), path, "RO", 20260131, 20260202)
+    with pytest.raises(ValueError, match="outside"):
+        replace_date_range(spark, keyed(spark, (None, 20260201, 1, 9.0)), path, "RO", 20260131, 20260202)
+    assert days_of(spark, path) == {**want, ("RO", 20260131, 1): 5.0, ("RO", 20260131, 2): 6.0}
+
+
+def test_upsert_in_months_moves_keys_and_keeps_null_partitions(spark, base):
+    path, options = f"{base}/silver/t", {"partitions": ["market_id"], "month_of": "date_id"}
+    upsert = lambda *rows: merge_upsert(spark, keyed(spark, *rows), path, ["n"], **options)
+    upsert(("A/B c=1%", 20260101, 1, 1.0), ("A/B c=1%", 20260102, 2, 2.0), (None, 20260101, 3, 3.0), ("RO", None, 4, 4.0))
+    assert upsert(("RO", 20260301, 1, 7.0)) == 1
+    assert days_of(spark, path) == {
+        ("A/B c=1%", 20260102, 2): 2.0, (None, 20260101, 3): 3.0, ("RO", None, 4): 4.0, ("RO", 20260301, 1): 7.0
+    }
+    upsert(("RO", 20260302, 2, 8.0), (None, 20260103, 5, 5.0))  # leaves the first folder without rows
+    assert days_of(spark, path) == {
+        ("RO", 20260302, 2): 8.0, (None, 20260101, 3): 3.0, (None, 20260103, 5): 5.0, ("RO", None, 4): 4.0, ("RO", 20260301, 1): 7.0
+    }
+    assert len(list(Path(path).glob("market_id=*/month_id=*"))) == 3
+
+
+def test_calls_do_not_grow_with_the_table(spark, base, monkeypatch):
+    """2,000 partitions, of which a run touches two or three."""
+    path = f"{base}/gold/t"
+    all_days = spark.range(2000).select(
+        F.concat(F.lit("M"), (F.col("id") % 8).cast("string")).alias("market_id"),
+        ((2000 + F.floor(F.col("id") / 96)) * 10000 + (F.floor(F.col("id") / 8) % 12 + 1) * 100 + 5).cast("int").alias("date_id"),
+        F.lit(1).alias("n"), F.lit(1.0).alias("v"),
+    )
+    store.write_table(all_days, path, ["market_id"], month_of="date_id")
+    assert len(list(Path(path).glob("*/*"))) == 2000
+    calls = []
+    for name in ("exists", "drop", "glob"):
+        real = getattr(store._Folders, name)
+        monkeypatch.setattr(store._Folders, name, lambda self, p, real=real, name=name: calls.append((name, p)) or real(self, p))
+    files = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    replace_date_range(spark, keyed(spark, ("M1", 20050106, 1, 2.0)), path, "M1", 20050101, 20050331)
+    merge_upsert(spark, keyed(spark, ("M2", 20050105, 1, 3.0), ("M3", 20110405, 1, 3.0)), path, ["market_id", "date_id"],
+                 ["market_id"], key_fixes_partition=True, month_of="date_id")
+    assert len(calls) <= 16, calls
+    now = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
+    assert len(set(files) - set(now)) == 5 and len(set(now) - set(files)) == 3
+    assert days_of(spark, path)["M3", 20110405, 1] == 3.0

@@ -1,34 +1,41 @@
 """Reading and writing partitioned Parquet tables addressed by path.
 
-Appends go straight to the table.  Upserts and range replacement write the new
-contents of the touched partitions to a staging folder beside the table, and
-only when that write is complete exchange the partition folders by rename.  A
-lost executor just repeats its tasks.  Partitions that are not touched are
-neither read nor written.
-
-The exchange is a rename per partition and not one transaction: a reader that
-runs in that moment may miss a partition, and if the driver itself is lost then
-the previous folders are still under the staging folder.
+Appends go straight to the table.  Upserts and range replacement rewrite only the
+partitions they touch, by Spark's dynamic partition overwrite: the new contents
+are written to a staging folder, and only when that write is complete do they take
+the place of the old folders.  A lost executor just repeats its tasks.  Partitions
+that are not touched are neither read nor written.
+
+A partition is a month (``month_of`` names the column it is derived from), so a
+folder holds more than the rows of a day; the other days of a touched month are
+kept.  The commit exchanges folder by folder and is not one transaction: a reader
+that runs in that moment may miss a partition.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from contextlib import contextmanager
+from datetime import date
+from functools import reduce
+from operator import and_
 from typing import Any
-from urllib.parse import unquote
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from .changes import merged_rows, new_observations
 from .quality import duplicate_keys
 
 Filter = tuple[str, str, Any]
 
+#: Partition column of the month, for instance 202607; ``read_table`` does not return it.
+MONTH = "month_id"
+
 
 class TableNotFound(ValueError):
     """The table has not been written yet."""
@@ -44,26 +51,36 @@ class _Folders:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
-    def move(self, source: str, target: str) -> None:
-        destination = self._path(target)
-        self._fs.mkdirs(destination.getParent())
-        if not self._fs.rename(self._path(source), destination):
-            raise OSError(f"cannot move {source} to {target}")
-
     def drop(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
-    def partitions(self, root: str, depth: int) -> set[str]:
-        """Relative folders such as ``market_id=RO/date_id=20260601``."""
-        if depth == 0 or not self.exists(root):
-            return set()
-        pattern = "/".join([root, *["*=*"] * depth])
-        found = self._fs.globStatus(self._path(pattern)) or []
-        return {
-            "/".join(status.getPath().toString().split("/")[-depth:])
-            for status in found
-            if status.isDirectory()
-        }
+    def glob(self, pattern: str) -> list[str]:
+        return [status.getPath().toString() for status in self._fs.globStatus(self._path(pattern)) or []]
+
+
+# ---- months ------------------------------------------------------------------------
+
+
+def month_column(column: str, kind: DataType) -> Column:
+    """The month of a date, an instant (in UTC) or a number such as 20260731."""
+    if isinstance(kind, IntegralType):
+        return F.floor(F.col(column) / 100).cast("int")
+    return (F.year(column) * 100 + F.month(column)).cast("int")
+
+
+def month_of_value(value: Any) -> int:
+    return value.year * 100 + value.month if isinstance(value, date) else value // 100
+
+
+def with_month(df: DataFrame, month_of: str | None) -> DataFrame:
+    return df if month_of is None else df.withColumn(MONTH, month_column(month_of, df.schema[month_of].dataType))
+
+
+def _levels(partitions: Sequence[str], month_of: str | None) -> list[str]:
+    return [*partitions, *([] if month_of is None else [MONTH])]
+
+
+# ---- tables ------------------------------------------------------------------------
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -75,23 +92,36 @@ def read_table(
     path: str,
     filters: Iterable[Filter] = (),
     schema: StructType | str | None = None,
+    month_of: str | None = None,
 ) -> DataFrame:
     """Scan a table; ``filters`` are (column, operator, value) and reach the scan.
 
-    Operators: = == != > >= < <= in, not in.
+    Operators: = == != > >= < <= in, not in.  With ``month_of``, filters on that
+    column also choose the months.
     """
+    df = _scan(spark, path, schema)
+    for column, operator, value in filters:
+        df = df.filter(_predicate(column, operator, value))
+        if column == month_of and operator in _MONTH_TEST:
+            df = df.filter(_predicate(MONTH, _MONTH_TEST[operator], month_of_value(value)))
+    return df.drop(MONTH)
+
+
+#: What a test of a value says about its month.
+_MONTH_TEST = {"=": "=", "==": "==", ">": ">=", ">=": ">=", "<": "<=", "<=": "<="}
+
+
+def _scan(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The table with its month, if it has one."""
     if not table_exists(spark, path):
         raise TableNotFound(f"No table at {path!r}; run the job that builds it first.")
     reader = spark.read if schema is None else spark.read.schema(schema)
     try:
-        df = reader.parquet(path)
+        return reader.parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
         raise TableNotFound(f"The table at {path!r} has no rows yet; pass its schema.") from error
-    for column, operator, value in filters:
-        df = df.filter(_predicate(column, operator, value))
-    return df
 
 
 def _predicate(column: str, operator: str, value: Any):
@@ -113,20 +143,22 @@ def _predicate(column: str, operator: str, value: Any):
 
 
 def write_table(
-    df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite"
+    df: DataFrame, path: str, partitions: Sequence[str] = (), mode: str = "overwrite", month_of: str | None = None,
 ) -> int:
     """Partitioned write; returns the number of rows, observed while writing.
 
     The rebalance hint groups rows by partition so that each folder gets few
     files, and lets the adaptive planner split a partition that is too large.
+    ``mode="touched"`` overwrites the partitions that ``df`` has rows of.
     """
-    if partitions:
-        df = df.hint("rebalance", *partitions)
-    rows = Observation()
-    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode)
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
+    rows, levels = Observation(), _levels(partitions, month_of)
+    df = with_month(df, month_of)
+    if levels:
+        df = df.hint("rebalance", *levels)
+    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode("overwrite" if mode == "touched" else mode)
+    if levels:
+        writer = writer.partitionBy(*levels)
+    writer.option("partitionOverwriteMode", "dynamic" if mode == "touched" else "static").parquet(path)
     return rows.get["rows"]
 
 
@@ -156,25 +188,37 @@ def append_new_observations(
     compare: str = "any",
     prune: str | None = None,
     span: tuple[Any, Any] | None = None,
+    month_of: str | None = None,
 ) -> int:
     """Append the rows whose (key, value) tuple is not stored yet; returns how many.
 
     ``prune`` names a key column that rows are clustered by, such as the delivery
     date.  History outside the batch's span of that column is then not read, and
-    the cost of a run no longer grows with the age of the table.  ``span`` gives
+    the cost of a run no longer grows with the age of the table; with
+    ``month_of=prune`` the files of other months are not opened.  ``span`` gives
     the bounds where the caller knows them; else a pass over the batch finds them.
+    Of the first partition column only the batch's own values are read.
     """
     if not table_exists(spark, path):
-        return write_table(df, path, partitions)
-    history = read_table(spark, path, schema=df.schema)
+        return write_table(df, path, partitions, month_of=month_of)
+    history = _scan(spark, path, df.schema)
+    own = [c for c in partitions[:1] if c in keys]
+    bounds = [] if prune is None or span else [F.min(prune).alias("low"), F.max(prune).alias("high")]
+    wanted = [*bounds, *[F.collect_set(c).alias("values") for c in own]]
+    seen = df.agg(*wanted).first() if wanted else None
+    if own:
+        history = history.filter(F.col(own[0]).isNull() | F.col(own[0]).isin(seen["values"]))
     if prune is not None:
-        low, high = span or df.agg(F.min(prune), F.max(prune)).first()
+        low, high = span or (seen["low"], seen["high"])
         near = F.col(prune).isNull()
         if low is not None:
             near = near | F.col(prune).between(F.lit(low), F.lit(high))
+            if month_of == prune:
+                months = F.col(MONTH).between(month_of_value(low), month_of_value(high))
+                history = history.filter(F.col(MONTH).isNull() | months)
         history = history.filter(near)
-    fresh = new_observations(df, history, keys, values, compare)
-    return write_table(fresh, path, partitions, mode="append")
+    fresh = new_observations(df, history.drop(MONTH), keys, values, compare)
+    return write_table(fresh, path, partitions, mode="append", month_of=month_of)
 
 
 def merge_upsert(
@@ -184,6 +228,7 @@ def merge_upsert(
     keys: Sequence[str],
     partitions: Sequence[str] = (),
     key_fixes_partition: bool = False,
+    month_of: str | None = None,
 ) -> int:
     """Update rows of equal key, insert the others; returns the rows of ``df``.  Creates the table if needed.
 
@@ -192,14 +237,20 @@ def merge_upsert(
     partition than before, so the target's keys are searched everywhere; with
     ``key_fixes_partition`` only the batch's own partitions are read.
     """
-    with staged(df, path) as source:
+    rows = Observation()
+    with staged(with_month(df, month_of).observe(rows, F.count(F.lit(1)).alias("rows")), path) as source:
         if not duplicate_keys(source.dropna(subset=list(keys)), keys).isEmpty():
             raise ValueError(f"several source rows share a key of {path}: {list(keys)}")
+        levels = _levels(partitions, month_of)
         if not table_exists(spark, path):
-            write_table(source, path, partitions)
+            write_table(source, path, levels)
+        elif levels:
+            _merge(spark, source, path, keys, levels, key_fixes_partition)
         else:
-            _merge(spark, source, path, keys, partitions, key_fixes_partition)
-        return source.count()
+            merged = merged_rows(_scan(spark, path, source.schema), source, keys)
+            with staged(merged, path) as whole:  # a table without partitions is replaced as a whole
+                write_table(whole, path)
+        return rows.get["rows"]
 
 
 def _merge(
@@ -207,29 +258,42 @@ def _merge(
     source: DataFrame,
     path: str,
     keys: Sequence[str],
-    partitions: Sequence[str],
+    levels: Sequence[str],
     key_fixes_partition: bool,
 ) -> None:
-    target = read_table(spark, path, schema=source.schema)
-    if not partitions:
-        _exchange(spark, merged_rows(target, source, keys), path)
+    """Rewrite the partitions that hold rows of ``source``, or held rows of its keys."""
+    target = _scan(spark, path, source.schema)
+    touched = source.select(*levels)
+    if key_fixes_partition:
+        write_table(_with_rest(target, touched, source, keys, levels), path, levels, mode="touched")
         return
+    matched = target.join(source.select(*keys), list(keys), "left_semi")
+    with staged(touched.unionByName(matched.select(*levels)).distinct(), path) as touched:
+        own = source.select(*levels).distinct()
+        left = [r.asDict() for r in touched.join(own, _same(touched, own, levels), "left_anti").collect()]
+        with _vacated(spark, [_folder(path, values) for values in left]):
+            write_table(_with_rest(target, touched, source, keys, levels), path, levels, mode="touched")
 
-    touched = source.select(*partitions)
-    if not key_fixes_partition:
-        matched = target.join(source.select(*keys), list(keys), "left_semi")
-        touched = touched.unionByName(matched.select(*partitions))
-    # Partition names only: the file listing already keeps this much on the driver.
-    name = _partition_name(partitions)
-    names = {row[0] for row in touched.select(name.alias("_name")).distinct().collect()}
-    present = _Folders(spark, path).partitions(path, len(partitions))
-    _exchange(
-        spark,
-        merged_rows(target.filter(name.isin(list(names))), source, keys),
-        path,
-        partitions,
-        replaced={folder for folder in present if "/".join(_folder_values(folder).values()) in names},
-    )
+
+def _with_rest(
+    target: DataFrame, touched: DataFrame, source: DataFrame, keys: Sequence[str], levels: Sequence[str]
+) -> DataFrame:
+    """``source``, and the other rows of the partitions that are touched.
+
+    The bounds of each partition column are literals, which prune the scan before
+    the semi join picks the partitions.
+    """
+    bounds = touched.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in levels for f in (F.min, F.max)]).first()
+    near = [
+        F.col(c).isNull() | F.col(c).between(F.lit(bounds[f"min_{c}"]), F.lit(bounds[f"max_{c}"])) for c in levels
+    ]
+    around = target.filter(reduce(and_, near))
+    chosen = touched.distinct()
+    return merged_rows(around.join(chosen, _same(around, chosen, levels), "left_semi"), source, keys)
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    return reduce(and_, [left[c].eqNullSafe(right[c]) for c in columns])
 
 
 def replace_date_range(
@@ -239,91 +303,73 @@ def replace_date_range(
     market_id: str | Collection[str],
     start_id: int,
     end_id: int,
-    partitions: Sequence[str] = ("market_id", "date_id"),
+    partitions: Sequence[str] = ("market_id",),
+    month_of: str = "date_id",
 ) -> int:
     """Overwrite exactly the [start_id, end_id] days of one market, or of several; returns the rows written.
 
-    Days of the range without rows in ``df`` are removed.  A row outside the
-    range is an error and leaves the table unchanged.  A missing table is created
-    from ``df`` as it is.
+    Days of the range without rows in ``df`` are removed, the other days of the
+    months it touches stay.  A row outside the range is an error and leaves the
+    table unchanged.  A missing table is created from ``df`` as it is.
     """
-    if tuple(partitions) != ("market_id", "date_id"):
-        raise ValueError("range replacement needs tables partitioned by (market_id, date_id)")
     if not table_exists(spark, path):
-        return write_table(df, path, partitions)
-
-    markets = {market_id} if isinstance(market_id, str) else set(market_id)
-
-    def inside(folder: str) -> bool:
-        values = _folder_values(folder)
-        return values["market_id"] in markets and start_id <= int(values["date_id"]) <= end_id
-
-    present = _Folders(spark, path).partitions(path, len(partitions))
-    return _exchange(
-        spark, df, path, partitions,
-        replaced={folder for folder in present if inside(folder)}, allowed=inside,
+        return write_table(df, path, partitions, month_of=month_of)
+    markets = [market_id] if isinstance(market_id, str) else sorted(market_id)
+    inside = F.coalesce(
+        F.col("market_id").isin(markets) & F.col("date_id").between(start_id, end_id), F.lit(False)
+    )
+    stray = F.raise_error(F.concat(F.lit(_STRAY), F.to_json(F.struct("market_id", "date_id"))))
+    rows = Observation()
+    checked = df.withColumn("date_id", F.when(inside, F.col("date_id")).otherwise(stray.cast("int"))).observe(
+        rows, F.count(F.lit(1)).alias("rows")
     )
+    first, last = month_of_value(start_id), month_of_value(end_id)
+    touched = _scan(spark, path, df.schema).filter(
+        F.col("market_id").isin(markets) & F.col(MONTH).between(first, last)
+    )
+    kept = touched.filter(~inside).drop(MONTH)
+    folders = [
+        folder for market in markets for folder in _Folders(spark, path).glob(_folder(path, {"market_id": market}) + f"/{MONTH}=*")
+        if first <= int(folder.rsplit("=", 1)[1]) <= last
+    ]
+    with _vacated(spark, folders):
+        try:
+            write_table(kept.unionByName(checked), path, partitions, mode="touched", month_of=month_of)
+        except PySparkException as error:
+            if _STRAY in str(error):
+                raise ValueError(str(error).split(_STRAY, 1)[1].split("\n", 1)[0].join((_STRAY, ""))) from error
+            raise
+    return rows.get["rows"]
 
 
-_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_STRAY = "row outside the replaced range: "
 
 
-def _partition_name(partitions: Sequence[str]) -> Column:
-    """Partition values as text, spelled as in a folder name."""
-    values = [F.coalesce(F.col(c).cast("string"), F.lit(_NO_VALUE)) for c in partitions]
-    return F.concat_ws("/", *values)
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Characters that Spark leaves as they are in the name of a partition's folder.
+_PLAIN = " !$&()+,-.;<>@_`|~"
 
 
-def _folder_values(folder: str) -> dict[str, str]:
-    return {k: unquote(v) for k, v in (part.split("=", 1) for part in folder.split("/"))}
+def _folder(path: str, values: dict[str, Any]) -> str:
+    """The folder of a partition, spelled as Spark spells it."""
+    parts = [f"{c}={_NO_VALUE if v is None else quote(str(v), safe=_PLAIN)}" for c, v in values.items()]
+    return "/".join([path.rstrip("/"), *parts])
 
 
 def _parent(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[0]
 
 
-def _exchange(
-    spark: SparkSession,
-    df: DataFrame,
-    path: str,
-    partitions: Sequence[str] = (),
-    replaced: set[str] = frozenset(),
-    allowed: Callable[[str], bool] | None = None,
-) -> int:
-    """Stage ``df``, then put its partitions in place of the ``replaced`` ones; returns its rows."""
-    path = path.rstrip("/")
-    name = path.rsplit("/", 1)[1]
-    staging = f"{_parent(path)}/_staging/{name}-{uuid.uuid4().hex}"
-    folders = _Folders(spark, path)
-    try:
-        rows = write_table(df, f"{staging}/new", partitions)
-    except Exception:
-        folders.drop(staging)
-        raise
-
-    if not partitions:
-        steps = [(path, f"{staging}/old"), (f"{staging}/new", path)]
-    else:
-        staged = folders.partitions(f"{staging}/new", len(partitions))
-        stray = sorted(f for f in staged if allowed is not None and not allowed(f))
-        if stray:
-            folders.drop(staging)
-            raise ValueError(f"rows outside the replaced range: {stray[:5]}")
-        steps = []
-        for folder in sorted(staged | replaced):
-            if folders.exists(f"{path}/{folder}"):
-                steps.append((f"{path}/{folder}", f"{staging}/old/{folder}"))
-            if folder in staged:
-                steps.append((f"{staging}/new/{folder}", f"{path}/{folder}"))
-    done = []
-    try:
-        for source, target in steps:
-            folders.move(source, target)
-            done.append((source, target))
-    except Exception:
-        for source, target in reversed(done):
-            folders.move(target, source)
-        folders.drop(staging)
-        raise
-    folders.drop(staging)
-    return rows
+@contextmanager
+def _vacated(spark: SparkSession, folders: Sequence[str]) -> Iterator[None]:
+    """After a write of touched partitions, delete those of ``folders`` that it left as they were.
+
+    A folder that got new contents no longer has its old files.  One listing and
+    one look a folder; folders that aren't given cost nothing.
+    """
+    calls = _Folders(spark, folders[0]) if folders else None
+    old = [(folder, files[0]) for folder in folders if (files := calls.glob(f"{folder}/*.parquet"))]
+    yield
+    for folder, file in old:
+        if calls.exists(file):
+            calls.drop(folder)

@@ -39,7 +39,7 @@ def _stored(
     spark: SparkSession, base: str, table: Table, filters: list | None = None, optional: bool = False
 ) -> DataFrame:
     try:
-        return read_table(spark, table.path(base), filters or [], table.schema)
+        return read_table(spark, table.path(base), filters or [], table.schema, table.month_of)
     except TableNotFound:
         if optional:
             return spark.createDataFrame([], table.schema)
@@ -83,7 +83,7 @@ def _append(
     rows = conform(df.withColumn("ingested_at", F.lit(stamp).cast("timestamp")), table)
     return append_new_observations(
         df.sparkSession, stored(rows, table.name), table.path(base), table.keys, table.values,
-        table.partitions, compare=compare, prune=prune,
+        table.partitions, compare=compare, prune=prune, month_of=table.month_of,
     )
 
 
@@ -187,7 +187,7 @@ class Built(NamedTuple):
 def _upsert(df: DataFrame, base: str, table: Table, key_fixes_partition: bool = True) -> int:
     return merge_upsert(
         df.sparkSession, conform(df, table), table.path(base), table.keys, table.partitions,
-        key_fixes_partition,
+        key_fixes_partition, table.month_of,
     )
 
 

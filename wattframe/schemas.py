@@ -13,7 +13,10 @@ from .registry import mix_columns
 
 @dataclass(frozen=True)
 class Table:
-    """``columns`` is a DDL string; NOT NULL columns are checked by ``conform``."""
+    """``columns`` is a DDL string; NOT NULL columns are checked by ``conform``.
+
+    ``month_of`` names the column whose month is the last level of partitions.
+    """
 
     layer: str
     name: str
@@ -21,6 +24,7 @@ class Table:
     keys: tuple[str, ...]
     partitions: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
+    month_of: str | None = None
 
     @property
     def schema(self) -> StructType:
@@ -54,7 +58,7 @@ OPCOM_PRICES = Table(
     "price_lei_mwh double, volume_mw double, volume_buy_mw double, volume_sell_mw double, "
     "ingested_at timestamp not null, source_url string",
     keys=("market_id", "delivery_date", "interval_15min"),
-    partitions=("market_id", "delivery_date"),
+    partitions=("market_id",), month_of="delivery_date",
     values=("price_lei_mwh", "volume_mw", "volume_buy_mw", "volume_sell_mw"),
 )
 ENTSOE_GENERATION = Table(
@@ -62,7 +66,7 @@ ENTSOE_GENERATION = Table(
     "market_id string not null, timestamp_utc timestamp not null, "
     "production_type string not null, actual_mw double, ingested_at timestamp not null",
     keys=("market_id", "timestamp_utc", "production_type"),
-    partitions=("market_id",),
+    partitions=("market_id",), month_of="timestamp_utc",
     values=("actual_mw",),
 )
 ENTSOE_LOAD = Table(
@@ -70,7 +74,7 @@ ENTSOE_LOAD = Table(
     "market_id string not null, timestamp_utc timestamp not null, actual_load_mw double, "
     "ingested_at timestamp not null",
     keys=("market_id", "timestamp_utc"),
-    partitions=("market_id",),
+    partitions=("market_id",), month_of="timestamp_utc",
     values=("actual_load_mw",),
 )
 BNR_RATES = Table(
@@ -96,7 +100,7 @@ WEATHER = Table(
     "wind_speed_10m double, wind_speed_100m double, shortwave_radiation double, "
     "cloud_cover double, ingested_at timestamp not null, source_url string",
     keys=("market_id", "location_name", "timestamp_utc", "data_type"),
-    partitions=("market_id", "location_name"),
+    partitions=("market_id",), month_of="timestamp_utc",
     values=(
         "temperature_2m", "wind_speed_10m", "wind_speed_100m", "shortwave_radiation", "cloud_cover",
     ),
@@ -118,7 +122,7 @@ DIM_DATETIME = Table(
     "utc_offset_minutes int not null, is_dst boolean not null, "
     "is_repeated_hour boolean not null, is_hour_start boolean not null",
     keys=("timezone", "timestamp_utc"),
-    partitions=("timezone", "date_id"),
+    partitions=("timezone",), month_of="date_id",
 )
 DIM_MARKET = Table(
     "silver", "dim_market",
@@ -154,21 +158,21 @@ FACT_PRICE = Table(
     "local_time_id int not null, market_id string not null, price_local_mwh double, "
     "fx_rate double, price_eur_mwh double",
     keys=("market_id", "timestamp_utc"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 FACT_GENERATION = Table(
     "silver", "fact_generation",
     "date_id int not null, time_id int not null, hour_start_utc timestamp not null, "
     "market_id string not null, production_type_id int not null, actual_mw double",
     keys=("hour_start_utc", "market_id", "production_type_id"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 FACT_LOAD = Table(
     "silver", "fact_load",
     "date_id int not null, time_id int not null, hour_start_utc timestamp not null, "
     "market_id string not null, actual_load_mw double",
     keys=("hour_start_utc", "market_id"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 FACT_WEATHER = Table(
     "silver", "fact_weather",
@@ -176,7 +180,7 @@ FACT_WEATHER = Table(
     "location_id int not null, data_type string not null, temperature_c double, "
     "wind_speed_ms double, solar_irradiance_wm2 double, cloud_cover_pct double",
     keys=("hour_start_utc", "location_id", "data_type"),
-    partitions=("location_id", "date_id"),
+    partitions=("location_id",), month_of="date_id",
 )
 PRICE_HOURLY = Table(
     "gold", "price_hourly",
@@ -184,7 +188,7 @@ PRICE_HOURLY = Table(
     "market_id string not null, price_local_mwh double, fx_rate double, price_eur_mwh double, "
     "is_peak boolean not null, time_label string not null, is_repeated_hour boolean not null",
     keys=("market_id", "hour_start_utc"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 GENERATION_HOURLY = Table(
     "gold", "generation_hourly",
@@ -194,7 +198,7 @@ GENERATION_HOURLY = Table(
     + "other_discovered_mw double not null, total_mw double, renewable_mw double, "
     "thermal_mw double, nuclear_mw_total double, renewable_share_pct double",
     keys=("market_id", "hour_start_utc"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 ARBITRAGE_WINDOWS = Table(
     "gold", "arbitrage_windows",
@@ -203,7 +207,7 @@ ARBITRAGE_WINDOWS = Table(
     "end_label string, avg_price_eur_mwh double, n_slots bigint not null, "
     "arbitrage_spread_eur_mwh double",
     keys=("market_id", "start_utc"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )
 BESS_SIGNALS = Table(
     "gold", "bess_signals",
@@ -213,5 +217,5 @@ BESS_SIGNALS = Table(
     "signal int not null, daily_min_price_eur_mwh double, daily_max_price_eur_mwh double, "
     "arbitrage_spread_eur_mwh double",
     keys=("market_id", "timestamp_utc"),
-    partitions=("market_id", "date_id"),
+    partitions=("market_id",), month_of="date_id",
 )

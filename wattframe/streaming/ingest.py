@@ -43,7 +43,7 @@ def append_stream(
         rows = conform(parse(batch).withColumn("ingested_at", F.lit(stamp)), table)
         append_new_observations(
             batch.sparkSession, rows, table.path(base), table.keys, table.values,
-            table.partitions, prune=prune,
+            table.partitions, prune=prune, month_of=table.month_of,
         )
 
     return (

@@ -144,34 +144,34 @@ def upsert_rows(spark, sf_dir):
 
 @query(
     sql(
-        """, r AS (SELECT market_id, CAST(year(delivery_date) * 100 + month(delivery_date) AS INTEGER) AS date_id, delivery_date,
-  interval_15min, price_lei_mwh FROM price_latest),
-merged AS (SELECT * FROM r WHERE date_id < 199801 UNION ALL
-  SELECT * REPLACE (price_lei_mwh + 1 AS price_lei_mwh) FROM r WHERE date_id >= 199801)
-SELECT * FROM (SELECT * FROM merged WHERE NOT (market_id = 'RO' AND date_id BETWEEN 199701 AND 199712)
+        f""", r AS (SELECT market_id, {date_id('delivery_date')} AS date_id, delivery_date, interval_15min, price_lei_mwh FROM price_latest),
+merged AS (SELECT * FROM r WHERE date_id < 19980110 UNION ALL
+  SELECT * REPLACE (price_lei_mwh + 1 AS price_lei_mwh) FROM r WHERE date_id >= 19980110)
+SELECT * FROM (SELECT * FROM merged WHERE NOT (market_id = 'RO' AND date_id BETWEEN 19970112 AND 19971220)
   UNION ALL SELECT * REPLACE (price_lei_mwh * 2 AS price_lei_mwh) FROM r
-  WHERE market_id = 'RO' AND date_id BETWEEN 199701 AND 199706)
-WHERE market_id IN ('RO', 'GB') AND date_id >= 199603""",
+  WHERE market_id = 'RO' AND date_id BETWEEN 19970112 AND 19970614)
+WHERE market_id IN ('RO', 'GB') AND date_id >= 19960307""",
         "price_latest",
     )
 )
 def store_round_trip(spark, sf_dir):
-    """A table written, upserted, replaced in a range and read back with filters; a month is a partition."""
-    month = (F.year("delivery_date") * 100 + F.month("delivery_date")).cast("int")
+    """A table of months written, upserted, replaced from day to day and read back with filters."""
     rows = latest_per_key(fr.price_obs(spark, sf_dir), OPCOM_PRICES.keys).select(
-        "market_id", month.alias("date_id"), "delivery_date", "interval_15min", "price_lei_mwh"
+        "market_id", ft.date_id("delivery_date").alias("date_id"), "delivery_date", "interval_15min", "price_lei_mwh"
     )
     path = f"{shared_folder(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}/prices"
     place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    partitions, price = ("market_id", "date_id"), F.col("price_lei_mwh")
-    later = rows.filter("date_id >= 199801").withColumn("price_lei_mwh", price + 1)
-    for batch in (rows.filter("date_id < 199901"), later):
-        store.merge_upsert(spark, batch, path, OPCOM_PRICES.keys, partitions, key_fixes_partition=True)
-    half = rows.filter("market_id = 'RO' AND date_id BETWEEN 199701 AND 199706")
-    store.replace_date_range(spark, half.withColumn("price_lei_mwh", price * 2), path, "RO", 199701, 199712)
-    filters = [("market_id", "in", ["RO", "GB"]), ("date_id", ">=", 199603)]
-    return store.read_table(spark, path, filters, rows.schema).select(rows.columns)
+    price = F.col("price_lei_mwh")
+    later = rows.filter("date_id >= 19980110").withColumn("price_lei_mwh", price + 1)
+    for batch in (rows.filter("date_id < 19990120"), later):
+        store.merge_upsert(
+            spark, batch, path, OPCOM_PRICES.keys, ["market_id"], key_fixes_partition=True, month_of="date_id"
+        )
+    half = rows.filter("market_id = 'RO' AND date_id BETWEEN 19970112 AND 19970614")
+    store.replace_date_range(spark, half.withColumn("price_lei_mwh", price * 2), path, "RO", 19970112, 19971220)
+    filters = [("market_id", "in", ["RO", "GB"]), ("date_id", ">=", 19960307)]
+    return store.read_table(spark, path, filters, rows.schema, "date_id").select(rows.columns)
 
 
 @query(
