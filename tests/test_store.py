@@ -236,8 +236,8 @@ def test_calls_do_not_grow_with_the_table(spark, base, monkeypatch):
     assert len(list(Path(path).glob("*/*"))) == 2000
     calls = []
     for name in ("exists", "drop", "glob"):
-        real = getattr(store._Folders, name)
-        monkeypatch.setattr(store._Folders, name, lambda self, p, real=real, name=name: calls.append((name, p)) or real(self, p))
+        real = getattr(store.Folders, name)
+        monkeypatch.setattr(store.Folders, name, lambda self, p, real=real, name=name: calls.append((name, p)) or real(self, p))
     files = {p: p.stat().st_mtime_ns for p in Path(path).rglob("*.parquet")}
     replace_date_range(spark, keyed(spark, ("M1", 20050106, 1, 2.0)), path, "M1", 20050101, 20050331)
     merge_upsert(spark, keyed(spark, ("M2", 20050105, 1, 3.0), ("M3", 20110405, 1, 3.0)), path, ["market_id", "date_id"],

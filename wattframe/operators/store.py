@@ -41,7 +41,7 @@ class TableNotFound(ValueError):
     """The table has not been written yet."""
 
 
-class _Folders:
+class Folders:
     """The few file-system calls needed, through Spark's own Hadoop client."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -51,6 +51,9 @@ class _Folders:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def make(self, path: str) -> None:
+        self._fs.mkdirs(self._path(path))
+
     def drop(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
@@ -84,7 +87,7 @@ def _levels(partitions: Sequence[str], month_of: str | None) -> list[str]:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
-    return _Folders(spark, path).exists(path)
+    return Folders(spark, path).exists(path)
 
 
 def read_table(
@@ -175,7 +178,7 @@ def staged(df: DataFrame, beside: str) -> Iterator[DataFrame]:
         df.write.parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        _Folders(spark, path).drop(path)
+        Folders(spark, path).drop(path)
 
 
 def append_new_observations(
@@ -329,7 +332,7 @@ def replace_date_range(
     )
     kept = touched.filter(~inside).drop(MONTH)
     folders = [
-        folder for market in markets for folder in _Folders(spark, path).glob(_folder(path, {"market_id": market}) + f"/{MONTH}=*")
+        folder for market in markets for folder in Folders(spark, path).glob(_folder(path, {"market_id": market}) + f"/{MONTH}=*")
         if first <= int(folder.rsplit("=", 1)[1]) <= last
     ]
     with _vacated(spark, folders):
@@ -367,7 +370,7 @@ def _vacated(spark: SparkSession, folders: Sequence[str]) -> Iterator[None]:
     A folder that got new contents no longer has its old files.  One listing and
     one look a folder; folders that aren't given cost nothing.
     """
-    calls = _Folders(spark, folders[0]) if folders else None
+    calls = Folders(spark, folders[0]) if folders else None
     old = [(folder, files[0]) for folder in folders if (files := calls.glob(f"{folder}/*.parquet"))]
     yield
     for folder, file in old:

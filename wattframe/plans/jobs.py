@@ -19,7 +19,6 @@ from ..operators.rank import CHARGE_SLOTS, DISCHARGE_SLOTS
 from ..operators.staging import stored
 from ..operators.store import (
     TableNotFound,
-    append_new_observations,
     merge_upsert,
     read_table,
     replace_date_range,
@@ -27,7 +26,7 @@ from ..operators.store import (
 from ..registry import MARKETS, get_market, markets_frame, production_types_frame
 from ..schemas import Table, conform
 from ..sources import landing, prices, rates, series
-from . import dims, gold, queries, silver
+from . import bronze, dims, gold, queries, silver
 from .silver import Markets
 
 
@@ -81,10 +80,7 @@ def _append(
     """Append a parsed batch, which is stored once, so that its files are parsed once."""
     stamp = ingested_at or datetime.now(timezone.utc).replace(tzinfo=None)
     rows = conform(df.withColumn("ingested_at", F.lit(stamp).cast("timestamp")), table)
-    return append_new_observations(
-        df.sparkSession, stored(rows, table.name), table.path(base), table.keys, table.values,
-        table.partitions, compare=compare, prune=prune, month_of=table.month_of,
-    )
+    return bronze.append(stored(rows, table.name), table, base, prune, compare)
 
 
 def _files(

@@ -15,7 +15,8 @@ from .registry import mix_columns
 class Table:
     """``columns`` is a DDL string; NOT NULL columns are checked by ``conform``.
 
-    ``month_of`` names the column whose month is the last level of partitions.
+    ``month_of`` names the column whose month is the last level of partitions; with ``buckets`` it is the
+    only level, and the months are bucketed by the keys.
     """
 
     layer: str
@@ -25,6 +26,7 @@ class Table:
     partitions: tuple[str, ...] = ()
     values: tuple[str, ...] = ()
     month_of: str | None = None
+    buckets: int = 0
 
     @property
     def schema(self) -> StructType:
@@ -58,7 +60,7 @@ OPCOM_PRICES = Table(
     "price_lei_mwh double, volume_mw double, volume_buy_mw double, volume_sell_mw double, "
     "ingested_at timestamp not null, source_url string",
     keys=("market_id", "delivery_date", "interval_15min"),
-    partitions=("market_id",), month_of="delivery_date",
+    month_of="delivery_date", buckets=8,
     values=("price_lei_mwh", "volume_mw", "volume_buy_mw", "volume_sell_mw"),
 )
 ENTSOE_GENERATION = Table(
@@ -66,7 +68,7 @@ ENTSOE_GENERATION = Table(
     "market_id string not null, timestamp_utc timestamp not null, "
     "production_type string not null, actual_mw double, ingested_at timestamp not null",
     keys=("market_id", "timestamp_utc", "production_type"),
-    partitions=("market_id",), month_of="timestamp_utc",
+    month_of="timestamp_utc", buckets=8,
     values=("actual_mw",),
 )
 ENTSOE_LOAD = Table(
@@ -74,7 +76,7 @@ ENTSOE_LOAD = Table(
     "market_id string not null, timestamp_utc timestamp not null, actual_load_mw double, "
     "ingested_at timestamp not null",
     keys=("market_id", "timestamp_utc"),
-    partitions=("market_id",), month_of="timestamp_utc",
+    month_of="timestamp_utc", buckets=8,
     values=("actual_load_mw",),
 )
 BNR_RATES = Table(
@@ -100,7 +102,7 @@ WEATHER = Table(
     "wind_speed_10m double, wind_speed_100m double, shortwave_radiation double, "
     "cloud_cover double, ingested_at timestamp not null, source_url string",
     keys=("market_id", "location_name", "timestamp_utc", "data_type"),
-    partitions=("market_id",), month_of="timestamp_utc",
+    month_of="timestamp_utc", buckets=8,
     values=(
         "temperature_2m", "wind_speed_10m", "wind_speed_100m", "shortwave_radiation", "cloud_cover",
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import append_new_observations
+from ..plans import bronze
 from ..schemas import Table, conform
 
 
@@ -41,10 +41,7 @@ def append_stream(
     def store(batch: DataFrame, _epoch: int) -> None:
         stamp = datetime.now(timezone.utc).replace(tzinfo=None)
         rows = conform(parse(batch).withColumn("ingested_at", F.lit(stamp)), table)
-        append_new_observations(
-            batch.sparkSession, rows, table.path(base), table.keys, table.values,
-            table.partitions, prune=prune, month_of=table.month_of,
-        )
+        bronze.append(rows, table, base, prune)
 
     return (
         files.writeStream.foreachBatch(store)

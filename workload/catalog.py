@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattframe.functions import calendar as cal
 from wattframe.functions import money, text
 from wattframe.functions import time as ft
-from wattframe.operators import changes, quality, resolve, store, usage
+from wattframe.operators import bucketed, changes, quality, resolve, store, usage
 from wattframe.operators.axis import date_spine, join_axis, peak_slot_range, settlement_axis
 from wattframe.operators.fill import asof_join, forward_fill
 from wattframe.operators.latest import latest_per_key
@@ -104,6 +104,21 @@ def append_new_obs(spark, sf_dir):
     return changes.new_observations(incoming, history, OPCOM_PRICES.keys, OPCOM_PRICES.values)
 
 
+@query(ORACLES["append_new_obs"])
+def append_to_buckets(spark, sf_dir):
+    """The same against a history stored in buckets by two runs, which is not exchanged."""
+    incoming = fr.price_obs(spark, sf_dir)
+    path = f"{shared_folder(spark).rstrip('/')}/buckets-{uuid.uuid4().hex}/prices"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    layout = {"keys": OPCOM_PRICES.keys, "buckets": OPCOM_PRICES.buckets, "month_of": "delivery_date"}
+    for until in (date(1996, 3, 1), _CUTOFF):
+        batch = incoming.filter(F.col("delivery_date") < F.lit(until))
+        bucketed.append_to_buckets(spark, batch, path, values=OPCOM_PRICES.values, **layout)
+    history = bucketed.read_buckets(spark, path, incoming.schema, **layout)
+    return bucketed.new_in_buckets(incoming, history, OPCOM_PRICES.keys, OPCOM_PRICES.values)
+
+
 @query(
     sql(
         """SELECT i.* FROM price_obs i LEFT JOIN price_latest h
