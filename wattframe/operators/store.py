@@ -281,7 +281,12 @@ def _merge(
 def _with_rest(
     target: DataFrame, touched: DataFrame, source: DataFrame, keys: Sequence[str], levels: Sequence[str]
 ) -> DataFrame:
-    """``source``, and the other rows of the partitions that are touched.
+    """``source``, and the other rows of the partitions that are touched."""
+    return merged_rows(_around(target, touched.distinct(), levels), source, keys)
+
+
+def _around(target: DataFrame, touched: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Rows of the partitions that ``touched`` lists.
 
     The bounds of each partition column are literals, which prune the scan before
     the semi join picks the partitions.
@@ -290,9 +295,8 @@ def _with_rest(
     near = [
         F.col(c).isNull() | F.col(c).between(F.lit(bounds[f"min_{c}"]), F.lit(bounds[f"max_{c}"])) for c in levels
     ]
-    around = target.filter(reduce(and_, near))
-    chosen = touched.distinct()
-    return merged_rows(around.join(chosen, _same(around, chosen, levels), "left_semi"), source, keys)
+    close = target.filter(reduce(and_, near)).alias("t")
+    return close.join(touched.alias("p"), _same_names("t", "p", levels), "left_semi")
 
 
 def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
@@ -348,6 +352,47 @@ def replace_date_range(
 _STRAY = "row outside the replaced range: "
 
 
+def replace_days(
+    spark: SparkSession,
+    df: DataFrame,
+    path: str,
+    days: DataFrame,
+    on: Sequence[str] = ("market_id", "date_id"),
+    partitions: Sequence[str] = ("market_id",),
+    month_of: str = "date_id",
+) -> int:
+    """Overwrite exactly the days listed in ``days`` (columns ``on``); returns the rows written.
+
+    Like ``replace_date_range``, for days that lie apart: listed days without rows in
+    ``df`` are removed, the others of the months touched stay, and a row of a day that
+    is not listed is an error.  ``days`` is read several times; store it first.
+    """
+    days = days.select(*on).distinct()
+    if not table_exists(spark, path):
+        return write_table(df, path, partitions, month_of=month_of)
+    levels = _levels(partitions, month_of)
+    touched = with_month(days, month_of).select(*levels).distinct()
+    listed = days.withColumn("_listed", F.lit(True))
+    stray = F.raise_error(F.concat(F.lit(_STRAY), F.to_json(F.struct(*[F.col(f"d.{c}") for c in on]))))
+    marked = df.alias("d").join(listed.alias("l"), _same_names("d", "l", on), "left")
+    rows = Observation()
+    checked = marked.select(
+        *[F.col(f"d.{c}") for c in df.columns if c != month_of],
+        F.when(F.col("_listed"), F.col(f"d.{month_of}")).otherwise(stray.cast("int")).alias(month_of),
+    ).observe(rows, F.count(F.lit(1)).alias("rows"))
+    target = _scan(spark, path, df.schema)
+    around = _around(target, touched, levels)
+    kept = around.alias("d").join(days.alias("l"), _same_names("d", "l", on), "left_anti").drop(MONTH)
+    folders = [_folder(path, r.asDict()) for r in touched.select(*levels).collect()]
+    with _vacated(spark, folders):
+        write_table(kept.unionByName(checked), path, partitions, mode="touched", month_of=month_of)
+    return rows.get["rows"]
+
+
+def _same_names(left: str, right: str, columns: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
 _NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 #: Characters that Spark leaves as they are in the name of a partition's folder.
 _PLAIN = " !$&()+,-.;<>@_`|~"

@@ -108,6 +108,12 @@ WEATHER = Table(
     ),
 )
 
+REFRESH_MARKS = Table(
+    "control", "refresh_marks",
+    "name string not null, ingested_until timestamp not null",
+    keys=("name",),
+)
+
 DIM_DATE = Table(
     "silver", "dim_date",
     "date_id int not null, full_date date not null, year int not null, month int not null, "

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 # otherwise naive values would read back differently from machine to machine.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # Parquet keeps no statistics of the default type of instants, so no filter on one could skip a file.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
