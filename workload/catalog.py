@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ from wattframe.registry import (
     PRODUCTION_TYPES, Market, market_timezones, mix_columns, production_types_frame, required_pairs, zones,
 )
 from wattframe.schemas import ARBITRAGE_WINDOWS, BNR_RATES, ECB_RATES, ENTSOE_GENERATION, OPCOM_PRICES, WEATHER, conform
+from wattframe.streaming.ingest import changed_observations, to_folder
 
 from . import frames as fr
 from .frames import clock, date_id, instant, local, sql, table
@@ -135,6 +136,24 @@ def append_vs_latest(spark, sf_dir):
     return changes.new_observations(rows, rows, OPCOM_PRICES.keys, OPCOM_PRICES.values, "latest")
 
 
+@query(
+    """SELECT event_id, user_id, event_type, ts FROM events
+QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type"""
+)
+def stream_of_changes(spark, sf_dir):
+    """Events that change their user's last type, from a stream that is stopped and goes on between two batches."""
+    base = f"{shared_folder(spark).rstrip('/')}/changes-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(base)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for batch in (events.filter(F.col("ts") < F.lit(_SINCE)), events.filter(F.col("ts") >= F.lit(_SINCE))):
+        batch.write.mode("append").parquet(f"{base}/in")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        changes_ = changed_observations(arriving, ["user_id"], ["event_type"], "ts", ["event_id"], timedelta(days=60))
+        to_folder(changes_, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/out")
+
+
 @query(
     sql(
         """, src AS (SELECT market_id, delivery_date, interval_15min, price_lei_mwh + 1 AS price_lei_mwh
