@@ -1,8 +1,12 @@
-"""Exchange-rate files: central-bank XML, ECB JSON and ECB history XML."""
+"""Exchange-rate files: central-bank XML, ECB JSON and ECB history XML.
+
+Files with many days are read as text that ends where the next day's attribute begins, which lets Spark split a large
+file among tasks; a record then holds one day.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fx_archive_url, plain_number
@@ -12,11 +16,22 @@ from .landing import file_date
 _XML = {"ignoreNamespace": "true"}
 _RATE = "ARRAY<STRUCT<_VALUE: STRING, _currency: STRING, _multiplier: STRING>>"
 _CUBE = f"_date STRING, Rate {_RATE}, Cube STRUCT<_date: STRING, Rate: {_RATE}>"
-_HISTORY = (
-    "Cube STRUCT<Cube: ARRAY<STRUCT<_time: STRING, "
-    "Cube: ARRAY<STRUCT<_currency: STRING, _rate: STRING>>>>>"
-)
-_DAY_ELEMENT = r"(?s)(<(?:\w+:)?Cube\s[^>]*?date=.*?</(?:\w+:)?Cube>)"
+_QUOTED = r"""["']([^"']*)["']"""
+
+
+def day_records(spark: SparkSession, path: str, attribute: str) -> DataFrame:
+    """(source_path, place, date, value) of every day in files of many days; ``place`` orders the days of a file.
+
+    ``value`` is what follows ``attribute=`` up to the next one: the day, the rest of its tag, and its content.  What
+    comes before the first day, and a day that is no date, is left out.
+    """
+    text = spark.read.option("lineSep", f"{attribute}=").text(path)
+    return text.select(
+        F.col("_metadata.file_path").alias("source_path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"),
+        F.try_to_date(F.regexp_extract("value", rf"^\s*{_QUOTED}", 1)).alias("date"),
+        "value",
+    ).filter("date IS NOT NULL")
 
 
 def parse_bnr(files: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
@@ -56,23 +71,16 @@ def parse_bnr(files: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
     )
 
 
-def split_bnr_archive(files: DataFrame) -> DataFrame:
-    """One (date, value, source_path) slice per day element of yearly archives.
+def split_bnr_archive(spark: SparkSession, path: str) -> DataFrame:
+    """One (date, value, source_path) slice per day element of the yearly archives below ``path``.
 
     Of several elements for a date in one file the last one counts.
     """
-    day = F.try_to_date(F.regexp_extract("col", r'date="([^"]*)"', 1))
-    return (
-        files.select(
-            F.col("path").alias("source_path"),
-            F.posexplode(F.regexp_extract_all("value", F.lit(_DAY_ELEMENT), F.lit(1))),
-        )
-        .withColumn("date", day)
-        .filter(F.col("date").isNotNull())
-        .groupBy("source_path", "date")
-        .agg(F.max_by("col", "pos").alias("value"))
-        .select("date", "value", "source_path")
-    )
+    last = day_records(spark, path, "date").groupBy("source_path", "date").agg(F.max_by("value", "place").alias("value"))
+    # (?s): the content goes over several lines; it ends with the first closing tag, whose prefix is the opening one's.
+    whole = F.regexp_extract("value", r"(?s)^(.*?</(?:\w+:)?Cube>)", 1)
+    prefix = F.regexp_extract("value", r"(?s)^.*?</((?:\w+:)?)Cube>", 1)
+    return last.select("date", F.concat(F.lit("<"), prefix, F.lit("Cube date="), whole).alias("value"), "source_path")
 
 
 def parse_ecb(files: DataFrame, today: Column | None = None) -> DataFrame:
@@ -100,20 +108,23 @@ def parse_ecb(files: DataFrame, today: Column | None = None) -> DataFrame:
     )
 
 
-def parse_ecb_history(files: DataFrame) -> DataFrame:
-    """(date, quote_currency, rate) from the nested history file.
+def parse_ecb_history(spark: SparkSession, path: str) -> DataFrame:
+    """(date, quote_currency, rate) from the history files below ``path``.
 
     Days without a usable rate do not appear.
     """
-    days = files.select(
-        F.explode(F.from_xml("value", _HISTORY, _XML)["Cube"]["Cube"]).alias("day")
-    )
+    def attribute(tag: Column, name: str) -> Column:
+        return F.regexp_extract(tag, rf"\b{name}\s*=\s*{_QUOTED}", 1)
+
+    tags = F.regexp_extract_all("value", F.lit(r"<(?:\w+:)?Cube\s([^>]*)>"), F.lit(1))
     return (
-        days.select(F.try_to_date("day._time").alias("date"), F.inline("day.Cube"))
+        day_records(spark, path, "time")
+        .select("date", F.explode(tags).alias("_tag"))
         .select(
-            "date", F.col("_currency").alias("quote_currency"), plain_number("_rate").alias("rate")
+            "date", attribute(F.col("_tag"), "currency").alias("quote_currency"),
+            plain_number(attribute(F.col("_tag"), "rate")).alias("rate"),
         )
-        .filter("date IS NOT NULL AND quote_currency <> '' AND rate IS NOT NULL")
+        .filter("quote_currency <> '' AND rate IS NOT NULL")
     )
 
 
