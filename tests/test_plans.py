@@ -273,6 +273,29 @@ def test_registry(spark):
     assert [r.production_type_id for r in types.collect()] == list(range(1, 22))
 
 
+def executions(spark):
+    """Plans of all SQL executions so far, as Spark's own store lists them."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+
+
+def test_a_build_reads_its_observations_once(spark, lake):
+    builds = (
+        (jobs.build_fact_price, schemas.OPCOM_PRICES), (jobs.build_fact_generation, schemas.ENTSOE_GENERATION),
+        (jobs.build_fact_weather, schemas.WEATHER),
+    )
+    for build, observed in builds:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        before = len(executions(spark))
+        done = build(spark, lake["base"], None, START, END)
+        done.dropped.collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        plans = executions(spark)[before:]
+        assert sum(f"/bronze/{observed.name}" in p for p in plans) == 1, build.__name__
+    places = {r.key: r.dropped_rows for r in done.dropped.collect()}
+    assert set(places) == {"RO/Atlantis"} and places["RO/Atlantis"] > 0
+
+
 def test_conform_refuses_nulls(spark):
     df = spark.createDataFrame([(None, date(2026, 1, 1))], "date_id int, full_date date")
     small = schemas.Table("silver", "small", "date_id int not null, full_date date", keys=("date_id",))

@@ -42,13 +42,16 @@ def new_observations(
     return incoming.alias("i").join(stored.alias("s"), same, "left_anti")
 
 
-def merged_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merged_rows(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], written: DataFrame | None = None
+) -> DataFrame:
     """Table contents after an upsert: source rows replace target rows of equal key.
 
-    NULL keys never match, so such rows are kept and added.
+    NULL keys never match, so such rows are kept and added.  ``written`` is ``source`` with what a writer adds to it,
+    as an observation.
     """
     untouched = target.join(source.select(*keys), list(keys), "left_anti")
-    return untouched.unionByName(source)
+    return untouched.unionByName(source if written is None else written)
 
 
 def in_range(market_id: str, start_id: int, end_id: int) -> Column:

@@ -14,11 +14,13 @@ def mean_by(
     bucket: Mapping[str, Column],
     values: Sequence[str],
     labels: Sequence[str] = (),
+    count: str | None = None,
 ) -> DataFrame:
     """Mean of ``values`` per key and time bucket; NULLs are left out of a mean.
 
     ``labels`` must be constant within a bucket (local date, clock position,
-    applied rate); they are carried by ``max``, which also skips NULLs.  All
+    applied rate); they are carried by ``max``, which also skips NULLs.  ``count``
+    names a column with the number of rows.  All
     aggregates combine map-side, so a hot key does not concentrate.
     """
     ((name, expression),) = bucket.items()
@@ -28,5 +30,6 @@ def mean_by(
         .agg(
             *[F.avg(c).alias(c) for c in values],
             *[F.max(c).alias(c) for c in labels],
+            *([] if count is None else [F.count("*").alias(count)]),
         )
     )

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Collection, Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from datetime import date
 from functools import reduce
 from operator import and_
@@ -232,25 +232,30 @@ def merge_upsert(
     partitions: Sequence[str] = (),
     key_fixes_partition: bool = False,
     month_of: str | None = None,
+    settled: bool = False,
 ) -> int:
     """Update rows of equal key, insert the others; returns the rows of ``df``.  Creates the table if needed.
 
     A key that occurs twice in ``df`` is an error, in the first write too, because
     the result would depend on row order.  By default a key may sit in another
     partition than before, so the target's keys are searched everywhere; with
-    ``key_fixes_partition`` only the batch's own partitions are read.
+    ``key_fixes_partition`` only the batch's own partitions are read.  The batch is
+    written once and read several times; ``settled`` says that it already is stored.
     """
-    rows = Observation()
-    with staged(with_month(df, month_of).observe(rows, F.count(F.lit(1)).alias("rows")), path) as source:
+    batch = with_month(df, month_of)
+    with nullcontext(batch) if settled else staged(batch, path) as source:
         if not duplicate_keys(source.dropna(subset=list(keys)), keys).isEmpty():
             raise ValueError(f"several source rows share a key of {path}: {list(keys)}")
         levels = _levels(partitions, month_of)
         if not table_exists(spark, path):
-            write_table(source, path, levels)
-        elif levels:
-            _merge(spark, source, path, keys, levels, key_fixes_partition)
+            return write_table(source, path, levels)
+        rows = Observation()
+        counted = source.observe(rows, F.count(F.lit(1)).alias("rows"))
+        if levels:
+            _merge(spark, source, counted, path, keys, levels, key_fixes_partition)
         else:
-            merged = merged_rows(_scan(spark, path, source.schema), source, keys)
+            target = _scan(spark, path, source.schema)
+            merged = merged_rows(target, source, keys, counted)
             with staged(merged, path) as whole:  # a table without partitions is replaced as a whole
                 write_table(whole, path)
         return rows.get["rows"]
@@ -259,6 +264,7 @@ def merge_upsert(
 def _merge(
     spark: SparkSession,
     source: DataFrame,
+    counted: DataFrame,
     path: str,
     keys: Sequence[str],
     levels: Sequence[str],
@@ -268,21 +274,21 @@ def _merge(
     target = _scan(spark, path, source.schema)
     touched = source.select(*levels)
     if key_fixes_partition:
-        write_table(_with_rest(target, touched, source, keys, levels), path, levels, mode="touched")
+        write_table(_with_rest(target, touched, source, counted, keys, levels), path, levels, mode="touched")
         return
     matched = target.join(source.select(*keys), list(keys), "left_semi")
     with staged(touched.unionByName(matched.select(*levels)).distinct(), path) as touched:
         own = source.select(*levels).distinct()
         left = [r.asDict() for r in touched.join(own, _same(touched, own, levels), "left_anti").collect()]
         with _vacated(spark, [_folder(path, values) for values in left]):
-            write_table(_with_rest(target, touched, source, keys, levels), path, levels, mode="touched")
+            write_table(_with_rest(target, touched, source, counted, keys, levels), path, levels, mode="touched")
 
 
 def _with_rest(
-    target: DataFrame, touched: DataFrame, source: DataFrame, keys: Sequence[str], levels: Sequence[str]
+    target: DataFrame, touched: DataFrame, source: DataFrame, counted: DataFrame, keys: Sequence[str], levels: Sequence[str]
 ) -> DataFrame:
-    """``source``, and the other rows of the partitions that are touched."""
-    return merged_rows(_around(target, touched.distinct(), levels), source, keys)
+    """``source`` (``counted``, as it is written), and the other rows of the partitions that are touched."""
+    return merged_rows(_around(target, touched.distinct(), levels), source, keys, counted)
 
 
 def _around(target: DataFrame, touched: DataFrame, levels: Sequence[str]) -> DataFrame:

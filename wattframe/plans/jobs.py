@@ -180,13 +180,21 @@ class Built(NamedTuple):
     dropped: DataFrame
 
 
-def _upsert(df: DataFrame, base: str, table: Table, key_fixes_partition: bool = True) -> int:
+def _upsert(
+    df: DataFrame, base: str, table: Table, key_fixes_partition: bool = True, settled: bool = False
+) -> int:
     return merge_upsert(
         df.sparkSession, conform(df, table), table.path(base), table.keys, table.partitions,
-        key_fixes_partition, table.month_of,
+        key_fixes_partition, table.month_of, settled,
     )
 
 
+def _built(marked: DataFrame, base: str, table: Table) -> Built:
+    """Store a marked frame once, the fact from it, and count what stays out of the fact."""
+    once = stored(marked, f"marked-{table.name}")
+    return Built(_upsert(silver.kept(once), base, table, settled=True), silver.dropped(once, table.name))
+
+
 def build_dim_date(spark: SparkSession, base: str, start: date, end: date) -> int:
     days = dims.date_spine(dims.date_bounds(spark, start, end))
     return _upsert(dims.dim_date(days), base, schemas.DIM_DATE)
@@ -246,12 +254,9 @@ def build_fact_price(
 ) -> Built:
     days = [("delivery_date", ">=", start), ("delivery_date", "<=", end)]
     observed = _stored(spark, base, schemas.OPCOM_PRICES, _market_filter(market_id) + days)
-    fact = silver.fact_price(
-        observed, _stored(spark, base, schemas.EXCHANGE_RATES, [("date", ">=", start), ("date", "<=", end)]),
-        _selected(market_id, markets), start, end,
-    )
-    rows = _upsert(fact, base, schemas.FACT_PRICE)
-    return Built(rows, silver.dropped_prices(observed, _selected(market_id, markets), start, end))
+    rates = _stored(spark, base, schemas.EXCHANGE_RATES, [("date", ">=", start), ("date", "<=", end)])
+    marked = silver.marked_prices(observed, rates, _selected(market_id, markets), start, end)
+    return _built(marked, base, schemas.FACT_PRICE)
 
 
 def build_fact_generation(
@@ -261,11 +266,8 @@ def build_fact_generation(
     source = _market_filter(market_id) + _instants(start, end)
     observed = _stored(spark, base, schemas.ENTSOE_GENERATION, source)
     types = _stored(spark, base, schemas.DIM_PRODUCTION_TYPE)
-    chosen = _selected(market_id, markets)
-    rows = _upsert(
-        silver.fact_generation(observed, types, chosen, start, end), base, schemas.FACT_GENERATION
-    )
-    return Built(rows, silver.dropped_generation(observed, types, chosen, start, end))
+    marked = silver.marked_generation(observed, types, _selected(market_id, markets), start, end)
+    return _built(marked, base, schemas.FACT_GENERATION)
 
 
 def build_fact_load(
@@ -285,9 +287,8 @@ def build_fact_weather(
     source = _market_filter(market_id) + _instants(start, end)
     observed = _stored(spark, base, schemas.WEATHER, source)
     places = _stored(spark, base, schemas.DIM_LOCATION)
-    chosen = _selected(market_id, markets)
-    rows = _upsert(silver.fact_weather(observed, places, chosen, start, end), base, schemas.FACT_WEATHER)
-    return Built(rows, silver.dropped_weather(observed, places, chosen, start, end))
+    marked = silver.marked_weather(observed, places, _selected(market_id, markets), start, end)
+    return _built(marked, base, schemas.FACT_WEATHER)
 
 
 # ---- Silver to Gold --------------------------------------------------------------

@@ -18,7 +18,6 @@ from ..functions import time as ft
 from ..operators.fill import reconcile_rates
 from ..operators.latest import latest_per_key
 from ..operators.resample import mean_by
-from ..operators.resolve import resolve, unresolved
 from ..registry import Market, markets_frame, required_pairs, zones
 from ..schemas import (
     BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER, Table,
@@ -27,18 +26,20 @@ from ..schemas import (
 Markets = Mapping[str, Market]
 
 
-def with_market(df: DataFrame, markets: Markets, *columns: str) -> DataFrame:
-    """Add registry columns; rows of markets that are not configured drop out.
+def with_market(df: DataFrame, markets: Markets, *columns: str, how: str = "inner") -> DataFrame:
+    """Add registry columns; rows of markets that are not configured drop out, or get NULL (``how="left"``).
 
     One market needs no join: its columns are literals.  (A join would even lose its key where ``market_id`` is a
     literal too, and become a nested loop.)
     """
     if len(markets) == 1:
         ((market_id, market),) = markets.items()
-        own = df.filter(F.col("market_id") == market_id)
-        return own.withColumns({c: F.lit(getattr(market, c)) for c in columns}) if columns else own
+        own = F.col("market_id") == market_id
+        if how == "left":
+            return df.withColumns({c: F.when(own, getattr(market, c)) for c in columns})
+        return df.filter(own).withColumns({c: F.lit(getattr(market, c)) for c in columns})
     registry = markets_frame(df.sparkSession, markets).select("market_id", *columns)
-    return df.join(F.broadcast(registry), "market_id")
+    return df.join(F.broadcast(registry), "market_id", how)
 
 
 def current(df: DataFrame, table: Table) -> DataFrame:
@@ -112,24 +113,55 @@ def daily_rates(rates: DataFrame, markets: Markets, start: date, end: date) -> D
     )
 
 
-def fact_price(
-    prices: DataFrame, rates: DataFrame, markets: Markets, start: date, end: date
+# ---- facts, with what they leave out ---------------------------------------------
+#
+# A marked frame holds the rows of a fact and, with a reason, those that stay out of it.  A job stores it once and takes
+# both from it, so that the observations are read once.
+
+
+def kept(marked: DataFrame) -> DataFrame:
+    """The rows of the fact."""
+    return marked.filter("_reason IS NULL").drop("_reason", "_key", "_rows")
+
+
+def dropped(marked: DataFrame, table: str) -> DataFrame:
+    """Observations left out, by reason and key."""
+    out = marked.filter("_reason IS NOT NULL").groupBy("_reason", "_key").agg(F.sum("_rows").alias("dropped_rows"))
+    return out.select(F.lit(table).alias("table"), F.col("_reason").alias("reason"), F.col("_key").alias("key"), "dropped_rows")
+
+
+def _key(*columns: str):
+    """Column values spelled as one text."""
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
+def marked_prices(
+    prices: DataFrame, rates: DataFrame | None, markets: Markets, start: date, end: date
 ) -> DataFrame:
-    """Quarter-hour prices on the instant axis, in local currency and converted.
+    """Current prices as ``fact_price`` holds them; marked are unknown markets and slots that the day does not have.
 
-    Slot numbers become instants by arithmetic, so the axis table is not joined;
-    numbers that do not exist on the day drop out (``quality.axis_misses`` lists
-    them).
+    Slot numbers become instants by arithmetic, so the axis table is not joined.  Without ``rates`` nothing is converted.
     """
     in_range = F.col("delivery_date").between(F.lit(start), F.lit(end))
     latest = current(prices.filter(in_range), OPCOM_PRICES)
-    zoned = with_market(latest, markets, "timezone", "currency", "reporting_currency")
+    zoned = with_market(latest, markets, "timezone", "currency", "reporting_currency", how="left")
     tz = zones(markets)
-    slots = zoned.filter(ft.slot_exists("delivery_date", "interval_15min", tz)).withColumn(
-        "timestamp_utc", ft.slot_start_utc("delivery_date", "interval_15min", tz)
+    unknown = F.col("timezone").isNull()
+    slots = zoned.withColumns(
+        {
+            "timestamp_utc": ft.slot_start_utc("delivery_date", "interval_15min", tz),
+            "_reason": F.when(unknown, "unknown market").when(
+                ~F.coalesce(ft.slot_exists("delivery_date", "interval_15min", tz), F.lit(False)), "slot not on the axis"
+            ),
+            "_key": F.when(unknown, _key("market_id")).otherwise(_key("market_id", "delivery_date")),
+        }
     )
-    fx = daily_rates(rates, markets, start, end)
-    return slots.join(fx, ["delivery_date", "reporting_currency", "currency"], "left").select(
+    if rates is None:
+        valued = slots.withColumn("fx_rate", F.lit(None).cast("double"))
+    else:
+        fx = daily_rates(rates, markets, start, end)
+        valued = slots.join(fx, ["delivery_date", "reporting_currency", "currency"], "left")
+    return valued.select(
         ft.date_id("delivery_date").alias("date_id"),
         F.col("interval_15min").alias("interval_of_day"),
         "timestamp_utc",
@@ -138,22 +170,56 @@ def fact_price(
         F.col("price_lei_mwh").alias("price_local_mwh"),
         "fx_rate",
         money.convert("price_lei_mwh", "fx_rate").alias("price_eur_mwh"),
+        "_reason", "_key", F.lit(1).alias("_rows"),
     )
 
 
-def fact_generation(
+def fact_price(
+    prices: DataFrame, rates: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
+    """Quarter-hour prices on the instant axis, in local currency and converted."""
+    return kept(marked_prices(prices, rates, markets, start, end))
+
+
+def dropped_prices(prices: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
+    """Current prices of the range that ``fact_price`` leaves out."""
+    return dropped(marked_prices(prices, None, markets, start, end), "fact_price")
+
+
+def marked_generation(
     generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
-    """Hourly mean per production type, bucketed on the local hour."""
+    """Hourly mean per production type, bucketed on the local hour; marked are the hours of unknown types."""
     latest = current(local_days(generation, markets, start, end), ENTSOE_GENERATION)
     named = types.select("production_type_id", F.col("production_type_name").alias("production_type"))
-    return mean_by(
-        resolve(latest, named, ["production_type"]),
-        ["market_id", "production_type_id"],
+    unknown = F.col("production_type_id").isNull()
+    joined = latest.join(named, "production_type", "left").withColumn("_key", F.when(unknown, _key("production_type")))
+    hourly = mean_by(
+        joined,
+        ["market_id", "production_type_id", "_key"],
         {"hour_start_utc": F.col("hour_start_utc")},
         ["actual_mw"],
         labels=["date_id", "time_id"],
-    ).select("date_id", "time_id", "hour_start_utc", "market_id", "production_type_id", "actual_mw")
+        count="_rows",
+    )
+    return hourly.select(
+        "date_id", "time_id", "hour_start_utc", "market_id", "production_type_id", "actual_mw",
+        F.when(unknown, "unknown production type").alias("_reason"), "_key", "_rows",
+    )
+
+
+def fact_generation(
+    generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
+    """Hourly mean per production type, bucketed on the local hour."""
+    return kept(marked_generation(generation, types, markets, start, end))
+
+
+def dropped_generation(
+    generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
+) -> DataFrame:
+    """Current readings of the range whose production type is unknown."""
+    return dropped(marked_generation(generation, types, markets, start, end), "fact_generation")
 
 
 def fact_load(load: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
@@ -167,59 +233,32 @@ def fact_load(load: DataFrame, markets: Markets, start: date, end: date) -> Data
     ).select("date_id", "time_id", "hour_start_utc", "market_id", "actual_load_mw")
 
 
-def fact_weather(
+def marked_weather(
     weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
-    """Hourly weather per location; realized and forecast rows stay apart."""
+    """Hourly weather per location, realized and forecast rows apart; marked are unknown places."""
     latest = current(local_days(weather, markets, start, end), WEATHER)
     points = locations.select("market_id", "location_name", "location_id")
-    return resolve(latest, points, ["market_id", "location_name"]).select(
+    return latest.join(points, ["market_id", "location_name"], "left").select(
         "date_id", "time_id", "hour_start_utc", "location_id", "data_type",
         F.col("temperature_2m").alias("temperature_c"),
         F.col("wind_speed_100m").alias("wind_speed_ms"),
         F.col("shortwave_radiation").alias("solar_irradiance_wm2"),
         F.col("cloud_cover").alias("cloud_cover_pct"),
+        F.when(F.col("location_id").isNull(), "unknown location").alias("_reason"),
+        _key("market_id", "location_name").alias("_key"), F.lit(1).alias("_rows"),
     )
 
 
-# ---- what the builders leave out -------------------------------------------------
-
-
-def _counted(df: DataFrame, table: str, reason: str, *key: str) -> DataFrame:
-    """Dropped rows per key, spelled as text."""
-    return df.groupBy(F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]).alias("key")).agg(
-        F.count("*").alias("dropped_rows")
-    ).select(F.lit(table).alias("table"), F.lit(reason).alias("reason"), "key", "dropped_rows")
-
-
-def dropped_prices(prices: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:
-    """Current prices of the range that ``fact_price`` leaves out: unknown markets, slots that the day does not have."""
-    latest = current(prices.filter(F.col("delivery_date").between(F.lit(start), F.lit(end))), OPCOM_PRICES)
-    known = latest.join(F.broadcast(markets_frame(prices.sparkSession, markets).select("market_id", "timezone")), "market_id", "left")
-    off_axis = known.filter(
-        F.col("timezone").isNotNull() & ~ft.slot_exists("delivery_date", "interval_15min", zones(markets))
-    )
-    unknown = known.filter(F.col("timezone").isNull())
-    return _counted(unknown, "fact_price", "unknown market", "market_id").unionByName(
-        _counted(off_axis, "fact_price", "slot not on the axis", "market_id", "delivery_date")
-    )
-
-
-def dropped_generation(
-    generation: DataFrame, types: DataFrame, markets: Markets, start: date, end: date
+def fact_weather(
+    weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
-    """Current readings of the range whose production type is unknown."""
-    latest = current(local_days(generation, markets, start, end), ENTSOE_GENERATION)
-    named = types.select(F.col("production_type_name").alias("production_type"))
-    return _counted(
-        unresolved(latest, named, ["production_type"]), "fact_generation", "unknown production type", "production_type"
-    )
+    """Hourly weather per location; realized and forecast rows stay apart."""
+    return kept(marked_weather(weather, locations, markets, start, end))
 
 
 def dropped_weather(
     weather: DataFrame, locations: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Current readings of the range whose place is unknown."""
-    latest = current(local_days(weather, markets, start, end), WEATHER)
-    on = ["market_id", "location_name"]
-    return _counted(unresolved(latest, locations.select(*on), on), "fact_weather", "unknown location", *on)
+    return dropped(marked_weather(weather, locations, markets, start, end), "fact_weather")
