@@ -14,6 +14,8 @@ from wattframe.operators.resolve import (
     assign_stable_ids, number_in_order, resolve, unresolved, unresolved_counts,
 )
 from wattframe.operators.runs import collapse_runs
+from wattframe.operators.latest import latest_per_key
+from wattframe.operators.versions import known_when, state_at, validity
 from wattframe.operators.usage import admission, over_limit, requests_since, trailing_requests, usage_summary
 from wattframe.operators.wide import as_map, melt, share_pct, wide_mix
 
@@ -293,6 +295,34 @@ def test_admission_of_nothing(spark):
     assert [(r.allowed, r.remaining, r.retry_after) for r in admission(some, named, ["i"]).collect()] == [(True, None, 0)] * 2
 
 
+# ---- versions ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", ["day", "month", "year"])
+def test_states_at_any_instant_equal_the_latest_until_then(spark, chunk):
+    rng = random.Random(1)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.randint(0, 3), T0 + timedelta(hours=rng.randint(0, 2400)), rng.choice([1.0, 2.0, None]))
+        for _ in range(400)
+    ] + [("only", 1, T0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, n long, ingested_at timestamp, v double")
+    spans = validity(df, ["k", "n"], tiebreak=["v"], chunk=chunk)
+    assert spans.columns == [*df.columns, "valid_from", "valid_to"]
+    spans = spark.createDataFrame(spans.collect(), spans.schema)
+    assert spans.filter("valid_to <= valid_from").isEmpty()
+    assert spans.filter("valid_to IS NULL").count() == df.select("k", "n").distinct().count()
+    for at in (T0 - timedelta(hours=1), T0, T0 + timedelta(hours=777), T0 + timedelta(days=300)):
+        want = latest_per_key(df.filter(F.col("ingested_at") <= F.lit(at)), ["k", "n"], tiebreak=["v"])
+        assert Counter(map(tuple, state_at(spans, at).collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_facts_get_what_was_known_then(spark):
+    facts = spark.createDataFrame([(1, T0 + timedelta(hours=h)) for h in (0, 5, 7, 100)] + [(2, T0), (None, T0)], "k long, at timestamp")
+    seen = spark.createDataFrame([(1, T0 + timedelta(hours=5), 5.0), (1, T0 + timedelta(hours=8), 8.0), (2, T0 + timedelta(days=9), 2.0)], "k long, ingested_at timestamp, v double")
+    got = known_when(facts, seen, ["k"], "at", ["v"]).collect()
+    assert {(r.k, (r.at - T0) // timedelta(hours=1)): r.v for r in got} == {(1, 0): None, (1, 5): 5.0, (1, 7): 5.0, (1, 100): 8.0, (2, 0): None, (None, 0): None}
+
+
 # ---- reports ---------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wattframe.functions import calendar as cal
 from wattframe.functions import money, text
 from wattframe.functions import time as ft
-from wattframe.operators import bucketed, changes, quality, resolve, store, usage
+from wattframe.operators import bucketed, changes, quality, resolve, store, usage, versions
 from wattframe.operators.axis import date_spine, join_axis, peak_slot_range, settlement_axis
 from wattframe.operators.fill import asof_join, forward_fill
 from wattframe.operators.latest import latest_per_key
@@ -556,6 +556,52 @@ def day_windows(spark, sf_dir):
     )
 
 
+@query(
+    sql(
+        """SELECT *, ingested_at AS valid_from, lead(ingested_at) OVER (
+  PARTITION BY market_id, delivery_date, interval_15min ORDER BY ingested_at) AS valid_to
+FROM (SELECT * FROM price_obs QUALIFY row_number() OVER (PARTITION BY market_id, delivery_date, interval_15min, ingested_at
+  ORDER BY price_lei_mwh DESC NULLS LAST, volume_mw DESC, volume_buy_mw DESC, volume_sell_mw DESC) = 1)""",
+        "price_obs",
+    )
+)
+def price_validity(spark, sf_dir):
+    """From when to when every stored price was the current one."""
+    return versions.validity(fr.price_obs(spark, sf_dir), OPCOM_PRICES.keys, tiebreak=OPCOM_PRICES.values)
+
+
+_KNOWN_RATES = """quoted AS (SELECT CAST(o_orderdate AS DATE) AS delivery_date, CASE o_orderstatus WHEN 'F' THEN 'RO' ELSE 'GB' END AS market_id,
+  CAST(pow(2.0, o_custkey % 3 + 1) AS DOUBLE) AS rate, make_timestamp(epoch_us(o_orderdate) + (o_custkey % 72) * 3600000000 + o_orderkey) AS known_at
+  FROM orders WHERE o_orderstatus <> 'P')"""
+
+
+@query(
+    sql(
+        f""", {_KNOWN_RATES},
+asked AS (SELECT *, date_trunc('day', ingested_at) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS known_at FROM price_obs)
+SELECT a.market_id, a.delivery_date, a.interval_15min, a.price_lei_mwh, a.ingested_at, a.known_at, q.rate,
+  a.price_lei_mwh / q.rate AS price_eur_mwh
+FROM asked a ASOF LEFT JOIN quoted q ON q.market_id = a.market_id AND q.delivery_date = a.delivery_date AND q.known_at <= a.known_at""",
+        "price_obs",
+    )
+)
+def prices_as_known(spark, sf_dir):
+    """Every stored price with the rate of its day that was known when the day of its ingest ended."""
+    midnight = F.date_trunc("day", "ingested_at")
+    end = F.timestamp_micros(F.unix_micros(midnight) + 86_400_000_000 - 1)
+    asked = fr.price_obs(spark, sf_dir).select(
+        "market_id", "delivery_date", "interval_15min", "price_lei_mwh", "ingested_at", end.alias("known_at")
+    )
+    quoted = table(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(
+        F.col("o_orderdate").cast("date").alias("delivery_date"),
+        F.when(F.col("o_orderstatus") == "F", "RO").otherwise("GB").alias("market_id"),
+        F.pow(F.lit(2.0), F.col("o_custkey") % 3 + 1).alias("rate"),
+        fr.shifted("o_orderdate", (F.col("o_custkey") % 72) * 3_600_000_000 + F.col("o_orderkey")).alias("published"),
+    )
+    known = versions.known_when(asked, quoted, ["market_id", "delivery_date"], "known_at", ["rate"], "published")
+    return known.withColumn("price_eur_mwh", money.convert("price_lei_mwh", "rate"))
+
+
 def _in_two_runs(df, keys):
     """All but the last of several revisions of a key, and then the last ones, ingested thirty years later."""
     key = Window.partitionBy(*keys)
