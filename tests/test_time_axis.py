@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions import time as ft
 from wattframe.operators.axis import date_spine, join_axis, peak_slot_range, settlement_axis
+from wattframe.operators.zones import with_offsets, zone_spans
 from wattframe.plans.dims import date_bounds
 
 BUCHAREST = "Europe/Bucharest"
@@ -133,3 +134,30 @@ def test_local_hour_start_in_a_half_hour_zone(spark):
         ft.local_hour_start_utc("ts", BUCHAREST).alias("b"),
     ).first()
     assert row.a == datetime(2026, 1, 1, 10, 30) and row.b == datetime(2026, 1, 1, 10, 0)
+
+
+def test_offsets_of_every_kind_of_zone(spark):
+    named = ("Europe/Berlin", "Europe/Dublin", "Europe/Moscow", "Africa/Casablanca", "Asia/Kolkata", "America/New_York")
+    spans = zone_spans(spark, named, date(2009, 1, 1), date(2026, 12, 31))
+    moments = [datetime(2010, 1, 1) + timedelta(hours=37 * i) for i in range(3900)]
+    moments += [datetime(2014, 10, 25, 21, 59, 59), datetime(2014, 10, 25, 22), datetime(2011, 3, 26, 23), datetime(2026, 3, 29, 0, 59, 59), datetime(2026, 3, 29, 1)]
+    asked = spark.createDataFrame([(z, m) for z in named for m in moments], "timezone string, timestamp_utc timestamp")
+    for r in with_offsets(asked, spans).collect():
+        local = r.timestamp_utc.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(r.timezone))
+        assert r.offset_minutes == local.utcoffset().total_seconds() / 60, r
+    of = {(r.timezone, r.timestamp_utc): (r.standard_minutes, r.is_dst) for r in with_offsets(
+        spark.createDataFrame(
+            [("Europe/Moscow", datetime(2010, 7, 1)), ("Europe/Moscow", datetime(2011, 12, 1)), ("Europe/Moscow", datetime(2015, 7, 1)),
+             ("Europe/Dublin", datetime(2024, 1, 1)), ("Europe/Dublin", datetime(2024, 7, 1)), ("Africa/Casablanca", datetime(2024, 3, 20)),
+             ("Africa/Casablanca", datetime(2024, 7, 1)), ("Asia/Kolkata", datetime(2024, 7, 1)), ("Nowhere", datetime(2024, 7, 1))],
+            "timezone string, timestamp_utc timestamp",
+        ), spans).collect()}
+    assert of["Europe/Moscow", datetime(2010, 7, 1)] == (180, True)
+    assert of["Europe/Moscow", datetime(2011, 12, 1)] == (240, False)
+    assert of["Europe/Moscow", datetime(2015, 7, 1)] == (180, False)
+    assert of["Europe/Dublin", datetime(2024, 1, 1)] == (60, True)
+    assert of["Europe/Dublin", datetime(2024, 7, 1)] == (60, False)
+    assert of["Africa/Casablanca", datetime(2024, 3, 20)] == (60, True)  # Ramadan
+    assert of["Africa/Casablanca", datetime(2024, 7, 1)] == (60, False)
+    assert of["Asia/Kolkata", datetime(2024, 7, 1)] == (330, False)
+    assert of["Nowhere", datetime(2024, 7, 1)] == (None, None)

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from wattframe.functions import calendar as cal
 from wattframe.functions import money, text
 from wattframe.functions import time as ft
-from wattframe.operators import bucketed, changes, quality, resolve, store, usage, versions
+from wattframe.operators import bucketed, changes, manifest, quality, resolve, sketches, store, usage, versions
 from wattframe.operators.axis import date_spine, join_axis, peak_slot_range, settlement_axis
 from wattframe.operators.fill import asof_join, forward_fill
 from wattframe.operators.latest import latest_per_key
 from wattframe.operators.resample import mean_by
 from wattframe.operators.staging import shared_folder, stored
 from wattframe.operators.wide import melt
+from wattframe.operators.zones import with_offsets, zone_spans
 from wattframe.plans import bronze, dims, gold, reports, silver
 from wattframe.plans import queries as ask
 from wattframe.plans.refresh import refresh
@@ -1249,6 +1250,34 @@ def missing_days(spark, sf_dir):
     return quality.missing_days(_calendar_by_priority(spark, sf_dir), present, ["o_orderpriority", "date"])
 
 
+def _manifest(spark, sf_dir):
+    """The days tried, recorded by three runs, by source and outcome."""
+    path = f"{shared_folder(spark).rstrip('/')}/manifest-{uuid.uuid4().hex}/days"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    status = F.when(F.col("o_orderstatus") == "F", "fetched").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
+    tried = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.col("o_orderdate").cast("date").alias("date"), status.alias("status")
+    )
+    by = ["o_orderpriority", "status"]
+    for run in range(3):
+        manifest.record_days(spark, path, tried.filter(F.col("o_orderkey") % 3 == run), by)
+    return store.read_table(spark, path)
+
+
+@query(ORACLES["coverage"])
+def coverage_of_manifest(spark, sf_dir):
+    """The same from bitmaps of days that three runs have recorded."""
+    return manifest.coverage_of_manifest(_calendar_by_priority(spark, sf_dir), _manifest(spark, sf_dir), ["o_orderpriority"])
+
+
+@query(ORACLES["missing_days"])
+def missing_in_manifest(spark, sf_dir):
+    """Expected days that no run has recorded, from bitmaps."""
+    held = manifest.merged_bitmaps(_manifest(spark, sf_dir), ["o_orderpriority"])
+    return manifest.missing_in_manifest(_calendar_by_priority(spark, sf_dir), held, ["o_orderpriority"])
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     """Keys that occur more than once."""
@@ -1283,6 +1312,46 @@ def profile(spark, sf_dir):
     return quality.profile(table(spark, sf_dir, "lineitem"), columns)
 
 
+@query(
+    sql(
+        """SELECT market_id, "column", count(*) AS "rows", count(*) - count(value) AS nulls, min(value)::DOUBLE AS low, max(value)::DOUBLE AS high,
+  true AS q1_within, true AS median_within, true AS q3_within
+FROM (SELECT market_id, 'price_lei_mwh' AS "column", price_lei_mwh AS value FROM price_obs
+  UNION ALL SELECT market_id, 'volume_mw', volume_mw FROM price_obs) GROUP BY 1, 2""",
+        "price_obs",
+    )
+)
+def profile_of_sketches(spark, sf_dir):
+    """Counts, extremes, and whether quartiles merged from sketches of single months have ranks within their bound."""
+    rows, columns = fr.price_obs(spark, sf_dir), ["price_lei_mwh", "volume_mw"]
+    monthly = sketches.sketched(
+        rows.withColumn("month", F.trunc("delivery_date", "month")), ["market_id", "month"], columns
+    )
+    merged = stored(sketches.merged_sketches(monthly, ["market_id"]), "sketches")
+    return sketches.within_error(rows, sketches.approximate_profile(merged), ["market_id"], columns)
+
+
+_OFFSET = "CAST((epoch(timezone(zone, timezone('UTC', ts))) - epoch(ts)) / 60 AS INTEGER)"
+
+
+@query(
+    f"""SELECT event_id, timezone, timestamp_utc, offset_minutes, CASE timezone WHEN 'Europe/Berlin' THEN offset_minutes <> 60
+  WHEN 'Europe/Dublin' THEN offset_minutes <> 60 WHEN 'America/New_York' THEN offset_minutes <> -300
+  WHEN 'Europe/Moscow' THEN offset_minutes = 240 AND timestamp_utc < TIMESTAMP '2011-03-01' ELSE false END AS is_dst
+FROM (SELECT event_id, zone AS timezone, ts AS timestamp_utc, {_OFFSET} AS offset_minutes FROM (
+  SELECT event_id, ts - to_days(CAST(event_id % 5000 AS INTEGER)) AS ts, unnest(['Europe/Berlin', 'Europe/Dublin', 'Europe/Moscow',
+    'America/New_York', 'Asia/Kolkata']) AS zone FROM events))"""
+)
+def zone_offsets(spark, sf_dir):
+    """Offset and summer time of instants since 2010, also where the standard offset changes or summer time is behind it."""
+    named = ("Europe/Berlin", "Europe/Dublin", "Europe/Moscow", "America/New_York", "Asia/Kolkata")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - (F.col("event_id") % 5000) * 86_400_000_000
+    instants = table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(micros).alias("timestamp_utc"))
+    wanted = instants.select("*", F.explode(F.array(*[F.lit(z) for z in named])).alias("timezone"))
+    spans = zone_spans(spark, named, date(2010, 1, 1), date(2024, 12, 31))
+    return with_offsets(wanted, spans).select("event_id", "timezone", "timestamp_utc", "offset_minutes", "is_dst")
+
+
 @query(
     sql(
         f"""SELECT market_id, delivery_date, timezone, count(*) AS stored,
