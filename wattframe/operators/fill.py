@@ -69,16 +69,19 @@ def reconcile_rates(
     pairs: DataFrame,
     start: date,
     end: date,
+    latest: Sequence[str] = (),
 ) -> DataFrame:
     """One rate per day and pair: primary source, else secondary, else carried forward.
 
-    ``observations``: (date, base_currency, quote_currency, source, rate) with
-    one row per date, pair and source.  ``pairs``: see ``registry.required_pairs``.
+    ``observations``: (date, base_currency, quote_currency, source, rate).  They may
+    hold several revisions of a date, pair and source; the greatest by the columns
+    ``latest`` counts.  ``pairs``: see ``registry.required_pairs``.
     A pair enters the range with its last rate before ``start``, however old, so
     a day's rate does not depend on where the range begins; days before the first
     rate are left out.  Pass all observations up to ``end``.
 
-    The walked groups are calendars: one row per pair and day.
+    Revision, source and the days of the range meet in one aggregation, which
+    combines before its shuffle; then a pair's calendar, one row per day, is walked.
     """
     pair = ["base_currency", "quote_currency"]
 
@@ -86,28 +89,25 @@ def reconcile_rates(
         F.when(F.col("source") == F.col("primary_source"), 1)
         .when(F.col("source") == F.col("secondary_source"), 2)
     )
-    chosen = (
-        observations.join(F.broadcast(pairs), pair)
-        .withColumn("_priority", priority)
-        .filter(F.col("_priority").isNotNull() & (F.col("primary_source") != SYNTHETIC))
-        .groupBy("date", *pair)
-        .agg(F.min_by(F.struct("rate", "source"), "_priority").alias("_seen"))
+    ranked = observations.join(F.broadcast(pairs), pair).withColumn("_priority", -priority).filter(
+        F.col("_priority").isNotNull() & (F.col("primary_source") != SYNTHETIC)
+    )
+    seen = ranked.select(
+        "date", *pair, "primary_source", F.struct("_priority", *latest, "rate", "source").alias("_seen"),
+        F.lit(False).alias("_asked"),
     )
-    walk = _up_to_here(Window.partitionBy(*pair).orderBy("date"))
     days = pairs.select(
-        *pair, "primary_source",
-        F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"),
+        F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"), *pair, "primary_source",
+        F.lit(None).cast(seen.schema["_seen"].dataType).alias("_seen"), F.lit(True).alias("_asked"),
     )
-    entering = (
-        chosen.filter(F.col("date") < F.lit(start))
-        .groupBy(*pair)
-        .agg(F.max_by("_seen", "date").alias("_entering"))
+    calendar = seen.unionByName(days).groupBy("date", *pair).agg(
+        F.max("primary_source").alias("primary_source"), F.max("_seen").alias("_seen"), F.max("_asked").alias("_asked"),
     )
+    walk = _up_to_here(Window.partitionBy(*pair).orderBy("date"))
     synthetic = F.col("primary_source") == SYNTHETIC
     return (
-        days.join(chosen, ["date", *pair], "left")
-        .join(entering, pair, "left")
-        .withColumn("_last", F.coalesce(F.last("_seen", ignorenulls=True).over(walk), "_entering"))
+        calendar.withColumn("_last", F.last("_seen", ignorenulls=True).over(walk))
+        .filter("_asked")
         .select(
             "date",
             *pair,

@@ -21,17 +21,16 @@ def price_hourly(fact_price: DataFrame, markets: Markets) -> DataFrame:
     The bucket is the first instant of the local hour, so a changeover day has
     its 23 or 25 hours and zones off the full hour get labels too.
     """
+    tz, local = zones(markets), F.col("_local")
+    of_market = ["timezone", "peak_start_hour", "peak_end_hour"]
     hourly = mean_by(
-        with_market(fact_price, markets, "timezone"),
+        with_market(fact_price, markets, *of_market),
         ["market_id"],
-        {"hour_start_utc": ft.local_hour_start_utc("timestamp_utc", zones(markets))},
+        {"hour_start_utc": ft.local_hour_start_utc("timestamp_utc", tz)},
         ["price_local_mwh", "price_eur_mwh"],
-        labels=["fx_rate"],
-    )
-    tz, local = zones(markets), F.col("_local")
-    zoned = with_market(hourly, markets, "timezone", "peak_start_hour", "peak_end_hour").withColumn(
-        "_local", ft.local_time("hour_start_utc", tz)
+        labels=["fx_rate", *of_market],
     )
+    zoned = hourly.withColumn("_local", ft.local_time("hour_start_utc", tz))
     return zoned.select(
         ft.date_id(local).alias("date_id"),
         ft.clock_position(local).alias("time_id"),

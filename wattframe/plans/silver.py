@@ -19,9 +19,7 @@ from ..operators.fill import reconcile_rates
 from ..operators.latest import latest_per_key
 from ..operators.resample import mean_by
 from ..registry import Market, markets_frame, required_pairs, zones
-from ..schemas import (
-    BNR_RATES, ECB_RATES, ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER, Table,
-)
+from ..schemas import ENTSOE_GENERATION, ENTSOE_LOAD, OPCOM_PRICES, WEATHER, Table
 
 Markets = Mapping[str, Market]
 
@@ -67,34 +65,50 @@ def local_days(
     return keyed.filter(F.col("date_id").between(ft.date_id_of(start), ft.date_id_of(end)))
 
 
-def rate_observations(bnr: DataFrame, ecb: DataFrame) -> DataFrame:
-    """Current rate per day, pair and source in one long frame.
+#: What tells revisions of a rate apart: the ingest, then the values, then the other column of its table.
+RATE_REVISION = ("ingested_at", "_value", "_per", "_origin")
+
+
+def rate_revisions(bnr: DataFrame, ecb: DataFrame) -> DataFrame:
+    """Rates per day, pair and source in one long frame, all revisions, with the columns that order them.
 
     The central bank quotes lei per foreign unit: the foreign currency is the
     base.  The ECB quotes units per euro.
     """
-    national = current(bnr, BNR_RATES).select(
+    def column(df: DataFrame, name: str):
+        return (F.col(name) if name in df.columns else F.lit(None)).cast("string")
+
+    national = bnr.select(
         "date",
         F.col("foreign_currency").alias("base_currency"),
         F.lit("RON").alias("quote_currency"),
         F.lit("BNR").alias("source"),
         money.per_unit_rate("rate_ron", "multiplier").alias("rate"),
+        "ingested_at", F.col("rate_ron").alias("_value"), F.col("multiplier").alias("_per"), column(bnr, "source_url").alias("_origin"),
     )
-    european = current(ecb, ECB_RATES).select(
+    european = ecb.select(
         "date", F.lit("EUR").alias("base_currency"), "quote_currency",
         F.lit("ECB").alias("source"), "rate",
+        "ingested_at", F.col("rate").alias("_value"), F.lit(1).alias("_per"), column(ecb, "source_file_date").alias("_origin"),
     )
     return national.unionByName(european)
 
 
+def rate_observations(bnr: DataFrame, ecb: DataFrame) -> DataFrame:
+    """Current rate per day, pair and source."""
+    last = F.max(F.struct(*RATE_REVISION, "rate")).alias("_last")
+    keys = ["date", "base_currency", "quote_currency", "source"]
+    return rate_revisions(bnr, ecb).groupBy(*keys).agg(last).select(*keys, F.col("_last.rate").alias("rate"))
+
+
 def exchange_rates(
     bnr: DataFrame, ecb: DataFrame, markets: Markets, start: date, end: date
 ) -> DataFrame:
     """Daily rate per required pair for [start, end], without gaps once rates begin."""
     so_far = F.col("date") <= F.lit(end)
-    observations = rate_observations(bnr.filter(so_far), ecb.filter(so_far))
+    observations = rate_revisions(bnr.filter(so_far), ecb.filter(so_far))
     pairs = required_pairs(markets_frame(bnr.sparkSession, markets))
-    return reconcile_rates(observations, pairs, start, end)
+    return reconcile_rates(observations, pairs, start, end, RATE_REVISION)
 
 
 def daily_rates(rates: DataFrame, markets: Markets, start: date, end: date) -> DataFrame:

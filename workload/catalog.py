@@ -24,7 +24,7 @@ from wattframe.plans import bronze, dims, gold, reports, silver
 from wattframe.plans import queries as ask
 from wattframe.plans.refresh import refresh
 from wattframe.registry import (
-    PRODUCTION_TYPES, Market, market_timezones, mix_columns, production_types_frame, required_pairs, zones,
+    PRODUCTION_TYPES, Market, market_timezones, mix_columns, production_types_frame, required_pairs, small_frame, zones,
 )
 from wattframe.schemas import ARBITRAGE_WINDOWS, BNR_RATES, ECB_RATES, ENTSOE_GENERATION, OPCOM_PRICES, WEATHER, conform
 from wattframe.streaming.ingest import changed_observations, to_folder
@@ -210,6 +210,37 @@ def store_round_trip(spark, sf_dir):
     return store.read_table(spark, path, filters, rows.schema, "date_id").select(rows.columns)
 
 
+@query(
+    sql(
+        f""", r AS (SELECT market_id, {date_id('delivery_date')} AS date_id, price_lei_mwh FROM price_latest)
+SELECT 'write' AS step, count(*) AS "rows" FROM r WHERE date_id < 19990120
+UNION ALL SELECT 'upsert', count(*) FROM r WHERE date_id >= 19980110
+UNION ALL SELECT 'replace', count(*) FROM r WHERE market_id = 'RO' AND date_id BETWEEN 19970112 AND 19970614
+UNION ALL SELECT 'append', count(*) FROM r WHERE date_id < 19960307 OR date_id >= 19980110""",
+        "price_latest",
+    )
+)
+def rows_written(spark, sf_dir):
+    """What every writer says it has written, counted in the writing pass."""
+    rows = latest_per_key(fr.price_obs(spark, sf_dir), OPCOM_PRICES.keys).select(
+        "market_id", ft.date_id("delivery_date").alias("date_id"), "delivery_date", "interval_15min", "price_lei_mwh"
+    )
+    base = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(base)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path, options = f"{base}/prices", {"partitions": ["market_id"], "month_of": "date_id"}
+    early, late = rows.filter("date_id < 19990120"), rows.filter("date_id >= 19980110")
+    upsert = lambda df: store.merge_upsert(spark, df, path, OPCOM_PRICES.keys, key_fixes_partition=True, **options)
+    counts = [("write", upsert(early)), ("upsert", upsert(late))]
+    half = rows.filter("market_id = 'RO' AND date_id BETWEEN 19970112 AND 19970614")
+    counts.append(("replace", store.replace_date_range(spark, half, path, "RO", 19970112, 19971220)))
+    bronze_path, known = f"{base}/bronze", {"keys": OPCOM_PRICES.keys, "values": ["price_lei_mwh"], "month_of": "delivery_date"}
+    middle = rows.filter("date_id >= 19960307 AND date_id < 19980110")
+    store.append_new_observations(spark, middle, bronze_path, **known)
+    counts.append(("append", store.append_new_observations(spark, rows, bronze_path, prune="delivery_date", **known)))
+    return small_frame(spark, counts, "step string, rows long")
+
+
 @query(
     sql(
         """SELECT * FROM fact_price WHERE NOT (market_id = 'RO' AND date_id BETWEEN 19970101 AND 19991231)
@@ -220,7 +251,7 @@ WHERE market_id = 'RO' AND date_id BETWEEN 19970101 AND 19981231""",
 )
 def replace_range(spark, sf_dir):
     """Three years of one market replaced by two: the third year becomes empty."""
-    facts = fr.fact_price(spark, sf_dir)
+    facts = stored(fr.fact_price(spark, sf_dir), "facts")  # read twice below
     incoming = facts.filter(changes.in_range("RO", 19970101, 19981231)).withColumn(
         "price_local_mwh", F.col("price_local_mwh") * 2
     )
