@@ -296,6 +296,15 @@ def test_a_build_reads_its_observations_once(spark, lake):
     assert set(places) == {"RO/Atlantis"} and places["RO/Atlantis"] > 0
 
 
+def test_rate_runs_say_which_days_they_found(spark, lake, tmp_path):
+    for ingest, found in ((jobs.ingest_bnr_rates, {24}), (jobs.ingest_ecb_rates, {27})):
+        done = ingest(spark, lake["root"], str(tmp_path), START - timedelta(days=5), END)
+        status = {r.date.day: r.status for r in done.coverage.collect()}
+        assert done.rows == 1 and set(status) == set(range(20, 28))
+        assert {d for d, s in status.items() if s == "fetched"} == found
+        assert set(status.values()) == {"fetched", "missing"}
+
+
 def test_conform_refuses_nulls(spark):
     df = spark.createDataFrame([(None, date(2026, 1, 1))], "date_id int, full_date date")
     small = schemas.Table("silver", "small", "date_id int not null, full_date date", keys=("date_id",))

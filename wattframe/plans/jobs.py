@@ -151,23 +151,33 @@ def ingest_weather(
     return Ingested(rows, _coverage(files, "weather", market_id, markets, start, end))
 
 
+def _days_covered(files: DataFrame, start: date, end: date) -> DataFrame:
+    """fetched or missing for every day of the range; banks publish none on days off."""
+    spark = files.sparkSession
+    expected = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("date"))
+    found = files.select(landing.file_date().alias("date")).distinct()
+    return coverage(expected, found.withColumn("status", F.lit("fetched")), ["date"])
+
+
 def ingest_bnr_rates(
     spark: SparkSession, landing_base: str, base: str, start: date, end: date,
     ingested_at: datetime | None = None, compare: str = "any",
-) -> int:
-    """Append the central bank's rates; returns how many."""
+) -> Ingested:
+    """Append the central bank's rates."""
     files = landing.read_files(spark, landing_base, landing.BNR_RATES, start, end, suffix=".xml")
     notes = landing.read_files(spark, landing_base, landing.BNR_RATES, start, end, suffix=".json")
-    return _append(rates.parse_bnr(files, notes), base, schemas.BNR_RATES, "date", ingested_at, compare)
+    rows = _append(rates.parse_bnr(files, notes), base, schemas.BNR_RATES, "date", ingested_at, compare)
+    return Ingested(rows, _days_covered(files, start, end))
 
 
 def ingest_ecb_rates(
     spark: SparkSession, landing_base: str, base: str, start: date, end: date,
     ingested_at: datetime | None = None, compare: str = "any",
-) -> int:
-    """Append the ECB's rates; returns how many."""
+) -> Ingested:
+    """Append the ECB's rates."""
     files = landing.read_files(spark, landing_base, landing.ECB_RATES, start, end, suffix=".json")
-    return _append(rates.parse_ecb(files), base, schemas.ECB_RATES, "date", ingested_at, compare)
+    rows = _append(rates.parse_ecb(files), base, schemas.ECB_RATES, "date", ingested_at, compare)
+    return Ingested(rows, _days_covered(files, start, end))
 
 
 # ---- dimensions ----------------------------------------------------------------
