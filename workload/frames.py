@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
-from wattframe.functions import time as ft
 from wattframe.plans import dims, gold, silver
 from wattframe.registry import (
     PRODUCTION_TYPES, Location, Market, markets_frame, production_types_frame,
