@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.staging import stored
-from .common import components, rolling_hashes, split_words, strong_hashes, texts_of, word_ids
+from .common import components, in_blocks, lists, rolling_hashes, split_words, strong_hashes, texts_of, word_ids
+from .substring import _packed, _unpacked, bucket_edges
 
-#: Slots of the frequency sketch and parts it is summed in; fixed, whatever the input.
-SLOT_BITS, CHUNKS = 22, 64
-SLOTS = 1 << SLOT_BITS
+#: N-grams are counted and indexed by the upper six bytes of their hashes; links are verified on all eight.
+UPPER = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bits of a set's parity signature, a multiple of 64.
+PARITY_BITS = 512
 BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = 2 << 20
 
@@ -66,38 +67,79 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             at = to
 
 
-def ngram_frequencies(texts: DataFrame, n: int) -> np.ndarray:
-    """How often the n-grams of each hash slot occur, over all texts; a fixed SLOTS numbers reach the driver.
-
-    A task's count stops at 65,535; the numbers only rank.
+def block_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets`` of a whole block, made slice by slice."""
+    parts, sizes = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    edge = np.cumsum([0] + [len(t) for t in texts])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_BYTES, "right")) - 1)
+        hashes, first = shingle_sets(texts[at:to], n)
+        parts.append(hashes)
+        sizes.append(np.diff(first))
+        at = to
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
+def sent_counts(block: int, hashes: np.ndarray, first: np.ndarray, buckets: int) -> pa.Table:
+    """One row per bucket with the distinct n-grams of a block in its range, and in how many different sets each is."""
+    seen = set()
+    own = [hashes[:0]]
+    for lo, hi in zip(first[:-1], first[1:]):
+        digest = xxhash.xxh3_128_digest(hashes[lo:hi].tobytes())
+        if digest not in seen:
+            seen.add(digest)
+            own.append(hashes[lo:hi])
+    keys, counts = np.unique(np.concatenate(own) & UPPER, return_counts=True)
+    edges = bucket_edges(keys, buckets)
+    full = np.flatnonzero(np.diff(edges))
+    counts = counts.astype(np.uint32)
+    return pa.table({
+        "bucket": pa.array(full, pa.int64()),
+        "block": pa.array(np.full(len(full), block), pa.int64()),
+        "payload": pa.array(
+            [_packed(keys[edges[k]:edges[k + 1]], counts[edges[k]:edges[k + 1]]) for k in full], pa.binary()
+        ),
+    })
+
+
+def tiers(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte that keeps their order: exact below 32, then eight steps a doubling; 0 for a single set."""
+    steps = np.floor(8 * np.log2(np.maximum(counts, 1)) - 9)
+    return np.minimum(np.where(counts < 32, counts - 1, steps), 255).astype(np.uint8)
+
+
+def answered_counts(bucket: pa.Table) -> pa.Table:
+    """For all that was sent to one bucket the tier of each n-gram, by its count over all blocks."""
+    bucket = bucket.sort_by("block")
+    sent = [_unpacked(p) for p in bucket["payload"].to_pylist()]
+    keys, counts = (np.concatenate([s[k] for s in sent]) for k in (0, 1))
+    _, classes = np.unique(keys, return_inverse=True)
+    tier = tiers(np.bincount(classes, counts))[classes]
+    edges = np.cumsum([0] + [len(s[0]) for s in sent])
+    found = [tier[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:])]
+    return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "tiers": pa.array(found, pa.binary())})
+
+
+def tiers_of(hashes: np.ndarray, answers: pa.Table, buckets: int) -> np.ndarray:
+    """The tier of every n-gram of a block, from the answers to what it sent."""
+    keys, classes = np.unique(hashes & UPPER, return_inverse=True)
+    edges = bucket_edges(keys, buckets)
+    tier = np.zeros(len(keys), np.uint8)
+    for bucket, found in zip(answers["bucket"].to_pylist(), answers["tiers"].to_pylist()):
+        tier[edges[bucket]:edges[bucket + 1]] = np.frombuffer(found, np.uint8)
+    return tier[classes]
+
+
+def parities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set ``PARITY_BITS`` bits, as longs: whether the number of its n-grams in a class of hashes is odd.
+
+    An n-gram that only one of two sets has flips one bit, so the bits that differ never outnumber such n-grams.
     """
-
-    def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for _, part in sliced(batches, "text"):
-            slots, own = np.unique(_slot(shingles(part, n)[0]), return_counts=True)
-            total[slots] += own
-        total = np.minimum(total, 65535).astype(np.uint16)
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(range(CHUNKS), pa.int32()),
-            "counts": pa.array([c.tobytes() for c in total.reshape(CHUNKS, -1)], pa.binary()),
-        })
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in table["counts"].to_pylist())
-        total = np.minimum(total, 65535).astype(np.uint16)
-        return pa.table({"chunk": table["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    rows = texts.select("text").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
-    total = np.zeros((CHUNKS, SLOTS // CHUNKS), np.uint16)
-    for row in rows:
-        total[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
-    return total.reshape(-1)
-
-
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    place = owner * PARITY_BITS + ((hashes >> np.uint64(20)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=(len(first) - 1) * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITY_BITS), axis=1).view(np.int64)
 
 
 def required(a: Column, b: Column, percent: int) -> Column:
@@ -107,16 +149,19 @@ def required(a: Column, b: Column, percent: int) -> Column:
 
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75,
+    block_bytes: int = 16 << 20, bucket_grams: int = 1 << 22,
 ) -> DataFrame:
     """For every row: ``id``, ``n_shingles`` and ``component_id``, the least id that links lead to; also
     ``tx``, xxhash64 of its text, and ``group``, a number of its component (null without words).
 
     Two texts link when 100 * (common n-grams) >= percent * (n-grams of either).  Texts with the same
-    set form a class and go on as one.  N-grams are ranked rare first by a frequency sketch (any fixed
-    order gives the same links); a class is indexed by its prefix, the n-grams of which a linked
-    class must share at least one.  Candidates pass the length and positional filters on the prefix and the
-    suffix filter (the counts of two sets in equal ranges of the hash bound what they can share), and
-    each pair is verified once, on the whole sets.
+    set form a class and go on as one.  N-grams are ranked rare first by the number of sets that hold them (any order
+    that all texts share gives the same links): blocks of texts send each distinct n-gram once, packed, to the
+    bucket of its range, with its count in the block, and get back one byte for each, its rank by the total.
+    A class is indexed by its prefix, the n-grams of which a linked class must share at least one; those
+    that no other set holds need no entry.  Candidates pass the length and positional filters on the prefix and the
+    suffix filter, first by parities (see ``parities``) where they meet, then by the counts of two sets in
+    equal ranges of the hash, which bound what they can share; each pair is verified once, on the whole sets.
 
     Links are looked for only where they can still join two components.  First every class meets two
     pivots in each of its prefix n-grams, the least classes under two orders, so a group of copies costs two rows each
@@ -127,42 +172,60 @@ def similar_classes(
     A text that is null or has no word has size 0, links with nothing and is its own component.  A row
     with a null id can link rows, and its component is the least id among the others, null if there is none.
     """
-    texts = texts_of(docs, id_col, text_col)
-    frequency = ngram_frequencies(texts, n)
-
-    def describe(batches):
-        for batch, part in sliced(batches, "text"):
-            hashes, first = shingle_sets(part, n)
-            rank = frequency[_slot(hashes)]
-            digests, prefixes, bands = [], [], []
-            for lo, hi in zip(first[:-1], first[1:]):
-                own, size = hashes[lo:hi], hi - lo
-                head = size - (size * percent + 99) // 100 + 1 if size else 0
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                prefixes.append(_short(own[np.argsort(rank[lo:hi], kind="stable")[:head]]))
-                bands.append(_bands(own))
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id"), "tx": batch.column("tx"),
-                "size": pa.array(np.diff(first), pa.int64()),
-                "digest": pa.array(digests, pa.binary()),
-                "prefix": pa.array(prefixes, pa.binary()),
-                "bands": pa.array(bands, pa.binary()),
-            })
+    keyed = texts_of(docs, id_col, text_col).withColumn("tx", F.xxhash64("text"))
+    blocks, total = in_blocks(keyed, block_bytes)
+    buckets = int(total // 6 // bucket_grams) + 1
+
+    def sets_of(block: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        block = block.sort_by("row")
+        return block, *block_sets([t or b"" for t in block["text"].cast(pa.binary()).to_pylist()], n)
+
+    def send(block: pa.Table) -> pa.Table:
+        block, hashes, first = sets_of(block)
+        return sent_counts(block["block"][0].as_py(), hashes, first, buckets)
+
+    def describe(block: pa.Table, answers: pa.Table) -> pa.Table:
+        block, hashes, first = sets_of(block)
+        tier = tiers_of(hashes, answers, buckets)
+        digests, prefixes, skipped, bands = [], [], [], []
+        for lo, hi in zip(first[:-1], first[1:]):
+            own, size = hashes[lo:hi], hi - lo
+            head = size - (size * percent + 99) // 100 + 1 if size else 0
+            order = np.argsort(tier[lo:hi], kind="stable")[:head]
+            alone = int(np.count_nonzero(tier[lo:hi][order] == 0))
+            digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+            prefixes.append(_short(own[order[alone:]]))
+            skipped.append(alone)
+            bands.append(_bands(own))
+        odd = parities(hashes, first)
+        return pa.table({
+            "id": block["id"], "tx": block["tx"], "row": block["row"],
+            "size": pa.array(np.diff(first), pa.int64()),
+            "digest": pa.array(digests, pa.binary()),
+            "prefix": pa.array(prefixes, pa.binary()),
+            "skipped": pa.array(skipped, pa.int32()),
+            "bands": pa.array(bands, pa.binary()),
+            "odd": lists(pa.array(odd.reshape(-1), pa.int64()), np.full(len(odd), PARITY_BITS // 64)),
+        })
 
-    id_type = texts.schema["id"].dataType.simpleString()
-    keyed = texts.withColumn("tx", F.xxhash64("text"))
-    described = keyed.mapInArrow(
-        describe, f"id {id_type}, tx long, size long, digest binary, prefix binary, bands binary"
-    ).withColumn("row", F.monotonically_increasing_id())
-    described = stored(described, "ngram-sets")
+    id_type = blocks.schema["id"].dataType.simpleString()
+    grouped = blocks.groupBy("block")
+    answers = grouped.applyInArrow(send, "bucket long, block long, payload binary").groupBy("bucket").applyInArrow(
+        answered_counts, "bucket long, block long, tiers binary"
+    )
+    described = stored(grouped.cogroup(answers.groupBy("block")).applyInArrow(
+        describe,
+        f"id {id_type}, tx long, row long, size long, digest binary, prefix binary, skipped int, bands binary, odd array<long>",
+    ), "ngram-sets")
     filled = described.where("size > 0")
     classes = filled.groupBy("digest").agg(F.min("row").alias("node"), F.min("id").alias("least"))
     members = stored(filled.select("row", "digest").join(classes, "digest").select("row", "node", "least"), "ngram-classes")
     shape = filled.select(F.col("row").alias("node"), "size", "bands", "id", "tx")
 
-    every = filled.select("row", "size", "prefix").mapInArrow(_entries, "h long, row long, size long, pos int").repartition("h")
-    shared = every.withColumn("k", F.count("*").over(W.partitionBy("h"))).where("k > 1")
-    entries = shared.join(members, "row").select("h", "node", "size", "pos").distinct()
+    heads = members.where("row = node").select("row")
+    entries = filled.select("row", "size", "prefix", "skipped", "odd").join(heads, "row", "left_semi").mapInArrow(
+        _entries, "h long, node long, size long, pos int, odd array<long>"
+    )
     entries = stored(entries, "ngram-entries")
 
     nodes = members.select("node").distinct()
@@ -183,7 +246,7 @@ def similar_classes(
 
 
 def _short(hashes: np.ndarray) -> bytes:
-    """The upper six bytes of each hash: enough to look for candidates, which are verified on all eight."""
+    """The upper six bytes of each hash."""
     return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
@@ -192,13 +255,15 @@ def _entries(batches):
         prefixes = batch.column("prefix").to_pylist()
         lengths = np.array([len(p) // 6 for p in prefixes], np.int64)
         wide = np.zeros((lengths.sum(), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, 6)
-        starts = np.cumsum(lengths) - lengths
+        wide[:, 2:] = np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, 6)
+        of = np.repeat(np.arange(len(prefixes)), lengths)
+        starts = np.cumsum(lengths) - lengths - batch.column("skipped").to_numpy()
         yield pa.RecordBatch.from_pydict({
             "h": pa.array(wide.reshape(-1).view(np.int64), pa.int64()),
-            "row": pa.array(np.repeat(batch.column("row").to_numpy(), lengths), pa.int64()),
-            "size": pa.array(np.repeat(batch.column("size").to_numpy(), lengths), pa.int64()),
-            "pos": pa.array(np.arange(lengths.sum()) - np.repeat(starts, lengths), pa.int32()),
+            "node": pa.array(batch.column("row").to_numpy()[of], pa.int64()),
+            "size": pa.array(batch.column("size").to_numpy()[of], pa.int64()),
+            "pos": pa.array(np.arange(len(of)) - starts[of], pa.int32()),
+            "odd": batch.column("odd").take(pa.array(of)),
         })
 
 
@@ -222,20 +287,23 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _passing(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of the rows that pass the length and the positional filter."""
+    """Distinct pairs ``a < b`` of the rows that pass the length, the positional and the parity filter."""
     need = required(F.col("size"), F.col("size2"), percent)
+    apart = sum(F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd2")[i])) for i in range(PARITY_BITS // 64))
     return met.where(
         (F.least("size", "size2") >= need)
         & (F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need - F.least("pos", "pos2"))
+        & (apart <= F.col("size") + F.col("size2") - 2 * need)
     ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """Each class with the first classes of its prefix n-grams under two orders."""
-    pivot = lambda turn: F.min(F.struct(F.xxhash64(F.col("node") + turn), "node", "size", "pos"))
-    pivots = entries.groupBy("h").agg(pivot(0).alias("one"), pivot(1).alias("two"))
+    columns = ("node", "size", "pos", "odd")
+    pivot = lambda turn: F.min_by(F.struct(*columns), F.xxhash64(F.col("node") + turn))
+    pivots = entries.groupBy("h").agg(pivot(0).alias("one"), pivot(1).alias("two"), F.count("*").alias("k")).where("k > 1")
     both = pivots.select("h", F.explode(F.array_distinct(F.array(*(
-        F.struct(*(F.col(f"{p}.{c}").alias(f"{c}2") for c in ("node", "size", "pos"))) for p in ("one", "two")
+        F.struct(*(F.col(f"{p}.{c}").alias(f"{c}2") for c in columns)) for p in ("one", "two")
     )))).alias("p")).select("h", "p.*")
     return _passing(entries.join(both, "h").where("node <> node2"), percent)
 
@@ -248,7 +316,7 @@ def _cross_pairs(entries: DataFrame, component: DataFrame, percent: int) -> Data
         F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")
     ).where("parts > 1").drop("parts")
     open_ = labelled.join(largest, "h")
-    columns = ("node", "size", "pos", "component")
+    columns = ("node", "size", "pos", "odd", "component")
     outside = open_.where("component <> largest").select("h", *(F.col(c).alias(f"{c}2") for c in columns))
     met = open_.join(outside, "h").where("component <> component2 AND (component = largest OR node < node2)")
     return _passing(met, percent)
