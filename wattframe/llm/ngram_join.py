@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -164,10 +165,11 @@ def similar_classes(
     equal ranges of the hash, which bound what they can share; each pair is verified once, on the whole sets.
 
     Links are looked for only where they can still join two components.  First every class meets two
-    pivots in each of its prefix n-grams, the least classes under two orders, so a group of copies costs two rows each
-    and not a row a pair.  Then, in the n-grams whose classes still lie in different components, all pairs
-    across components are candidates, formed between the classes outside the n-gram's largest
-    component and all others.  No link that joins components is lost.
+    pivots in each of its prefix n-grams, so a group of copies costs two rows an n-gram and not a row a pair.
+    Then, in the n-grams whose classes still lie in different components, the classes outside the largest meet one
+    class of it, another one each turn, as long as a tenth of these pairs are links.  What still lies apart
+    is decided whole: all pairs across components are candidates, formed between the classes outside the
+    n-gram's largest component and all others.  No link that joins components is lost.
 
     A text that is null or has no word has size 0, links with nothing and is its own component.  A row
     with a null id can link rows, and its component is the least id among the others, null if there is none.
@@ -229,14 +231,23 @@ def similar_classes(
     entries = stored(entries, "ngram-entries")
 
     nodes = members.select("node").distinct()
-    first = stored(_near(_star_pairs(entries, percent), shape, percent), "ngram-pairs")
-    verified = stored(_verified(first, keyed, shape, n, percent), "ngram-links")
-    component = _labelled(nodes, verified.where("linked"))
-    rest = _near(_cross_pairs(entries, component, percent).join(first, ["a", "b"], "left_anti"), shape, percent)
-    rest = stored(rest, "ngram-pairs")
-    if not rest.isEmpty():
-        more = _verified(rest, keyed, shape, n, percent).where("linked")
-        component = _labelled(nodes, verified.where("linked").union(stored(more, "ngram-links")))
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = stored(_near(pairs, shape, percent), "ngram-pairs")
+        return stored(_verified(near, keyed, shape, n, percent), "ngram-links")
+
+    links = verified(_star_pairs(entries, percent)).where("linked")
+    component = _labelled(nodes, links)
+    for turn in count():
+        tried = verified(_bridge_pairs(entries, component, percent, turn))
+        pairs, found = tried.agg(F.count("*"), F.count_if("linked")).first()
+        if found:
+            links = links.union(tried.where("linked"))
+            component = _labelled(nodes, links)
+        if 10 * found <= pairs:
+            break
+    last = verified(_cross_pairs(entries, component, percent)).where("linked")
+    if not last.isEmpty():
+        component = _labelled(nodes, links.union(last))
     labelled = members.join(component, "node")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     label = labelled.join(smallest, "component").select("row", "component_id", "component")
@@ -298,24 +309,42 @@ def _passing(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each class with the first classes of its prefix n-grams under two orders."""
+    """Each class with two classes of each of its prefix n-grams: the first under an order that all n-grams share, so that
+    copies meet the same one, and the first under an order of the n-gram's own, so that they meet many others."""
     columns = ("node", "size", "pos", "odd")
-    pivot = lambda turn: F.min_by(F.struct(*columns), F.xxhash64(F.col("node") + turn))
-    pivots = entries.groupBy("h").agg(pivot(0).alias("one"), pivot(1).alias("two"), F.count("*").alias("k")).where("k > 1")
+    pivot = lambda *by: F.min_by(F.struct(*columns), F.xxhash64(*by))
+    pivots = entries.groupBy("h").agg(
+        pivot("node").alias("one"), pivot("node", "h").alias("two"), F.count("*").alias("k")
+    ).where("k > 1")
     both = pivots.select("h", F.explode(F.array_distinct(F.array(*(
         F.struct(*(F.col(f"{p}.{c}").alias(f"{c}2") for c in columns)) for p in ("one", "two")
     )))).alias("p")).select("h", "p.*")
     return _passing(entries.join(both, "h").where("node <> node2"), percent)
 
 
-def _cross_pairs(entries: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """All pairs across components in the n-grams that lie in several: the classes outside the largest with all others."""
+def _open(entries: DataFrame, component: DataFrame) -> DataFrame:
+    """The entries, with their components, of the n-grams that lie in several; ``largest`` is the n-gram's largest one."""
     labelled = entries.join(component, "node")
     parts = labelled.groupBy("h", "component").agg(F.count("*").alias("k"))
     largest = parts.groupBy("h").agg(
         F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("*").alias("parts")
     ).where("parts > 1").drop("parts")
-    open_ = labelled.join(largest, "h")
+    return labelled.join(largest, "h")
+
+
+def _bridge_pairs(entries: DataFrame, component: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each class outside an n-gram's largest component with one class of it, another one each turn."""
+    open_ = _open(entries, component)
+    columns = ("node", "size", "pos", "odd")
+    pivots = open_.where("component = largest").groupBy("h").agg(
+        F.min_by(F.struct(*(F.col(c).alias(f"{c}2") for c in columns)), F.xxhash64("node", "h", F.lit(turn))).alias("p")
+    ).select("h", "p.*")
+    return _passing(open_.where("component <> largest").join(pivots, "h"), percent)
+
+
+def _cross_pairs(entries: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components in the n-grams that lie in several: the classes outside the largest with all others."""
+    open_ = _open(entries, component)
     columns = ("node", "size", "pos", "odd", "component")
     outside = open_.where("component <> largest").select("h", *(F.col(c).alias(f"{c}2") for c in columns))
     met = open_.join(outside, "h").where("component <> component2 AND (component = largest OR node < node2)")
