@@ -115,8 +115,13 @@ def answered_counts(bucket: pa.Table) -> pa.Table:
     bucket = bucket.sort_by("block")
     sent = [_unpacked(p) for p in bucket["payload"].to_pylist()]
     keys, counts = (np.concatenate([s[k] for s in sent]) for k in (0, 1))
-    _, classes = np.unique(keys, return_inverse=True)
-    tier = tiers(np.bincount(classes, counts))[classes]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+    del keys
+    totals = tiers(np.add.reduceat(counts[order], np.flatnonzero(new), dtype=np.int64))
+    tier = np.empty(len(order), np.uint8)
+    tier[order] = totals[np.cumsum(new, dtype=np.int32) - 1]
     edges = np.cumsum([0] + [len(s[0]) for s in sent])
     found = [tier[lo:hi].tobytes() for lo, hi in zip(edges[:-1], edges[1:])]
     return pa.table({"bucket": bucket["bucket"], "block": bucket["block"], "tiers": pa.array(found, pa.binary())})
@@ -150,7 +155,7 @@ def required(a: Column, b: Column, percent: int) -> Column:
 
 def similar_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75,
-    block_bytes: int = 16 << 20, bucket_grams: int = 1 << 22,
+    block_bytes: int = 8 << 20, bucket_grams: int = 1 << 21,
 ) -> DataFrame:
     """For every row: ``id``, ``n_shingles`` and ``component_id``, the least id that links lead to; also
     ``tx``, xxhash64 of its text, and ``group``, a number of its component (null without words).
