@@ -4,6 +4,8 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tests.llm import brute, fixtures
 from wattframe.llm.common import components
 from wattframe.llm.exact import distinct_texts, exact_duplicates
 from wattframe.llm.lines import BITS_APART, edit_similarity, normalised, repeated_lines, simhashes, without_lines
-from wattframe.llm.ngram_join import similar_classes
+from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, similar_classes, tiers, tiers_of
 from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
 from wattframe.llm.suffix import longest_factors, repeated_bytes
@@ -96,6 +98,33 @@ def test_similar_classes_equal_brute_force(spark):
     assert by_place(similar_classes(docs), ["id", "n_shingles", "component_id"]) == want
 
 
+def test_ngram_counts_over_blocks():
+    random = np.random.default_rng(1)
+    sets = [np.unique(random.integers(0, 400, 60).astype(np.uint64) << np.uint64(55)) for _ in range(9)]
+    blocks = [(np.concatenate(sets[k:k + 3]), np.cumsum([0] + [len(s) for s in sets[k:k + 3]])) for k in (0, 3, 6)]
+    sent = pa.concat_tables([sent_counts(b, *block, 4) for b, block in enumerate(blocks)])
+    parts = [sent.filter(pa.compute.equal(sent["bucket"], k)) for k in range(4)]
+    answers = pa.concat_tables([answered_counts(part) for part in parts])
+    held = Counter(int(g) for s in sets for g in s)
+    for b, (hashes, _) in enumerate(blocks):
+        got = tiers_of(hashes, answers.filter(pa.compute.equal(answers["block"], b)), 4)
+        assert got.tolist() == [held[int(g)] - 1 for g in hashes]
+    counts = tiers(np.arange(1, 100000)).astype(int)
+    assert (np.diff(counts) >= 0).all() and counts[:31].tolist() == list(range(31))
+
+
+def test_parities_never_exceed_the_difference():
+    random = np.random.default_rng(2)
+    draw = lambda n: np.unique(random.integers(0, 1 << 63, n).astype(np.uint64))
+    common = draw(300)
+    sets = [np.union1d(common, draw(k)) for k in (0, 1, 5, 40, 900)] + [common[:0]]
+    odd = parities(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets]))
+    for a, x in zip(sets, odd):
+        for b, y in zip(sets, odd):
+            differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+
+
 def test_null_ids_in_similar_classes(spark):
     got = similar_classes(fixtures.with_null_ids(spark)).collect()
     assert len(got) == 34
