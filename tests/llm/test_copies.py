@@ -13,6 +13,7 @@ from tests.llm import brute, fixtures
 from wattframe.llm.common import components
 from wattframe.llm.exact import distinct_texts, exact_duplicates
 from wattframe.llm.lines import BITS_APART, edit_similarity, normalised, repeated_lines, simhashes, without_lines
+from wattframe.llm import ngram_join
 from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, similar_classes, tiers, tiers_of
 from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
@@ -125,6 +126,29 @@ def test_parities_never_exceed_the_difference():
             assert differ <= len(np.setxor1d(a, b))
 
 
+def test_pairs_meet_only_where_they_can_share_their_first_gram(spark):
+    # sets of 100: 86 must be common, so the first common n-gram is among the first 15
+    shared = {(1, 2): range(20, 26), (3, 4): range(10, 26), (5, 6): range(15, 26), (7, 8): range(14, 26)}
+    rows = [
+        (100 * a + pos if pos in common else 100 * node + pos + 10_000, node, 100, pos, [0] * 8)
+        for (a, b), common in shared.items() for node in (a, b) for pos in range(26)
+    ]
+    entries = spark.createDataFrame(rows, "h long, node long, size long, pos int, odd array<long>")
+    component = spark.createDataFrame([(k, k) for k in range(1, 9)], "node long, component long")
+    assert by_place(ngram_join._cross_pairs(entries, component, 75), ["a", "b"]) == Counter([(3, 4), (7, 8)])
+
+
+def test_later_links_merge_the_components_found_before(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.collect()) or components(edges))
+    component = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6)], "node long, component long")
+    links = spark.createDataFrame([(2, 4), (1, 3), (4, 5)], "a long, b long")
+    assert by_place(ngram_join._merged(component, links), ["node", "component"]) == Counter(
+        {(1, 1): 1, (2, 1): 1, (3, 1): 1, (4, 1): 1, (5, 1): 1, (6, 6): 1}
+    )
+    assert {tuple(r) for r in seen[0]} == {(1, 3), (3, 5)}
+
+
 def test_null_ids_in_similar_classes(spark):
     got = similar_classes(fixtures.with_null_ids(spark)).collect()
     assert len(got) == 34

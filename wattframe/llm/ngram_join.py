@@ -174,7 +174,8 @@ def similar_classes(
     Then, in the n-grams whose classes still lie in different components, the classes outside the largest meet one
     class of it, another one each turn, as long as a tenth of these pairs are links.  What still lies apart
     is decided whole: all pairs across components are candidates, formed between the classes outside the
-    n-gram's largest component and all others.  No link that joins components is lost.
+    n-gram's largest component and all others, each where it can be the first n-gram that they share.  No link that
+    joins components is lost.  Links found later merge the components found before.
 
     A text that is null or has no word has size 0, links with nothing and is its own component.  A row
     with a null id can link rows, and its component is the least id among the others, null if there is none.
@@ -240,19 +241,17 @@ def similar_classes(
         near = stored(_near(pairs, shape, percent), "ngram-pairs")
         return stored(_verified(near, keyed, shape, n, percent), "ngram-links")
 
-    links = verified(_star_pairs(entries, percent)).where("linked")
-    component = _labelled(nodes, links)
+    component = _labelled(nodes, verified(_star_pairs(entries, percent)).where("linked"))
     for turn in count():
         tried = verified(_bridge_pairs(entries, component, percent, turn))
         pairs, found = tried.agg(F.count("*"), F.count_if("linked")).first()
         if found:
-            links = links.union(tried.where("linked"))
-            component = _labelled(nodes, links)
+            component = _merged(component, tried.where("linked"))
         if 10 * found <= pairs:
             break
     last = verified(_cross_pairs(entries, component, percent)).where("linked")
     if not last.isEmpty():
-        component = _labelled(nodes, links.union(last))
+        component = _merged(component, last)
     labelled = members.join(component, "node")
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     label = labelled.join(smallest, "component").select("row", "component_id", "component")
@@ -302,13 +301,26 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(found.select("node", F.coalesce("component", "node").alias("component")), "ngram-components")
 
 
-def _passing(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a < b`` of the rows that pass the length, the positional and the parity filter."""
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """``component`` after more links: only the components that these join are labelled anew, not all classes."""
+    ends = links.select("a", "b").join(component.toDF("a", "x"), "a").join(component.toDF("b", "y"), "b")
+    moved = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).toDF("component", "least")
+    found = component.join(moved, "component", "left")
+    return stored(found.select("node", F.coalesce("least", "component").alias("component")), "ngram-components")
+
+
+def _passing(met: DataFrame, percent: int, first: bool = False) -> DataFrame:
+    """Distinct pairs ``a < b`` of the rows that pass the length, the positional and the parity filter.
+
+    With ``first`` a row passes only as the first common n-gram of a pair that links: no set may have anything in
+    common before it.  That loses no link where all pairs of an n-gram meet, as one row of a pair is its first.
+    """
     need = required(F.col("size"), F.col("size2"), percent)
     apart = sum(F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd2")[i])) for i in range(PARITY_BITS // 64))
+    before = F.lit(0) if first else F.least("pos", "pos2")
     return met.where(
         (F.least("size", "size2") >= need)
-        & (F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need - F.least("pos", "pos2"))
+        & (F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= need - before)
         & (apart <= F.col("size") + F.col("size2") - 2 * need)
     ).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
@@ -353,7 +365,7 @@ def _cross_pairs(entries: DataFrame, component: DataFrame, percent: int) -> Data
     columns = ("node", "size", "pos", "odd", "component")
     outside = open_.where("component <> largest").select("h", *(F.col(c).alias(f"{c}2") for c in columns))
     met = open_.join(outside, "h").where("component <> component2 AND (component = largest OR node < node2)")
-    return _passing(met, percent)
+    return _passing(met, percent, first=True)
 
 
 def _near(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
