@@ -12,6 +12,7 @@ import corpus_pipeline
 from tests.llm import brute, fixtures
 from wattframe.llm import lm
 from wattframe.llm.common import split_words
+from wattframe.llm import decontaminate
 from wattframe.llm.decontaminate import FOLD, benchmark_matches, edit_distances
 from wattframe.llm.html import extract_main_text, main_text
 from wattframe.llm.language import held_out, predict_language, temperature_for, train_language_model
@@ -85,6 +86,35 @@ def test_edit_distance_to_a_prefix():
     assert (distance[0], size[0]) == (1, 5)
 
 
+def test_edit_distances_up_to_a_limit_equal_the_full_table():
+    random = np.random.default_rng(4)
+    for n, most in ((15, 3), (12, 0), (40, 10)):
+        items = random.integers(1, 6, (400, n)).astype(np.uint64)
+        segments = np.concatenate([items, random.integers(1, 6, (400, most)).astype(np.uint64)], axis=1)
+        for row, edits in enumerate(random.integers(0, n, 400)):
+            segments[row, random.integers(0, n + most, edits)] = 7
+            segments[row] = np.roll(segments[row], random.integers(-1, 2))
+        full, sizes = edit_distances(items, segments)
+        distance, size = edit_distances(items, segments, most)
+        near = full <= most
+        assert 0 < near.sum() < 400
+        assert (distance[near] == full[near]).all() and (size[near] == sizes[near]).all() and (distance[~near] == most + 1).all()
+    short = edit_distances(items, segments[:, :20], 10)[0]
+    assert (short == 11).all()
+
+
+def test_items_are_embedded_once(monkeypatch):
+    random = np.random.default_rng(5)
+    item, other = (" ".join(f"w{k}" for k in random.integers(0, 10_000, 20)) for _ in range(2))
+    groups = decontaminate.prepared([(1, item), (2, other)], 0.75, 8, 0.99)
+    calls, real = [], decontaminate.embedded
+    monkeypatch.setattr(decontaminate, "embedded", lambda *a: calls.append(1) or real(*a))
+    found = decontaminate.find_items([f"one two {item} three".encode(), b"none", f"{other} {item}".encode()], groups)
+    assert [[(m["item_id"], m["start"], m["distance"]) for m in f] for f in found] == [[(1, 2, 0)], [], [(2, 0, 0), (1, 20, 0)]]
+    assert len(calls) == sum(len(g.tables) for g in groups)
+
+
+
 def test_benchmark_on_odd_tables(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
     nothing = items.where("false")

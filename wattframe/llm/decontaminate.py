@@ -40,10 +40,12 @@ class Items(NamedTuple):
 
 
 class Embedding(NamedTuple):
-    """A random walk of ``3 * length`` steps and the sets of its output places that make keys."""
+    """A random walk of ``3 * length`` steps, the sets of its output places that make keys, and the items' keys, ascending."""
 
     steps: np.ndarray
     samples: np.ndarray
+    keys: np.ndarray
+    items: np.ndarray  # the item of each key
 
 
 def folded(text: bytes) -> bytes:
@@ -57,40 +59,69 @@ def embedded(windows: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
     A walk writes the word it stands on at every step, and moves on if a random bit of the step and the word
     says so.  Two walks that meet after an edit stay together, so few edits leave few differing places.  Past
-    its end a row reads 0.
+    its end a row reads 0.  Returns a row for each step.
     """
     n = windows.shape[1]
-    padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
-    at, rows = np.zeros(len(windows), np.int64), np.arange(len(windows))
-    out = np.empty((len(windows), len(steps)), np.uint64)
-    for j, step in enumerate(steps):
-        out[:, j] = word = padded[rows, at]
-        at = np.minimum(at + ((word * step) >> np.uint64(63)).astype(np.int64), n)
+    padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1).reshape(-1)
+    at = np.arange(len(windows)) * (n + 1)  # the 0 past the end holds a walk there
+    out = np.empty((len(steps), len(windows)), np.uint64)
+    move = np.empty(len(windows), np.uint64)
+    for word, step in zip(out, steps):
+        np.take(padded, at, out=word, mode="clip")
+        np.multiply(word, step, out=move)
+        move >>= np.uint64(63)
+        at += move.view(np.int64)
     return out
 
 
-def keys_of(windows: np.ndarray, table: Embedding) -> np.ndarray:
-    """One key for each window and sample: a hash of the embedding's words at the sampled places."""
-    out = embedded(windows, table.steps)
-    keys = np.zeros((len(windows), len(table.samples)), np.uint64)
-    for place in table.samples.T:
-        keys = (keys ^ out[:, place]) * np.uint64(0x9FB21C651E98DF25)
+def keys_of(windows: np.ndarray, steps: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """A row for each sample, with one key for each window: a hash of the sample and the embedding's words at its places."""
+    out = embedded(windows, steps)
+    salt = np.arange(1, len(samples) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    keys = np.repeat(salt[:, None], len(windows), axis=1)
+    for place in samples.T:
+        keys ^= out[place]
+        keys *= np.uint64(0x9FB21C651E98DF25)
         keys ^= keys >> np.uint64(32)
     return keys
 
 
-def edit_distances(items: np.ndarray, segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edit distance between each item and a prefix of its segment, and the length of that prefix (the shortest)."""
+def edit_distances(items: np.ndarray, segments: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Least edit distance between each item and a prefix of its segment, and the length of that prefix (the shortest).
+
+    Beyond ``most`` edits the distance is given as ``most + 1``: only the ``most`` places on either side of the diagonal
+    are worked out, and a pair ends as soon as all of them are beyond.
+    """
     pairs, n = items.shape
     width = segments.shape[1] + 1
-    across = np.arange(width)
-    row = np.broadcast_to(across, (pairs, width)).copy()
+    most = n + width if most is None else most
+    kind = np.int16 if n + width < 1 << 13 else np.int64
+    items, segments = np.ascontiguousarray(items.T), np.ascontiguousarray(segments.T)
+    across = np.arange(width, dtype=kind)[:, None]
+    row, alive = np.repeat(across, pairs, axis=1), np.arange(pairs)
+    distance, size = np.full(pairs, most + 1, np.int64), np.zeros(pairs, np.int64)
     for i in range(n):
-        changed = row[:, :-1] + (segments != items[:, i : i + 1])
-        new = row + 1
-        new[:, 1:] = np.minimum(new[:, 1:], changed)
-        row = np.minimum.accumulate(new - across, axis=1) + across
-    return row.min(axis=1), row.argmin(axis=1)
+        lo, hi = max(0, i + 1 - most), min(width, i + 2 + most)
+        if lo >= hi:
+            return distance, size
+        new = row[lo:hi] + kind(1)
+        first = max(lo, 1)
+        changed = row[first - 1 : hi - 1] + (segments[first - 1 : hi - 1] != items[i])
+        np.minimum(new[first - lo :], changed, out=new[first - lo :])
+        new -= across[lo:hi]
+        np.minimum.accumulate(new, axis=0, out=new)
+        np.add(new, across[lo:hi], out=row[lo:hi])
+        row[:lo] = most + 1
+        if i % 4 == 3:
+            near = np.flatnonzero(row[lo:hi].min(axis=0) <= most)
+            if 4 * len(near) < 3 * len(alive):
+                alive, row, items, segments = alive[near], row[:, near], items[:, near], segments[:, near]
+            if not len(alive):
+                return distance, size
+    found = row.min(axis=0)
+    good = found <= most
+    distance[alive[good]], size[alive[good]] = found[good], row.argmin(axis=0)[good]
+    return distance, size
 
 
 def _tables(length: int, edits: int, hashes: np.ndarray, recall: float, size: int = 3) -> list[Embedding]:
@@ -102,12 +133,15 @@ def _tables(length: int, edits: int, hashes: np.ndarray, recall: float, size: in
     random = np.random.default_rng(length)
     copies = np.repeat(hashes, max(1, 200 // len(hashes)), axis=0)
     edited = np.stack([_edited(row, edits, length, random) for row in copies])
+    of = np.arange(len(copies)) // max(1, 200 // len(hashes))
     missed, tables = np.ones(len(copies), bool), []
     while missed.mean() > 1 - recall and len(tables) < 400:
         steps = random.integers(0, 2**63, 3 * length).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        table = Embedding(steps, random.integers(0, 3 * length, (16, size)))
-        missed &= ~(keys_of(copies, table) == keys_of(edited, table)).any(axis=1)
-        tables.append(table)
+        samples = random.integers(0, 3 * length, (16, size))
+        keys = keys_of(hashes, steps, samples)
+        missed &= ~(keys[:, of] == keys_of(edited, steps, samples)).any(axis=0)
+        order = np.argsort(keys, axis=None)
+        tables.append(Embedding(steps, samples, keys.reshape(-1)[order], order % len(hashes)))
     return tables
 
 
@@ -207,19 +241,18 @@ def _matches(group: Items, starts: np.ndarray, hashes: np.ndarray, first: np.nda
     windows = hashes[starts[:, None] + np.arange(group.length)]
     hits = [np.zeros(0, np.int64)]
     for table in group.tables:
-        own, others = keys_of(windows, table), keys_of(group.hashes, table)
-        for k in range(own.shape[1]):
-            order = np.argsort(others[:, k])
-            lo, hi = (np.searchsorted(others[order, k], own[:, k], side) for side in ("left", "right"))
-            many = hi - lo
-            at = np.repeat(np.arange(len(starts)), many)
-            item = order[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-            hits.append(at * len(group.ids) + item)
+        own = keys_of(windows, table.steps, table.samples).reshape(-1)
+        lo = np.searchsorted(table.keys, own)
+        hit = np.flatnonzero(table.keys[np.minimum(lo, len(table.keys) - 1)] == own)
+        lo, many = lo[hit], np.searchsorted(table.keys, own[hit], "right") - lo[hit]
+        at = np.repeat(hit % len(starts), many)
+        item = table.items[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        hits.append(at * len(group.ids) + item)
     pairs = np.unique(np.concatenate(hits))
     for lo in range(0, len(pairs), WINDOWS):
         at, item = np.divmod(pairs[lo : lo + WINDOWS], len(group.ids))
         segments = hashes[starts[at][:, None] + np.arange(group.length + group.edits)]
-        distance, size = edit_distances(group.hashes[item], segments)
+        distance, size = edit_distances(group.hashes[item], segments, group.edits)
         good = np.flatnonzero(distance <= group.edits)
         text = np.searchsorted(first, starts[at[good]], "right") - 1
         for t, g in zip(text.tolist(), good.tolist()):
