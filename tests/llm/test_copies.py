@@ -13,7 +13,7 @@ from tests.llm import brute, fixtures
 from wattframe.llm.common import components
 from wattframe.llm.exact import distinct_texts, exact_duplicates
 from wattframe.llm.lines import BITS_APART, edit_similarity, normalised, repeated_lines, simhashes, without_lines
-from wattframe.llm import ngram_join
+from wattframe.llm import ngram_join, suffix
 from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, similar_classes, tiers, tiers_of
 from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
@@ -83,6 +83,15 @@ def test_longest_factors_equal_brute_force():
             assert later[i] == (raw.rfind(own) > i)
 
 
+def test_longest_factors_are_read_off_the_suffix_order(monkeypatch):
+    data = np.frombuffer(b"abcdefghabcdefghxabcdefgh", np.uint8)
+    order, rank = suffix.suffix_ranks(data, 8)
+    monkeypatch.setattr(suffix, "suffix_ranks", lambda data, depth: (order, rank))
+    monkeypatch.setattr(suffix, "previous_smaller", None, raising=False)  # no search beyond the neighbours
+    earlier, later = longest_factors(data, 8)
+    assert np.flatnonzero(earlier).tolist() == [8, 17] and np.flatnonzero(later).tolist() == [0, 8]
+
+
 def test_similar_classes_equal_brute_force(spark):
     docs = fixtures.documents(spark)
     rows = docs.collect()
