@@ -354,6 +354,27 @@ def test_model_probabilities_add_up_and_learn():
     assert lm.log_probabilities(model, before, word).mean() > lm.log_probabilities(start, before, word).mean() + 1
 
 
+def test_tabled_scores_equal_the_sums_over_the_vocabulary():
+    random = np.random.default_rng(4)
+    n, size = 40, 5
+    model = lm.Model(random.normal(0, 2, (n, size)), random.normal(0, 2, (n, size)), random.normal(1, 1, (2, size)), random.normal(0, 3, n))
+    far = model._replace(context=model.context * 200)  # parts so unlike that their products vanish
+    every = np.stack([np.repeat(np.arange(n), n), np.tile(np.arange(n), n)], axis=1)
+    word = random.integers(0, n, len(every))
+    for m in (model, far):
+        scores = lm.predicted(m, every) @ m.target.T + m.bias
+        most = scores.max(axis=1)
+        plain = scores[np.arange(len(every)), word] - most - np.log(np.exp(scores - most[:, None]).sum(axis=1))
+        got = lm.log_probabilities(m, every, word, tables=lm.tables_of(m))
+        assert np.allclose(got, plain, rtol=1e-9, atol=1e-6)
+    assert lm.tables_of(lm.initial(np.ones(lm.MOST_TABLED + 1), 2)) is None
+
+
+def test_lm_blocks_count_bytes_of_utf8(spark):
+    rows = spark.createDataFrame([(i, False, "\u00e4" * 500) for i in range(64)], "id long, held boolean, text string").coalesce(1)
+    assert [len(x.ids) for x in lm._packed(rows, 16_000).orderBy("block").collect()] == [16] * 4
+
+
 def test_pipeline_equals_plain_stages(spark):
     got = corpus_pipeline.run(spark, SMALL)
     columns = spark.read.parquet(f"{SMALL}/documents.parquet").columns

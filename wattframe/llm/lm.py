@@ -19,6 +19,8 @@ END = 0
 SUFFIX = 3
 CONTEXT = 2
 ADD = 0.1
+#: Most numbers of a model whose scores and normalisers are tabled (three tables of their square).
+MOST_TABLED = 2048
 
 
 class Vocabulary(NamedTuple):
@@ -31,7 +33,9 @@ class Vocabulary(NamedTuple):
 
 def classes_of(words: list[bytes], classes: int) -> np.ndarray:
     """The class of each word, by its last bytes, so that a word never seen in training has one too."""
-    return (strong_hashes([w[-SUFFIX:] for w in words])[:, 0] % np.uint64(classes)).astype(np.int64)
+    ends: dict[bytes, int] = {}
+    which = np.array([ends.setdefault(w[-SUFFIX:], len(ends)) for w in words], np.int64)
+    return (strong_hashes(ends)[:, 0] % np.uint64(classes)).astype(np.int64)[which]
 
 
 def numbers_of(words: list[bytes], number: dict[bytes, int], classes: int) -> np.ndarray:
@@ -73,38 +77,60 @@ def train(
 
     A batch shares ``samples`` words drawn from the noise distribution; the model learns to tell the
     true word from them, without normalising.  A row weighs as much as it counts.
+
+    The bias is the target's last column, against a 1 in the prediction.  Sigmoids of the noise words are taken as
+    (1 + tanh(x / 2)) / 2: the matrix products need the tanh alone, the rest is sums of their other factor.
     """
     random = np.random.default_rng(seed)
-    model = Model(*(p.astype(np.float32) for p in model))
-    past = [np.full_like(p, 1e-8) for p in model]
-    cumulated, log_noise = np.cumsum(noise), np.log(samples * noise).astype(np.float32)
-    weight = (count / count.mean()).astype(np.float32)
     n, size = model.target.shape
+    context, position = model.context.astype(np.float32), model.position.astype(np.float32)
+    target = np.concatenate([model.target, model.bias[:, None]], axis=1).astype(np.float32)
+    of_position = np.full_like(position, 1e-8)
+    steps = [(p, np.zeros_like(p), np.full_like(p, 1e-8), np.empty_like(p)) for p in (context, target)]
+    cumulated, log_noise = np.cumsum(noise), np.log(samples * noise).astype(np.float32)
     order = random.permutation(len(word))
-    for at in range(0, len(order), batch):
-        rows = order[at : at + batch]
-        h, w, g = before[rows], word[rows], weight[rows] / len(rows)
+    before, word = before[order], word[order]
+    weight = (count / count.mean()).astype(np.float32)[order]
+    places = np.arange(size + 1)
+    r_all, h_all = np.ones((batch, size + 1), np.float32), np.empty((batch, samples), np.float32)
+    for at in range(0, len(word), batch):
+        h, w, g = before[at : at + batch], word[at : at + batch], weight[at : at + batch]
+        g = (g / np.float32(len(g)))[:, None]
         drawn = np.minimum(np.searchsorted(cumulated, random.random(samples)), n - 1)
-        r = predicted(model, h)
-        true = np.einsum("ij,ij->i", r, model.target[w]) + model.bias[w] - log_noise[w]
-        false = r @ model.target[drawn].T + (model.bias - log_noise)[drawn]
-        d_true = g * _sigmoid(-true)
-        d_false = -g[:, None] * _sigmoid(false)
-        d_r = d_true[:, None] * model.target[w] + d_false @ model.target[drawn]
-        target = _summed(np.concatenate([w, drawn]), np.concatenate([d_true[:, None] * r, d_false.T @ r]), n)
-        bias = np.bincount(np.concatenate([w, drawn]), np.concatenate([d_true, d_false.sum(axis=0)]), n)
-        context = sum(_summed(h[:, i], d_r * model.position[i], n) for i in range(CONTEXT))
-        position = np.stack([(d_r * model.context[h[:, i]]).sum(axis=0) for i in range(CONTEXT)])
-        for parameter, square, step in zip(model, past, (context, target, position, bias)):
-            square += step * step
-            parameter += rate * step / np.sqrt(square)
-    return Model(*(p.astype(np.float64) for p in model))
-
-
-def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows by number."""
+        inputs = [context.take(h[:, i], axis=0) for i in range(CONTEXT)]
+        r, half = r_all[: len(w)], h_all[: len(w)]
+        r[:, :size] = sum(position[i] * inputs[i] for i in range(CONTEXT))
+        of_true, of_drawn = target.take(w, axis=0), target.take(drawn, axis=0)
+        shifted = of_drawn / np.float32(2)
+        shifted[:, size] -= log_noise[drawn] / np.float32(2)
+        np.tanh(np.matmul(r, shifted.T, out=half), out=half)
+        d_true = g * _sigmoid(log_noise[w] - np.einsum("ij,ij->i", r, of_true))[:, None]
+        weighted = (g / np.float32(2)) * r
+        d_r = d_true * of_true - (g / np.float32(2)) * (half @ of_drawn + of_drawn.sum(axis=0))
+        d_r = d_r[:, :size]
+        d_drawn = -(half.T @ weighted + weighted.sum(axis=0))
+        for i in range(CONTEXT):
+            _add(steps[0][1], h[:, i], d_r * position[i], places)
+        _add(steps[1][1], w, d_true * r, places)
+        _add(steps[1][1], drawn, d_drawn, places)
+        for parameter, step, square, work in steps:
+            np.multiply(step, step, out=work)
+            square += work
+            np.sqrt(square, out=work)
+            step *= np.float32(rate)
+            step /= work
+            parameter += step
+            step.fill(0)
+        step = np.stack([np.einsum("ij,ij->j", d_r, inputs[i]) for i in range(CONTEXT)])
+        of_position += step * step
+        position += np.float32(rate) * step / np.sqrt(of_position)
+    return Model(*(p.astype(np.float64) for p in (context, target[:, :size], position, target[:, size])))
+
+
+def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray, places: np.ndarray) -> None:
+    """Add the rows to those of ``total`` by number."""
     size = rows.shape[1]
-    return np.bincount((at[:, None] * size + np.arange(size)).reshape(-1), rows.reshape(-1), n * size).reshape(n, size)
+    np.add.at(total.reshape(-1), (at[:, None] * size + places[:size]).reshape(-1), rows.reshape(-1))
 
 
 def noise_of(counts: np.ndarray) -> np.ndarray:
@@ -117,11 +143,48 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40), dtype=x.dtype))
 
 
-def log_probabilities(model: Model, before: np.ndarray, word: np.ndarray, batch: int = 4096) -> np.ndarray:
+class Tables(NamedTuple):
+    """Parts of all scores and the normalisers of all contexts: ``scores[i][h[i], w]`` add up to the score of ``w`` after ``h``."""
+
+    scores: list[np.ndarray]  # the bias is in the first
+    total: np.ndarray  # logarithm of the sum over the vocabulary, by the two numbers of a context
+
+
+def tables_of(model: Model) -> Tables | None:
+    """The tables of a model of up to MOST_TABLED numbers, in whose squares their size is; else None.
+
+    A score is a sum of a part for each word of the context, so the sum over the vocabulary of its exponentials is a
+    product of two matrices: all contexts together cost what some thousands of them do one by one.
+    """
+    n = len(model.bias)
+    if n > MOST_TABLED:
+        return None
+    scores = [(model.position[i] * model.context) @ model.target.T for i in range(CONTEXT)]
+    scores[0] += model.bias
+    most = [s.max(axis=1) for s in scores]
+    sums = np.exp(scores[0] - most[0][:, None]) @ np.exp(scores[1] - most[1][:, None]).T
+    far = np.argwhere(sums < 1e-200)  # the largest parts stand at words so unlike that their product vanishes
+    total = np.log(np.maximum(sums, 1e-200)) + most[0][:, None] + most[1]
+    for a, b in far:
+        both = scores[0][a] + scores[1][b]
+        total[a, b] = both.max() + np.log(np.exp(both - both.max()).sum())
+    return Tables(scores, total)
+
+
+def log_probabilities(
+    model: Model, before: np.ndarray, word: np.ndarray, batch: int = 4096, tables: Tables | None = None
+) -> np.ndarray:
     """Natural logarithm of the normalised probability of each word in its context.
 
-    The sum over the vocabulary is taken once for each distinct context, as matrix products of batches.
+    Read off the model's tables, if given; else the sum over the vocabulary is taken once for each distinct context, as
+    matrix products of batches.
     """
+    if tables is not None:
+        found = np.empty(len(word))
+        for at in range(0, len(word), 1 << 16):
+            first, second, w = before[at : at + (1 << 16), 0], before[at : at + (1 << 16), 1], word[at : at + (1 << 16)]
+            found[at : at + (1 << 16)] = tables.scores[0][first, w] + tables.scores[1][second, w] - tables.total[first, second]
+        return found
     n = len(model.bias)
     contexts, which = np.unique(before[:, 0] * n + before[:, 1], return_inverse=True)
     small = Model(*(p.astype(np.float32) for p in model))
@@ -162,7 +225,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
                 ids.append(i)
                 held.append(h)
                 texts.append(t or "")
-                size += 4 * len(texts[-1]) if not texts[-1].isascii() else len(texts[-1])
+                size += len(texts[-1]) if texts[-1].isascii() else len(texts[-1].encode())
                 if size >= block_bytes:
                     yield row()
                     ids, held, texts, size = [], [], [], 0
@@ -180,7 +243,10 @@ def _block_words(texts: list, held: list):
     words = split_words([t.encode() for t in texts], lower=True)
     ids, distinct = word_ids(words)
     trains = ~np.asarray(held, bool)
-    return words, ids, distinct.to_pylist(), trains
+    _, offsets, data = distinct.buffers()  # cut here, as to_pylist makes a scalar of each word
+    edges = np.frombuffer(offsets, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1].tolist() if len(distinct) else [0]
+    joined = data.to_pybytes() if len(distinct) else b""
+    return words, ids, [joined[a:b] for a, b in zip(edges[:-1], edges[1:])], trains
 
 
 def _buckets_of(distinct: list[bytes], buckets: int) -> np.ndarray:
@@ -385,6 +451,7 @@ def score_texts(
     model = fit(count_contexts(packed, vocabulary), vocabulary, size, rounds)
     number = {w: i + 1 + classes for i, w in enumerate(vocabulary.words)}
     id_type = docs.schema["id"].dataType.simpleString()
+    tables = []  # filled once in each task
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, held, texts = (block[c][0].as_py() for c in ("ids", "held", "texts"))
@@ -401,7 +468,9 @@ def score_texts(
         count = np.full(len(token), float(train_texts))
         count[inner] = c[word]
         base = np.log10((count + ADD) / (tokens + ADD * (types + 1)))
-        found = log_probabilities(model, before, token) / math.log(10)
+        if not tables:
+            tables.append(tables_of(model))
+        found = log_probabilities(model, before, token, tables=tables[0]) / math.log(10)
         outside = (token > END) & (token <= classes)
         own_tokens, own_types = of_class[:, token[outside] - 1]
         found[outside] += np.log10((count[outside] + ADD) / (own_tokens + ADD * (own_types + 1)))
