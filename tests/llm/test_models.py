@@ -370,6 +370,17 @@ def test_tabled_scores_equal_the_sums_over_the_vocabulary():
     assert lm.tables_of(lm.initial(np.ones(lm.MOST_TABLED + 1), 2)) is None
 
 
+def test_training_deals_every_row_once_and_keeps_neighbours_of_a_context_together():
+    before = np.array([[1, 2]] * 11 + [[1, 3]] + [[0, 0]] * 4 + [[1, 2]] * 2)
+    order, group = lm._dealt(before, np.random.default_rng(2))
+    assert sorted(order.tolist()) == list(range(len(before)))
+    runs = [order[group == k].tolist() for k in range(group[-1] + 1)]
+    assert sorted(map(len, runs)) == sorted([4, 4, 3, 1, 4, 2])
+    assert all(run == list(range(run[0], run[0] + len(run))) and (before[run] == before[run[0]]).all() for run in runs)
+    order, group = lm._dealt(before[:0], np.random.default_rng(2))
+    assert len(order) == len(group) == 0
+
+
 def test_lm_blocks_count_bytes_of_utf8(spark):
     rows = spark.createDataFrame([(i, False, "\u00e4" * 500) for i in range(64)], "id long, held boolean, text string").coalesce(1)
     assert [len(x.ids) for x in lm._packed(rows, 16_000).orderBy("block").collect()] == [16] * 4

@@ -19,6 +19,8 @@ END = 0
 SUFFIX = 3
 CONTEXT = 2
 ADD = 0.1
+#: Most rows of a context that are trained in one batch for being neighbours.
+TOGETHER = 4
 #: Most numbers of a model whose scores and normalisers are tabled (three tables of their square).
 MOST_TABLED = 2048
 
@@ -78,6 +80,8 @@ def train(
     A batch shares ``samples`` words drawn from the noise distribution; the model learns to tell the
     true word from them, without normalising.  A row weighs as much as it counts.
 
+    Neighbouring rows of one context go into a batch together, so that its scores of the noise words are taken once.
+
     The bias is the target's last column, against a 1 in the prediction.  Sigmoids of the noise words are taken as
     (1 + tanh(x / 2)) / 2: the matrix products need the tanh alone, the rest is sums of their other factor.
     """
@@ -88,30 +92,34 @@ def train(
     of_position = np.full_like(position, 1e-8)
     steps = [(p, np.zeros_like(p), np.full_like(p, 1e-8), np.empty_like(p)) for p in (context, target)]
     cumulated, log_noise = np.cumsum(noise), np.log(samples * noise).astype(np.float32)
-    order = random.permutation(len(word))
+    order, group = _dealt(before, random)
     before, word = before[order], word[order]
     weight = (count / count.mean()).astype(np.float32)[order]
     places = np.arange(size + 1)
     r_all, h_all = np.ones((batch, size + 1), np.float32), np.empty((batch, samples), np.float32)
     for at in range(0, len(word), batch):
-        h, w, g = before[at : at + batch], word[at : at + batch], weight[at : at + batch]
+        w, g, own = word[at : at + batch], weight[at : at + batch], group[at : at + batch]
+        new = np.concatenate([[True], own[1:] != own[:-1]])
+        first, own = np.flatnonzero(new), np.cumsum(new) - 1
+        h = before[at : at + batch][first]
         g = (g / np.float32(len(g)))[:, None]
+        half_g = np.add.reduceat(g, first, axis=0) / np.float32(2)
         drawn = np.minimum(np.searchsorted(cumulated, random.random(samples)), n - 1)
         inputs = [context.take(h[:, i], axis=0) for i in range(CONTEXT)]
-        r, half = r_all[: len(w)], h_all[: len(w)]
+        r, half = r_all[: len(h)], h_all[: len(h)]
         r[:, :size] = sum(position[i] * inputs[i] for i in range(CONTEXT))
-        of_true, of_drawn = target.take(w, axis=0), target.take(drawn, axis=0)
+        r_of, of_true, of_drawn = r.take(own, axis=0), target.take(w, axis=0), target.take(drawn, axis=0)
         shifted = of_drawn / np.float32(2)
         shifted[:, size] -= log_noise[drawn] / np.float32(2)
         np.tanh(np.matmul(r, shifted.T, out=half), out=half)
-        d_true = g * _sigmoid(log_noise[w] - np.einsum("ij,ij->i", r, of_true))[:, None]
-        weighted = (g / np.float32(2)) * r
-        d_r = d_true * of_true - (g / np.float32(2)) * (half @ of_drawn + of_drawn.sum(axis=0))
+        d_true = g * _sigmoid(log_noise[w] - np.einsum("ij,ij->i", r_of, of_true))[:, None]
+        weighted = half_g * r
+        d_r = np.add.reduceat(d_true * of_true, first, axis=0) - half_g * (half @ of_drawn + of_drawn.sum(axis=0))
         d_r = d_r[:, :size]
         d_drawn = -(half.T @ weighted + weighted.sum(axis=0))
         for i in range(CONTEXT):
             _add(steps[0][1], h[:, i], d_r * position[i], places)
-        _add(steps[1][1], w, d_true * r, places)
+        _add(steps[1][1], w, d_true * r_of, places)
         _add(steps[1][1], drawn, d_drawn, places)
         for parameter, step, square, work in steps:
             np.multiply(step, step, out=work)
@@ -127,6 +135,19 @@ def train(
     return Model(*(p.astype(np.float64) for p in (context, target[:, :size], position, target[:, size])))
 
 
+def _dealt(before: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """All rows in random order, but for runs of up to TOGETHER neighbours of one context, which stay together, and each one's run."""
+    same = np.all(before[1:] == before[:-1], axis=1)
+    edge = np.flatnonzero(np.concatenate([[True], ~same])[: len(before)])
+    place = np.arange(len(before)) - np.repeat(edge, np.diff(np.append(edge, len(before))))
+    first = np.flatnonzero(place % TOGETHER == 0)
+    sizes = np.diff(np.append(first, len(before)))
+    turn = random.permutation(len(first))
+    first, sizes = first[turn], sizes[turn]
+    group = np.repeat(np.arange(len(first)), sizes)
+    return np.arange(len(before)) - np.repeat(np.cumsum(sizes) - sizes - first, sizes), group
+
+
 def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray, places: np.ndarray) -> None:
     """Add the rows to those of ``total`` by number."""
     size = rows.shape[1]
