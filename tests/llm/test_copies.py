@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tests.llm import brute, fixtures
 from wattframe.llm.common import components
 from wattframe.llm.exact import distinct_texts, exact_duplicates
-from wattframe.llm.lines import BITS_APART, edit_similarity, normalised, repeated_lines, simhashes, without_lines
+from wattframe.llm.lines import (
+    BITS_APART, _packed, _unpacked, edit_similarities, edit_similarity, normalised, repeated_lines, simhashes, without_lines,
+)
 from wattframe.llm import ngram_join, suffix
 from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, similar_classes, tiers, tiers_of
 from wattframe.llm.queries import QUERIES
@@ -321,3 +323,31 @@ def test_odd_tables(spark, operator):
     assert operator is distinct_texts or got.count() == 34
     nothing = spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")
     assert operator(nothing).count() == (1 if operator is distinct_texts else 2)
+
+
+def test_bucket_entries_travel_in_eleven_bytes():
+    random = np.random.default_rng(6)
+    places = np.sort(random.integers(0, 1 << 32, 2000).astype(np.uint64)) | np.uint64(5 << 32)
+    line = random.integers(0, 1 << 63, 2000).astype(np.uint64)
+    packed = _packed(places, line)
+    assert len(pa.compress(packed, codec="lz4", asbytes=True)) < 11.2 * 2000
+    bucket, back = _unpacked(packed)
+    assert (bucket | np.uint64(5 << 32) == places).all() and (back == line).all()
+    assert [len(x) for x in _unpacked(_packed(places[:0], line[:0]))] == [0, 0]
+
+
+def test_edit_similarities_side_by_side_equal_those_one_by_one():
+    random = np.random.default_rng(7)
+    xs, ys = [b"", b"", b"a"], [b"", b"abc", b"a"]
+    for size in [1, 5, 63, 64, 65, 128, 129, 200, 1100] * 40:
+        x = random.choice(list(b"abcd "), size).astype(np.uint8)
+        y = x.copy()
+        for _ in range(random.integers(0, size // 3 + 2)):
+            place, kind = random.integers(0, len(y) + 1), random.integers(0, 3)
+            y = np.insert(y, place, 122) if kind == 0 else np.delete(y, min(place, len(y) - 1)) if len(y) > 1 and kind == 1 else y
+            y[min(place, len(y) - 1)] = random.integers(97, 101)
+        xs.append(x.tobytes())
+        ys.append(y.tobytes())
+    for least in (0.8, 0.95):
+        plain = [edit_similarity(x, y, least) for x, y in zip(xs, ys)]
+        assert edit_similarities(xs, ys, least).tolist() == plain and 0 < sum(plain) < len(plain)
