@@ -20,6 +20,7 @@ from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, sim
 from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
 from wattframe.llm.suffix import longest_factors, repeated_bytes
+from wattframe.operators.staging import FREED, stored
 
 
 def by_place(df, columns):
@@ -351,3 +352,14 @@ def test_edit_similarities_side_by_side_equal_those_one_by_one():
     for least in (0.8, 0.95):
         plain = [edit_similarity(x, y, least) for x, y in zip(xs, ys)]
         assert edit_similarities(xs, ys, least).tolist() == plain and 0 < sum(plain) < len(plain)
+
+
+def test_freed_shuffles_leave_no_files(spark):
+    """The entries of all lines are gone from the disk before the texts of the lines wanted are moved."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(manager.getAllBlocks().apply(i).name().endswith(".data") for i in range(manager.getAllBlocks().size()))
+    setting, rows = spark.conf.get(FREED, None), spark.range(1000).repartition(3, F.col("id") % 7)
+    before = files()
+    found = stored(rows, "freed", free=True)
+    assert files() <= before and spark.conf.get(FREED, None) == setting
+    assert found.count() == 1000
