@@ -15,7 +15,7 @@ from wattframe.llm.exact import distinct_texts, exact_duplicates
 from wattframe.llm.lines import (
     BITS_APART, _packed, _unpacked, edit_similarities, edit_similarity, normalised, repeated_lines, simhashes, without_lines,
 )
-from wattframe.llm import ngram_join, suffix
+from wattframe.llm import lines, ngram_join, suffix
 from wattframe.llm.ngram_join import answered_counts, parities, sent_counts, similar_classes, tiers, tiers_of
 from wattframe.llm.queries import QUERIES
 from wattframe.llm.substring import distinct_pairs, repeated_sequences
@@ -363,3 +363,24 @@ def test_freed_shuffles_leave_no_files(spark):
     found = stored(rows, "freed", free=True)
     assert files() <= before and spark.conf.get(FREED, None) == setting
     assert found.count() == 1000
+
+
+def test_repeated_lines_compare_pairs_in_passes_and_leave_little(spark, monkeypatch, tmp_path):
+    """Many passes find what one finds; pairs, texts and buckets are gone from the disk when the result is read."""
+    random = np.random.default_rng(3)
+    words = ["".join(random.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    heads = [" ".join(random.choice(words, 12)) for _ in range(6)]
+    texts = ["\n".join(f"{heads[k % 6]} {' '.join(random.choice(words, n))}" for n in (1, 4, 12)) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr("wattframe.operators.staging.shared_folder", lambda spark: str(tmp_path))
+    found = lambda: {r.id: r.removed for r in repeated_lines(docs).collect()}
+    one = found()
+    assert any(one.values())
+    names = []
+    monkeypatch.setattr(lines, "stored", lambda df, name, free=False: names.append(name) or stored(df, name, free))
+    monkeypatch.setattr(lines, "PASS_BYTES", 20000)
+    monkeypatch.setattr(lines, "PASS_SHARE", 0.01)
+    assert found() == one
+    assert names.count("lines-links") > 2  # one for each kind of pair, unless there are passes
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert left == {"lines", "lines-distinct", "lines-links", "links"}
