@@ -429,3 +429,30 @@ def test_stages_on_odd_tables(spark, stage):
         assert not Counter(after) - Counter(before)
         if name == "mixing":
             assert Counter(after) == Counter(before)
+
+
+def test_blocks_of_texts_go_to_python_one_by_one(spark, monkeypatch):
+    """A task holds one block at a time, however many it has: in the reader (row groups) and in the batches to Python."""
+    from pyarrow import RecordBatch, parquet
+
+    from wattframe.operators.staging import BATCH
+
+    docs = spark.range(0, 60, 1, 1).selectExpr("id", "repeat('one two three ', 10) AS text", "id % 10 = 0 AS held")
+    seen = []
+
+    def counted(packed, *args, counts=lm.count_words):
+        def rows(batches):
+            for batch in batches:
+                yield RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+        files = [parquet.ParquetFile(f.removeprefix("file:")).metadata for f in packed.inputFiles()]
+        seen.append([(f.num_rows, f.num_row_groups) for f in files if f.num_rows])
+        seen.append([r.n for r in packed.mapInArrow(rows, "n long").collect()])
+        return counts(packed, *args)
+
+    monkeypatch.setattr(lm, "count_words", counted)
+    before = spark.conf.get(BATCH)
+    assert lm.score_texts(docs, block_bytes=1000).count() == 60
+    (groups, batches) = seen
+    assert groups == [(8, 8)] and batches == [1] * 8
+    assert spark.conf.get(BATCH) == before

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.staging import stored
+from ..operators.staging import batches_of, stored
 from .common import split_words, strong_hashes, word_ids
 
 #: Number of the end of a text (also what stands before its start); classes of words follow, then words.
@@ -256,7 +256,7 @@ def _packed(docs: DataFrame, block_bytes: int) -> DataFrame:
     packed = docs.select("id", "held", "text").mapInArrow(
         pack, f"ids array<{id_type}>, held array<boolean>, texts array<string>"
     )
-    return stored(packed.withColumn("block", F.monotonically_increasing_id()), "lm-texts")
+    return stored(packed.withColumn("block", F.monotonically_increasing_id()), "lm-texts", large_rows=True)
 
 
 def _block_words(texts: list, held: list):
@@ -359,7 +359,13 @@ def count_contexts(packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 words, ids, distinct, trains = _block_words(texts, held)
                 numbers = numbers_of(distinct, number, vocabulary.classes)[ids]
                 token, before, of = _tokens(words, numbers, len(texts))
-                key = ((before[:, 0] * n + before[:, 1]) * n + token)[trains[of]]
+                del words, ids, distinct, numbers  # one of a block's arrays is as large as its text
+                key = before[:, 0] * n
+                key += before[:, 1]
+                key *= n
+                key += token
+                key = key[trains[of]]
+                del token, before, of
                 keys, counts = np.unique(key, return_counts=True)
                 gaps = np.diff(keys, prepend=0).astype(np.int64)
                 planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
@@ -368,7 +374,7 @@ def count_contexts(packed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     "counts": pa.array([counts.astype(np.uint32).tobytes()], pa.binary()),
                 })
 
-    return stored(packed.mapInArrow(count, "block long, keys binary, counts binary"), "lm-contexts")
+    return stored(packed.mapInArrow(count, "block long, keys binary, counts binary"), "lm-contexts", large_rows=True)
 
 
 def fit(contexts: DataFrame, vocabulary: Vocabulary, size: int, rounds: int) -> Model:
@@ -452,24 +458,25 @@ def score_texts(
     distinct words to their buckets and gets their counts back, and its distinct contexts, counted, are what the
     model trains on.  A null text counts as empty: one token, the end.  Without training rows all counts are 0.
     """
-    packed = _packed(docs, block_bytes)
-    train_texts, size_sum = packed.select(
-        F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n"),
-        F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))).alias("bytes"),
-    ).first()
-    train_texts = train_texts or 0
-    buckets = int((size_sum or 0) // (4 << 20)) + 1
-    counts = count_words(packed, buckets, top, classes)
-    best = counts.where("kind = 1").orderBy(F.desc("n"), "payload").limit(top).select("payload", "n").collect()
-    sums = counts.where("kind = 2").agg(F.sum("n"), F.sum("types")).first()
-    tokens, types = (sums[0] or 0) + train_texts, (sums[1] or 0) + bool(train_texts)
-    known = np.array([r["n"] for r in best], np.int64)
-    names = [bytes(r["payload"]) for r in best]
-    of_class = _summed_classes(counts, classes) - np.stack([
-        np.bincount(classes_of(names, classes), w, classes) for w in (known, np.ones(len(names)))
-    ])
-    vocabulary = Vocabulary(names, classes, np.concatenate([[train_texts], of_class[0], known]).astype(float), tokens, types)
-    model = fit(count_contexts(packed, vocabulary), vocabulary, size, rounds)
+    with batches_of(docs.sparkSession, block_bytes):
+        packed = _packed(docs, block_bytes)
+        train_texts, size_sum = packed.select(
+            F.sum(F.size(F.filter("held", lambda h: ~h))).alias("n"),
+            F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))).alias("bytes"),
+        ).first()
+        train_texts = train_texts or 0
+        buckets = int((size_sum or 0) // (4 << 20)) + 1
+        counts = count_words(packed, buckets, top, classes)
+        best = counts.where("kind = 1").orderBy(F.desc("n"), "payload").limit(top).select("payload", "n").collect()
+        sums = counts.where("kind = 2").agg(F.sum("n"), F.sum("types")).first()
+        tokens, types = (sums[0] or 0) + train_texts, (sums[1] or 0) + bool(train_texts)
+        known = np.array([r["n"] for r in best], np.int64)
+        names = [bytes(r["payload"]) for r in best]
+        of_class = _summed_classes(counts, classes) - np.stack([
+            np.bincount(classes_of(names, classes), w, classes) for w in (known, np.ones(len(names)))
+        ])
+        vocabulary = Vocabulary(names, classes, np.concatenate([[train_texts], of_class[0], known]).astype(float), tokens, types)
+        model = fit(count_contexts(packed, vocabulary), vocabulary, size, rounds)
     number = {w: i + 1 + classes for i, w in enumerate(vocabulary.words)}
     id_type = docs.schema["id"].dataType.simpleString()
     tables = []  # filled once in each task
@@ -484,10 +491,12 @@ def score_texts(
         c[order] = np.frombuffer(b"".join(p for _, p in replies), np.int64)
         numbers = numbers_of(distinct, number, classes)
         token, before, of = _tokens(words, numbers[word], len(texts))
+        sizes = np.diff(words.first) + 1
         inner = np.ones(len(token), bool)
-        inner[np.cumsum(np.diff(words.first) + 1) - 1] = False
+        inner[np.cumsum(sizes) - 1] = False
         count = np.full(len(token), float(train_texts))
         count[inner] = c[word]
+        del words, word, distinct, numbers, inner, c
         base = np.log10((count + ADD) / (tokens + ADD * (types + 1)))
         if not tables:
             tables.append(tables_of(model))
@@ -499,7 +508,7 @@ def score_texts(
         return pa.table({
             "id": block["ids"].combine_chunks().flatten(),
             "held_out": pa.array(held, pa.bool_()),
-            "n_tokens": pa.array(np.diff(words.first) + 1, pa.int64()),
+            "n_tokens": pa.array(sizes, pa.int64()),
             "n_known": pa.array(total(count > 0).astype(np.int64), pa.int64()),
             "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
             "base_score": pa.array(total(base), pa.float64()),
