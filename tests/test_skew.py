@@ -1,5 +1,7 @@
 """One key holds most rows: results stay whole and no task gets the key as a whole."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from wattframe.operators.fill import asof_join
@@ -67,6 +69,26 @@ def test_admission_of_a_hot_key(spark, monkeypatch):
     assert answered.filter("allowed AND remaining < 0").isEmpty()
 
 
+def test_admission_of_many_requests_in_a_span(spark, monkeypatch):
+    """No frame slides, as Spark adds it up anew at each row: the work would be the square of the requests in a span."""
+    plans = []
+    real = usage.stored
+
+    def watched(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return real(df, *args, **kwargs)
+
+    monkeypatch.setattr(usage, "stored", watched)
+    events = spark.range(3000).select((F.col("id") % 2).alias("key_id"), F.timestamp_micros(F.col("id") * 1_000_000).alias("occurred_at"), "id")
+    limits = spark.range(1).select(F.col("id").alias("key_id"), F.lit(2).alias("limit"))
+    answered = usage.admission(events, limits, ["id"], 600)
+    plans.append(answered._jdf.queryExecution().analyzed().toString())
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]*),", " ".join(plans))
+    assert len(frames) > 4 and set(frames) == {"unboundedpreceding$()"}
+    allowed = answered.filter("allowed AND key_id = 0").select(F.unix_seconds("occurred_at").alias("s")).collect()
+    assert sorted(r.s for r in allowed) == [600 * k + s for k in range(5) for s in (0, 2)]
+
+
 def test_asof_of_a_hot_key(spark):
     left = hot(spark)
     right = spark.range(0, ROWS * 5, 3600).select(

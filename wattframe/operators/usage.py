@@ -61,10 +61,10 @@ def trailing_requests(
     ``weight`` names a column with the number of requests a row stands for.
     """
     span, window = _in_chunks(seconds, chunk_seconds)
-    recent = F.count("*") if weight is None else F.sum(weight)
-    return _chunked(events, span, chunk_seconds, after=False).withColumn(
-        "recent", recent.over(window.rangeBetween(-(span - 1), 0))
-    ).filter("_own").drop("_us", "_chunk", "_own")
+    recent = _in_span(F.count("*") if weight is None else F.sum(weight), span, window)
+    if weight is not None:  # NULL where the span has no weight at all
+        recent = F.when(_in_span(F.count(weight), span, window) > 0, recent)
+    return _chunked(events, span, chunk_seconds, after=False).withColumn("recent", recent).filter("_own").drop("_us", "_chunk", "_own")
 
 
 def _in_chunks(seconds: int, chunk_seconds: int) -> tuple[int, Window]:
@@ -74,6 +74,16 @@ def _in_chunks(seconds: int, chunk_seconds: int) -> tuple[int, Window]:
     return seconds * _MICROS, Window.partitionBy("key_id", "_chunk").orderBy("_us")
 
 
+def _in_span(total: Column, span: int, window: Window) -> Column:
+    """A count or sum over the span up to and including each row, as the difference of two that only grow.
+
+    A frame that slides is added up anew at every row, which is the square of the rows in a span.
+    """
+    upto = total.over(window.rangeBetween(Window.unboundedPreceding, 0))
+    expired = F.when(F.col("_us").isNotNull(), total.over(window.rangeBetween(Window.unboundedPreceding, -span)))
+    return upto - F.coalesce(expired, F.lit(0))
+
+
 def _chunked(events: DataFrame, span: int, chunk_seconds: int, after: bool) -> DataFrame:
     """Rows with their chunk of time, and those near its end (its beginning: ``after``) again in the next (previous) one."""
     size = chunk_seconds * _MICROS
@@ -132,20 +142,25 @@ def admission(
     """
     chunk = chunk_seconds or 10 * seconds
     named = limits.select("key_id", F.col("limit").cast("long").alias("limit"))
-    instants = events.where("key_id IS NOT NULL").groupBy("key_id", "occurred_at").agg(F.count("*").alias("_n"))
+    instants = events.where("key_id IS NOT NULL AND occurred_at IS NOT NULL").groupBy("key_id", "occurred_at").agg(F.count("*").alias("_n"))
     counted = trailing_requests(instants.join(named, "key_id"), seconds, chunk, weight="_n")
 
     span, window = _in_chunks(seconds, chunk)
-    over = F.col("recent") > F.col("limit")
+    over, us = F.col("recent") > F.col("limit"), F.col("_us")
+    back = Window.partitionBy("key_id", "_chunk").orderBy(us.desc())
+    # the last excess up to each instant and the first one from it on, by frames that only grow
+    last = F.max(F.when(over, us)).over(window.rangeBetween(Window.unboundedPreceding, 0))
+    next_ = F.min(F.when(over, us)).over(back.rangeBetween(Window.unboundedPreceding, 0))
+    within = lambda found: F.when(over.isNotNull(), F.coalesce(found, F.lit(False)))
     marked = stored(
         _chunked(counted, span, chunk, after=True)
-        .withColumn("_late", F.max(over).over(window.rangeBetween(-(span - 1), 0)))
-        .withColumn("_early", F.max(over).over(window.rangeBetween(0, span - 1)))
+        .withColumn("_late", within(last > us - span))
+        .withColumn("_early", within(next_ < us + span))
         .filter("_own").drop("_chunk", "_own"),
         "admission",
     )
     busy = marked.filter("_late OR _early")
-    first = F.count("*").over(window.rangeBetween(-(span - 1), 0)) == 1
+    first = _in_span(F.count("*"), span, window) == 1
     starts = (
         _chunked(busy.drop("_us"), span, chunk, after=False)
         .withColumn("_run", F.when(first, F.col("_us")))
