@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
+            "spark.sql.ui.retainedExecutions": "20000",  # tests count executions; 1000 are fewer than all tests make
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
     )
